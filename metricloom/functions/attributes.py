@@ -5,35 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from metricloom.functions.common import bind
-from metricloom.functions.numbers import double_to_g
+from metricloom.functions.common import apply_sql, let
+from metricloom.functions.numbers import double_to_g_sql
 
 # Fixed value: resource attribute that names the service.
 SERVICE_NAME = "service.name"
 
+_COMPLEX = "coalesce(to_json({v}.arrayValue), to_json({v}.kvlistValue), {v}.bytesValue)"
+_TEXT = (
+    "coalesce({v}.stringValue, cast(try_cast({v}.intValue as bigint) as string), "
+    + double_to_g_sql("{v}.doubleValue")
+    + ", cast({v}.boolValue as string), "
+    + _COMPLEX
+    + ", '')"
+)
+_NAMED = "filter({a}, e -> coalesce(e.key, '') <> '')"
+_ENTRY = "struct<key:string,pos:int,value:string>"
+_ENTRIES = (
+    "coalesce("
+    + let(
+        "s",
+        f"sort_array(transform({_NAMED}, (e, i) -> "
+        f"struct(e.key as key, i as pos, {_TEXT.format(v='e.value')} as value)))",
+        "filter(s, (e, i) -> coalesce(get(s, i + 1).key <> e.key, true))",
+    )
+    + f", cast(array() as array<{_ENTRY}>))"
+)
+
+
+def attribute_entries_sql(attributes: str) -> str:
+    """SQL of ``attribute_entries``."""
+    return _ENTRIES.format(a=attributes)
+
+
+def service_name_sql(attributes: str) -> str:
+    """SQL of K6."""
+    first = f"get(filter({attributes}, e -> e.key = '{SERVICE_NAME}'), 0)"
+    return f"coalesce({first}.value.stringValue, '')"
+
+
+def entries_to_map_sql(entries: str) -> str:
+    """SQL map of sorted unique entries; needs no map-key policy in the session."""
+    return f"map_from_arrays({entries}.key, {entries}.value)"
+
 
 def any_value_to_string(value: Column) -> Column:
     """K1: text of a tagged value; an unset one is ''."""
-    return F.coalesce(
-        value["stringValue"],
-        value["intValue"].try_cast("bigint").cast("string"),
-        F.when(value["doubleValue"].isNotNull(), double_to_g(value["doubleValue"])),
-        value["boolValue"].cast("string"),
-        complex_value_to_string(value),
-        F.lit(""),
-    )
+    return apply_sql(value, "v", _TEXT.format(v="v"))
 
 
 def complex_value_to_string(value: Column) -> Column:
     """K3: JSON text of a list or map value, base64 text of a bytes value."""
-    return F.coalesce(
-        F.to_json(value["arrayValue"]), F.to_json(value["kvlistValue"]), value["bytesValue"]
-    )
+    return apply_sql(value, "v", _COMPLEX.format(v="v"))
 
 
 def strip_empty_keys(attributes: Column) -> Column:
     """K5: the list without entries whose key is empty or missing."""
-    return F.filter(attributes, lambda a: F.coalesce(a["key"], F.lit("")) != "")
+    return apply_sql(attributes, "a", _NAMED.format(a="a"))
 
 
 def attribute_entries(attributes: Column) -> Column:
@@ -41,36 +69,17 @@ def attribute_entries(attributes: Column) -> Column:
 
     An absent list gives an empty array.
     """
-    placed = F.transform(
-        strip_empty_keys(attributes),
-        lambda a, i: F.struct(
-            a["key"].alias("key"), i.alias("pos"), any_value_to_string(a["value"]).alias("value")
-        ),
-    )
-    last_of_key = bind(
-        F.sort_array(placed),
-        lambda s: F.filter(
-            s, lambda e, i: F.coalesce(F.get(s, i + 1)["key"] != e["key"], F.lit(True))
-        ),
-    )
-    empty = F.array().cast("array<struct<key:string,pos:int,value:string>>")
-    return F.coalesce(last_of_key, empty)
-
-
-def entries_to_map(entries: Column) -> Column:
-    """Map of sorted unique entries; needs no map-key policy in the session."""
-    return F.map_from_arrays(entries["key"], entries["value"])
+    return apply_sql(attributes, "a", attribute_entries_sql("a"))
 
 
 def kv_to_map(attributes: Column) -> Column:
     """K4: key/value list to map, last duplicate wins, empty keys stripped."""
-    return bind(attribute_entries(attributes), entries_to_map)
+    return apply_sql(attribute_entries(attributes), "u", entries_to_map_sql("u"))
 
 
 def service_name(attributes: Column) -> Column:
     """K6: the first ``service.name`` if it holds a string, else ''."""
-    first = F.get(F.filter(attributes, lambda a: a["key"] == SERVICE_NAME), F.lit(0))
-    return F.coalesce(first["value"]["stringValue"], F.lit(""))
+    return apply_sql(attributes, "a", service_name_sql("a"))
 
 
 def attribute_keys(attributes: Column) -> Column:

@@ -1,20 +1,23 @@
-"""Small helpers shared by the column functions."""
+"""Small helpers shared by the column functions.
 
-from __future__ import annotations
+Longer expressions are written as SQL text: one parse in the JVM instead of a
+Python-to-JVM call per operator, which keeps building a query cheap.
+"""
 
-from collections.abc import Callable
-from decimal import Decimal
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO_63 = Decimal(2**63)
-_TWO_64 = Decimal(2**64)
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and uses it as ``name`` inside ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def apply_sql(value: Column, name: str, body: str) -> Column:
+    """The SQL expression ``body`` over a column known as ``name`` inside it."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
 
 
 def or_default(value: Column, default: object) -> Column:
@@ -24,29 +27,40 @@ def or_default(value: Column, default: object) -> Column:
 
 def wrapped_int64(value: Column) -> Column:
     """Unsigned 64-bit text or number as the signed integer with the same bits."""
-    wide = value.try_cast("decimal(20,0)")
-    signed = F.when(wide >= F.lit(_TWO_63), wide - F.lit(_TWO_64)).otherwise(wide)
-    return F.coalesce(value.try_cast("bigint"), signed.try_cast("bigint"), F.lit(0))
+    return apply_sql(value, "n", wrapped_int64_sql("n"))
+
+
+def wrapped_int64_sql(n: str) -> str:
+    """SQL of ``wrapped_int64``; the wide cast only runs on what is not a signed integer."""
+    wide = f"try_cast({n} as decimal(20,0))"
+    return (
+        f"coalesce(try_cast({n} as bigint), "
+        f"if({wide} > 0, try_cast({wide} - 18446744073709551616BD as bigint), null), 0L)"
+    )
 
 
 def count64(value: Column) -> Column:
     """A count as BIGINT; unset is 0, and a value that does not fit is an error."""
-    return F.coalesce(
-        value.try_cast("bigint"),
-        F.when(
-            value.isNotNull(),
-            F.raise_error(F.concat(F.lit("count does not fit 63 bits: "), value.cast("string"))),
-        ).cast("bigint"),
-        F.lit(0),
+    return apply_sql(value, "n", count64_sql("n"))
+
+
+def count64_sql(n: str) -> str:
+    """SQL of ``count64``."""
+    return (
+        f"coalesce(try_cast({n} as bigint), if({n} is null, 0L, "
+        f"cast(raise_error(concat('count does not fit 63 bits: ', {n})) as bigint)))"
     )
 
 
-def counts64(values: Column) -> Column:
-    """An array of counts, unset as the empty array."""
-    return F.coalesce(F.transform(values, count64), F.array().cast("array<bigint>"))
+def counts64_sql(values: str) -> str:
+    """SQL of an array of counts, unset as the empty array."""
+    return (
+        f"coalesce(transform({values}, c -> {count64_sql('c')}), cast(array() as array<bigint>))"
+    )
 
 
 def unsigned_text(value: Column) -> Column:
     """Decimal text of a BIGINT read as unsigned 64 bits."""
     wide = value.cast("decimal(20,0)")
-    return F.when(value < 0, wide + F.lit(_TWO_64)).otherwise(wide).cast("string")
+    shifted = wide + F.expr("18446744073709551616BD")
+    return F.when(value < 0, shifted).otherwise(wide).cast("string")

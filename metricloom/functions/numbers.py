@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from metricloom.functions.common import bind
+from metricloom.functions.common import apply_sql, let
 
 
 def number_value(point: Column) -> Column:
     """K8: the double if set, else the integer as a double, else 0."""
-    return F.coalesce(point["asDouble"], point["asInt"].try_cast("bigint").cast("double"), F.lit(0.0))
+    return apply_sql(point, "p", number_value_sql("p"))
+
+
+def number_value_sql(point: str) -> str:
+    """SQL of K8."""
+    return (
+        f"coalesce({point}.asDouble, cast(try_cast({point}.asInt as bigint) as double), 0D)"
+    )
 
 
 def is_finite(value: Column) -> Column:
     """K9: neither NaN nor an infinity."""
-    return ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    return apply_sql(value, "x", is_finite_sql("x"))
+
+
+def is_finite_sql(x: str) -> str:
+    """SQL of K9."""
+    return f"(not isnan({x}) and abs({x}) < double('Infinity'))"
 
 
 def double_to_g(value: Column) -> Column:
@@ -23,85 +35,68 @@ def double_to_g(value: Column) -> Column:
 
     Scientific form is used for decimal exponents below -4 and from 6 on.
     """
-    text = value.cast("string")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    finite = bind(_decimal(F.abs(value)), lambda d: F.concat(sign, _layout(d["digits"], d["exponent"])))
-    return (
-        F.when(F.isnan(value), "NaN")
-        .when(value == F.lit(float("inf")), "+Inf")
-        .when(value == F.lit(float("-inf")), "-Inf")
-        .when(value == 0, F.concat(sign, F.lit("0")))
-        .otherwise(finite)
-    )
+    return apply_sql(value, "x", double_to_g_sql("x"))
 
 
-def _decimal(magnitude: Column) -> Column:
-    """Significant digits and decimal exponent of a positive double."""
-
-    def parse(text: Column) -> Column:
-        mantissa = F.substring_index(text, "E", 1)
-        shift = F.when(text.contains("E"), F.substring_index(text, "E", -1).try_cast("int")).otherwise(0)
-        whole = F.substring_index(mantissa, ".", 1)
-        padded = F.concat(whole, F.substring_index(mantissa, ".", -1))
-        unpadded = F.ltrim(padded, F.lit("0"))
-        return F.struct(
-            F.rtrim(unpadded, F.lit("0")).alias("digits"),
-            (shift + F.length(whole) - 1 - (F.length(padded) - F.length(unpadded))).alias("exponent"),
-        )
-
-    # The JVM may print a few digits more than needed at the ends of its range.
-    return bind(
-        bind(magnitude.cast("string"), parse),
-        lambda d: F.when(
-            (F.length(d["digits"]) >= 17) | (magnitude < 1e-300), _shortened(magnitude, d)
-        ).otherwise(d),
+def double_to_g_sql(x: str) -> str:
+    """SQL of K2 over the double ``x``, which should be a plain name or field."""
+    sign = f"if(startswith(cast({x} as string), '-'), '-', '')"
+    finite = let("g", _shortest_sql(f"abs({x})"), f"concat({sign}, {_LAYOUT})")
+    return (
+        f"case when {x} is null then null when isnan({x}) then 'NaN' "
+        f"when {x} = double('Infinity') then '+Inf' when {x} = double('-Infinity') then '-Inf' "
+        f"when {x} = 0 then concat({sign}, '0') else {finite} end"
     )
 
 
-def _shortened(magnitude: Column, decimal: Column) -> Column:
-    """The shortest prefix of the digits, rounded down or up, that reads back equal."""
-    digits, exponent = decimal["digits"], decimal["exponent"]
-
-    def candidate(dropped: int, up: int) -> Column:
-        kept = F.length(digits) - dropped
-        number = digits.substr(F.lit(1), kept).try_cast("bigint") + up
-        same = F.concat(number, F.lit("e"), exponent - kept + 1).try_cast("double") == magnitude
-        carried = F.length(number.cast("string")) - kept
-        return F.when(
-            (kept > 0) & same,
-            F.struct(
-                F.rtrim(number.cast("string"), F.lit("0")).alias("digits"),
-                (exponent + carried).alias("exponent"),
-            ),
-        )
-
-    def nearest(dropped: int) -> Column:
-        next_digit = digits.substr(F.length(digits) - dropped + 1, F.lit(1))
-        down, up = candidate(dropped, 0), candidate(dropped, 1)
-        return F.when(next_digit >= "5", F.coalesce(up, down)).otherwise(F.coalesce(down, up))
-
-    return F.coalesce(nearest(3), nearest(2), nearest(1), decimal)
-
-
-def _layout(digits: Column, exponent: Column) -> Column:
-    count = F.length(digits)
-    tail = digits.substr(F.lit(2), count)
-    scientific = F.concat(
-        digits.substr(F.lit(1), F.lit(1)),
-        F.when(count > 1, F.concat(F.lit("."), tail)).otherwise(""),
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.when(F.abs(exponent) < 10, "0").otherwise(""),
-        F.abs(exponent).cast("string"),
+def _shortest_sql(magnitude: str) -> str:
+    """Struct of significant digits and decimal exponent of a positive double."""
+    # Digits and exponent as the JVM prints them, such as 1.234E-5.
+    printed = let(
+        "t",
+        f"cast({magnitude} as string)",
+        let(
+            "m",
+            "substring_index(t, 'E', 1)",
+            "struct(replace(m, '.', '') as padded, length(substring_index(m, '.', 1)) - 1 "
+            "+ if(contains(t, 'E'), cast(substring_index(t, 'E', -1) as int), 0) as power)",
+        ),
     )
-    whole_digits = exponent + 1
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole_digits), digits)
-    whole = F.concat(digits, F.repeat(F.lit("0"), whole_digits - count))
-    mixed = F.concat(
-        digits.substr(F.lit(1), whole_digits), F.lit("."), digits.substr(whole_digits + 1, count)
+    trimmed = let(
+        "p",
+        printed,
+        "struct(trim(both '0' from p.padded) as digits, "
+        "p.power - length(p.padded) + length(trim(leading '0' from p.padded)) as exponent)",
     )
-    return (
-        F.when((exponent < -4) | (exponent >= 6), scientific)
-        .when(exponent < 0, small)
-        .when(count <= whole_digits, whole)
-        .otherwise(mixed)
+    # At the ends of its range the JVM may print a few digits more than needed.
+    # Take the shortest prefix, rounded to the nearer side first, that reads back equal.
+    number = (
+        "cast(substr(d.digits, 1, length(d.digits) - k) as bigint) "
+        "+ if((i % 2 = 0) = (substr(d.digits, length(d.digits) - k + 1, 1) >= '5'), 1, 0)"
+    )
+    candidates = (
+        "transform(filter(array(3, 3, 2, 2, 1, 1), k -> k < length(d.digits)), (k, i) -> "
+        f"struct(cast({number} as string) as number, length(d.digits) - k as kept))"
+    )
+    equal = (
+        "filter(" + candidates + ", c -> try_cast(concat(c.number, 'e', "
+        f"d.exponent - c.kept + 1) as double) = {magnitude})"
+    )
+    shortened = let(
+        "c",
+        f"get({equal}, 0)",
+        "if(c is null, d, struct(trim(trailing '0' from c.number) as digits, "
+        "d.exponent + length(c.number) - c.kept as exponent))",
     )
+    return let("d", trimmed, f"if(length(d.digits) >= 17 or {magnitude} < 1e-300, {shortened}, d)")
+
+
+_LAYOUT = (
+    "case when g.exponent < -4 or g.exponent >= 6 then concat(left(g.digits, 1), "
+    "if(length(g.digits) > 1, concat('.', substr(g.digits, 2)), ''), "
+    "if(g.exponent < 0, 'e-', 'e+'), lpad(abs(g.exponent), "
+    "greatest(2, length(abs(g.exponent))), '0')) "
+    "when g.exponent < 0 then concat('0.', repeat('0', -1 - g.exponent), g.digits) "
+    "when length(g.digits) <= g.exponent + 1 then rpad(g.digits, g.exponent + 1, '0') "
+    "else concat(left(g.digits, g.exponent + 1), '.', substr(g.digits, g.exponent + 2)) end"
+)

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-_EMPTY = "array<struct<Quantile:double,Value:double>>"
+from metricloom.functions.common import apply_sql
 
 
 def quantile_values(quantiles: Column) -> Column:
     """Wire quantiles to the stored (Quantile, Value) list; unset is empty."""
-    stored = F.transform(
-        quantiles,
-        lambda q: F.struct(
-            F.coalesce(q["quantile"], F.lit(0.0)).alias("Quantile"),
-            F.coalesce(q["value"], F.lit(0.0)).alias("Value"),
-        ),
+    return apply_sql(quantiles, "l", quantile_values_sql("l"))
+
+
+def quantile_values_sql(quantiles: str) -> str:
+    """SQL of B10."""
+    return (
+        f"coalesce(transform({quantiles}, q -> "
+        "struct(coalesce(q.quantile, 0D) as Quantile, coalesce(q.value, 0D) as Value)), "
+        "cast(array() as array<struct<Quantile:double,Value:double>>))"
     )
-    return F.coalesce(stored, F.array().cast(_EMPTY))
 
 
 def split_quantiles(stored: Column) -> tuple[Column, Column]:

@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from metricloom.functions.common import apply_sql
+
 NANOS_PER_DAY = 86_400_000_000_000
 
 
-def _floor_div(value: Column, divisor: int) -> Column:
+def _floor_div(value: str, divisor: int) -> str:
     # Integer division truncates towards zero; step down for negative remainders.
-    quotient = F.call_function("div", value, F.lit(divisor))
-    return F.when(value % F.lit(divisor) < 0, quotient - 1).otherwise(quotient)
+    return f"({value} div {divisor}L - if({value} % {divisor}L < 0, 1, 0))"
+
+
+def nanos_to_timestamp_sql(nanos: str) -> str:
+    """SQL of K7, timestamp."""
+    return f"timestamp_micros({_floor_div(nanos, 1000)})"
+
+
+def nanos_to_date_sql(nanos: str) -> str:
+    """SQL of K7, date."""
+    return f"date_from_unix_date(cast({_floor_div(nanos, NANOS_PER_DAY)} as int))"
 
 
 def nanos_to_timestamp(nanos: Column) -> Column:
     """K7: microsecond timestamp of a nanosecond time, rounded down."""
-    return F.timestamp_micros(_floor_div(nanos, 1000))
+    return apply_sql(nanos, "n", nanos_to_timestamp_sql("n"))
 
 
 def nanos_to_date(nanos: Column) -> Column:
     """K7: UTC day of a nanosecond time."""
-    return F.date_from_unix_date(_floor_div(nanos, NANOS_PER_DAY).cast("int"))
+    return apply_sql(nanos, "n", nanos_to_date_sql("n"))
 
 
-def unix_nanos(points_column: str = "TimeUnixNano") -> Column:
+def unix_nanos(point_time: str = "TimeUnixNano") -> Column:
     """The exact nanosecond sort key of a stored point."""
-    return F.col(points_column)
-
-
-def timestamp_to_nanos(timestamp: Column) -> Column:
-    """Nanoseconds of a microsecond timestamp."""
-    return F.unix_micros(timestamp) * F.lit(1000)
+    return F.col(point_time)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.attributes import attribute_entries, entries_to_map, service_name
-from metricloom.functions.common import or_default
-from metricloom.functions.identity import entries_section
+from metricloom.functions.attributes import (
+    attribute_entries_sql,
+    entries_to_map_sql,
+    service_name_sql,
+)
+from metricloom.functions.identity import entries_section_sql
 from metricloom.schema import POINT_TABLES
 
 RESOURCE_COLUMNS = ["ServiceName", "ResourceAttributes", "ResourceSchemaUrl", "_resource_section"]
@@ -25,36 +28,41 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     resource and scope, not once per point. Empty arrays yield no rows. There
     is no shuffle.
     """
-    resources = requests.select(F.explode("resourceMetrics").alias("rm")).select(
-        service_name(F.col("rm.resource.attributes")).alias("ServiceName"),
-        attribute_entries(F.col("rm.resource.attributes")).alias("_entries"),
-        or_default(F.col("rm.schemaUrl"), "").alias("ResourceSchemaUrl"),
-        F.col("rm.scopeMetrics").alias("_scopes"),
-    ).select(
+    resources = requests.selectExpr("explode(resourceMetrics) as rm").selectExpr(
+        f"{service_name_sql('rm.resource.attributes')} as ServiceName",
+        f"{attribute_entries_sql('rm.resource.attributes')} as _entries",
+        "coalesce(rm.schemaUrl, '') as ResourceSchemaUrl",
+        "rm.scopeMetrics as _scopes",
+    )
+    scopes = resources.selectExpr(
         "ServiceName",
-        entries_to_map(F.col("_entries")).alias("ResourceAttributes"),
+        f"{entries_to_map_sql('_entries')} as ResourceAttributes",
         "ResourceSchemaUrl",
-        entries_section(F.col("_entries")).alias("_resource_section"),
-        "_scopes",
+        f"{entries_section_sql('_entries')} as _resource_section",
+        "explode(_scopes) as sm",
+    ).selectExpr(
+        *RESOURCE_COLUMNS,
+        "coalesce(sm.scope.name, '') as ScopeName",
+        "coalesce(sm.scope.version, '') as ScopeVersion",
+        f"{attribute_entries_sql('sm.scope.attributes')} as _entries",
+        "coalesce(sm.scope.droppedAttributesCount, 0L) as ScopeDroppedAttrCount",
+        "coalesce(sm.schemaUrl, '') as ScopeSchemaUrl",
+        "sm.metrics as _metrics",
     )
-    scopes = resources.select(*RESOURCE_COLUMNS, F.explode("_scopes").alias("sm")).select(
+    metrics = scopes.selectExpr(
         *RESOURCE_COLUMNS,
-        or_default(F.col("sm.scope.name"), "").alias("ScopeName"),
-        or_default(F.col("sm.scope.version"), "").alias("ScopeVersion"),
-        attribute_entries(F.col("sm.scope.attributes")).alias("_entries"),
-        or_default(F.col("sm.scope.droppedAttributesCount"), 0).alias("ScopeDroppedAttrCount"),
-        or_default(F.col("sm.schemaUrl"), "").alias("ScopeSchemaUrl"),
-        F.col("sm.metrics").alias("_metrics"),
-    ).withColumn("ScopeAttributes", entries_to_map(F.col("_entries")))
-    metrics = scopes.select(*RESOURCE_COLUMNS, *SCOPE_COLUMNS, F.explode("_metrics").alias("m"))
+        *[c for c in SCOPE_COLUMNS if c != "ScopeAttributes"],
+        f"{entries_to_map_sql('_entries')} as ScopeAttributes",
+        "explode(_metrics) as m",
+    )
     present = metrics.schema["m"].dataType.fieldNames()
-    return metrics.select(
+    return metrics.selectExpr(
         *RESOURCE_COLUMNS,
         *SCOPE_COLUMNS,
-        or_default(F.col("m.name"), "").alias("MetricName"),
-        or_default(F.col("m.description"), "").alias("MetricDescription"),
-        or_default(F.col("m.unit"), "").alias("MetricUnit"),
-        *[F.col(f"m.{arm}") for _, arm, _ in POINT_TABLES.values() if arm in present],
+        "coalesce(m.name, '') as MetricName",
+        "coalesce(m.description, '') as MetricDescription",
+        "coalesce(m.unit, '') as MetricUnit",
+        *[f"m.{arm} as {arm}" for _, arm, _ in POINT_TABLES.values() if arm in present],
     )
 
 

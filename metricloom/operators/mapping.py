@@ -9,12 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.attributes import attribute_entries, entries_to_map
-from metricloom.functions.common import count64, counts64, or_default, wrapped_int64
-from metricloom.functions.identity import canonical_key, entries_section, series_id
-from metricloom.functions.numbers import number_value
-from metricloom.functions.quantiles import quantile_values
-from metricloom.functions.times import nanos_to_date, nanos_to_timestamp
+from metricloom.functions.attributes import attribute_entries_sql, entries_to_map_sql
+from metricloom.functions.common import count64_sql, counts64_sql, wrapped_int64_sql
+from metricloom.functions.identity import canonical_key_sql, entries_section_sql, series_id_sql
+from metricloom.functions.numbers import number_value_sql
+from metricloom.functions.quantiles import quantile_values_sql
+from metricloom.functions.times import nanos_to_date_sql, nanos_to_timestamp_sql
 from metricloom.operators.flatten import (
     METRIC_COLUMNS,
     RESOURCE_COLUMNS,
@@ -23,50 +23,49 @@ from metricloom.operators.flatten import (
     nameless_metrics,
     route,
 )
-from metricloom.operators.validate import accepted, nameless_rejects, point_reason, validate
+from metricloom.operators.validate import accepted, nameless_rejects, point_reason_sql, validate
 from metricloom.schema import POINT_TABLES, POINTS, SERIES, column_names
 
-_LIST_OF_DOUBLE = "array<double>"
-
-
-def _doubles(values: Column) -> Column:
-    return F.coalesce(values, F.array().cast(_LIST_OF_DOUBLE))
-
-
-def _value_columns(table: str, arm: str, point: Column) -> dict[str, Column]:
-    """Columns of ``table`` beside the common ones."""
-    temporality = or_default(F.col("_temporality"), 0) if table in _TEMPORAL else None
-    if table in ("gauge", "sum"):
-        columns = {"Value": number_value(point)}
-        if table == "sum":
-            columns["AggregationTemporality"] = temporality
-            columns["IsMonotonic"] = or_default(F.col("_monotonic"), False)
-        return columns
-    columns = {"Count": count64(point["count"]), "Sum": or_default(point["sum"], 0.0)}
-    if table == "summary":
-        return columns | {"ValueAtQuantiles": quantile_values(point["quantileValues"])}
-    if table == "histogram":
-        columns |= {
-            "BucketCounts": counts64(point["bucketCounts"]),
-            "ExplicitBounds": _doubles(point["explicitBounds"]),
-        }
-    else:
-        columns |= {
-            "Scale": or_default(point["scale"], 0),
-            "ZeroCount": count64(point["zeroCount"]),
-            "PositiveOffset": or_default(point["positive"]["offset"], 0),
-            "PositiveBucketCounts": counts64(point["positive"]["bucketCounts"]),
-            "NegativeOffset": or_default(point["negative"]["offset"], 0),
-            "NegativeBucketCounts": counts64(point["negative"]["bucketCounts"]),
-        }
-    return columns | {
-        "Min": or_default(point["min"], 0.0),
-        "Max": or_default(point["max"], 0.0),
-        "AggregationTemporality": temporality,
-    }
-
-
-_TEMPORAL = ("sum", "histogram", "exponential_histogram")
+_TEMPORALITY = {"AggregationTemporality": "coalesce(_temporality, 0)"}
+_EXTREMES = {"Min": "coalesce(_point.min, 0D)", "Max": "coalesce(_point.max, 0D)"}
+_TOTALS = {"Count": count64_sql("_point.count"), "Sum": "coalesce(_point.sum, 0D)"}
+
+# Table -> SQL of its columns beside the common ones. Unset fields get their zero value.
+VALUE_COLUMNS = {
+    "gauge": {"Value": number_value_sql("_point")},
+    "sum": {
+        "Value": number_value_sql("_point"),
+        **_TEMPORALITY,
+        "IsMonotonic": "coalesce(_monotonic, false)",
+    },
+    "histogram": {
+        **_TOTALS,
+        "BucketCounts": counts64_sql("_point.bucketCounts"),
+        "ExplicitBounds": "coalesce(_point.explicitBounds, cast(array() as array<double>))",
+        **_EXTREMES,
+        **_TEMPORALITY,
+    },
+    "exponential_histogram": {
+        **_TOTALS,
+        "Scale": "coalesce(_point.scale, 0)",
+        "ZeroCount": count64_sql("_point.zeroCount"),
+        "PositiveOffset": "coalesce(_point.positive.offset, 0)",
+        "PositiveBucketCounts": counts64_sql("_point.positive.bucketCounts"),
+        "NegativeOffset": "coalesce(_point.negative.offset, 0)",
+        "NegativeBucketCounts": counts64_sql("_point.negative.bucketCounts"),
+        **_EXTREMES,
+        **_TEMPORALITY,
+    },
+    "summary": {**_TOTALS, "ValueAtQuantiles": quantile_values_sql("_point.quantileValues")},
+}
+# Table -> SQL of the columns a point takes from its metric.
+_PARENT_COLUMNS = {
+    "gauge": [],
+    "sum": ["sum.aggregationTemporality as _temporality", "sum.isMonotonic as _monotonic"],
+    "histogram": ["histogram.aggregationTemporality as _temporality"],
+    "exponential_histogram": ["exponentialHistogram.aggregationTemporality as _temporality"],
+    "summary": [],
+}
 
 
 def candidate_points(flat: DataFrame, table: str) -> DataFrame:
@@ -77,51 +76,47 @@ def candidate_points(flat: DataFrame, table: str) -> DataFrame:
     """
     _, arm, _ = POINT_TABLES[table]
     metadata = [*RESOURCE_COLUMNS, *SCOPE_COLUMNS, *METRIC_COLUMNS, "MetricType"]
-    parent = []
-    if table in _TEMPORAL:
-        parent.append(F.col(f"{arm}.aggregationTemporality").alias("_temporality"))
-    if table == "sum":
-        parent.append(F.col(f"{arm}.isMonotonic").alias("_monotonic"))
-    point = F.col("_point")
-    exploded = route(flat, table).select(
-        *metadata, *parent, F.explode(f"{arm}.dataPoints").alias("_point")
+    exploded = route(flat, table).selectExpr(
+        *metadata, *_PARENT_COLUMNS[table], f"explode({arm}.dataPoints) as _point"
     )
-    typed = exploded.select(
+    typed = exploded.selectExpr(
         *metadata,
-        attribute_entries(point["attributes"]).alias("_entries"),
-        wrapped_int64(point["startTimeUnixNano"]).alias("StartTimeUnixNano"),
-        wrapped_int64(point["timeUnixNano"]).alias("TimeUnixNano"),
-        or_default(point["flags"], 0).alias("Flags"),
-        *[c.alias(name) for name, c in _value_columns(table, arm, point).items()],
+        f"{attribute_entries_sql('_point.attributes')} as _entries",
+        f"{wrapped_int64_sql('_point.startTimeUnixNano')} as StartTimeUnixNano",
+        f"{wrapped_int64_sql('_point.timeUnixNano')} as TimeUnixNano",
+        "coalesce(_point.flags, 0L) as Flags",
+        *[f"{sql} as {name}" for name, sql in VALUE_COLUMNS[table].items()],
     )
-    checked = "Value" if table in ("gauge", "sum") else "Sum"
-    key = canonical_key(
-        F.col("MetricName"),
-        F.col("MetricType"),
-        F.col("ResourceSchemaUrl"),
-        F.col("ScopeName"),
-        F.col("ScopeVersion"),
-        F.col("_resource_section"),
-        entries_section(F.col("_entries")),
+    key = canonical_key_sql(
+        "MetricName",
+        "MetricType",
+        "ResourceSchemaUrl",
+        "ScopeName",
+        "ScopeVersion",
+        "_resource_section",
+        entries_section_sql("_entries"),
     )
-    values = [c for c in column_names(POINTS[table]) if c in typed.columns]
-    return typed.select(
+    checked = "Value" if "Value" in VALUE_COLUMNS[table] else "Sum"
+    return typed.selectExpr(
         *[c for c in metadata if c != "_resource_section"],
-        entries_to_map(F.col("_entries")).alias("Attributes"),
-        key.alias("SeriesKey"),
-        *values,
-        point_reason(F.col("TimeUnixNano"), F.col(checked)).alias("reason"),
+        f"{entries_to_map_sql('_entries')} as Attributes",
+        f"{key} as SeriesKey",
+        "StartTimeUnixNano",
+        "TimeUnixNano",
+        "Flags",
+        *VALUE_COLUMNS[table],
+        f"{point_reason_sql('TimeUnixNano', checked)} as reason",
     )
 
 
 def identified(points: DataFrame) -> DataFrame:
     """Points with SeriesID and the derived time columns."""
-    return points.select(
-        series_id(F.col("SeriesKey")).alias("SeriesID"),
+    return points.selectExpr(
+        f"{series_id_sql('SeriesKey')} as SeriesID",
         "*",
-        nanos_to_timestamp(F.col("StartTimeUnixNano")).alias("StartTimeUnix"),
-        nanos_to_timestamp(F.col("TimeUnixNano")).alias("TimeUnix"),
-        nanos_to_date(F.col("TimeUnixNano")).alias("TimeDate"),
+        f"{nanos_to_timestamp_sql('StartTimeUnixNano')} as StartTimeUnix",
+        f"{nanos_to_timestamp_sql('TimeUnixNano')} as TimeUnix",
+        f"{nanos_to_date_sql('TimeUnixNano')} as TimeDate",
     )
 
 
@@ -162,28 +157,30 @@ def series_rows(points: DataFrame, ingest_time: datetime | Column) -> DataFrame:
     """
     stamp = ingest_time if isinstance(ingest_time, Column) else F.lit(ingest_time)
     seconds = F.date_trunc("second", stamp.cast("timestamp"))
-    return points.withColumns({"FirstSeen": seconds, "LastSeen": seconds}).select(
+    return points.withColumns({"FirstSeen": seconds, "LastSeen": seconds}).selectExpr(
         *column_names(SERIES)
     )
 
 
 def slim(points: DataFrame, table: str) -> DataFrame:
     """The stored columns of a point: no metadata, only SeriesID."""
-    return points.select(*column_names(POINTS[table]), "TimeDate")
+    return points.selectExpr(*column_names(POINTS[table]), "TimeDate")
 
 
-def map_series(
-    flat: DataFrame, ingest_time: datetime | Column, tables: Iterable[str] = tuple(POINT_TABLES)
-) -> DataFrame:
-    """Catalogue rows of the accepted points of several types."""
-    parts = [series_rows(map_points(flat, table), ingest_time) for table in tables]
+def union_rows(parts: Iterable[DataFrame]) -> DataFrame:
+    """All rows of frames with the same columns."""
     return reduce(DataFrame.unionByName, parts)
 
 
-def map_rejects(flat: DataFrame, tables: Iterable[str] = tuple(POINT_TABLES)) -> DataFrame:
-    """Rejects of all types, and one per nameless metric."""
-    parts = [validate(candidate_points(flat, table))[1] for table in tables]
-    return reduce(DataFrame.unionByName, parts, nameless_rejects(nameless_metrics(flat)))
+def map_series(points: Iterable[DataFrame], ingest_time: datetime | Column) -> DataFrame:
+    """Catalogue rows of the accepted points of several types."""
+    return union_rows(series_rows(p, ingest_time) for p in points)
+
+
+def map_rejects(flat: DataFrame, candidates: Iterable[DataFrame]) -> DataFrame:
+    """Rejects of the candidate points of several types, and one per nameless metric."""
+    failed = [validate(c)[1] for c in candidates]
+    return union_rows([nameless_rejects(nameless_metrics(flat)), *failed])
 
 
 def map_requests(requests: DataFrame, ingest_time: datetime | Column) -> dict[str, DataFrame]:
@@ -194,5 +191,10 @@ def map_requests(requests: DataFrame, ingest_time: datetime | Column) -> dict[st
     only the payload it needs.
     """
     flat = flatten_metrics(requests)
-    tables = {table: slim(map_points(flat, table), table) for table in POINT_TABLES}
-    return tables | {"series": map_series(flat, ingest_time), "rejects": map_rejects(flat)}
+    candidates = {table: candidate_points(flat, table) for table in POINT_TABLES}
+    points = {table: identified(accepted(c)) for table, c in candidates.items()}
+    return {
+        **{table: slim(p, table) for table, p in points.items()},
+        "series": map_series(points.values(), ingest_time),
+        "rejects": map_rejects(flat, candidates.values()),
+    }

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.numbers import is_finite
+from metricloom.functions.numbers import is_finite_sql
 from metricloom.schema import EMPTY_METRIC_NAME, INVALID_VALUE, ZERO_TIMESTAMP
 
 
-def point_reason(nanos: Column, checked_value: Column) -> Column:
-    """C2 then C3: the first failure of a point, NULL if it is valid."""
-    return F.when(nanos == 0, ZERO_TIMESTAMP).when(~is_finite(checked_value), INVALID_VALUE)
+def point_reason_sql(nanos: str, checked_value: str) -> str:
+    """SQL of C2 then C3: the first failure of a point, NULL if it is valid."""
+    return (
+        f"case when {nanos} = 0 then '{ZERO_TIMESTAMP}' "
+        f"when not {is_finite_sql(checked_value)} then '{INVALID_VALUE}' end"
+    )
 
 
 def reject_rows(failed: DataFrame) -> DataFrame:

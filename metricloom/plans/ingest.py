@@ -5,15 +5,20 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.operators.catalogue import new_series
-from metricloom.operators.flatten import flatten_metrics, nameless_metrics
-from metricloom.operators.mapping import candidate_points, map_points, series_rows, slim
-from metricloom.operators.validate import nameless_rejects, validate
+from metricloom.operators.flatten import flatten_metrics
+from metricloom.operators.mapping import (
+    candidate_points,
+    identified,
+    map_rejects,
+    map_series,
+    slim,
+)
+from metricloom.operators.validate import accepted
 from metricloom.schema import POINT_TABLES
 from metricloom.sources.requests import read_requests
 from metricloom.sources.tables import (
@@ -57,22 +62,21 @@ def write_batch(
     Every write counts its rows as it runs and is recorded in the ledger; a
     failed one ends the batch with an error, so that it is run again.
     """
-    tables = tuple(tables)
     steps: list[tuple[str, Callable[[Observation], None]]] = []
-    if tables:
+    candidates = {t: candidate_points(source((t,)), t) for t in tables}
+    points = {t: identified(accepted(c)) for t, c in candidates.items()}
+    if points:
         known = scan_series(spark, base, ["SeriesID"], before_batch=batch_id)
-        seen = [series_rows(map_points(source((t,)), t), ingest_time) for t in tables]
-        fresh = new_series(reduce(DataFrame.unionByName, seen), known)
+        fresh = new_series(map_series(points.values(), ingest_time), known)
         steps.append(("series", lambda o: write_series(fresh, base, batch_id, o)))
-    for table in tables:
-        points = slim(map_points(source((table,)), table), table)
+    for table, rows in points.items():
         steps.append(
-            (table, lambda o, p=points, t=table: write_points(p, t, base, batch_id, o))
+            (
+                table,
+                lambda o, r=slim(rows, table), t=table: write_points(r, t, base, batch_id, o),
+            )
         )
-    failed = [validate(candidate_points(source((t,)), t))[1] for t in tables]
-    rejects = reduce(
-        DataFrame.unionByName, failed, nameless_rejects(nameless_metrics(source(())))
-    )
+    rejects = map_rejects(source(()), candidates.values())
     steps.append(("rejects", lambda o: write_rejects(rejects, base, batch_id, o)))
 
     entries = []

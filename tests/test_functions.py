@@ -83,11 +83,8 @@ def key_of(name, kind, url, scope, version, resource, point):
             return F.create_map().cast("map<string,string>")
         return F.create_map(*[F.lit(x) for kv_ in m.items() for x in kv_])
 
-    return identity.canonical_key(
-        *[F.lit(x) for x in (name, kind, url, scope, version)],
-        identity.map_section(literal_map(resource)),
-        identity.map_section(literal_map(point)),
-    )
+    scalars = [F.lit(x) for x in (name, kind, url, scope, version)]
+    return identity.canonical_key(*scalars, literal_map(resource), literal_map(point))
 
 
 PINNED = (
