@@ -51,13 +51,17 @@ def _counted(rows: DataFrame, observation: Observation | None) -> DataFrame:
     return rows.observe(observation, F.count(F.lit(1)).alias("rows"))
 
 
+def _rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
+    """Shuffle by ``columns`` and SeriesID range, in partitions of even size."""
+    ranged = rows.withColumn("_range", F.shiftright("SeriesID", 64 - SERIES_RANGE_BITS))
+    return ranged.hint("rebalance", *columns, "_range").drop("_range")
+
+
 def write_series(
     series: DataFrame, base: str, batch_id: int, observation: Observation | None = None
 ) -> None:
     """H1: catalogue rows of one batch, sorted by SeriesID within files."""
-    laid_out = series.hint(
-        "rebalance", F.shiftright("SeriesID", 64 - SERIES_RANGE_BITS)
-    ).sortWithinPartitions("SeriesID")
+    laid_out = _rebalanced(series).sortWithinPartitions("SeriesID")
     (
         _counted(laid_out, observation)
         .write.mode("overwrite")
@@ -73,9 +77,9 @@ def clustered(points: DataFrame) -> DataFrame:
     task and splits large ones, so neither a busy day nor a single hot series
     ends up in one task.
     """
-    return points.hint(
-        "rebalance", F.col("TimeDate"), F.shiftright("SeriesID", 64 - SERIES_RANGE_BITS)
-    ).sortWithinPartitions("TimeDate", "SeriesID", "TimeUnixNano")
+    return _rebalanced(points, "TimeDate").sortWithinPartitions(
+        "TimeDate", "SeriesID", "TimeUnixNano"
+    )
 
 
 def write_points(
