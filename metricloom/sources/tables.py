@@ -34,7 +34,8 @@ _PARQUET = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 
 def _bloom(*columns: str) -> dict[str, str]:
     """Writer options for bloom filters on some columns."""
-    options = {}
+    # Adaptive filters are sized by the distinct values seen, not one megabyte each.
+    options = {"parquet.bloom.filter.adaptive.enabled": "true"}
     for column in columns:
         options[f"parquet.bloom.filter.enabled#{column}"] = "true"
         options[f"parquet.bloom.filter.fpp#{column}"] = BLOOM_FPP
@@ -89,7 +90,7 @@ def write_points(
     (
         _counted(clustered(points), observation)
         .write.mode("overwrite")
-        .options(**_PARQUET, **_bloom("SeriesID"))
+        .options(**_PARQUET)
         .partitionBy("TimeDate")
         .parquet(f"{base}/{table}/batch_id={batch_id}")
     )
@@ -211,7 +212,7 @@ def write_attribute_index(series: DataFrame, base: str) -> None:
         .repartitionByRange("scope", "key", "value", "SeriesID")
         .sortWithinPartitions("scope", "key", "value", "SeriesID")
         .write.mode("overwrite")
-        .options(**_PARQUET, **_bloom("value"))
+        .options(**_PARQUET)
         .partitionBy("scope")
         .parquet(f"{base}/attribute_index")
     )

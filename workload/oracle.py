@@ -24,6 +24,13 @@ _EV_KEY = _key(
     ["'host.name=h' || (user_id % 3)", "'service.name=svc-' || (user_id % 7)"],
     ["'k=' || regexp_extract(props, '\"k\": *(-?[0-9]+)', 1)"],
 )
+
+
+def _folded(date: str) -> str:
+    number = f"date_diff('day', DATE '1970-01-01', CAST({date} AS DATE))"
+    return f"(19723 + {number} % 30) * 86400000000000 + ({number} // 30) * 60000000000"
+
+
 EV = f"""ev AS (
   SELECT event_id, 'events.' || event_type AS metric, 'svc-' || (user_id % 7) AS svc,
     'h' || (user_id % 3) AS host, 't' || (user_id % 2) AS team,
@@ -37,7 +44,7 @@ _LI_KEY = _key(
 )
 LI = f"""li AS (
   SELECT 'supp-' || (l_suppkey % 5) AS svc, l_returnflag AS rf, l_linestatus AS ls,
-    epoch_us(l_shipdate) * 1000 AS nanos, l_shipdate, l_quantity AS value,
+    {_folded('l_shipdate')} AS nanos, l_shipdate, l_quantity AS value,
     day(l_shipdate) % 2 AS part, {_LI_KEY} AS key
   FROM lineitem)"""
 _HI_KEY = _key(
@@ -45,7 +52,7 @@ _HI_KEY = _key(
     ["'priority=' || o_orderpriority"],
 )
 HI = f"""hi AS (
-  SELECT o_orderpriority AS pri, o_orderdate AS d, epoch_us(o_orderdate) * 1000 AS nanos,
+  SELECT o_orderpriority AS pri, o_orderdate AS d, {_folded('o_orderdate')} AS nanos,
     day(o_orderdate) % 2 AS part, {_HI_KEY} AS key, count(*) AS n,
     CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS total,
     min(o_totalprice) AS low, max(o_totalprice) AS high,
@@ -63,7 +70,7 @@ _EX_BUCKETS = " || ',' || ".join(
     f"count(*) FILTER (l_quantity > {2**i} AND l_quantity <= {2 ** (i + 1)})" for i in range(6)
 )
 EX = f"""ex AS (
-  SELECT l_returnflag AS rf, l_shipdate AS d, epoch_us(l_shipdate) * 1000 AS nanos,
+  SELECT l_returnflag AS rf, l_shipdate AS d, {_folded('l_shipdate')} AS nanos,
     day(l_shipdate) % 2 AS part, {_EX_KEY} AS key, count(*) AS n,
     CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS total,
     count(*) FILTER (l_quantity <= 1) AS zeros, {_EX_BUCKETS} AS buckets
@@ -72,7 +79,7 @@ _SU_KEY = _key(
     "'orders.price.summary'", "Summary", "orders", ["'service.name=orders'"], ["'priority=' || pri"]
 )
 SU = f"""su AS (
-  SELECT pri, m, epoch_us(m) * 1000 AS nanos, month(m) % 2 AS part, {_SU_KEY} AS key,
+  SELECT pri, m, {_folded('m')} AS nanos, month(m) % 2 AS part, {_SU_KEY} AS key,
     count(*) AS n, CAST(sum(cents) AS DOUBLE) / 100 AS total, min(price) AS low, max(price) AS high
   FROM (SELECT o_orderpriority AS pri, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m,
           CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_totalprice AS price FROM orders)
@@ -393,9 +400,8 @@ ORACLE: dict[str, str] = {
           UNION SELECT 'orders.price.summary', o_orderpriority, 'priority', o_orderpriority FROM orders)
         SELECT m AS "MetricName", 'key' AS part, a AS text, count(*) AS series FROM kv GROUP BY m, a
         UNION ALL SELECT m, 'value', v, count(*) FROM kv GROUP BY m, v""",
-    "k11_unix_nanos": """SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day,
-        min(epoch_us(l_shipdate) * 1000) AS first, max(epoch_us(l_shipdate) * 1000) AS last
-        FROM lineitem GROUP BY 1""",
+    "k11_unix_nanos": f"""WITH {LI} SELECT {_DAY}, min(nanos) AS first, max(nanos) AS last
+        FROM li GROUP BY 1""",
     "k12_or_default": f"""WITH {EX} SELECT nanos, n AS count, true AS unset, CAST(0 AS DOUBLE) AS min,
         0 AS negative_offset FROM ex""",
 }
