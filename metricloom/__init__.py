@@ -57,6 +57,7 @@ from metricloom.sources.requests import (
 )
 from metricloom.sources.tables import (
     create_tables,
+    merge_points,
     optimize_series,
     scan_attribute_index,
     scan_points,

@@ -5,6 +5,7 @@ Layout under one base path, all Parquet::
     series/batch_id=N/                     catalogue rows of one write
     series_snapshot/upto=N/                compacted catalogue of batches <= N
     <point table>/batch_id=N/TimeDate=D/   points of one write, by UTC day
+    <point table>_merged/upto=N/TimeDate=D/   larger files of several earlier writes
     rejects/batch_id=N/   ledger/batch_id=N/
     attribute_index/scope=S/
 
@@ -118,24 +119,51 @@ def append_ledger(
 
 def create_tables(spark: SparkSession, base: str) -> None:
     """H8: make the tables, series first; tables that exist keep their rows."""
-    schemas = {"series": SERIES, "series_snapshot": SERIES}
-    schemas |= {table: f"{ddl}, TimeDate DATE" for table, ddl in POINTS.items()}
-    schemas |= {"rejects": REJECTS, "ledger": LEDGER, "attribute_index": ATTRIBUTE_INDEX}
-    for table, ddl in schemas.items():
-        # An empty partitioned append makes the directory and no data file.
-        empty = spark.createDataFrame([], f"{ddl}, _part INT")
-        empty.write.mode("append").partitionBy("_part").parquet(f"{base}/{table}")
+    for table in ("series", "series_snapshot", *POINTS, "rejects", "ledger", "attribute_index"):
+        folder, files = _folder(spark, f"{base}/{table}")
+        files.mkdirs(folder)
 
 
 # ---------------------------------------------------------------- readers
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its Hadoop file system, whatever storage it is on."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """Numbers N of the folders ``path/upto=N`` whose write was committed."""
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
+        return []
+    numbers = []
+    for status in files.listStatus(folder):
+        inner = status.getPath()
+        done = spark._jvm.org.apache.hadoop.fs.Path(inner, "_SUCCESS")
+        if inner.getName().startswith("upto=") and files.exists(done):
+            numbers.append(int(inner.getName().removeprefix("upto=")))
+    return sorted(numbers)
+
+
 def scan_points(spark: SparkSession, base: str, table: str) -> DataFrame:
-    """Points of one type. The batch id is a directory, not a column of the result."""
-    rows = spark.read.schema(f"{POINTS[table]}, batch_id BIGINT, TimeDate DATE").parquet(
-        f"{base}/{table}"
+    """Points of one type, from merged files and from the batches after them.
+
+    Folder numbers are not columns of the result.
+    """
+    schema = f"{POINTS[table]}, TimeDate DATE"
+    batches = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(f"{base}/{table}")
+    merged = committed(spark, f"{base}/{table}_merged")
+    if not merged:
+        return batches.drop("batch_id")
+    large = (
+        spark.read.schema(f"{schema}, upto BIGINT")
+        .parquet(f"{base}/{table}_merged")
+        .filter(F.col("upto").isin(merged))
     )
-    return rows.drop("batch_id")
+    rest = batches.filter(F.col("batch_id") > merged[-1])
+    return large.drop("upto").unionByName(rest.drop("batch_id"))
 
 
 def scan_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -144,13 +172,6 @@ def scan_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
     return spark.read.schema(f"{ddl}, batch_id BIGINT").parquet(f"{base}/{table}")
 
 
-def latest_snapshot(spark: SparkSession, base: str) -> int | None:
-    """Batch id up to which the newest snapshot of the catalogue reaches."""
-    files = spark.read.schema(f"{SERIES}, upto BIGINT").parquet(f"{base}/series_snapshot").inputFiles()
-    reached = {int(part[5:]) for f in files for part in f.split("/") if part.startswith("upto=")}
-    return max(reached, default=None)
-
-
 def scan_series(
     spark: SparkSession,
     base: str,
@@ -166,8 +187,13 @@ def scan_series(
     rows = spark.read.schema(f"{SERIES}, batch_id BIGINT").parquet(f"{base}/series")
     if before_batch is not None:
         rows = rows.filter(F.col("batch_id") < before_batch)
-    upto = latest_snapshot(spark, base)
-    if upto is not None and (before_batch is None or upto < before_batch):
+    snapshots = [
+        upto
+        for upto in committed(spark, f"{base}/series_snapshot")
+        if before_batch is None or upto < before_batch
+    ]
+    if snapshots:
+        upto = snapshots[-1]
         snapshot = spark.read.schema(SERIES).parquet(f"{base}/series_snapshot/upto={upto}")
         rows = snapshot.withColumn("batch_id", F.lit(upto).cast("bigint")).unionByName(
             rows.filter(F.col("batch_id") > upto)
@@ -201,6 +227,30 @@ def optimize_series(
     )
 
 
+def merge_points(spark: SparkSession, base: str, table: str, upto: int) -> None:
+    """H7: rewrite the points of finished batches <= ``upto`` into few large files.
+
+    Streaming leaves small files, one set per micro-batch. Only batches after
+    the previous merge are rewritten, into a folder of their own that readers
+    take up once it is committed. The folders of merged batches are no longer
+    read and may be removed.
+    """
+    merged = committed(spark, f"{base}/{table}_merged")
+    batches = spark.read.schema(f"{POINTS[table]}, batch_id BIGINT, TimeDate DATE").parquet(
+        f"{base}/{table}"
+    )
+    rows = batches.filter(
+        (F.col("batch_id") <= upto) & (F.col("batch_id") > (merged[-1] if merged else -1))
+    )
+    (
+        clustered(rows.drop("batch_id"))
+        .write.mode("overwrite")
+        .options(**_PARQUET)
+        .partitionBy("TimeDate")
+        .parquet(f"{base}/{table}_merged/upto={upto}")
+    )
+
+
 def write_attribute_index(series: DataFrame, base: str) -> None:
     """Store the attribute index of compacted series, by scope, sorted by key and value.
 

@@ -342,6 +342,7 @@ ORACLE: dict[str, str] = {
     "h6_write_summary": _stored("summary"),
     "h7_physical_layout": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS folder, count(*) AS points,
         CAST(0 AS BIGINT) AS misplaced FROM events GROUP BY 1""",
+    "h7_merge_points": _stored("gauge"),
     "h8_create_tables": _ROWS,
     "h9_empty_batch": f"""WITH {RJ} SELECT 'rejects' AS "table", count(*) AS rows FROM rj
         WHERE reason IS NOT NULL AND NOT nameless""",

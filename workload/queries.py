@@ -601,6 +601,18 @@ def h7_physical_layout(spark, sf_dir):
     )
 
 
+@query
+def h7_merge_points(spark, sf_dir):
+    """Two batches merged into one set of files hold the same points."""
+    base = scratch_path(spark, "merge")
+    points = ml.slim(_gauges(spark, sf_dir), "gauge")
+    for batch_id in (0, 1):
+        half = points.filter(F.col("Flags") == batch_id)
+        ml.write_points(half, "gauge", base, batch_id)
+    ml.merge_points(spark, base, "gauge", upto=1)
+    return ml.scan_points(spark, base, "gauge").selectExpr(*_values("gauge"))
+
+
 def _row_counts(spark, base):
     frames = {t: ml.scan_points(spark, base, t) for t in POINT_TABLES}
     frames["series"] = ml.compact_series(ml.scan_series(spark, base))
