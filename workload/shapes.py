@@ -26,7 +26,14 @@ _KINDS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A provided table, on at least one task per core.
+
+    A small table is one row group and so one task. A large one has enough
+    splits of its own and is left as it is.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def any_value(kind: str | None, sql: str = "null") -> str:
