@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +18,7 @@ from metricloom.operators.flatten import (
     RESOURCE_COLUMNS,
     SCOPE_COLUMNS,
     flatten_metrics,
+    named_metrics,
     nameless_metrics,
     route,
 )
@@ -68,6 +67,34 @@ _PARENT_COLUMNS = {
 }
 
 
+_METADATA = [*RESOURCE_COLUMNS, *SCOPE_COLUMNS, *METRIC_COLUMNS, "MetricType"]
+
+
+def _checked(table: str) -> str:
+    """Name of the value whose finiteness is checked."""
+    return "Value" if "Value" in VALUE_COLUMNS[table] else "Sum"
+
+
+def _keyed(points: DataFrame, columns: list[str], checked: str) -> DataFrame:
+    """Points with attribute map, canonical key and reject reason beside ``columns``."""
+    key = canonical_key_sql(
+        "MetricName",
+        "MetricType",
+        "ResourceSchemaUrl",
+        "ScopeName",
+        "ScopeVersion",
+        "_resource_section",
+        entries_section_sql("_entries"),
+    )
+    return points.selectExpr(
+        *[c for c in _METADATA if c != "_resource_section"],
+        f"{entries_to_map_sql('_entries')} as Attributes",
+        f"{key} as SeriesKey",
+        *columns,
+        f"{point_reason_sql('TimeUnixNano', checked)} as reason",
+    )
+
+
 def candidate_points(flat: DataFrame, table: str) -> DataFrame:
     """Every point of one type, valid or not, with its ``reason``.
 
@@ -75,44 +102,58 @@ def candidate_points(flat: DataFrame, table: str) -> DataFrame:
     caller that selects a few of them pays for those only.
     """
     _, arm, _ = POINT_TABLES[table]
-    metadata = [*RESOURCE_COLUMNS, *SCOPE_COLUMNS, *METRIC_COLUMNS, "MetricType"]
     exploded = route(flat, table).selectExpr(
-        *metadata, *_PARENT_COLUMNS[table], f"explode({arm}.dataPoints) as _point"
+        *_METADATA, *_PARENT_COLUMNS[table], f"explode({arm}.dataPoints) as _point"
     )
     typed = exploded.selectExpr(
-        *metadata,
+        *_METADATA,
         f"{attribute_entries_sql('_point.attributes')} as _entries",
         f"{wrapped_int64_sql('_point.startTimeUnixNano')} as StartTimeUnixNano",
         f"{wrapped_int64_sql('_point.timeUnixNano')} as TimeUnixNano",
         "coalesce(_point.flags, 0L) as Flags",
         *[f"{sql} as {name}" for name, sql in VALUE_COLUMNS[table].items()],
     )
-    key = canonical_key_sql(
-        "MetricName",
-        "MetricType",
-        "ResourceSchemaUrl",
-        "ScopeName",
-        "ScopeVersion",
-        "_resource_section",
-        entries_section_sql("_entries"),
+    columns = ["StartTimeUnixNano", "TimeUnixNano", "Flags", *VALUE_COLUMNS[table]]
+    return _keyed(typed, columns, _checked(table))
+
+
+def point_heads(flat: DataFrame) -> DataFrame:
+    """Every point of all types in one pass, as far as series and rejects need it.
+
+    Same metadata, key, time and ``reason`` as ``candidate_points``, without
+    the columns that differ by type.
+    """
+    arrays = []
+    for table, (metric_type, arm, _) in POINT_TABLES.items():
+        if arm in flat.columns:
+            checked = VALUE_COLUMNS[table][_checked(table)].replace("_point.", "p.")
+            head = (
+                f"struct('{metric_type}' as type, p.attributes as attributes, "
+                f"p.timeUnixNano as nanos, {checked} as checked)"
+            )
+            arrays.append(f"coalesce(transform({arm}.dataPoints, p -> {head}), array())")
+    metadata = [c for c in _METADATA if c != "MetricType"]
+    heads = named_metrics(flat).selectExpr(
+        *metadata, f"explode(concat({', '.join(arrays)})) as _head"
     )
-    checked = "Value" if "Value" in VALUE_COLUMNS[table] else "Sum"
-    return typed.selectExpr(
-        *[c for c in metadata if c != "_resource_section"],
-        f"{entries_to_map_sql('_entries')} as Attributes",
-        f"{key} as SeriesKey",
-        "StartTimeUnixNano",
-        "TimeUnixNano",
-        "Flags",
-        *VALUE_COLUMNS[table],
-        f"{point_reason_sql('TimeUnixNano', checked)} as reason",
+    typed = heads.selectExpr(
+        *metadata,
+        "_head.type as MetricType",
+        f"{attribute_entries_sql('_head.attributes')} as _entries",
+        f"{wrapped_int64_sql('_head.nanos')} as TimeUnixNano",
+        "_head.checked as _checked",
     )
+    return _keyed(typed, ["TimeUnixNano"], "_checked")
+
+
+def with_series_id(points: DataFrame) -> DataFrame:
+    """Points with the fingerprint of their key."""
+    return points.selectExpr(f"{series_id_sql('SeriesKey')} as SeriesID", "*")
 
 
 def identified(points: DataFrame) -> DataFrame:
     """Points with SeriesID and the derived time columns."""
-    return points.selectExpr(
-        f"{series_id_sql('SeriesKey')} as SeriesID",
+    return with_series_id(points).selectExpr(
         "*",
         f"{nanos_to_timestamp_sql('StartTimeUnixNano')} as StartTimeUnix",
         f"{nanos_to_timestamp_sql('TimeUnixNano')} as TimeUnix",
@@ -167,34 +208,27 @@ def slim(points: DataFrame, table: str) -> DataFrame:
     return points.selectExpr(*column_names(POINTS[table]), "TimeDate")
 
 
-def union_rows(parts: Iterable[DataFrame]) -> DataFrame:
-    """All rows of frames with the same columns."""
-    return reduce(DataFrame.unionByName, parts)
-
-
-def map_series(points: Iterable[DataFrame], ingest_time: datetime | Column) -> DataFrame:
-    """Catalogue rows of the accepted points of several types."""
-    return union_rows(series_rows(p, ingest_time) for p in points)
+def map_series(flat: DataFrame, ingest_time: datetime | Column) -> DataFrame:
+    """B8 for all types: one catalogue row per accepted point."""
+    return series_rows(with_series_id(accepted(point_heads(flat))), ingest_time)
 
 
-def map_rejects(flat: DataFrame, candidates: Iterable[DataFrame]) -> DataFrame:
-    """Rejects of the candidate points of several types, and one per nameless metric."""
-    failed = [validate(c)[1] for c in candidates]
-    return union_rows([nameless_rejects(nameless_metrics(flat)), *failed])
+def map_rejects(flat: DataFrame) -> DataFrame:
+    """C4 for all types: rejected points, and one reject per nameless metric."""
+    rejects = validate(point_heads(flat))[1]
+    return rejects.unionByName(nameless_rejects(nameless_metrics(flat)))
 
 
 def map_requests(requests: DataFrame, ingest_time: datetime | Column) -> dict[str, DataFrame]:
     """Requests to the five point tables, the series rows and the rejects.
 
     The branches share the flattening. When ``requests`` is a small batch,
-    persist it first; over a large Parquet input leave it, so each branch reads
-    only the payload it needs.
+    persist it first; over a large Parquet input use ``ingest_files``, where
+    each branch reads only the payload it needs.
     """
     flat = flatten_metrics(requests)
-    candidates = {table: candidate_points(flat, table) for table in POINT_TABLES}
-    points = {table: identified(accepted(c)) for table, c in candidates.items()}
     return {
-        **{table: slim(p, table) for table, p in points.items()},
-        "series": map_series(points.values(), ingest_time),
-        "rejects": map_rejects(flat, candidates.values()),
+        **{table: slim(map_points(flat, table), table) for table in POINT_TABLES},
+        "series": map_series(flat, ingest_time),
+        "rejects": map_rejects(flat),
     }

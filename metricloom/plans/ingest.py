@@ -10,15 +10,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.operators.catalogue import new_series
-from metricloom.operators.flatten import flatten_metrics
-from metricloom.operators.mapping import (
-    candidate_points,
-    identified,
-    map_rejects,
-    map_series,
-    slim,
-)
-from metricloom.operators.validate import accepted
+from metricloom.operators.flatten import flatten_metrics, nameless_metrics
+from metricloom.operators.mapping import map_points, map_series, point_heads, slim
+from metricloom.operators.validate import nameless_rejects, validate
 from metricloom.schema import POINT_TABLES
 from metricloom.sources.requests import read_requests
 from metricloom.sources.tables import (
@@ -62,21 +56,19 @@ def write_batch(
     Every write counts its rows as it runs and is recorded in the ledger; a
     failed one ends the batch with an error, so that it is run again.
     """
+    tables = tuple(tables)
     steps: list[tuple[str, Callable[[Observation], None]]] = []
-    candidates = {t: candidate_points(source((t,)), t) for t in tables}
-    points = {t: identified(accepted(c)) for t, c in candidates.items()}
-    if points:
+    flat = source(tables)
+    if tables:
         known = scan_series(spark, base, ["SeriesID"], before_batch=batch_id)
-        fresh = new_series(map_series(points.values(), ingest_time), known)
+        fresh = new_series(map_series(flat, ingest_time), known)
         steps.append(("series", lambda o: write_series(fresh, base, batch_id, o)))
-    for table, rows in points.items():
-        steps.append(
-            (
-                table,
-                lambda o, r=slim(rows, table), t=table: write_points(r, t, base, batch_id, o),
-            )
-        )
-    rejects = map_rejects(source(()), candidates.values())
+    for table in tables:
+        rows = slim(map_points(source((table,)), table), table)
+        steps.append((table, lambda o, r=rows, t=table: write_points(r, t, base, batch_id, o)))
+    nameless = nameless_rejects(nameless_metrics(source(())))
+    failed = validate(point_heads(flat))[1] if tables else nameless.filter("false")
+    rejects = failed.unionByName(nameless)
     steps.append(("rejects", lambda o: write_rejects(rejects, base, batch_id, o)))
 
     entries = []
@@ -109,8 +101,8 @@ def ingest_files(
 ) -> list[tuple[str, int, int, str | None]]:
     """Store a large batch of request files.
 
-    Nothing is cached: each table reads the files with a schema narrowed to its
-    own payload. Convert JSON with ``land_requests`` first if it is large, since
+    Nothing is cached: each point table reads the files with a schema narrowed
+    to its own payload, series and rejects read them once for all types. Convert JSON with ``land_requests`` first if it is large, since
     every pass over JSON parses all of it.
     """
     create_tables(spark, base)
