@@ -16,17 +16,21 @@ ATTRIBUTE_SCOPES = {
 
 
 def distinct_series(series: DataFrame) -> DataFrame:
-    """One row per SeriesID, any of its rows. Combines before the shuffle."""
+    """One row per SeriesID, any of its rows. Combines before the shuffle.
+
+    Rows of one series may differ in the metadata that is not part of the
+    identity; where the survivor must not depend on chance, use ``compact_series``.
+    """
     return series.dropDuplicates(["SeriesID"])
 
 
 def new_series(series: DataFrame, catalogue: DataFrame) -> DataFrame:
     """One row per SeriesID that the stored catalogue does not hold.
 
-    The rows are reduced to one per series first, so the anti-join shuffles
-    series, not points.
+    The rows are compacted to one per series first, so the anti-join shuffles
+    series, not points, and a replay finds the same rows again.
     """
-    return distinct_series(series).join(catalogue.select("SeriesID"), "SeriesID", "left_anti")
+    return compact_series(series).join(catalogue.select("SeriesID"), "SeriesID", "left_anti")
 
 
 def compact_series(series: DataFrame, keep_first_seen: bool = False) -> DataFrame:

@@ -33,7 +33,7 @@ def _folded(date: str) -> str:
 
 EV = f"""ev AS (
   SELECT event_id, 'events.' || event_type AS metric, 'svc-' || (user_id % 7) AS svc,
-    'h' || (user_id % 3) AS host, 't' || (user_id % 2) AS team,
+    'h' || (user_id % 3) AS host, 't' || (user_id % 7 % 2) AS team,
     regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS k,
     epoch_us(ts) * 1000 AS nanos, value, event_id % 2 AS flags, event_id % 2 AS part, ts,
     {_EV_KEY} AS key

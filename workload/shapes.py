@@ -149,7 +149,7 @@ def gauge_requests(events: DataFrame, description: str = "'shaped from a table'"
             _EVENT_RESOURCE,
             "events",
             metric("concat('events.', event_type)", description=description, gauge=gauge(point)),
-            scope_attributes=attributes(attribute("team", "concat('t', user_id % 2)")),
+            scope_attributes=attributes(attribute("team", "concat('t', user_id % 7 % 2)")),
         )
     )
 
