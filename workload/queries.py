@@ -19,7 +19,7 @@ from metricloom.functions import attributes as attr
 from metricloom.functions import common, identity, numbers, quantiles, times
 from metricloom.operators.flatten import named_metrics, nameless_metrics
 from metricloom.operators.mapping import identified
-from metricloom.operators.validate import accepted, nameless_rejects
+from metricloom.operators.validate import nameless_rejects
 from metricloom.plans.ingest import ingest_files
 from metricloom.schema import POINT_TABLES
 from metricloom.session import scratch_path
