@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 # The others repeat whole ingest runs; check.py covers them.
@@ -24,13 +26,14 @@ def connection():
 
 
 def test_every_query_has_an_answer():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - SLOW))
 def test_query(spark, connection, key):
     state, _, _, detail = compare(
-        spark, connection, SF_DIR, key, entry.queries()[key], entry.oracle_sql()[key]
+        spark, connection, SF_DIR, key, QUERIES[key], ORACLE[key]
     )
     assert state == "match", detail
 
