@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL answers, by key."""
 
-from metricloom.llm import simhash
+from metricloom.llm import repeats, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op9_suffix_array": repeats.op9_suffix_array,
 }
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,65 @@
+"""op9: removed bytes against a table of every 200-byte string."""
+
+import random
+from collections import Counter
+
+from metricloom.llm.repeats import without_repeats
+
+DOCS = "doc_id long, text string, spans string, key_id int, kept int"
+
+
+def brute(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    out = []
+    for (doc, _), t in zip(rows, texts, strict=True):
+        gone = [False] * len(t)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = [True] * 200
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((doc, len(t), sum(gone), spans, kept))
+    return sorted(out, key=repr)
+
+
+def found(spark, rows):
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], DOCS)
+    return sorted(
+        [(r[0], r[1], r[2], r[3], bytes(r[4])) for r in without_repeats(docs).collect()], key=repr
+    )
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(n))
+
+
+def test_removed_bytes_equal_brute_force(spark):
+    rng = random.Random(11)
+    shared = [prose(rng, n) for n in (30, 45, 60, 120, 400)]
+    exact = shared[4].encode()[:200].decode(errors="ignore")
+    texts = [
+        prose(rng, rng.randint(0, 200)) + rng.choice(shared) + prose(rng, rng.randint(0, 200))
+        for _ in range(40)
+    ]
+    texts += [shared[3], shared[3], shared[3] + " " + shared[3], shared[4][50:]]
+    texts += [exact + prose(rng, 20), prose(rng, 20) + exact[:-1], exact]
+    texts += ["a" * 199, "b" * 200, "c" * 201, "d" * 15000, "ef" * 300, "xyz" * 66 + "xy"]
+    texts += [prose(rng, 50) + "line of notice, repeated\n" * 30, None, "", "", "short", "short"]
+    texts += [shared[0], shared[1], shared[2]] * 3
+    rows = list(enumerate(texts)) + [(None, shared[2]), (None, None), (3, texts[3]), (7, "other")]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_text_longer_than_a_block(spark):
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcdefgh ", k=600_000))
+    rows = [(1, long + long[1000:1300]), (2, long[262_000:262_400]), (3, prose(rng, 300))]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_nothing_repeats_and_empty_table(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 100)) for i in range(5)]
+    assert found(spark, rows) == brute(rows)
+    assert found(spark, []) == []
