@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL answers, by key."""
 
-from metricloom.llm import repeats, simhash
+from metricloom.llm import bpe, packing, repeats, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op8_packing": packing.op8_packing,
     "op9_suffix_array": repeats.op9_suffix_array,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLE: dict[str, str] = {}
