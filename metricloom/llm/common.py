@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     frame.write.parquet(path)
+    # Shuffle files of the write go once the driver collects what refers to them.
+    spark._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -41,10 +47,22 @@ def dropped(frame: DataFrame) -> None:
         files.delete(folder, True)
 
 
+@lru_cache(maxsize=2)
+def _ship(application: str) -> None:
+    """Give executors this package, which the driver may have found by a path of its own."""
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in package.rglob("*.py"):
+            out.write(file, file.relative_to(package.parent))
+    SparkSession.active().sparkContext.addPyFile(str(archive))
+
+
 def map_batches(
     frame: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, so a run of long texts fits in memory."""
+    _ship(frame.sparkSession.sparkContext.applicationId)
     conf = frame.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return frame.mapInArrow(step, schema)

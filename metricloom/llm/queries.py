@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL answers, by key."""
 
-from metricloom.llm import bpe, packing, repeats, simhash
+from metricloom.llm import bpe, packing, repeats, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_suffix_array": repeats.op9_suffix_array,
     "op10_bpe": bpe.op10_bpe,
