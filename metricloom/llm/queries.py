@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL answers, by key."""
 
-from metricloom.llm import bpe, packing, pii, repeats, simhash, toxicity
+from metricloom.llm import bpe, packing, pii, repeats, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_crf": pii.op5_crf,
+    "op6_two_pass": sharding.op6_two_pass,
     "op8_packing": packing.op8_packing,
     "op9_suffix_array": repeats.op9_suffix_array,
     "op10_bpe": bpe.op10_bpe,
