@@ -1,14 +1,15 @@
 """The queries of this subpackage and their SQL answers, by key."""
 
-from metricloom.llm import bpe, packing, pii, repeats, sharding, simhash, toxicity
+from metricloom.llm import bpe, packing, pii, quality, repeats, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_cascade": quality.op3_cascade,
     "op5_crf": pii.op5_crf,
     "op6_two_pass": sharding.op6_two_pass,
     "op8_packing": packing.op8_packing,
     "op9_suffix_array": repeats.op9_suffix_array,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_cascade": quality.OP3_SQL}
