@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL answers, by key."""
 
-from metricloom.llm import bpe, packing, pii, quality, repeats, sharding, simhash, toxicity
+from metricloom.llm import bpe, packing, pii, quality, repeats, sharding, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_cascade": quality.op3_cascade,
     "op5_crf": pii.op5_crf,
     "op6_two_pass": sharding.op6_two_pass,
+    "op7_pq": vectors.op7_pq,
     "op8_packing": packing.op8_packing,
     "op9_suffix_array": repeats.op9_suffix_array,
     "op10_bpe": bpe.op10_bpe,
