@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL answers, by key."""
 
-from metricloom.llm import bpe, packing, pii, quality, repeats, sharding, simhash, toxicity, vectors
+from metricloom.llm import bpe, chats, packing, pii, quality, repeats, sharding, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_cascade": quality.op3_cascade,
+    "op4_quotes": chats.op4_quotes,
     "op5_crf": pii.op5_crf,
     "op6_two_pass": sharding.op6_two_pass,
     "op7_pq": vectors.op7_pq,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_suffix_array": repeats.op9_suffix_array,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE: dict[str, str] = {"op3_cascade": quality.OP3_SQL}
+ORACLE: dict[str, str] = {"op3_cascade": quality.OP3_SQL, "op4_quotes": chats.OP4_SQL}
