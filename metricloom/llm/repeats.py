@@ -16,6 +16,8 @@ TRIGGER = 64
 # Suffixes worked on at a time; bounds the memory of a long text and of a phrase.
 BLOCK = 1 << 18
 PHRASE = 1 << 12
+# Different phrases of one trigger that are sorted in one task.
+HOT = 64
 
 _TRIGGERS = LENGTH - TRIGGER + 1
 # Odd constants of no meaning: bases of the two polynomial hashes, and a mixer.
@@ -143,53 +145,154 @@ def _parsed(base: DataFrame) -> DataFrame:
     )
 
 
-def _suffixes(phrases: DataFrame) -> DataFrame:
-    """(keys, start, single, trigger, suffix): the suffixes of dictionary phrases.
+def _phrase_bytes(texts: DataFrame) -> DataFrame:
+    """Cut the phrases of a list, (start, count, single, trigger, hot), out of each text."""
 
-    ``phrases`` has a text and the list of (start, count, single, trigger) of the
-    phrases to take from it. ``suffix`` is the hash of the first LENGTH bytes.
+    def step(batches):
+        for batch in batches:
+            own, found = [], []
+            for i, (text, phrases) in enumerate(
+                zip(utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True)
+            ):
+                own += [i] * len(phrases)
+                found += [
+                    (p, text[p["start"] : p["start"] + p["count"] + LENGTH - 1]) for p in phrases
+                ]
+            own = pa.array(own, pa.int64())
+            yield rows(
+                key_id=batch.column(0).take(own),
+                key_text=batch.column(1).take(own),
+                start=pa.array([p["start"] for p, _ in found], pa.int64()),
+                single=pa.array([p["single"] for p, _ in found], pa.bool_()),
+                trigger=pa.array([p["trigger"] for p, _ in found], pa.int64()),
+                hot=pa.array([p["hot"] for p, _ in found], pa.bool_()),
+                phrase=pa.array([b for _, b in found], pa.binary()),
+            )
+
+    return map_batches(
+        texts,
+        step,
+        "key_id bigint, key_text bigint, start bigint, single boolean, trigger bigint,"
+        " hot boolean, phrase binary",
+    )
+
+
+def _runs(own: np.ndarray) -> list[tuple[int, int]]:
+    """[first, last] of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
+
+
+def _repeated_in(phrases: list[bytes]) -> list[np.ndarray]:
+    """For each phrase, which of its suffixes stand elsewhere in these phrases.
+
+    The suffix array of the phrases by their first LENGTH bytes: equal
+    neighbours in that order share at least LENGTH bytes.
     """
+    windows = np.concatenate(
+        [np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, np.uint8), LENGTH) for p in phrases]
+    )
+    suffixes = np.ascontiguousarray(windows).view(f"S{LENGTH}").ravel()
+    order = np.argsort(suffixes)
+    same = suffixes[order[1:]] == suffixes[order[:-1]]
+    repeated = np.zeros(len(order), bool)
+    repeated[order[1:][same]] = True
+    repeated[order[:-1][same]] = True
+    return np.split(repeated, np.cumsum([len(p) - LENGTH + 1 for p in phrases])[:-1])
+
+
+_SPANS = "key_id bigint, key_text bigint, start bigint, end bigint"
+
+
+def _sorted_groups(phrases: DataFrame) -> DataFrame:
+    """Spans of repeated suffixes among the phrases of each trigger, at most HOT suffixes."""
+
+    def step(batches):
+        group: list[dict] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if group and row["trigger"] != group[0]["trigger"]:
+                    out += spans_of(group)
+                    group = []
+                group.append(row)
+            yield batch_of(out)
+        if group:
+            yield batch_of(spans_of(group))
+
+    def spans_of(group):
+        for row, repeated in zip(group, _repeated_in([r["phrase"] for r in group]), strict=True):
+            if row["single"]:
+                for a, b in _runs(repeated):
+                    yield row["key_id"], row["key_text"], row["start"] + a, row["start"] + b + LENGTH
+
+    def batch_of(out):
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        names = ("key_id", "key_text", "start", "end")
+        return rows(**{n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
+
+    dealt = phrases.repartition("trigger").sortWithinPartitions("trigger")
+    return map_batches(dealt, step, _SPANS)
+
+
+def _hashed_suffixes(phrases: DataFrame) -> DataFrame:
+    """(keys, start, single, trigger, suffix): each suffix of each phrase as a hash."""
 
     def step(batches):
-        parts, held = [], 0
         for batch in batches:
-            texts, lists = utf8(batch.column(2)), batch.column(3).to_pylist()
-            keys = batch.column(0), batch.column(1)
-            for i, (text, phrases) in enumerate(zip(texts, lists, strict=True)):
-                for p in phrases:
-                    at, n = p["start"], p["count"]
-                    data = np.frombuffer(text, np.uint8, n + LENGTH - 1, at)
-                    hashes = _every(_prefix_sums(data, _BASES[1]), _BASES[1], LENGTH)
-                    parts.append((np.full(n, i), at + np.arange(n), hashes, p))
-                    held += n
-                    if held >= BLOCK:
-                        yield out(parts, *keys)
-                        parts, held = [], 0
+            parts, held = [], 0
+            for i, phrase in enumerate(batch.column(5).to_pylist()):
+                data = np.frombuffer(phrase, np.uint8)
+                parts.append((i, _every(_prefix_sums(data, _BASES[1]), _BASES[1], LENGTH)))
+                held += len(data)
+                if held >= BLOCK:
+                    yield out(parts, batch)
+                    parts, held = [], 0
             if parts:
-                yield out(parts, *keys)
-                parts, held = [], 0
+                yield out(parts, batch)
 
-    def out(parts, ids, texts):
-        own = pa.array(np.concatenate([p[0] for p in parts]))
-        lengths = [len(p[0]) for p in parts]
+    def out(parts, batch):
+        own = pa.array(np.concatenate([np.full(len(h), i) for i, h in parts]))
+        offset = np.concatenate([np.arange(len(h)) for _, h in parts])
         return rows(
-            key_id=ids.take(own),
-            key_text=texts.take(own),
-            start=np.concatenate([p[1] for p in parts]),
-            single=np.repeat(np.array([p[3]["single"] for p in parts], bool), lengths),
-            trigger=np.repeat(np.array([p[3]["trigger"] for p in parts], np.int64), lengths),
-            suffix=signed(np.concatenate([p[2] for p in parts])),
+            key_id=batch.column(0).take(own),
+            key_text=batch.column(1).take(own),
+            start=batch.column(2).take(own).to_numpy() + offset,
+            single=batch.column(3).take(own),
+            trigger=batch.column(4).take(own),
+            suffix=signed(np.concatenate([h for _, h in parts])),
         )
 
     return map_batches(
-        phrases,
+        phrases.select(*_KEYS, "start", "single", "trigger", "phrase"),
         step,
         "key_id bigint, key_text bigint, start bigint, single boolean, trigger bigint,"
         " suffix bigint",
     )
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _hashed_groups(phrases: DataFrame) -> DataFrame:
+    """The same spans for triggers of any number of suffixes, by counting equal ones."""
+    suffixes = stored(_hashed_suffixes(phrases), "suffixes")
+    equal = (
+        suffixes.groupBy("trigger", "suffix")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select(F.col("trigger").alias("_trigger"), F.col("suffix").alias("_suffix"))
+        .hint("rebalance")
+    )
+    return (
+        suffixes.filter("single")
+        .join(
+            equal,
+            (F.col("trigger") == F.col("_trigger")) & (F.col("suffix") == F.col("_suffix")),
+            "left_semi",
+        )
+        .select(*_KEYS, "start", (F.col("start") + LENGTH).alias("end"))
+    )
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
     """Texts with a key that equal rows share: equal texts have equal spans anyway."""
     id_, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
@@ -197,6 +300,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(text).alias("key_text"),
         id_.alias("doc_id"),
         text.alias("text"),
+        *others,
     )
 
 
@@ -209,9 +313,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of any suffix of the corpus lie in one phrase, and its place in the order
     of the corpus, as far as LENGTH bytes tell, is that of the suffix of the
     dictionary phrase. A phrase that occurs twice has all its suffixes twice.
-    What is left are different phrases of one trigger: their suffixes are
-    brought into order by (trigger, hash of LENGTH bytes), two independent 64-bit
-    hashes, where equal neighbours are the repeated strings.
+    What is left are different phrases of one trigger. Equal strings have equal
+    triggers, so the suffix array of the dictionary falls into one part per
+    trigger: each part is sorted on its own, and equal neighbours are the
+    repeated strings. A trigger whose phrases have more than HOT suffixes (a passage
+    between many different texts) isn't gathered in one task; its suffixes are
+    counted by (trigger, hash of LENGTH bytes), two independent 64-bit hashes.
     """
     base = _keyed(docs, id_col, text_col)
     parsed = _parsed(base)
@@ -239,26 +346,35 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("trigger", "content", "n", "first.*"),
         "dictionary",
     )
-    phrases = dictionary.groupBy(*_KEYS).agg(
-        F.collect_list(
-            F.struct("start", "count", (F.col("n") == 1).alias("single"), "trigger")
-        ).alias("phrases")
+    hot = stored(
+        dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HOT),
+        "hot",
+    ).select(F.col("trigger").alias("_hot"))
+    lists = (
+        dictionary.join(hot, dictionary["trigger"] == hot["_hot"], "left")
+        .groupBy(*_KEYS)
+        .agg(
+            F.collect_list(
+                F.struct(
+                    "start",
+                    "count",
+                    (F.col("n") == 1).alias("single"),
+                    "trigger",
+                    F.col("_hot").isNotNull().alias("hot"),
+                )
+            ).alias("phrases")
+        )
     )
-    # Rows that repeat a key hold the same text; one of them gives the suffixes.
-    texts = base.select(*_KEYS, "text").join(phrases.hint("rebalance"), list(_KEYS))
-    texts = texts.groupBy(*_KEYS).agg(F.first("text").alias("text"), F.first("phrases").alias("phrases"))
-    suffixes = stored(_suffixes(texts), "suffixes")
-    equal = (
-        suffixes.groupBy("trigger", "suffix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select(F.col("trigger").alias("_trigger"), F.col("suffix").alias("_suffix"))
-        .hint("rebalance")
+    # Rows that repeat a key hold the same text; one of them gives the phrases.
+    texts = (
+        base.select(*_KEYS, "text")
+        .join(lists.hint("rebalance"), list(_KEYS))
+        .dropDuplicates(list(_KEYS))
+        .select(*_KEYS, "text", "phrases")
     )
-    single = suffixes.filter("single").join(
-        equal,
-        (F.col("trigger") == F.col("_trigger")) & (F.col("suffix") == F.col("_suffix")),
-        "left_semi",
+    phrases = stored(_phrase_bytes(texts), "phrases")
+    partly = _sorted_groups(phrases.filter("not hot").drop("hot")).unionByName(
+        _hashed_groups(phrases.filter("hot"))
     )
     # Occurrences of a phrase that is there twice: by its own count in the dictionary.
     twice = dictionary.filter("n > 1").select(
@@ -273,7 +389,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     spans = whole.select(
         *_KEYS, "start", (F.col("start") + F.col("count") + (LENGTH - 1)).alias("end")
-    ).unionByName(single.select(*_KEYS, "start", (F.col("start") + LENGTH).alias("end")))
+    ).unionByName(partly)
     return spans.groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+from metricloom.llm import repeats
 from metricloom.llm.repeats import without_repeats
 
 DOCS = "doc_id long, text string, spans string, key_id int, kept int"
@@ -51,6 +52,16 @@ def test_removed_bytes_equal_brute_force(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_hot_triggers_give_the_same_spans(spark, monkeypatch):
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, 30) + passage + prose(rng, 30)) for i in range(90)]
+    rows += [(100 + i, passage * 2) for i in range(3)] + [(200, "ab" * 400), (201, "ab" * 300)]
+    assert found(spark, rows) == brute(rows)
+    monkeypatch.setattr(repeats, "HOT", 1)
+    assert found(spark, rows) == brute(rows)
+
+
 def test_text_longer_than_a_block(spark):
     rng = random.Random(12)
     long = "".join(rng.choices("abcdefgh ", k=600_000))
