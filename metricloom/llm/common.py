@@ -11,6 +11,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from metricloom.session import scratch_path
 
@@ -59,7 +61,9 @@ def _ship(application: str) -> None:
 
 
 def map_batches(
-    frame: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    frame: DataFrame,
+    step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str | StructType,
 ) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, so a run of long texts fits in memory."""
     _ship(frame.sparkSession.sparkContext.applicationId)
@@ -68,6 +72,13 @@ def map_batches(
     return frame.mapInArrow(step, schema)
 
 
+def with_length(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, as the length of the text; null for a null text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import map_batches, rows, table
+from metricloom.llm.common import map_batches, rows, table, with_length
 
 # The kinds in the order in which ties are listed, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -453,9 +453,3 @@ def redacted(docs: DataFrame) -> DataFrame:
             yield batch.set_column(text, field, pa.array(new, field.type))
 
     return with_length(map_batches(docs, step, docs.schema))
-
-
-def with_length(docs: DataFrame) -> DataFrame:
-    """``n_chars`` as the length of the text; null for a null text."""
-    length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return docs.withColumn("n_chars", length) if "n_chars" in docs.columns else docs

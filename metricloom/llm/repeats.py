@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from metricloom.llm.common import map_batches, rows, signed, stored, table, utf8
+from metricloom.llm.common import map_batches, rows, signed, stored, table, utf8, with_length
 
 # Fixed value: the shortest string that counts as repeated.
 LENGTH = 200
@@ -439,6 +440,32 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def documents_without_repeats(docs: DataFrame) -> DataFrame:
+    """The columns of documents, each text without repeated strings; see ``without_repeats``.
+
+    Bytes of characters that a cut leaves incomplete go too. A row stays even if its
+    text becomes empty; a null text stays null. ``n_chars`` follows the new text.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    keyed = _keyed(docs.select(row, F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_id", "_text", "row")
+    spans = repeated_spans(docs)
+    joined = keyed.join(spans.hint("rebalance"), list(_KEYS), "left").select("row", "text", "spans")
+
+    def step(batches):
+        for batch in batches:
+            pairs = zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True)
+            kept = [_cut(t, s)[0].decode(errors="ignore") for t, s in pairs]
+            yield rows(row=batch.column(0), text=pa.array(kept, pa.string()))
+
+    out = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])
+    found = map_batches(joined, step, out)
+    fields = [
+        F.when(F.col("row.text").isNotNull(), F.col("text")).alias("text") if c == "text" else F.col("row")[c].alias(c)
+        for c in docs.columns
+    ]
+    return with_length(found.select(*fields))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps once strings of 200 bytes that repeat are gone."""
     found = without_repeats(table(spark, sf_dir, "documents"))

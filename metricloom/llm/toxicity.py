@@ -16,13 +16,16 @@ ORDER = 5
 DISCOUNT = 0.75
 # Labelled rows to learn from, at most; which ones is decided by a hash of the id.
 TRAINING_ROWS = 30_000
-# Counts are kept in tables of fixed size: this bounds what is broadcast.
-TABLE_BITS = 20
+# Counts are kept in tables of fixed size by order of the expression: this bounds
+# what is broadcast (some 15 MB), whatever the corpus.
+TABLE_BITS = {5: 20, 4: 18, 3: 16, 2: 14, 1: 12, 0: 1}
 # Words whose score a worker remembers, and words scored at a time.
 CACHE = 1 << 18
 WORDS = 1 << 15
 # Labelled rows of this remainder are held out, of that one fit the calibration.
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
+# Score from which a text is predicted to be toxic.
+TOXIC = 0.5
 
 # A character takes 12 bits of an expression's code; the marks of a word's ends are 1 and 2.
 _BITS = 12
@@ -51,19 +54,15 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[inside], np.cumsum(lengths) - lengths
 
 
-def _bucket(codes: np.ndarray) -> np.ndarray:
+def _bucket(codes: np.ndarray, order: int) -> np.ndarray:
     mixed = (codes & _HALF) * _LOW + (codes >> 30) * _HIGH
-    return (mixed >> 30) & ((1 << TABLE_BITS) - 1)
+    return (mixed >> 30) & ((1 << TABLE_BITS[order]) - 1)
 
 
 def _mask(order: int) -> int:
     return (1 << _BITS * order) - 1
 
 
-def _suffix(codes, order: int):
-    return codes & _mask(order)
-
-
 @dataclass
 class Model:
     """Counts by bucket; log-likelihood ratios of words; calibration of a text's features.
@@ -79,14 +78,14 @@ class Model:
     weights: np.ndarray | None = None
 
     @staticmethod
-    def _step(counts, codes, backoff: np.ndarray) -> np.ndarray:
+    def _step(counts, codes, order: int, backoff: np.ndarray) -> np.ndarray:
         """Interpolated Kneser-Ney; where the context is unknown, the backoff itself."""
         count, context, kinds = counts
-        before = _bucket(codes >> _BITS)
+        before = _bucket(codes >> _BITS, order - 1)
         total = context[before]
         known = total > 0
         safe = np.where(known, total, 1)
-        high = np.maximum(count[_bucket(codes)] - DISCOUNT, 0) / safe
+        high = np.maximum(count[_bucket(codes, order)] - DISCOUNT, 0) / safe
         return np.where(known, high + DISCOUNT * kinds[before] / safe * backoff, backoff)
 
     def ratios(self, words: list[str]) -> np.ndarray:
@@ -94,9 +93,11 @@ class Model:
         codes, firsts = _codes(words)
         backoff = np.full(len(codes), 1 / self.kinds)
         for k in range(1, ORDER):
-            backoff = self._step(self.shared[k], _suffix(codes, k), backoff)
-        ordinary, toxic = (self._step(own, codes, backoff) for own in self.own)
-        return np.add.reduceat(np.log(toxic) - np.log(ordinary), firsts)
+            backoff = self._step(self.shared[k], codes & _mask(k), k, backoff)
+        ordinary, toxic = (self._step(own, codes, ORDER, backoff) for own in self.own)
+        # What neither class has shown says nothing, not that the class with fewer texts is likelier.
+        known = sum(own[0][_bucket(codes, ORDER)] for own in self.own) > 0
+        return np.add.reduceat(np.where(known, np.log(toxic) - np.log(ordinary), 0.0), firsts)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -109,7 +110,7 @@ def _scaled(features: np.ndarray) -> np.ndarray:
     return np.stack([features[:, 0] * 4, features[:, 1] / 8], 1)
 
 
-def _texts_to_words(text: str | None) -> list[str]:
+def _words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
@@ -127,7 +128,7 @@ def _gathered(labelled: DataFrame) -> DataFrame:
             for text, toxic in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
             ):
-                own = _texts_to_words(text)
+                own = _words(text)
                 fresh.update(own)
                 if toxic is not None:
                     counts = words[toxic]
@@ -152,67 +153,70 @@ def _gathered(labelled: DataFrame) -> DataFrame:
     return raw.groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def _table(counts: DataFrame, *values: str) -> list[np.ndarray]:
+def _table(counts: DataFrame, order: int, *values: str) -> list[np.ndarray]:
     """Sums of values by bucket of ``code``, in arrays of the fixed size."""
     mixed = f"(code & {_HALF}L) * {_LOW}L + shiftright(code, 30) * {_HIGH}L"
-    bucket = F.expr(f"CAST(shiftright({mixed}, 30) & {(1 << TABLE_BITS) - 1}L AS INT)")
+    bucket = F.expr(f"CAST(shiftright({mixed}, 30) & {(1 << TABLE_BITS[order]) - 1}L AS INT)")
     found = counts.groupBy(bucket.alias("bucket")).agg(*[F.sum(v).alias(v) for v in values])
     found = found.toArrow()  # at most one row per bucket
     out = []
     for value in values:
-        array = np.zeros(1 << TABLE_BITS, np.float32)
+        array = np.zeros(1 << TABLE_BITS[order], np.float32)
         array[found.column("bucket").to_numpy()] = found.column(value).to_numpy()
         out.append(array)
     return out
 
 
-def _tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    (own,) = _table(counts, "n")
+def _tables(counts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (own,) = _table(counts, order, "n")
     contexts = counts.select(F.expr(f"shiftright(code, {_BITS})").alias("code"), "n").groupBy("code")
     context, kinds = _table(
-        contexts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")), "n", "kinds"
+        contexts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")),
+        order - 1,
+        "n",
+        "kinds",
     )
     return own, context, kinds
 
 
 def _model(grams: DataFrame) -> Model:
-    own = [_tables(grams.filter(F.col("kind") == kind).select("code", "n")) for kind in (0, 1)]
+    own = [_tables(grams.filter(F.col("kind") == kind).select("code", "n"), ORDER) for kind in (0, 1)]
     shared, level = {}, grams.filter("kind = 2").select("code")
     for k in range(ORDER - 1, 0, -1):
         # How many different characters stand before an expression of k characters.
         level = level.groupBy(F.expr(f"code & {_mask(k)}L").alias("code")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        shared[k] = _tables(level)
+        shared[k] = _tables(level, k)
         level = level.select("code")
     return Model(own, shared, int((shared[1][0] > 0).sum()) + 1)
 
 
-def _features(docs: DataFrame, model, schema: str, finish) -> DataFrame:
-    """Score texts word by word; ``finish`` makes a batch of the features of its texts.
+class _Features:
+    """Features of texts, word by word; remembers the words it has seen.
 
-    Features of a text: its log-likelihood ratio over its number of words, and
-    that of its most toxic expression alone, so that a long text does not hide it.
+    A text's log-likelihood ratio over its number of words, and that of its most toxic
+    expression alone, so that a long text does not hide it.
     """
 
-    def step(batches):
-        seen: dict[str, float] = {}
-        for batch in batches:
-            texts = [_texts_to_words(t) for t in batch.column(1).to_pylist()]
-            if len(seen) > CACHE:
-                seen.clear()
-            new = list(set().union(*texts).difference(seen))
-            for at in range(0, len(new), WORDS):
-                part = new[at : at + WORDS]
-                seen.update(zip(part, model.value.ratios(part).tolist(), strict=True))
-            features = np.zeros((len(texts), 2))
-            for i, words in enumerate(texts):
-                if words:
-                    values = np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
-                    features[i] = values.mean(), values.max()
-            yield finish(batch, features, model.value)
-
-    return map_batches(docs, step, schema)
+    def __init__(self, model: Model):
+        self.model = model
+        self.seen: dict[str, float] = {}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        seen, words = self.seen, [_words(t) for t in texts]
+        if len(seen) > CACHE:
+            seen.clear()
+        new = list(set().union(*words).difference(seen))
+        for at in range(0, len(new), WORDS):
+            part = new[at : at + WORDS]
+            seen.update(zip(part, self.model.ratios(part).tolist(), strict=True))
+        features = np.zeros((len(texts), 2))
+        for i, own in enumerate(words):
+            if own:
+                values = np.fromiter(map(seen.__getitem__, own), np.float64, len(own))
+                features[i] = values.mean(), values.max()
+        return features
 
 
 def _fitted(features: np.ndarray, toxic: np.ndarray) -> np.ndarray | None:
@@ -234,25 +238,19 @@ def _remainder(doc_id):
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS
 
 
-def scores(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``.
-
-    Two Kneser-Ney models, of toxic and of ordinary texts, give the characters
-    of each word a likelihood from the four before them; both back off to one
-    model of the whole corpus, so that an expression neither has seen counts
-    alike. The ratio of the likelihoods, over the number of words and for the
-    strongest expression, is calibrated by logistic regression.
+def trained(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
+    """The models of both classes, their shared backoff and the calibration.
 
     Learned from at most ``training_rows`` rows of ``labels`` whose crc32 of the id, modulo
     5, is not 0 (4: the calibration, the rest: the models); of several labels of an id the
-    highest counts, rows with a null are skipped. Null and empty texts have no words
-    and ratio 0. Where the rows do not show both classes, all scores are 0. Repeated rows and rows without
-    an id each give a row (held_out false without one); an empty table gives none; other columns are not looked at.
+    highest counts, rows with a null are skipped. The backoff is counted over all of ``docs``.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = (
-        labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+        labels.select(
+            F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("toxic")
+        )
         .filter("_id IS NOT NULL AND toxic IN (0, 1)")
         .filter(_remainder("_id") != HELD_OUT)
         .groupBy("_id")
@@ -266,28 +264,50 @@ def scores(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROW
     model = _model(stored(_gathered(labelled), "expressions"))
 
     fit = F.broadcast(chosen.filter(_remainder("_id") == CALIBRATION))
-    own = base.join(fit, base["doc_id"] == fit["_id"]).select("doc_id", "text", "toxic")
+    own = base.join(fit, base["doc_id"] == fit["_id"]).select("text", "toxic")
 
-    def as_features(batch, features, _):
-        return rows(mean=features[:, 0].copy(), high=features[:, 1].copy(), toxic=batch.column(2))
+    def step(batches):
+        featured = _Features(shipped.value)
+        for batch in batches:
+            features = featured(batch.column(0).to_pylist())
+            yield rows(mean=features[:, 0].copy(), high=features[:, 1].copy(), toxic=batch.column(1))
 
     shipped = spark.sparkContext.broadcast(model)
-    found = _features(own, shipped, "mean double, high double, toxic int", as_features).toArrow()
+    found = map_batches(own, step, "mean double, high double, toxic int").toArrow()
     pairs = np.column_stack([found.column("mean").to_numpy(), found.column("high").to_numpy()])
     model.weights = _fitted(pairs, found.column("toxic").to_numpy().astype(float))
     shipped.unpersist()
+    return model
 
-    def as_scores(batch, features, model):
-        return rows(doc_id=batch.column(0), score=pa.array(model.score(features)))
 
-    scored = _features(
-        base, spark.sparkContext.broadcast(model), "doc_id bigint, score double", as_scores
-    )
+def scores(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs``.
+
+    Two Kneser-Ney models, of toxic and of ordinary texts, give the characters
+    of each word a likelihood from the four before them; both back off to one
+    model of the whole corpus, so that an expression neither has seen counts
+    alike. The ratio of the likelihoods, over the number of words and for the
+    strongest expression, is calibrated by logistic regression (see ``trained``).
+
+    Null and empty texts have no words and ratio 0. Where the labels do not show both
+    classes, all scores are 0. Repeated rows and rows without an id each give a row (held_out
+    false without one); an empty table gives none; other columns are not looked at.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, training_rows))
+
+    def step(batches):
+        featured = _Features(shipped.value)
+        for batch in batches:
+            found = shipped.value.score(featured(batch.column(1).to_pylist()))
+            yield rows(doc_id=batch.column(0), score=pa.array(found))
+
+    base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    scored = map_batches(base, step, "doc_id bigint, score double")
     return scored.select(
         "doc_id",
         F.coalesce(_remainder("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
-        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"),
     )
 
 
@@ -297,9 +317,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordinary_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted to be toxic, with all their columns.
+    """The rows that are not predicted to be toxic, with all their columns; see ``scores``.
 
-    Rows with an id go by the scores of their id (any toxic row of it); rows without one stay.
+    Each row goes by its own text; nothing is shuffled.
     """
-    toxic = scores(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_toxic"))
-    return docs.join(toxic, docs["doc_id"] == toxic["_toxic"], "left_anti")
+    shipped = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
+    text = docs.columns.index("text")
+
+    def step(batches):
+        featured = _Features(shipped.value)
+        for batch in batches:
+            found = shipped.value.score(featured(batch.column(text).to_pylist()))
+            yield batch.filter(pa.array(found < TOXIC))
+
+    return map_batches(docs, step, docs.schema)

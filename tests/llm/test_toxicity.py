@@ -1,0 +1,147 @@
+"""op2: Kneser-Ney against a plain version, held-out accuracy, and edge cases."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+
+from metricloom.llm import toxicity as t
+
+DOCS = "doc_id long, text string, score double, toxic string"
+LABELS = "doc_id long, quality int, toxic int, text string"
+
+
+def corpus(n, seed=1):
+    rng = random.Random(seed)
+    mild = [f"{a}{b}" for a in ("ta", "re", "mi", "so") for b in ("la", "ne", "ko", "du", "va")]
+    rude = ["grzok", "grzokar", "gexxit", "gexxitos"]
+    docs, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        words = rng.choices(mild, k=rng.randint(5, 60))
+        if toxic:
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(len(words))] = rng.choice(rude)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    return docs, labels
+
+
+def frames(spark, docs, labels):
+    return (
+        spark.createDataFrame([(*d, 0.0, "x") for d in docs], DOCS),
+        spark.createDataFrame([(*x, "y") for x in labels], LABELS),
+    )
+
+
+def plain_ratios(docs, classes, words):
+    """The same models with dictionaries of strings."""
+    n, d = t.ORDER, t.DISCOUNT
+
+    def grams(word):
+        s = "\x01" * (n - 1) + word + "\x02"
+        return [s[i : i + n] for i in range(len(s) - n + 1)]
+
+    level = {g for text in docs for w in text.lower().split() for g in grams(w)}
+    shared = {}
+    for k in range(n - 1, 0, -1):
+        shared[k] = Counter(g[1:] for g in level)
+        level = set(shared[k])
+    kinds = len(shared[1]) + 1
+
+    def table(counts):
+        total, types = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            types[g[:-1]] += 1
+        return counts, total, types
+
+    tables = {k: table(c) for k, c in shared.items()}
+    own = []
+    for texts in classes:
+        own.append(table(Counter(g for text in texts for w in text.lower().split() for g in grams(w))))
+
+    def step(tab, g, backoff):
+        counts, total, types = tab
+        if not total[g[:-1]]:
+            return backoff
+        return max(counts[g] - d, 0) / total[g[:-1]] + d * types[g[:-1]] / total[g[:-1]] * backoff
+
+    out = []
+    for w in words:
+        ratio = 0.0
+        for g in grams(w):
+            p = 1 / kinds
+            for k in range(1, n):
+                p = step(tables[k], g[n - k :], p)
+            if not (own[0][0][g] or own[1][0][g]):
+                continue
+            ratio += math.log(step(own[1], g, p)) - math.log(step(own[0], g, p))
+        out.append(ratio)
+    return out
+
+
+def test_ratios_equal_a_plain_version(spark):
+    docs, labels = corpus(120)
+    model = t.trained(*frames(spark, docs, labels))
+    import zlib
+
+    def fold(i):
+        return zlib.crc32(str(i).encode()) % 5
+
+    classes = [
+        [text for (i, text), x in zip(docs, labels, strict=True) if x[2] == c and fold(i) in (1, 2, 3)]
+        for c in (0, 1)
+    ]
+    words = ["grzok", "grzokarr", "tala", "unseen", "é", "x" * 40, "gexxit"]
+    plain = plain_ratios([text for _, text in docs], classes, words)
+    assert np.allclose(model.ratios(words), plain, atol=1e-3)
+
+
+def test_held_out_rows(spark):
+    docs, labels = corpus(400)
+    found = {r.doc_id: r for r in t.scores(*frames(spark, docs, labels)).collect()}
+    held = [x for x in labels if found[x[0]].held_out]
+    assert len(found) == 400 and 40 < len(held) < 120
+    assert sum(found[i].predicted == toxic for i, _, toxic in held) >= 0.97 * len(held)
+    assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in found.values())
+
+
+def test_labels_of_held_out_rows_are_not_used(spark):
+    docs, labels = corpus(200)
+    import zlib
+
+    flipped = [
+        (i, q, 1 - x if zlib.crc32(str(i).encode()) % 5 == 0 else x) for i, q, x in labels
+    ]
+    one, two = (
+        sorted((r.doc_id, r.score) for r in t.scores(*frames(spark, docs, own)).collect())
+        for own in (labels, flipped)
+    )
+    assert one == two
+
+
+def test_edges(spark):
+    docs, labels = corpus(100)
+    docs += [(1000, None), (1001, ""), (1002, " \n"), (None, "grzok gexxit"), (1003, "z" * 100_000)]
+    docs += [docs[0]] * 2
+    labels += [(None, 1, 1), (5, None, None), (5, 1, 0), (9999, 1, 1)]
+    found = t.scores(*frames(spark, docs, labels)).collect()
+    assert len(found) == len(docs) and all(0 <= r.score <= 1 for r in found)
+    assert all(r.predicted == 0 for r in found if r.doc_id in (1000, 1001, 1002))
+    assert [(r.predicted, r.held_out) for r in found if r.doc_id is None] == [(1, False)]
+    kept = t.ordinary_documents(*frames(spark, docs, labels))
+    assert kept.columns == ["doc_id", "text", "score", "toxic"]
+    toxic = {r.doc_id for r in found if r.predicted}
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(
+        repr(d[0]) for d in docs if d[0] not in toxic
+    )
+
+
+def test_empty_tables_and_one_class(spark):
+    docs, labels = corpus(40)
+    assert t.scores(*frames(spark, [], labels)).count() == 0
+    for own in ([], [x for x in labels if x[2] == 0]):
+        rows = t.scores(*frames(spark, docs, own)).collect()
+        assert len(rows) == 40 and all(r.score == 0 and r.predicted == 0 for r in rows)
