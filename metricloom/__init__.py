@@ -54,11 +54,13 @@ from metricloom.sources.requests import (
     read_requests,
     stream_kafka_requests,
     stream_requests,
+    unreadable_rejects,
 )
 from metricloom.sources.tables import (
     create_tables,
     merge_points,
     optimize_series,
+    remove_superseded,
     scan_attribute_index,
     scan_points,
     scan_rows,

@@ -26,7 +26,10 @@ def or_default(value: Column, default: object) -> Column:
 
 
 def wrapped_int64(value: Column) -> Column:
-    """Unsigned 64-bit text or number as the signed integer with the same bits."""
+    """Unsigned 64-bit text or number as the signed integer with the same bits; unset is 0.
+
+    Used for times and counts; ``unsigned_text`` reads the bits back.
+    """
     return apply_sql(value, "n", wrapped_int64_sql("n"))
 
 
@@ -39,23 +42,11 @@ def wrapped_int64_sql(n: str) -> str:
     )
 
 
-def count64(value: Column) -> Column:
-    """A count as BIGINT; unset is 0, and a value that does not fit is an error."""
-    return apply_sql(value, "n", count64_sql("n"))
-
-
-def count64_sql(n: str) -> str:
-    """SQL of ``count64``."""
-    return (
-        f"coalesce(try_cast({n} as bigint), if({n} is null, 0L, "
-        f"cast(raise_error(concat('count does not fit 63 bits: ', {n})) as bigint)))"
-    )
-
-
 def counts64_sql(values: str) -> str:
-    """SQL of an array of counts, unset as the empty array."""
+    """SQL of an array of counts as ``wrapped_int64``, unset as the empty array."""
     return (
-        f"coalesce(transform({values}, c -> {count64_sql('c')}), cast(array() as array<bigint>))"
+        f"coalesce(transform({values}, c -> {wrapped_int64_sql('c')}), "
+        "cast(array() as array<bigint>))"
     )
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from metricloom.functions.common import apply_sql, let
 
 
 def number_value(point: Column) -> Column:
     """K8: the double if set, else the integer as a double, else 0."""
-    return apply_sql(point, "p", number_value_sql("p"))
+    whole = point["asInt"].try_cast("bigint").cast("double")
+    return F.coalesce(point["asDouble"], whole, F.lit(0.0))
 
 
 def number_value_sql(point: str) -> str:
@@ -21,7 +23,7 @@ def number_value_sql(point: str) -> str:
 
 def is_finite(value: Column) -> Column:
     """K9: neither NaN nor an infinity."""
-    return apply_sql(value, "x", is_finite_sql("x"))
+    return ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
 
 
 def is_finite_sql(x: str) -> str:
@@ -48,6 +50,10 @@ def double_to_g_sql(x: str) -> str:
     )
 
 
+# How many digits to try without, each rounded to both sides.
+_DROPPED = ", ".join(f"{k}, {k}" for k in range(8, 0, -1))
+
+
 def _shortest_sql(magnitude: str) -> str:
     """Struct of significant digits and decimal exponent of a positive double."""
     # Digits and exponent as the JVM prints them, such as 1.234E-5.
@@ -61,20 +67,27 @@ def _shortest_sql(magnitude: str) -> str:
             "+ if(contains(t, 'E'), cast(substring_index(t, 'E', -1) as int), 0) as power)",
         ),
     )
+    # Between 2**53 and 2**63 a double is an integer, whose digits are exact.
+    exact = (
+        f"struct(cast(cast({magnitude} as bigint) as string) as padded, "
+        f"length(cast(cast({magnitude} as bigint) as string)) - 1 as power)"
+    )
+    printed = f"if({magnitude} >= 9.1e15 and {magnitude} < 9.2e18, {exact}, {printed})"
     trimmed = let(
         "p",
         printed,
         "struct(trim(both '0' from p.padded) as digits, "
         "p.power - length(p.padded) + length(trim(leading '0' from p.padded)) as exponent)",
     )
-    # At the ends of its range the JVM may print a few digits more than needed.
+    # From 16 digits on, and at the low end of its range, the JVM may print a few
+    # digits more than needed.
     # Take the shortest prefix, rounded to the nearer side first, that reads back equal.
     number = (
         "cast(substr(d.digits, 1, length(d.digits) - k) as bigint) "
         "+ if((i % 2 = 0) = (substr(d.digits, length(d.digits) - k + 1, 1) >= '5'), 1, 0)"
     )
     candidates = (
-        "transform(filter(array(3, 3, 2, 2, 1, 1), k -> k < length(d.digits)), (k, i) -> "
+        f"transform(filter(array({_DROPPED}), k -> k < length(d.digits)), (k, i) -> "
         f"struct(cast({number} as string) as number, length(d.digits) - k as kept))"
     )
     equal = (
@@ -87,7 +100,7 @@ def _shortest_sql(magnitude: str) -> str:
         "if(c is null, d, struct(trim(trailing '0' from c.number) as digits, "
         "d.exponent + length(c.number) - c.kept as exponent))",
     )
-    return let("d", trimmed, f"if(length(d.digits) >= 17 or {magnitude} < 1e-300, {shortened}, d)")
+    return let("d", trimmed, f"if(length(d.digits) >= 16 or {magnitude} < 1e-300, {shortened}, d)")
 
 
 _LAYOUT = (

@@ -27,10 +27,15 @@ def distinct_series(series: DataFrame) -> DataFrame:
 def new_series(series: DataFrame, catalogue: DataFrame) -> DataFrame:
     """One row per SeriesID that the stored catalogue does not hold.
 
-    The rows are compacted to one per series first, so the anti-join shuffles
-    series, not points, and a replay finds the same rows again.
+    Which IDs are new is found on the IDs alone: they combine before the
+    shuffle, and the wide rows of the many known series are dropped by a join
+    with the few new ones before any of them is sorted or compacted. A replay
+    finds the same rows again.
     """
-    return compact_series(series).join(catalogue.select("SeriesID"), "SeriesID", "left_anti")
+    fresh = series.select("SeriesID").distinct().join(
+        catalogue.select("SeriesID"), "SeriesID", "left_anti"
+    )
+    return compact_series(series.join(fresh.hint("rebalance"), "SeriesID", "left_semi"))
 
 
 def compact_series(series: DataFrame, keep_first_seen: bool = False) -> DataFrame:

@@ -6,33 +6,24 @@ from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from metricloom.operators.catalogue import compact_series
 from metricloom.operators.filters import time_range, where_series
 
 
-def enrich(points: DataFrame, series: DataFrame, salts: int = 8) -> DataFrame:
+def enrich(points: DataFrame, series: DataFrame, compacted: bool = False) -> DataFrame:
     """points with the metadata of their series (inner join).
 
     The catalogue is compacted first, so its unmerged versions cannot multiply
-    points. Spark broadcasts it when its measured size is under the session
-    threshold. Beyond that both sides shuffle, and one series may own a third
-    of all points: the points are spread over ``salts`` sub-keys by time and
-    the catalogue, one narrow row per series, is repeated once per sub-key.
-    The exchange on (SeriesID, salt) also lets adaptive execution split what
-    is still skewed, which it cannot do behind the compaction alone.
+    points; say ``compacted`` if it has one row per series already. Spark
+    broadcasts it when its measured size is under the session threshold.
+    Beyond that both sides shuffle, and one series may own a third of all
+    points: the rebalance puts an exchange between the compaction and the
+    join, so that adaptive execution can split the points of a hot series,
+    and repeats only that series' catalogue row.
     """
-    catalogue = compact_series(series)
-    if salts <= 1:
-        return points.join(catalogue, "SeriesID")
-    salted_points = points.withColumn(
-        "_salt", F.pmod(F.xxhash64("TimeUnixNano"), F.lit(salts)).cast("int")
-    )
-    salted_catalogue = catalogue.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted_points.join(salted_catalogue, ["SeriesID", "_salt"]).drop("_salt")
+    catalogue = series if compacted else compact_series(series)
+    return points.join(catalogue.hint("rebalance"), "SeriesID")
 
 
 def orphans(points: DataFrame, series: DataFrame) -> DataFrame:

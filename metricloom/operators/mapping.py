@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.attributes import attribute_entries_sql, entries_to_map_sql
-from metricloom.functions.common import count64_sql, counts64_sql, wrapped_int64_sql
+from metricloom.functions.common import counts64_sql, wrapped_int64_sql
 from metricloom.functions.identity import canonical_key_sql, entries_section_sql, series_id_sql
 from metricloom.functions.numbers import number_value_sql
 from metricloom.functions.quantiles import quantile_values_sql
@@ -27,7 +27,7 @@ from metricloom.schema import POINT_TABLES, POINTS, SERIES, column_names
 
 _TEMPORALITY = {"AggregationTemporality": "coalesce(_temporality, 0)"}
 _EXTREMES = {"Min": "coalesce(_point.min, 0D)", "Max": "coalesce(_point.max, 0D)"}
-_TOTALS = {"Count": count64_sql("_point.count"), "Sum": "coalesce(_point.sum, 0D)"}
+_TOTALS = {"Count": wrapped_int64_sql("_point.count"), "Sum": "coalesce(_point.sum, 0D)"}
 
 # Table -> SQL of its columns beside the common ones. Unset fields get their zero value.
 VALUE_COLUMNS = {
@@ -47,7 +47,7 @@ VALUE_COLUMNS = {
     "exponential_histogram": {
         **_TOTALS,
         "Scale": "coalesce(_point.scale, 0)",
-        "ZeroCount": count64_sql("_point.zeroCount"),
+        "ZeroCount": wrapped_int64_sql("_point.zeroCount"),
         "PositiveOffset": "coalesce(_point.positive.offset, 0)",
         "PositiveBucketCounts": counts64_sql("_point.positive.bucketCounts"),
         "NegativeOffset": "coalesce(_point.negative.offset, 0)",

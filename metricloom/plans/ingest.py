@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,30 +15,37 @@ from metricloom.operators.flatten import flatten_metrics, nameless_metrics
 from metricloom.operators.mapping import map_points, map_series, point_heads, slim
 from metricloom.operators.validate import nameless_rejects, validate
 from metricloom.schema import POINT_TABLES
-from metricloom.sources.requests import read_requests
+from metricloom.sources.requests import read_requests, unreadable_rejects
 from metricloom.sources.tables import (
     append_ledger,
     create_tables,
+    discard,
     scan_series,
     write_points,
     write_rejects,
     write_series,
 )
 
+# Table, rows, duration in ms, error text.
+Entry = tuple[str, int, int, str | None]
 # Gives the flattened metrics with (at least) the payloads of the named tables.
 FlatSource = Callable[[tuple[str, ...]], DataFrame]
 
 
-def _attempt(table: str, write: Callable[[Observation], None]) -> tuple[str, int, int, str | None]:
-    """Run one write and describe it: table, rows, duration, error text."""
+def _attempt(
+    spark: SparkSession, base: str, batch_id: int, table: str, write: Callable[[Observation], None]
+) -> Entry:
+    """Run one write and describe it; what turns out empty leaves no folder."""
     observation = Observation()
     started = time.monotonic()
     error, rows = None, 0
     try:
         write(observation)
         rows = observation.get["rows"]
+        if not rows:
+            discard(spark, base, table, batch_id)
     except Exception as failure:  # noqa: BLE001 - recorded here, raised by write_batch
-        error = f"{type(failure).__name__}: {failure}"[:500]
+        error = f"{type(failure).__name__}: {failure}"
     return table, rows, int((time.monotonic() - started) * 1000), error
 
 
@@ -48,38 +56,47 @@ def write_batch(
     batch_id: int,
     ingest_time: datetime,
     tables: Iterable[str] = tuple(POINT_TABLES),
-) -> list[tuple[str, int, int, str | None]]:
+    requests: DataFrame | None = None,
+) -> list[Entry]:
     """Store one batch of flattened metrics; a replay replaces its own output.
 
     Series go first, so no stored point is without its catalogue row. Which
     series are new is asked of the catalogue as it stood before this batch.
-    Every write counts its rows as it runs and is recorded in the ledger; a
+    The point tables and the rejects, of ``requests`` that could not be read
+    too, then go at the same time: Spark runs their jobs side by side. Every write counts its rows as
+    it runs; one without rows leaves no folder and no ledger entry. A
     failed one ends the batch with an error, so that it is run again.
     """
     tables = tuple(tables)
-    steps: list[tuple[str, Callable[[Observation], None]]] = []
     flat = source(tables)
+    entries: list[Entry] = []
+
+    def attempt(step: tuple[str, Callable[[Observation], None]]) -> Entry:
+        return _attempt(spark, base, batch_id, *step)
+
     if tables:
         known = scan_series(spark, base, ["SeriesID"], before_batch=batch_id)
         fresh = new_series(map_series(flat, ingest_time), known)
-        steps.append(("series", lambda o: write_series(fresh, base, batch_id, o)))
-    for table in tables:
-        rows = slim(map_points(source((table,)), table), table)
-        steps.append((table, lambda o, r=rows, t=table: write_points(r, t, base, batch_id, o)))
-    nameless = nameless_rejects(nameless_metrics(source(())))
-    failed = validate(point_heads(flat))[1] if tables else nameless.filter("false")
-    rejects = failed.unionByName(nameless)
-    steps.append(("rejects", lambda o: write_rejects(rejects, base, batch_id, o)))
-
-    entries = []
-    for table, write in steps:
-        entries.append(_attempt(table, write))
-        if entries[-1][3] is not None:
-            break
-    append_ledger(spark, entries, base, batch_id)
-    table, _, _, error = entries[-1]
-    if error is not None:
-        raise RuntimeError(f"batch {batch_id}: write of {table} failed: {error}")
+        entries.append(attempt(("series", lambda o: write_series(fresh, base, batch_id, o))))
+    if not entries or entries[0][3] is None:
+        steps: list[tuple[str, Callable[[Observation], None]]] = []
+        for table in tables:
+            rows = slim(map_points(source((table,)), table), table)
+            steps.append((table, lambda o, r=rows, t=table: write_points(r, t, base, batch_id, o)))
+        rejects = nameless_rejects(nameless_metrics(source(())))
+        if tables:
+            rejects = validate(point_heads(flat))[1].unionByName(rejects)
+        if requests is not None:
+            rejects = rejects.unionByName(unreadable_rejects(requests))
+        steps.append(("rejects", lambda o: write_rejects(rejects, base, batch_id, o)))
+        with ThreadPoolExecutor(len(steps)) as pool:
+            entries += pool.map(attempt, steps)
+    told = [e for e in entries if e[1] or e[3] is not None]
+    if told:
+        append_ledger(spark, told, base, batch_id)
+    failed = next((e for e in entries if e[3] is not None), None)
+    if failed is not None:
+        raise RuntimeError(f"batch {batch_id}: write of {failed[0]} failed: {failed[3]}")
     return entries
 
 
@@ -98,16 +115,19 @@ def ingest_files(
     batch_id: int,
     ingest_time: datetime,
     format: str = "parquet",
-) -> list[tuple[str, int, int, str | None]]:
+) -> list[Entry]:
     """Store a large batch of request files.
 
     Nothing is cached: each point table reads the files with a schema narrowed
-    to its own payload, series and rejects read them once for all types. Convert JSON with ``land_requests`` first if it is large, since
-    every pass over JSON parses all of it.
+    to its own payload, series and rejects read them once for all types. JSON
+    has to be landed first (``land_requests``), since every pass would parse all of it.
     """
+    if format == "json":
+        raise ValueError("land JSON requests as Parquet first, with land_requests")
     create_tables(spark, base)
 
     def source(tables: tuple[str, ...]) -> DataFrame:
         return flatten_metrics(read_requests(spark, path, format, tables))
 
-    return write_batch(spark, source, base, batch_id, ingest_time)
+    requests = read_requests(spark, path, format, ())
+    return write_batch(spark, source, base, batch_id, ingest_time, requests=requests)

@@ -19,6 +19,7 @@ SUMMARY = "Summary"
 EMPTY_METRIC_NAME = "empty_metric_name"
 ZERO_TIMESTAMP = "zero_timestamp"
 INVALID_VALUE = "invalid_value"
+UNREADABLE_REQUEST = "unreadable_request"
 
 # Wire names of the request tree (public OTLP/JSON definition).
 ANY_VALUE = (
@@ -69,7 +70,8 @@ def request_schema(tables: Iterable[str] = tuple(POINT_TABLES)) -> str:
     """Request tree holding only the payloads of ``tables``.
 
     Reading with a narrower schema is how a per-type scan of nested Parquet
-    skips the bytes of the other four payloads.
+    skips the bytes of the other four payloads. ``unreadable`` holds the text of
+    a JSON request that cannot be parsed, and is NULL otherwise.
     """
     arms = "".join(f",{POINT_TABLES[t][1]}:{POINT_TABLES[t][2]}" for t in tables)
     metric = f"struct<name:string,description:string,unit:string{arms}>"
@@ -81,6 +83,7 @@ def request_schema(tables: Iterable[str] = tuple(POINT_TABLES)) -> str:
         "resourceMetrics array<struct<"
         f"resource:struct<attributes:{KEY_VALUES}>,schemaUrl:string,"
         f"scopeMetrics:array<struct<scope:{scope},schemaUrl:string,metrics:array<{metric}>>>>>"
+        ", unreadable string"
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -17,13 +20,25 @@ SETTINGS = {
 }
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """A folder of this machine, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="metricloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. A
-    local one is made only where that is unset.
+    local one is made only where that is unset and driver and executors are one process;
+    on a cluster without a shared folder this is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="metricloom-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a shared folder")
+        folder = _local_folder()
     return f"{folder.rstrip('/')}/metricloom/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.schema import POINT_TABLES, request_schema
+from metricloom.schema import POINT_TABLES, UNREADABLE_REQUEST, request_schema
+
+# Keeps the text of a request that is no valid JSON instead of dropping it.
+_KEEP_UNREADABLE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable"}
+# Files of one micro-batch, unless the caller says otherwise.
+MAX_FILES = 64
 
 
 def read_requests(
@@ -21,29 +26,42 @@ def read_requests(
     ``tables`` narrows the read schema to the payloads that are needed; with
     Parquet the others are not read from storage.
     """
-    return spark.read.schema(request_schema(tables)).format(format).load(path)
+    reader = spark.read.schema(request_schema(tables)).format(format)
+    return reader.options(**_KEEP_UNREADABLE).load(path)
+
+
+def unreadable_rejects(requests: DataFrame) -> DataFrame:
+    """C4: one reject per request that could not be parsed."""
+    unread = F.col("unreadable").isNotNull() & F.col("resourceMetrics").isNull()
+    return requests.filter(unread).select(
+        F.lit(UNREADABLE_REQUEST).alias("reason"),
+        F.lit(None).cast("string").alias("MetricName"),
+        F.lit(None).cast("string").alias("MetricType"),
+    )
 
 
 def stream_requests(
     spark: SparkSession,
     path: str,
     format: str = "json",
-    max_files: int | None = None,
+    max_files: int = MAX_FILES,
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """A2: requests as a stream of files. J3: the caps bound one micro-batch."""
-    reader = spark.readStream.schema(request_schema()).format(format)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    """A2: requests as a stream of files. J3: the caps bound one micro-batch.
+
+    A micro-batch is held in memory and disk of the executors while it is stored, so there
+    is always a cap: ``max_bytes`` if given, else ``max_files``.
+    """
+    reader = spark.readStream.schema(request_schema()).format(format).options(**_KEEP_UNREADABLE)
     if max_bytes is not None:
-        reader = reader.option("maxBytesPerTrigger", max_bytes)
-    return reader.load(path)
+        return reader.option("maxBytesPerTrigger", max_bytes).load(path)
+    return reader.option("maxFilesPerTrigger", max_files).load(path)
 
 
 def stream_kafka_requests(spark: SparkSession, **options: str) -> DataFrame:
     """A2: requests as OTLP/JSON Kafka messages; needs Spark's Kafka package."""
     messages = spark.readStream.format("kafka").options(**options).load()
-    parsed = F.from_json(F.col("value").cast("string"), request_schema())
+    parsed = F.from_json(F.col("value").cast("string"), request_schema(), _KEEP_UNREADABLE)
     return messages.select(parsed.alias("request")).select("request.*")
 
 

@@ -7,15 +7,17 @@ Layout under one base path, all Parquet::
     <point table>/batch_id=N/TimeDate=D/   points of one write, by UTC day
     <point table>_merged/upto=N/TimeDate=D/   larger files of several earlier writes
     rejects/batch_id=N/   ledger/batch_id=N/
-    attribute_index/scope=S/
+    attribute_index/upto=N/scope=S/        index of the catalogue of batches <= N
 
 A write owns the directory of its batch id and replaces it as a whole, so a
-replayed batch leaves one copy of its rows.
+replayed batch leaves one copy of its rows. Readers list only the folders that
+are live: committed ones that no later snapshot or merge has taken over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,12 @@ def _rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
     return ranged.hint("rebalance", *columns, "_range").drop("_range")
 
 
+def discard(spark: SparkSession, base: str, table: str, batch_id: int) -> None:
+    """H9: drop the folder of a batch that turned out to hold no rows."""
+    folder, files = _folder(spark, f"{base}/{table}/batch_id={batch_id}")
+    files.delete(folder, True)
+
+
 def write_series(
     series: DataFrame, base: str, batch_id: int, observation: Observation | None = None
 ) -> None:
@@ -133,8 +141,8 @@ def _folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def committed(spark: SparkSession, path: str) -> list[int]:
-    """Numbers N of the folders ``path/upto=N`` whose write was committed."""
+def committed(spark: SparkSession, path: str, name: str = "upto") -> list[int]:
+    """Numbers N of the folders ``path/<name>=N`` whose write was committed."""
     folder, files = _folder(spark, path)
     if not files.exists(folder):
         return []
@@ -142,28 +150,38 @@ def committed(spark: SparkSession, path: str) -> list[int]:
     for status in files.listStatus(folder):
         inner = status.getPath()
         done = spark._jvm.org.apache.hadoop.fs.Path(inner, "_SUCCESS")
-        if inner.getName().startswith("upto=") and files.exists(done):
-            numbers.append(int(inner.getName().removeprefix("upto=")))
+        if inner.getName().startswith(f"{name}=") and files.exists(done):
+            numbers.append(int(inner.getName().removeprefix(f"{name}=")))
     return sorted(numbers)
 
 
+def batches_of(spark: SparkSession, base: str, table: str, after: int = -1) -> list[int]:
+    """Committed batch ids of a table that are larger than ``after``."""
+    return [n for n in committed(spark, f"{base}/{table}", "batch_id") if n > after]
+
+
+def _read(spark: SparkSession, root: str, name: str, numbers: list[int], schema: str) -> DataFrame:
+    """The folders ``root/<name>=N`` of some numbers, N a column; no others are listed."""
+    schema = f"{schema}, {name} BIGINT"
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    paths = [f"{root}/{name}={n}" for n in numbers]
+    return spark.read.schema(schema).option("basePath", root).parquet(*paths)
+
+
 def scan_points(spark: SparkSession, base: str, table: str) -> DataFrame:
     """Points of one type, from merged files and from the batches after them.
 
     Folder numbers are not columns of the result.
     """
     schema = f"{POINTS[table]}, TimeDate DATE"
-    batches = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(f"{base}/{table}")
     merged = committed(spark, f"{base}/{table}_merged")
+    rest = batches_of(spark, base, table, merged[-1] if merged else -1)
+    batches = _read(spark, f"{base}/{table}", "batch_id", rest, schema).drop("batch_id")
     if not merged:
-        return batches.drop("batch_id")
-    large = (
-        spark.read.schema(f"{schema}, upto BIGINT")
-        .parquet(f"{base}/{table}_merged")
-        .filter(F.col("upto").isin(merged))
-    )
-    rest = batches.filter(F.col("batch_id") > merged[-1])
-    return large.drop("upto").unionByName(rest.drop("batch_id"))
+        return batches
+    large = _read(spark, f"{base}/{table}_merged", "upto", merged, schema).drop("upto")
+    return large.unionByName(batches) if rest else large
 
 
 def scan_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -184,26 +202,38 @@ def scan_series(
     ``before_batch`` hides the batches from that id on, so that a replayed
     batch sees the catalogue it saw the first time.
     """
-    rows = spark.read.schema(f"{SERIES}, batch_id BIGINT").parquet(f"{base}/series")
-    if before_batch is not None:
-        rows = rows.filter(F.col("batch_id") < before_batch)
-    snapshots = [
-        upto
-        for upto in committed(spark, f"{base}/series_snapshot")
-        if before_batch is None or upto < before_batch
-    ]
+
+    def seen(number: int) -> bool:
+        return before_batch is None or number < before_batch
+
+    snapshots = [n for n in committed(spark, f"{base}/series_snapshot") if seen(n)]
+    upto = snapshots[-1] if snapshots else -1
+    later = [n for n in batches_of(spark, base, "series", upto) if seen(n)]
+    rows = _read(spark, f"{base}/series", "batch_id", later, SERIES)
     if snapshots:
-        upto = snapshots[-1]
-        snapshot = spark.read.schema(SERIES).parquet(f"{base}/series_snapshot/upto={upto}")
-        rows = snapshot.withColumn("batch_id", F.lit(upto).cast("bigint")).unionByName(
-            rows.filter(F.col("batch_id") > upto)
-        )
+        snapshot = _read(spark, f"{base}/series_snapshot", "upto", [upto], SERIES)
+        snapshot = snapshot.withColumnRenamed("upto", "batch_id")
+        rows = snapshot.unionByName(rows) if later else snapshot
     return rows.select(*cols) if cols is not None else rows
 
 
 def scan_attribute_index(spark: SparkSession, base: str) -> DataFrame:
-    """The stored attribute index."""
-    return spark.read.schema(f"{ATTRIBUTE_INDEX}, scope STRING").parquet(f"{base}/attribute_index")
+    """The attribute index, never behind the catalogue: (scope, key, value, SeriesID).
+
+    The newest stored index is read; series written after it come from the
+    catalogue itself, whose later batches are small, and replace their older rows.
+    """
+    indexes = committed(spark, f"{base}/attribute_index")
+    upto = indexes[-1] if indexes else -1
+    later = batches_of(spark, base, "series", upto)
+    stored = _read(
+        spark, f"{base}/attribute_index", "upto", indexes[-1:], f"{ATTRIBUTE_INDEX}, scope STRING"
+    ).select("scope", "key", "value", "SeriesID")
+    if not later:
+        return stored
+    tail = compact_series(_read(spark, f"{base}/series", "batch_id", later, SERIES))
+    older = stored.join(tail.select("SeriesID"), "SeriesID", "left_anti")
+    return older.select("scope", "key", "value", "SeriesID").unionByName(attribute_index(tail))
 
 
 # ---------------------------------------------------------------- maintenance
@@ -214,16 +244,22 @@ def optimize_series(
 ) -> None:
     """Rewrite the catalogue of the finished batches <= ``upto`` to one row per series.
 
-    The result is a new snapshot directory. Readers move to it once its files
-    are committed; batches written meanwhile have larger ids and stay visible.
+    The result is a new snapshot, named after the newest batch in it. Readers
+    move to it once its files are committed; batches written meanwhile have
+    larger ids and stay visible. Without a batch newer than the last snapshot
+    nothing is done, so a snapshot never replaces what it is made of.
     """
-    rows = scan_series(spark, base, before_batch=upto + 1)
+    snapshots = committed(spark, f"{base}/series_snapshot")
+    new = [n for n in batches_of(spark, base, "series", max([-1, *snapshots])) if n <= upto]
+    if not new:
+        return
+    rows = scan_series(spark, base, before_batch=new[-1] + 1)
     (
         compact_series(rows, keep_first_seen)
         .sortWithinPartitions("SeriesID")
         .write.mode("overwrite")
         .options(**_PARQUET, **_bloom(*SERIES_BLOOM_COLUMNS))
-        .parquet(f"{base}/series_snapshot/upto={upto}")
+        .parquet(f"{base}/series_snapshot/upto={new[-1]}")
     )
 
 
@@ -231,38 +267,84 @@ def merge_points(spark: SparkSession, base: str, table: str, upto: int) -> None:
     """H7: rewrite the points of finished batches <= ``upto`` into few large files.
 
     Streaming leaves small files, one set per micro-batch. Only batches after
-    the previous merge are rewritten, into a folder of their own that readers
-    take up once it is committed. The folders of merged batches are no longer
-    read and may be removed.
+    the previous merge are rewritten, into a new folder named after the newest
+    of them, which readers take up once it is committed. Without such a batch
+    nothing is done: a merge never touches a committed folder.
     """
     merged = committed(spark, f"{base}/{table}_merged")
-    batches = spark.read.schema(f"{POINTS[table]}, batch_id BIGINT, TimeDate DATE").parquet(
-        f"{base}/{table}"
-    )
-    rows = batches.filter(
-        (F.col("batch_id") <= upto) & (F.col("batch_id") > (merged[-1] if merged else -1))
-    )
+    new = [n for n in batches_of(spark, base, table, max([-1, *merged])) if n <= upto]
+    if not new:
+        return
+    rows = _read(spark, f"{base}/{table}", "batch_id", new, f"{POINTS[table]}, TimeDate DATE")
     (
         clustered(rows.drop("batch_id"))
         .write.mode("overwrite")
         .options(**_PARQUET)
         .partitionBy("TimeDate")
-        .parquet(f"{base}/{table}_merged/upto={upto}")
+        .parquet(f"{base}/{table}_merged/upto={new[-1]}")
     )
 
 
-def write_attribute_index(series: DataFrame, base: str) -> None:
-    """Store the attribute index of compacted series, by scope, sorted by key and value.
+def write_attribute_index(spark: SparkSession, base: str) -> None:
+    """Store the attribute index of the catalogue as it is, by scope, sorted by key and value.
 
-    Range partitioning ends in SeriesID, so a value shared by every series is
-    split over tasks too.
+    The index is a new folder named after the newest batch in it; an index of
+    that batch that is there already is left alone. Range partitioning ends in SeriesID, so
+    a value shared by every series is split over tasks too.
     """
+    known = batches_of(spark, base, "series") + committed(spark, f"{base}/series_snapshot")
+    upto = max(known, default=-1)
+    if upto in [-1, *committed(spark, f"{base}/attribute_index")]:
+        return
+    rows = scan_series(spark, base, before_batch=upto + 1)
     (
-        attribute_index(series)
+        attribute_index(compact_series(rows))
         .repartitionByRange("scope", "key", "value", "SeriesID")
         .sortWithinPartitions("scope", "key", "value", "SeriesID")
         .write.mode("overwrite")
         .options(**_PARQUET)
         .partitionBy("scope")
-        .parquet(f"{base}/attribute_index")
+        .parquet(f"{base}/attribute_index/upto={upto}")
     )
+
+
+def remove_superseded(spark: SparkSession, base: str) -> list[str]:
+    """Remove folders that readers no longer list, and name them.
+
+    These are the batches that a merge or snapshot has taken over, and snapshots and indexes
+    before the newest. Run it when no query that began before the merge is
+    still running, and no merged batch can be replayed.
+    """
+    removed = []
+
+    def drop(path: str) -> None:
+        folder, files = _folder(spark, path)
+        if files.exists(folder):
+            files.delete(folder, True)
+            removed.append(path)
+
+    taken_over = {t: committed(spark, f"{base}/{t}_merged") for t in POINTS}
+    taken_over["series"] = committed(spark, f"{base}/series_snapshot")
+    for table, numbers in taken_over.items():
+        for n in batches_of(spark, base, table):
+            if numbers and n <= numbers[-1]:
+                drop(f"{base}/{table}/batch_id={n}")
+    for table in ("series_snapshot", "attribute_index"):
+        for n in committed(spark, f"{base}/{table}")[:-1]:
+            drop(f"{base}/{table}/upto={n}")
+    return removed
+
+
+def batch_stamp(spark: SparkSession, base: str, batch_id: int, now: datetime) -> datetime:
+    """The ingest time of a batch id: ``now`` at its first attempt, the same ever after.
+
+    Kept as the name of an empty folder, which is made before the batch is written.
+    """
+    folder, files = _folder(spark, f"{base}/stamps/batch_id={batch_id}")
+    if files.exists(folder):
+        for status in files.listStatus(folder):
+            micros = int(status.getPath().getName().removeprefix("at="))
+            return datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=micros)
+    micros = (now - datetime.fromtimestamp(0, timezone.utc)) // timedelta(microseconds=1)
+    files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder, f"at={micros}"))
+    return now

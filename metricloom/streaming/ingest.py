@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from metricloom.operators.flatten import flatten_metrics
 from metricloom.plans.ingest import present_tables, write_batch
-from metricloom.sources.tables import create_tables
+from metricloom.sources.tables import batch_stamp, create_tables
 
 
 def ingest_micro_batch(
@@ -20,12 +20,17 @@ def ingest_micro_batch(
 
     The micro-batch is bounded by the caps of the source. Its flattened metrics
     are cached for the writes; a lost executor only costs recomputing its part.
+    Its ingest time is the one of its first attempt, so that a replay stores equal
+    rows. An empty micro-batch stores and records nothing.
     """
-    moment = ingest_time or datetime.now(timezone.utc)
+    spark = requests.sparkSession
+    if requests.isEmpty():
+        return
+    moment = batch_stamp(spark, base, batch_id, ingest_time or datetime.now(timezone.utc))
     flat = flatten_metrics(requests).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tables = present_tables(flat)
-        write_batch(requests.sparkSession, lambda _: flat, base, batch_id, moment, tables)
+        write_batch(spark, lambda _: flat, base, batch_id, moment, tables, requests)
     finally:
         flat.unpersist()
 

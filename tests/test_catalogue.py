@@ -78,36 +78,73 @@ def test_hits_and_misses(mapped):
     assert tuple(ml.series_hit_miss(series.filter("false"), known).first()) == (0, 0)
 
 
+def final_plan(frame):
+    """The plan as adaptive execution ran it."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_enrich_keeps_every_point_once(mapped):
     points, series = mapped["gauge"], mapped["series"]
-    plain = ml.enrich(points, series, salts=1)
-    salted = ml.enrich(points, series)
-    assert salted.count() == plain.count() == 300
+    joined = ml.enrich(points, series)
+    assert joined.count() == 300
+    plain = points.join(ml.compact_series(series), "SeriesID")
     columns = ["SeriesID", "TimeUnixNano", "Value", "MetricName"]
-    assert salted.select(columns).exceptAll(plain.select(columns)).count() == 0
+    assert joined.select(columns).exceptAll(plain.select(columns)).count() == 0
+    assert ml.enrich(points, ml.compact_series(series), compacted=True).count() == 300
 
 
-def test_enrich_spreads_a_hot_series(spark, mapped):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = ml.enrich(mapped["gauge"], mapped["series"])
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning(SeriesID") >= 3
-        assert "_salt" in plan and "BroadcastHashJoin" not in plan
-        hot = joined.filter(F.col("Attributes")["k"] == "hot")
-        tasks = hot.groupBy(F.spark_partition_id().alias("p")).count().collect()
-        assert len(tasks) > 1 and sum(t["count"] for t in tasks) == 100
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
+@pytest.fixture
+def settings(spark):
+    """Set session options for one test."""
+    names = []
+
+    def put(**options):
+        for name, value in options.items():
+            names.append(name.replace("__", "."))
+            spark.conf.set(names[-1], value)
+
+    yield put
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_enrich_spreads_a_hot_series(spark, settings, mapped):
+    series = ml.compact_series(mapped["series"])
+    ids = [r.SeriesID for r in series.select("SeriesID").collect()]
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="8k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="16k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__shuffle__partitions="8",
+    )
+    # A third of the points from several tasks belong to one series.
+    one = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % len(ids)).cast("int")
+    points = spark.range(0, 60_000, 1, 8).select(
+        F.get(F.array(*map(F.lit, ids)), one).alias("SeriesID"), F.col("id").alias("TimeUnixNano")
+    )
+    joined = ml.enrich(points, series)
+    plan = final_plan(joined)
+    # The join was split where it was hot, and nowhere was the catalogue repeated for it.
+    assert "SortMergeJoin(skew=true)" in plan and "_salt" not in plan
+    assert joined.count() == 60_000
 
 
 def test_small_catalogue_is_broadcast_for_the_semi_join(mapped):
-    ids = mapped["series"].filter(F.col("MetricName") == "m")
-    plan = ml.points_where(mapped["gauge"], ids, F.lit(True))
-    plan.collect()
-    assert plan.count() == 300
+    joined = ml.points_where(mapped["gauge"], mapped["series"], F.col("MetricName") == "m")
+    assert "BroadcastHashJoin" in final_plan(joined)
+    assert joined.count() == 300
+
+
+def test_known_series_are_dropped_before_any_sort(spark, settings, mapped):
+    settings(spark__sql__adaptive__enabled="false")
+    plan = ml.new_series(mapped["series"], mapped["series"])._jdf.queryExecution().executedPlan()
+    lines = plan.toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    # All sorting of wide rows for the compaction stands above the join with the new IDs.
+    assert all("max_by" not in line and "ResourceAttributes" not in line for line in lines[join:] if "Sort" in line)
 
 
 def test_enrich_with_unmerged_versions_does_not_fan_out(mapped):

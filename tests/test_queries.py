@@ -11,8 +11,6 @@ from workload.oracle import ORACLE
 from workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-# The others repeat whole ingest runs; check.py covers them.
-SLOW = {"j1_j2_continuous_ingest", "j3_j4_drain_in_capped_batches", "j5_replayed_batch"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +28,7 @@ def test_every_query_has_an_answer():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, connection, key):
     state, _, _, detail = compare(
         spark, connection, SF_DIR, key, QUERIES[key], ORACLE[key]

@@ -1,6 +1,8 @@
 """Tables on disk: layout, pushdown, snapshots, merges, replay."""
 
 import datetime as dt
+import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ import metricloom as ml
 from metricloom.operators.mapping import map_requests
 from metricloom.plans.ingest import ingest_files, write_batch
 from metricloom.schema import POINT_TABLES
+from metricloom.session import scratch_path
 from metricloom.sources.tables import committed
 from tests.builders import T0, gauge, number, request
 
@@ -98,6 +101,40 @@ def test_repeated_writes_of_a_series_compact_to_one_row(spark, base, requests_of
     assert ml.scan_series(spark, base).count() == 2
     assert ml.scan_series(spark, base, before_batch=3).count() == 3
     assert committed(spark, f"{base}/series_snapshot") == [3]
+    ml.optimize_series(spark, base, upto=3)
+    ml.optimize_series(spark, base, upto=2)
+    assert committed(spark, f"{base}/series_snapshot") == [3]
+    assert ml.scan_series(spark, base).count() == 2
+
+
+def test_merge_again_and_lower(spark, base, tables):
+    rows = tables["gauge"]
+    for batch_id in range(3):
+        ml.write_points(rows.filter(F.col("Value") % 3 == batch_id), "gauge", base, batch_id)
+    for upto in (1, 1, 0, 1):
+        ml.merge_points(spark, base, "gauge", upto)
+        assert ml.scan_points(spark, base, "gauge").select("Value").distinct().count() == 60
+    ml.merge_points(spark, base, "gauge", upto=9)
+    assert committed(spark, f"{base}/gauge_merged") == [1, 2]
+    assert ml.scan_points(spark, base, "gauge").count() == 60
+
+
+def test_only_live_folders_are_listed_and_others_can_go(spark, base, tables):
+    for batch_id in range(3):
+        ml.write_points(tables["gauge"].filter(F.col("Value") % 3 == batch_id), "gauge", base, batch_id)
+        ml.write_series(ml.distinct_series(tables["series"]), base, batch_id)
+    ml.merge_points(spark, base, "gauge", upto=1)
+    ml.optimize_series(spark, base, upto=1)
+    points, series = ml.scan_points(spark, base, "gauge"), ml.scan_series(spark, base)
+    listed = points.inputFiles() + series.inputFiles()
+    assert all(re.search(r"(_merged/upto=1|gauge/batch_id=2|snapshot/upto=1|series/batch_id=2)/", f) for f in listed)
+    before = points.count(), series.count()
+    removed = ml.remove_superseded(spark, base)
+    assert {r.removeprefix(base) for r in removed} == {
+        f"/{t}/batch_id={n}" for t in ("gauge", "series") for n in (0, 1)
+    }
+    assert (ml.scan_points(spark, base, "gauge").count(), ml.scan_series(spark, base).count()) == before
+    assert ml.remove_superseded(spark, base) == []
 
 
 def test_merged_points_are_read_once(spark, base, tables):
@@ -117,7 +154,8 @@ def test_merged_points_are_read_once(spark, base, tables):
 
 def test_attribute_index_gives_the_same_series(spark, base, tables):
     series = ml.compact_series(tables["series"])
-    ml.write_attribute_index(series, base)
+    ml.write_series(series, base, 0)
+    ml.write_attribute_index(spark, base)
     index = ml.scan_attribute_index(spark, base)
     found = ml.indexed_series(index, "point", "k", "3")
     scan = next(line for line in plan_of(found).splitlines() if "FileScan" in line)
@@ -129,6 +167,30 @@ def test_attribute_index_gives_the_same_series(spark, base, tables):
     assert ml.points_where(points, series, ml.attribute_predicate("point", "k", "3")).count() == 12
 
 
+def test_index_is_never_behind_the_catalogue(spark, base, tables):
+    series = ml.compact_series(tables["series"])
+    first = ml.attribute_predicate("point", "k", "3")
+
+    def by_index(value):
+        return ml.indexed_series(ml.scan_attribute_index(spark, base), "point", "k", value).count()
+
+    assert by_index("3") == 0
+    ml.write_series(series.filter(~first), base, 0)
+    ml.write_attribute_index(spark, base)
+    assert (by_index("3"), by_index("1")) == (0, 1)
+    ml.write_series(series.filter(first), base, 1)
+    assert (by_index("3"), by_index("1")) == (1, 1)
+    # A later version of a series replaces what the index says of its scope.
+    moved = series.filter(first).withColumn("ScopeAttributes", F.create_map(F.lit("team"), F.lit("t9")))
+    ml.write_series(moved, base, 2)
+    index = ml.scan_attribute_index(spark, base)
+    assert ml.indexed_series(index, "scope", "team", "t9").count() == 1
+    ml.write_attribute_index(spark, base)
+    ml.write_attribute_index(spark, base)
+    assert committed(spark, f"{base}/attribute_index") == [0, 2]
+    assert (by_index("3"), by_index("1")) == (1, 1)
+
+
 def test_ingest_files_and_ledger(spark, requests_of, tmp_path):
     base, landed = str(tmp_path / "s"), str(tmp_path / "landed")
     ml.land_requests(
@@ -138,7 +200,7 @@ def test_ingest_files_and_ledger(spark, requests_of, tmp_path):
     ingest_files(spark, landed, base, 1, NOW)
     ledger = ml.scan_rows(spark, base, "ledger")
     sizes = {(r.batch_id, r.table): r["rows"] for r in ml.batch_sizes(ledger).collect()}
-    assert sizes[0, "series"] == 1 and sizes[1, "series"] == 0
+    assert sizes[0, "series"] == 1 and (1, "series") not in sizes and (0, "sum") not in sizes
     assert sizes[0, "gauge"] == sizes[1, "gauge"] == 1
     assert sizes[0, "rejects"] == 2
     reasons = ml.skipped_by_reason(ml.scan_rows(spark, base, "rejects").filter("batch_id = 0"))
@@ -174,9 +236,60 @@ def test_per_type_read_leaves_other_payloads_in_the_file(spark, requests_of, tmp
     assert points.count() == 1
 
 
-def test_bloom_filter_options_are_written(spark, base, tables):
-    ml.write_series(ml.distinct_series(tables["series"]), base, 0)
-    found = ml.where_metric(ml.scan_series(spark, base), "m")
+def test_bloom_filters_are_in_the_files(spark, base, tables):
+    import pyarrow.parquet as pq
+
+    names = F.concat(F.lit("metric-"), F.col("SeriesID").cast("string"))
+    many = ml.distinct_series(tables["series"]).crossJoin(spark.range(2000)).select(
+        *[F.xxhash64("SeriesID", "id").alias(c) if c == "SeriesID" else c for c in tables["series"].columns]
+    )
+    ml.write_series(many.withColumn("MetricName", names), base, 0)
+    stored = ml.scan_series(spark, base)
+    one = stored.select("MetricName").first().MetricName
+    found = ml.where_metric(stored, one)
     scan = next(line for line in plan_of(found).splitlines() if "FileScan" in line)
-    assert "EqualTo(MetricName,m)" in scan
-    assert found.count() == 5
+    assert "EqualTo(MetricName," in scan and found.count() >= 1
+    # A footer names the place of a column's bloom filter in its column metadata.
+    file = stored.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    columns = reader.getFooter().getBlocks().get(0).getColumns()
+    offsets = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in columns}
+    reader.close()
+    assert offsets["MetricName"] > 0 and pq.ParquetFile(file).metadata.num_rows > 0
+    assert offsets["MetricDescription"] < 0
+
+
+def test_poison_counts_and_broken_lines_stop_nothing(spark, tmp_path):
+    point = {"timeUnixNano": str(T0), "bucketCounts": ["1"]}
+    metric = {"name": "h", "histogram": {"dataPoints": [point | {"count": c} for c in ("1", str(2**63), "2")]}}
+    (tmp_path / "r.json").write_text(
+        json.dumps(request(metric)) + '\n{"resourceMetrics": [oops\n' + json.dumps(request(gauge("m", number(1.0))))
+    )
+    landed, base = f"{tmp_path}/landed", f"{tmp_path}/store"
+    ml.land_requests(ml.read_requests(spark, str(tmp_path / "r.json")), landed)
+    ingest_files(spark, landed, base, 0, NOW)
+    counts = ml.scan_points(spark, base, "histogram").select("Count").collect()
+    assert sorted(r.Count for r in counts) == [-(2**63), 1, 2]
+    assert ml.scan_points(spark, base, "gauge").count() == 1
+    rejects = ml.scan_rows(spark, base, "rejects").collect()
+    assert [r.reason for r in rejects] == ["unreadable_request"]
+    with pytest.raises(ValueError, match="land"):
+        ingest_files(spark, str(tmp_path / "r.json"), base, 1, NOW, "json")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda name, default: folder or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert scratch_path(session("local[4]"), "x")
+    assert scratch_path(session("yarn", "s3://b/c"), "x").startswith("s3://b/c/metricloom/x-")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="shared folder"):
+            scratch_path(session(master), "x")

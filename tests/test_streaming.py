@@ -48,7 +48,7 @@ def test_drain_in_capped_batches(spark, folder, tmp_path):
     ledger = ml.scan_rows(spark, base, "ledger")
     assert ledger.select("batch_id").distinct().count() == 3
     assert {r.table for r in ledger.select("table").distinct().collect()} == {
-        "series", "gauge", "sum", "rejects",
+        "series", "gauge", "sum",
     }
     # A second drain finds nothing new.
     ml.drain(ml.stream_requests(spark, folder, max_files=2), base, f"{base}/checkpoint")
@@ -61,8 +61,30 @@ def test_replay_of_a_micro_batch(spark, folder, tmp_path):
     requests = ml.read_requests(spark, folder)
     for batch_id in (0, 1, 1):
         ingest_micro_batch(requests, base, batch_id)
+        if batch_id == 1:
+            rows = ml.scan_series(spark, base).collect()
     points, series = state(spark, base)
     assert points["gauge"] == 60 and series == 3
+    # The replay has the stamps of the first attempt.
+    assert sorted(map(repr, ml.scan_series(spark, base).collect())) == sorted(map(repr, rows))
+
+
+def test_replay_keeps_the_stamps_of_new_series(spark, folder, tmp_path):
+    base = str(tmp_path / "store")
+    ml.create_tables(spark, base)
+    requests = ml.read_requests(spark, folder)
+    seen = []
+    for _ in range(2):
+        ingest_micro_batch(requests, base, 5)
+        seen.append(sorted((r.SeriesID, r.FirstSeen, r.LastSeen) for r in ml.scan_series(spark, base).collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 3
+
+
+def test_empty_micro_batch_makes_no_file(spark, folder, tmp_path):
+    base = str(tmp_path / "store")
+    ml.create_tables(spark, base)
+    ingest_micro_batch(ml.read_requests(spark, folder).filter("false"), base, 0)
+    assert [f for f in (tmp_path / "store").rglob("*") if f.is_file()] == []
 
 
 def test_continuous_ingest_and_stop(spark, folder, tmp_path):

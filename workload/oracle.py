@@ -328,12 +328,10 @@ ORACLE: dict[str, str] = {
     "g7_requests_received": f"{ALL} SELECT count(*) AS requests FROM pts",
     "g8_batch_sizes": f"""{ALL}, first AS (SELECT key, min(part) AS part FROM pts GROUP BY key)
         SELECT part AS batch_id, tbl AS "table", count(*) AS rows FROM pts GROUP BY ALL
-        UNION ALL SELECT part, 'series', count(*) FROM first GROUP BY part
-        UNION ALL SELECT b, 'rejects', 0 FROM (VALUES (CAST(0 AS BIGINT)), (1)) AS n(b)""",
+        UNION ALL SELECT part, 'series', count(*) FROM first GROUP BY part""",
     "g9_write_stats": f"""{ALL} SELECT tbl AS "table", CAST(2 AS BIGINT) AS writes,
           CAST(0 AS BIGINT) AS failures, count(*) AS rows FROM pts GROUP BY tbl
-        UNION ALL SELECT 'series', 2, 0, count(DISTINCT key) FROM pts
-        UNION ALL SELECT 'rejects', 2, 0, 0""",
+        UNION ALL SELECT 'series', 2, 0, count(DISTINCT key) FROM pts""",
     "h1_write_series": f"WITH {EV} {_DESCRIBED}",
     "h2_write_gauge": _stored("gauge"),
     "h3_write_sum": _stored("sum"),
@@ -373,7 +371,8 @@ ORACLE: dict[str, str] = {
     "j1_j2_continuous_ingest": _REPORT,
     "j3_j4_drain_in_capped_batches": _REPORT,
     "j5_replayed_batch": _REPORT,
-    "k1_any_value_to_string": f"SELECT * FROM ({_ATTRS})",
+    "k1_any_value_to_string": f"""SELECT * FROM ({_ATTRS})
+        UNION ALL SELECT {_NANOS}, 'list', {_LIST} FROM events""",
     "k2_double_to_g": f"""SELECT l_orderkey, l_linenumber, l_partkey,
         {g_text('l_extendedprice')} AS plain, {g_text('(l_extendedprice * 1000.0::DOUBLE)')} AS large,
         {g_text('(l_extendedprice / -3e9::DOUBLE)')} AS small FROM lineitem""",
