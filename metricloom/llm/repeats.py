@@ -17,8 +17,8 @@ TRIGGER = 64
 # Suffixes worked on at a time; bounds the memory of a long text and of a phrase.
 BLOCK = 1 << 18
 PHRASE = 1 << 12
-# Different phrases of one trigger that are sorted in one task.
-HOT = 64
+# Suffixes of one trigger's phrases that are sorted in one task.
+HOT = 1 << 16
 
 _TRIGGERS = LENGTH - TRIGGER + 1
 # Odd constants of no meaning: bases of the two polynomial hashes, and a mixer.
@@ -348,7 +348,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "dictionary",
     )
     hot = stored(
-        dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HOT),
+        dictionary.groupBy("trigger").agg(F.sum("count").alias("n")).filter(F.col("n") > HOT),
         "hot",
     ).select(F.col("trigger").alias("_hot"))
     lists = (
