@@ -66,21 +66,28 @@ _EX_KEY = _key(
     "'lineitem.quantity.exp'", "ExponentialHistogram", "lineitem", ["'service.name=lineitem'"],
     ["'returnflag=' || l_returnflag"],
 )
-_EX_BUCKETS = " || ',' || ".join(
-    f"count(*) FILTER (l_quantity > {2**i} AND l_quantity <= {2 ** (i + 1)})" for i in range(6)
-)
+
+
+def _ex_side(sign: str) -> str:
+    return " || ',' || ".join(
+        f"count(*) FILTER ({sign}(l_quantity - 20) > {4.0**i} AND {sign}(l_quantity - 20) <= {4.0 ** (i + 1)})"
+        for i in range(-1, 3)
+    )
+
+
 EX = f"""ex AS (
   SELECT l_returnflag AS rf, l_shipdate AS d, {_folded('l_shipdate')} AS nanos,
     day(l_shipdate) % 2 AS part, {_EX_KEY} AS key, count(*) AS n,
-    CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS total,
-    count(*) FILTER (l_quantity <= 1) AS zeros, {_EX_BUCKETS} AS buckets
+    CAST(sum(CAST(l_quantity AS BIGINT) - 20) AS DOUBLE) AS total,
+    count(*) FILTER (l_quantity = 20) AS zeros, {_ex_side('')} AS above, {_ex_side('-')} AS below
   FROM lineitem GROUP BY l_returnflag, l_shipdate)"""
 _SU_KEY = _key(
     "'orders.price.summary'", "Summary", "orders", ["'service.name=orders'"], ["'priority=' || pri"]
 )
 SU = f"""su AS (
   SELECT pri, m, {_folded('m')} AS nanos, month(m) % 2 AS part, {_SU_KEY} AS key,
-    count(*) AS n, CAST(sum(cents) AS DOUBLE) / 100 AS total, min(price) AS low, max(price) AS high
+    count(*) AS n, CAST(sum(cents) AS DOUBLE) / 100 AS total,
+    quantile_disc(price, 0.5) AS low, quantile_disc(price, 0.99) AS high
   FROM (SELECT o_orderpriority AS pri, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m,
           CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_totalprice AS price FROM orders)
   GROUP BY pri, m)"""
@@ -118,24 +125,25 @@ _VALUES = {
     "sum": (
         LI,
         f"nanos AS \"TimeUnixNano\", {_DAY}, value AS \"Value\", "
-        '1 AS "AggregationTemporality", true AS "IsMonotonic" FROM li',
+        'CASE rf WHEN \'R\' THEN 2 ELSE 1 END AS "AggregationTemporality", '
+        'rf <> \'N\' AS "IsMonotonic" FROM li',
     ),
     "histogram": (
         HI,
         f"nanos AS \"TimeUnixNano\", {_DAY}, n AS \"Count\", total AS \"Sum\", buckets, "
-        '4 AS bounds, low AS "Min", high AS "Max", 1 AS "AggregationTemporality" FROM hi',
+        '\'100000.0,200000.0,300000.0,400000.0\' AS bounds, low AS "Min", high AS "Max", 1 AS "AggregationTemporality" FROM hi',
     ),
     "exponential_histogram": (
         EX,
-        f"nanos AS \"TimeUnixNano\", {_DAY}, n AS \"Count\", total AS \"Sum\", 0 AS \"Scale\", "
-        'zeros AS "ZeroCount", 0 AS "PositiveOffset", buckets, 0 AS "NegativeOffset", '
-        '0 AS negatives, CAST(0 AS DOUBLE) AS "Min", CAST(0 AS DOUBLE) AS "Max", '
+        f"nanos AS \"TimeUnixNano\", {_DAY}, n AS \"Count\", total AS \"Sum\", -1 AS \"Scale\", "
+        'zeros AS "ZeroCount", -1 AS "PositiveOffset", above AS buckets, -1 AS "NegativeOffset", '
+        'below AS negatives, CAST(0 AS DOUBLE) AS "Min", CAST(0 AS DOUBLE) AS "Max", '
         '2 AS "AggregationTemporality" FROM ex',
     ),
     "summary": (
         SU,
         f"nanos AS \"TimeUnixNano\", {_DAY}, n AS \"Count\", total AS \"Sum\", low, high, "
-        "CAST(1 AS DOUBLE) AS top FROM su",
+        "CAST(0.99 AS DOUBLE) AS top FROM su",
     ),
 }
 _METADATA = {
@@ -253,10 +261,10 @@ ORACLE: dict[str, str] = {
         CAST(epoch(TIMESTAMP '2024-02-01') AS BIGINT) AS last_seen FROM ev""",
     "b9_slim": f"""WITH {LI} SELECT {_VALUES['sum'][1].removesuffix(' FROM li')}, 10 AS columns
         FROM li""",
-    "b10_quantile_values": f"""WITH {SU} SELECT nanos, CAST(0 AS DOUBLE) AS quantile, low AS value
-        FROM su UNION ALL SELECT nanos, CAST(1 AS DOUBLE), high FROM su""",
+    "b10_quantile_values": f"""WITH {SU} SELECT nanos, CAST(0.5 AS DOUBLE) AS quantile, low AS value
+        FROM su UNION ALL SELECT nanos, CAST(0.99 AS DOUBLE), high FROM su""",
     "b11_split_quantiles": f"""WITH {SU} SELECT nanos AS "TimeUnixNano", 2 AS levels,
-        CAST(1 AS DOUBLE) AS top, low, high FROM su""",
+        CAST(0.99 AS DOUBLE) AS top, low, high FROM su""",
     "b12_map_requests": f"""WITH {MX} SELECT 'gauge' AS "table", CAST(sum(gauges) AS BIGINT) AS rows
         FROM mx UNION ALL SELECT t, count(*) FROM mx, (VALUES ('sum'), ('histogram'),
           ('exponential_histogram'), ('summary')) AS n(t) GROUP BY t
@@ -403,5 +411,5 @@ ORACLE: dict[str, str] = {
     "k11_unix_nanos": f"""WITH {LI} SELECT {_DAY}, min(nanos) AS first, max(nanos) AS last
         FROM li GROUP BY 1""",
     "k12_or_default": f"""WITH {EX} SELECT nanos, n AS count, true AS unset, CAST(0 AS DOUBLE) AS min,
-        0 AS negative_offset FROM ex""",
+        -1 AS negative_offset FROM ex""",
 }

@@ -110,7 +110,7 @@ def _text(map_column):
 
 
 def _values(table):
-    """Columns of a point table that both sides can state, arrays as scalars."""
+    """Columns of a point table, arrays as text."""
     first = ["TimeUnixNano", "cast(TimeDate as string) as day"]
     if table in ("gauge", "sum"):
         more = ["Value"]
@@ -127,12 +127,12 @@ def _values(table):
     if table == "histogram":
         return [
             *first, "Count", "Sum", "array_join(BucketCounts, ',') as buckets",
-            "size(ExplicitBounds) as bounds", "Min", "Max", "AggregationTemporality",
+            "array_join(ExplicitBounds, ',') as bounds", "Min", "Max", "AggregationTemporality",
         ]
     return [
         *first, "Count", "Sum", "Scale", "ZeroCount", "PositiveOffset",
         "array_join(PositiveBucketCounts, ',') as buckets", "NegativeOffset",
-        "size(NegativeBucketCounts) as negatives", "Min", "Max", "AggregationTemporality",
+        "array_join(NegativeBucketCounts, ',') as negatives", "Min", "Max", "AggregationTemporality",
     ]
 
 

@@ -26,14 +26,9 @@ _KINDS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A provided table, on at least one task per core.
-
-    A small table is one row group and so one task. A large one has enough
-    splits of its own and is left as it is.
-    """
+    """A provided table, dealt over the cores: the files here are one row group each."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def any_value(kind: str | None, sql: str = "null") -> str:
@@ -105,10 +100,10 @@ def gauge(*points: str) -> str:
     return f"named_struct('dataPoints', array({', '.join(points)}))"
 
 
-def total(*points: str, temporality: int = 1) -> str:
+def total(*points: str, temporality: int | str = 1, monotonic: str = "true") -> str:
     return (
         f"named_struct('dataPoints', array({', '.join(points)}), "
-        f"'aggregationTemporality', {temporality}, 'isMonotonic', true)"
+        f"'aggregationTemporality', {temporality}, 'isMonotonic', {monotonic})"
     )
 
 
@@ -202,7 +197,7 @@ def attribute_requests(events: DataFrame) -> DataFrame:
 
 
 def sum_requests(lineitem: DataFrame) -> DataFrame:
-    """One sum point per line item."""
+    """One sum point per line item: deltas, cumulative for returns, and some that may fall."""
     point = number_point(
         attributes(
             attribute("linestatus", "l_linestatus"), attribute("returnflag", "l_returnflag")
@@ -214,7 +209,15 @@ def sum_requests(lineitem: DataFrame) -> DataFrame:
         request(
             attributes(attribute("service.name", "concat('supp-', l_suppkey % 5)")),
             "lineitem",
-            metric("'lineitem.quantity'", "'{item}'", sum=total(point)),
+            metric(
+                "'lineitem.quantity'",
+                "'{item}'",
+                sum=total(
+                    point,
+                    temporality="if(l_returnflag = 'R', 2, 1)",
+                    monotonic="l_returnflag <> 'N'",
+                ),
+            ),
         )
     )
 
@@ -258,16 +261,25 @@ def histogram_requests(orders: DataFrame) -> DataFrame:
 
 
 def exponential_requests(lineitem: DataFrame) -> DataFrame:
-    """Quantities per return flag and day, at scale 0: bucket i holds (2^i, 2^(i+1)]."""
-    buckets = [
-        f"cast(count_if(l_quantity > {2**i} and l_quantity <= {2 ** (i + 1)}) as string)"
-        for i in range(6)
-    ]
+    """Quantities less 20 per return flag and day, at scale -1: bucket i holds (4^i, 4^(i+1)].
+
+    Both sides begin at bucket -1, which holds 1.
+    """
+
+    def side(sign: str) -> str:
+        counts = [
+            f"cast(count_if({sign}(l_quantity - 20) > {4.0**i} and {sign}(l_quantity - 20) <= {4.0 ** (i + 1)})"
+            " as string)"
+            for i in range(-1, 3)
+        ]
+        return f"array({', '.join(counts)})"
+
     groups = lineitem.groupBy("l_returnflag", "l_shipdate").agg(
         F.expr("count(*) as n"),
-        F.expr("sum(cast(l_quantity as bigint)) as total"),
-        F.expr("count_if(l_quantity <= 1) as ones"),
-        F.expr(f"array({', '.join(buckets)}) as buckets"),
+        F.expr("sum(cast(l_quantity as bigint) - 20) as total"),
+        F.expr("count_if(l_quantity = 20) as zeros"),
+        F.expr(f"{side('')} as above"),
+        F.expr(f"{side('-')} as below"),
     )
     point = distribution_point(
         attributes(attribute("returnflag", "l_returnflag")),
@@ -276,10 +288,10 @@ def exponential_requests(lineitem: DataFrame) -> DataFrame:
         sum="cast(total as double)",
         min="cast(null as double)",
         max="cast(null as double)",
-        scale="0",
-        zeroCount="cast(ones as string)",
-        positive="named_struct('offset', 0, 'bucketCounts', buckets)",
-        negative="named_struct('offset', cast(null as int), 'bucketCounts', cast(null as array<string>))",
+        scale="-1",
+        zeroCount="cast(zeros as string)",
+        positive="named_struct('offset', -1, 'bucketCounts', above)",
+        negative="named_struct('offset', -1, 'bucketCounts', below)",
     )
     return groups.selectExpr(
         request(
@@ -294,14 +306,14 @@ def exponential_requests(lineitem: DataFrame) -> DataFrame:
 
 
 def summary_requests(orders: DataFrame) -> DataFrame:
-    """Lowest and highest price (quantiles 0 and 1) per priority and month."""
+    """Quantiles 0.5 and 0.99 of the price per priority and month."""
     groups = orders.selectExpr(
         "o_orderpriority", "date_trunc('MONTH', o_orderdate) as month", "o_totalprice"
     ).groupBy("o_orderpriority", "month").agg(
         F.expr("count(*) as n"),
         F.expr(f"sum({_CENTS}) as cents"),
-        F.expr("min(o_totalprice) as low"),
-        F.expr("max(o_totalprice) as high"),
+        F.expr("percentile_disc(0.5) within group (order by o_totalprice) as middle"),
+        F.expr("percentile_disc(0.99) within group (order by o_totalprice) as top"),
     )
     point = distribution_point(
         attributes(attribute("priority", "o_orderpriority")),
@@ -309,8 +321,8 @@ def summary_requests(orders: DataFrame) -> DataFrame:
         count="cast(n as string)",
         sum="cents / 100D",
         quantileValues=(
-            "array(named_struct('quantile', 0D, 'value', low), "
-            "named_struct('quantile', 1D, 'value', high))"
+            "array(named_struct('quantile', 0.5D, 'value', middle), "
+            "named_struct('quantile', 0.99D, 'value', top))"
         ),
     )
     return groups.selectExpr(
