@@ -13,7 +13,7 @@ from metricloom.llm.common import map_batches, rows, stored, table
 
 # Characters of an expression of the models, and the discount of Kneser-Ney.
 ORDER = 5
-DISCOUNT = 0.75
+DISCOUNT = 0.9
 # Labelled rows to learn from, at most; which ones is decided by a hash of the id.
 TRAINING_ROWS = 30_000
 # Counts are kept in tables of fixed size by order of the expression: this bounds
