@@ -214,12 +214,13 @@ _ATTRS = f"""
   UNION ALL SELECT {_NANOS}, CASE WHEN event_id % 3 = 0 THEN 'dup' ELSE '' END,
     CAST(event_id AS VARCHAR) FROM events"""
 _LIST = """'{"values":[{"intValue":"' || user_id || '"}]}'"""
+_KV = """'{"values":[{"key":"u","value":{"intValue":"' || user_id || '"}}]}'"""
 _ATTR_KEY = (
     f"'events.' || event_type || {_N} || 'Gauge' || {_N} || 'https://example.org/resource/1' || {_N} "
     f"|| 'events' || {_N} || '1.0' || {_N} || 'service.name=second' || {_N} || {_N} "
     f"|| 'dup=' || CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'first' END || {_N} "
     f"|| 'even=' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || {_N} "
-    f"|| 'id=' || event_id || {_N} || 'list=' || {_LIST} || {_N} "
+    f"|| 'id=' || event_id || {_N} || 'kv=' || {_KV} || {_N} || 'list=' || {_LIST} || {_N} "
     f"|| 'raw=' || base64(encode(event_type)) || {_N} || 'type=' || event_type || {_N} "
     f"|| 'unset=' || {_N} || 'value=' || {g_text('value')} || {_N}"
 )
@@ -297,7 +298,7 @@ ORACLE: dict[str, str] = {
     "d2_series_id": f"""{ALL} SELECT metric AS "MetricName", count(DISTINCT key) AS ids,
         CAST(0 AS BIGINT) AS collisions, count(*) AS points FROM pts WHERE tbl IN ('gauge', 'sum')
         GROUP BY metric""",
-    "d3_sorted_keys": f"""SELECT {_NANOS}, 'dup,even,id,list,raw,type,unset,value' AS keys FROM events""",
+    "d3_sorted_keys": f"""SELECT {_NANOS}, 'dup,even,id,kv,list,raw,type,unset,value' AS keys FROM events""",
     "e1_distinct_series": f"WITH {EV} {_SERIES} FROM ev",
     "e2_new_series": f"""WITH {EV} {_SERIES} FROM ev WHERE NOT ({_CUT}) AND NOT EXISTS (
         SELECT 1 FROM ev AS old WHERE old.key = ev.key AND old.{_CUT})""",
@@ -380,16 +381,18 @@ ORACLE: dict[str, str] = {
     "j3_j4_drain_in_capped_batches": _REPORT,
     "j5_replayed_batch": _REPORT,
     "k1_any_value_to_string": f"""SELECT * FROM ({_ATTRS})
-        UNION ALL SELECT {_NANOS}, 'list', {_LIST} FROM events""",
+        UNION ALL SELECT {_NANOS}, 'list', {_LIST} FROM events
+        UNION ALL SELECT {_NANOS}, 'kv', {_KV} FROM events""",
     "k2_double_to_g": f"""SELECT l_orderkey, l_linenumber, l_partkey,
         {g_text('l_extendedprice')} AS plain, {g_text('(l_extendedprice * 1000.0::DOUBLE)')} AS large,
         {g_text('(l_extendedprice / -3e9::DOUBLE)')} AS small FROM lineitem""",
     "k3_complex_value_to_string": f"""SELECT {_NANOS}, 'list' AS key, {_LIST} AS text FROM events
+        UNION ALL SELECT {_NANOS}, 'kv', {_KV} FROM events
         UNION ALL SELECT {_NANOS}, 'raw', base64(encode(event_type)) FROM events""",
     "k4_kv_to_map": f"""SELECT {_NANOS}, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR)
-        ELSE 'first' END AS dup, 8 AS keys FROM events""",
-    "k5_strip_empty_keys": f"""SELECT {_NANOS}, 10 AS "before",
-        CASE WHEN event_id % 3 = 0 THEN 9 ELSE 8 END AS "after" FROM events""",
+        ELSE 'first' END AS dup, 9 AS keys FROM events""",
+    "k5_strip_empty_keys": f"""SELECT {_NANOS}, 11 AS "before",
+        CASE WHEN event_id % 3 = 0 THEN 10 ELSE 9 END AS "after" FROM events""",
     "k6_service_name": """SELECT CASE WHEN user_id % 5 = 0 THEN '' ELSE 's' || user_id END
         AS "ServiceName", 'second' AS mapped, count(*) AS metrics FROM events GROUP BY 1""",
     "k7_nanos_to_time": """WITH t AS (SELECT event_id,

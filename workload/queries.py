@@ -787,7 +787,7 @@ def k2_double_to_g(spark, sf_dir):
 @query
 def k3_complex_value_to_string(spark, sf_dir):
     rows = _raw_points(spark, sf_dir).select("p.timeUnixNano", F.explode("p.attributes").alias("a"))
-    return rows.filter("a.key in ('list', 'raw')").select(
+    return rows.filter("a.key in ('kv', 'list', 'raw')").select(
         F.col("timeUnixNano").cast("bigint").alias("nanos"),
         F.col("a.key").alias("key"),
         attr.complex_value_to_string(F.col("a.value")).alias("text"),

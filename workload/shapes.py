@@ -174,6 +174,11 @@ def attribute_requests(events: DataFrame) -> DataFrame:
             "parse_json(concat('{\"values\":[{\"intValue\":\"', user_id, '\"}]}'))",
             "arrayValue",
         ),
+        attribute(
+            "kv",
+            "parse_json(concat('{\"values\":[{\"key\":\"u\",\"value\":{\"intValue\":\"', user_id, '\"}}]}'))",
+            "kvlistValue",
+        ),
         attribute("raw", "base64(cast(event_type as binary))", "bytesValue"),
         attribute("unset", "null", None),
         f"if(event_id % 3 = 0, {attribute('dup', 'event_id', 'intValue')}, "
