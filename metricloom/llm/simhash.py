@@ -17,6 +17,8 @@ SEED = 42
 DISTANCE = 4
 # Hashes whose bits are unpacked at a time; bounds the memory of a long text.
 BLOCK = 1 << 14
+# Neighbours that a fingerprint is compared with in the screen.
+NEAR = 16
 
 _ONE = np.uint64(1)
 _BITS = _ONE << np.arange(64, dtype=np.uint64)
@@ -128,6 +130,34 @@ def _collisions(variants: DataFrame) -> DataFrame:
     return map_batches(dealt, step, "a bigint, b bigint").distinct()
 
 
+def _close(variants: DataFrame) -> DataFrame:
+    """(fp,) of fingerprints that may have a link, from keys that linked ones share.
+
+    Within a key each fingerprint is compared with its NEAR neighbours before it
+    in order. In a group of up to NEAR + 1 that is every pair, and only those in
+    distance stay; in a larger one those with a row further off stay unseen.
+    """
+
+    def step(batches):
+        keys, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            prints = np.concatenate([prints, batch.column(1).to_numpy()])
+            own = np.zeros(len(keys), bool)
+            for back in range(1, min(NEAR + 2, len(keys))):
+                same = keys[back:] == keys[:-back]
+                if back <= NEAR:
+                    differing = np.bitwise_count((prints[back:] ^ prints[:-back]).view(np.uint64))
+                    same &= differing <= DISTANCE
+                own[back:] |= same
+                own[:-back] |= same
+            yield rows(fp=np.unique(prints[own]))
+            keys, prints = keys[-NEAR - 1 :], prints[-NEAR - 1 :]
+
+    dealt = variants.repartition("variant").sortWithinPartitions("variant", "fp")
+    return map_batches(dealt, step, "fp bigint").distinct()
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b) of fingerprints at distance 1 to 4 whose components are those of all such pairs.
 
@@ -137,10 +167,9 @@ def links(prints: DataFrame) -> DataFrame:
     only. A full ball has 2081 variants, so a screen by the same idea goes
     first: of two fingerprints within 4 bits, one pair of halves is within 2
     bits, and the balls of radius 1 of those halves share one of 66 keys.
-    Fingerprints that meet no other there have no link and emit no full ball.
+    Fingerprints that cannot have a link by that emit no full ball.
     """
-    met = stored(_collisions(_variants(prints, _half_balls)), "met")
-    close = met.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    close = stored(_close(_variants(prints, _half_balls)), "close").hint("rebalance")
     found = _collisions(_variants(close, _full_balls))
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
 
