@@ -12,6 +12,8 @@ from metricloom.llm.common import stored, table
 BUCKET_BYTES = 4 << 20
 # Buckets whose offsets are summed in one task.
 GROUP = 1 << 12
+# Buckets up to which their offsets, 16 bytes each, are broadcast.
+MOST_BROADCAST = 1 << 16
 
 
 def _size(text: str) -> Column:
@@ -74,7 +76,8 @@ def shuffled(
         "buckets",
     )
     first = _first(shuffled_buckets.select("bucket", F.size("all").cast("bigint").alias("n")))
-    placed = shuffled_buckets.join(first.hint("rebalance"), F.col("bucket") == F.col("_bucket")).select(
+    first = F.broadcast(first) if buckets <= MOST_BROADCAST else first.hint("rebalance")
+    placed = shuffled_buckets.join(first, F.col("bucket") == F.col("_bucket")).select(
         "first", F.posexplode("all").alias("pos", "one")
     )
     at = F.col("first") + F.col("pos")

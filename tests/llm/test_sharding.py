@@ -19,8 +19,10 @@ def dealt_rows(spark, rows, shards=4, **options):
 ROWS = [(i, f"text {i} é") for i in range(500)] + [(None, None), (None, "x"), (3, ""), (3, "")] * 3
 
 
-def test_shards_are_even_and_whole(spark):
-    for size in (1 << 20, 500):
+def test_shards_are_even_and_whole(spark, monkeypatch):
+    for size in (1 << 20, 500, 400):
+        if size == 400:
+            monkeypatch.setattr(sharding, "MOST_BROADCAST", 1)
         found = dealt_rows(spark, ROWS, bucket_bytes=size)
         assert sorted(map(repr, (f[0] for f in found))) == sorted(map(repr, ROWS))
         counts = [sorted(f[2] for f in found if f[1] == s) for s in range(4)]
