@@ -83,6 +83,23 @@ def test_recall_on_all_rows_of_a_table(spark):
     assert sum(result.values()) >= 0.99 * sum(expected.values())
 
 
+def test_recall_of_pairs_just_above_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_ROWS", 64)
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=(2000, 64))
+    one /= np.sqrt((one**2).sum(1, keepdims=True))
+    other = rng.normal(size=one.shape)
+    other -= (other * one).sum(1, keepdims=True) * one
+    other /= np.sqrt((other**2).sum(1, keepdims=True))
+    cosine = rng.uniform(0.901, 0.93, size=(2000, 1))
+    near = cosine * one + np.sqrt(1 - cosine**2) * other
+    rows = list(enumerate(np.concatenate([one, near]).astype(np.float32).tolist()))
+    result = found(spark, rows)
+    assert sum(r[1] for r in result) >= 0.95 * 4000
+    # A component needs one of the two directions only.
+    assert sum(r[3] for r in result) <= 2000 + 0.02 * 2000
+
+
 def test_empty_table_and_no_valid_vector(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None), (2, [0.0]), (None, [])]) == brute([(1, None), (2, [0.0]), (None, [])])
