@@ -125,22 +125,26 @@ def _seconds(frame: DataFrame, column: Column) -> tuple[float, float]:
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
     """The rules by falling rejection per cost, both estimated on a sample of the texts.
 
-    ``docs`` has the base counts. The sample is stored, so that each
+    ``docs`` has doc_id and text. The sample is drawn before anything is counted, and stored, so that each
     rule is timed alone; a condition that is always false gives the time of a job.
     The order changes the work and never a verdict.
     """
     whole = docs.count()
     if not whole:
         return rules
-    sample = docs.sample(min(1.0, sample_rows / whole), seed=7).filter("NOT base_failed")
-    sample = stored(sample.select("text", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines"), "sample")
+    drawn = docs.sample(min(1.0, sample_rows / whole), seed=7)
+    columns = ("text", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "base_failed")
+    counted = stored(base_counts(drawn).select(*columns), "sample")
+    # Filtered only once it is stored: a filter on the counts would be pushed below
+    # the steps they are made in, and make each of them anew for every word.
+    sample = counted.filter("NOT base_failed")
     _seconds(sample, F.lit(False))
     idle, _ = _seconds(sample, F.length("text") < 0)
     worth = {}
     for rule in rules:
         seconds, share = _seconds(sample, rule.rejects())
         worth[rule.name] = share / max(seconds - idle, 1e-3)
-    dropped(sample)
+    dropped(counted)
     return tuple(sorted(rules, key=lambda r: -worth[r.name]))
 
 
@@ -154,9 +158,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     Null and empty texts have no words and fail the base. Repeated rows and rows without an id each
     give a row; an empty table gives none; other columns of ``docs`` are not looked at.
     """
-    counted = base_counts(docs, id_col, text_col)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counted = base_counts(texts)
     verdict = F.when(F.col("base_failed"), "base")
-    for rule in cascade(counted, rules):
+    for rule in cascade(texts, rules):
         verdict = verdict.when(rule.rejects(), rule.name)
     return counted.select(
         "doc_id",

@@ -62,10 +62,12 @@ def test_order_of_rules_changes_no_verdict(spark, monkeypatch):
 
 
 def test_cascade_orders_by_rejection_per_cost(spark):
-    counted = quality.base_counts(
-        spark.createDataFrame([(i, "GO!! " * 30 + f"w{i} x" * 30, 1, "k", 2) for i in range(50)], DOCS)
-    ).withColumn("base_failed", quality.F.lit(False))
-    order = quality.cascade(counted)
+    rng = random.Random(9)
+    texts = [
+        " ".join("".join(rng.choices("abcdefgh", k=6)) + "!!" for _ in range(90)) for _ in range(50)
+    ]
+    docs = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in enumerate(texts)], DOCS)
+    order = quality.cascade(docs.select("doc_id", "text"))
     assert set(order) == set(quality.RULES) and order[0].name == "shouting"
 
 
