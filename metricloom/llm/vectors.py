@@ -21,9 +21,6 @@ LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 256, 4096, 512
 # Subspaces of a residual, and codes of each.
 SUBSPACES, CODES = 16, 16
 _ROUNDS, _SEED = 8, 7
-# How far the vectors of a pair may lie apart across the border of two lists, in
-# standard deviations of a random direction: decides which lists are probed.
-SIGMAS = 1.5
 # Slack for rounding where a bound decides that a pair is looked at; pairs
 # themselves are decided by their cosine in double precision.
 _SLACK = 1e-3
@@ -71,12 +68,9 @@ class Index:
         """(point, list) for every list that is to be searched for the point.
 
         A vector of that list lies beyond the plane halfway between the list's centre and
-        the point's own. A plane further off than the radius hides no pair. In many dimensions the
-        part of a difference that is upright to one plane is far smaller, with a standard deviation
-        of radius / sqrt(dimensions), so SIGMAS of that find nearly all pairs at the radius, and more of closer
-        ones (measured in the tests), whatever the number of lists.
+        the point's own. A plane further off than the radius hides no pair, any other may: no pair
+        is lost, however the vectors are spread, and either end of a pair probes the other's list.
         """
-        radius = radius * min(1.0, SIGMAS / np.sqrt(points.shape[1]))
         square = (
             (points**2).sum(1)[:, None]
             - 2 * points @ self.centres.T

@@ -100,6 +100,33 @@ def test_recall_of_pairs_just_above_the_limit(spark, monkeypatch):
     assert sum(r[3] for r in result) <= 2000 + 0.02 * 2000
 
 
+def planted(rng, n, width, rank):
+    """n pairs of cosine 0.901 to 0.93 within a subspace of the given rank."""
+    frame = np.linalg.qr(rng.normal(size=(width, rank)))[0].T
+    one = rng.normal(size=(n, rank))
+    one /= np.sqrt((one**2).sum(1, keepdims=True))
+    other = rng.normal(size=one.shape)
+    other -= (other * one).sum(1, keepdims=True) * one
+    other /= np.sqrt((other**2).sum(1, keepdims=True))
+    cosine = rng.uniform(0.901, 0.93, size=(n, 1))
+    near = cosine * one + np.sqrt(1 - cosine**2) * other
+    return (np.concatenate([one, near]) @ frame).astype(np.float32)
+
+
+def test_no_link_is_lost_in_low_ranks_mixed_lengths_and_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_ROWS", 16)
+    rng = np.random.default_rng(6)
+    groups = [planted(rng, 400, w, r) for w, r in ((64, 64), (64, 16), (64, 8), (200, 16), (12, 12))]
+    values = [v for group in groups for v in group]
+    expected, at = {}, 0
+    for group in groups:
+        units = group.astype(float) / np.sqrt((group.astype(float) ** 2).sum(1, keepdims=True))
+        expected.update(enumerate(((units @ units.T >= 0.9).sum(1) - 1).tolist(), at))
+        at += len(group)
+    result = found(spark, [(i, v.tolist()) for i, v in enumerate(values)])
+    assert {r[0]: r[1] for r in result} == expected
+
+
 def test_empty_table_and_no_valid_vector(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None), (2, [0.0]), (None, [])]) == brute([(1, None), (2, [0.0]), (None, [])])
