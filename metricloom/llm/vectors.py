@@ -16,8 +16,9 @@ from metricloom.llm.graph import components
 COSINE = 0.9
 # Vectors on which the index is fitted, at most; which ones a hash decides.
 TRAINING_ROWS = 20_000
-# Vectors per inverted list on average, lists at most, and rows of a block of one.
-LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 256, 4096, 512
+# Vectors per inverted list on average, lists at most, rows of a block of one, and
+# how many times as many rows a block of what probes it has.
+LIST_ROWS, MOST_LISTS, BLOCK_ROWS, ASKED = 256, 4096, 512, 4
 # Subspaces of a residual, and codes of each.
 SUBSPACES, CODES = 16, 16
 _ROUNDS, _SEED = 8, 7
@@ -69,7 +70,8 @@ class Index:
 
         A vector of that list lies beyond the plane halfway between the list's centre and
         the point's own. A plane further off than the radius hides no pair, any other may: no pair
-        is lost, however the vectors are spread, and either end of a pair probes the other's list.
+        is lost, however the vectors are spread. Either end of a pair is near the other's list, so
+        only the one in the later list searches, and both are credited.
         """
         square = (
             (points**2).sum(1)[:, None]
@@ -87,6 +89,7 @@ class Index:
         )
         gap = square - square[np.arange(len(points)), own][:, None]
         near = gap <= 2 * between * (radius + _SLACK)
+        near &= np.arange(len(self.centres)) < own[:, None]
         near[np.arange(len(points)), own] = True
         return np.nonzero(near)
 
@@ -177,17 +180,21 @@ def _links_of(block, index: Index, width: int):
     kept, asked = members.field("vector"), queries.field("vector")
     points, own = _unit(_matrix(kept, width)), _unit(_matrix(asked, width))
     size, wide = kept.value_lengths().to_numpy(), asked.value_lengths().to_numpy()
-    name = queries.field("node").to_numpy()
+    name, asks = (queries.field(k).to_numpy() for k in ("node", "weight"))
+    # Within its own list each end searches for itself.
+    both = queries.field("home").to_numpy() != centre
     reach = np.sqrt(2 - 2 * COSINE) + _SLACK + members.field("error").to_numpy()
     x, y = np.nonzero(index.distances(own, centre, codes) <= reach)
     good = (np.einsum("ij,ij->i", own[x], points[y]) >= COSINE) & (name[x] != node[y])
     good &= wide[x] == size[y]
     x, y = x[good], y[good]
     label = _forest(x, y, len(name), len(node))
-    total = np.bincount(x, weight[y], len(name)).astype(np.int64)
+    back = both[x]
+    total = np.bincount(x, weight[y], len(name))
+    credit = np.bincount(y[back], asks[x[back]], len(node))
     names = np.concatenate([name, node])
     linked = np.unique(np.concatenate([x, len(name) + y]))
-    links = np.concatenate([total, np.zeros(len(node), np.int64)])
+    links = np.concatenate([total, credit]).astype(np.int64)
     return names[linked], names[label[linked]], links[linked]
 
 
@@ -218,14 +225,14 @@ def _blocks(coded: DataFrame) -> DataFrame:
     Members and queries are dealt to as many blocks as their numbers ask for, and meet once. A list of
     any size is searched by many tasks of bounded size.
     """
-    asked = coded.select(F.explode("probes").alias("list"), "node", "vector")
+    asked = coded.select(F.explode("probes").alias("list"), "node", "weight", F.col("list").alias("home"), "vector")
     sizes = (
         coded.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
         .join(asked.groupBy("list").agg(F.count(F.lit(1)).alias("q")), "list")
         .select(
             "list",
             F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("own"),
-            F.ceil(F.col("q") / BLOCK_ROWS).cast("int").alias("other"),
+            F.ceil(F.col("q") / (ASKED * BLOCK_ROWS)).cast("int").alias("other"),
         )
     )
     sizes = F.broadcast(stored(sizes, "lists"))  # at most MOST_LISTS rows
@@ -248,7 +255,7 @@ def _blocks(coded: DataFrame) -> DataFrame:
         every("own").alias("m"),
         dealt("other").alias("q"),
         F.lit(None).alias("member"),
-        F.struct("node", "vector").alias("query"),
+        F.struct("node", "weight", "home", "vector").alias("query"),
     )
     return (
         members.unionByName(queries)

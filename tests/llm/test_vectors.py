@@ -127,6 +127,28 @@ def test_no_link_is_lost_in_low_ranks_mixed_lengths_and_many_lists(spark, monkey
     assert {r[0]: r[1] for r in result} == expected
 
 
+def test_both_ends_are_credited(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_ROWS", 8)
+    rng = np.random.default_rng(7)
+    near = planted(rng, 150, 32, 12)
+    # Copies make weights; each link of a pair is one of every copy at the other end.
+    values = [v.tolist() for v in np.concatenate([near, near[:20], near[:20], near[150:160]])]
+    rows = list(enumerate(values))
+    assert found(spark, rows) == brute(rows)
+
+
+def test_each_pair_is_searched_for_once(spark):
+    rng = np.random.default_rng(8)
+    points = vectors._unit(planted(rng, 500, 64, 16).astype(float))
+    index = vectors._fit(points, 20)
+    at, probed = index.probes(points, np.sqrt(2 - 2 * vectors.COSINE))
+    own = vectors._nearest(points, index.centres)
+    searched = set(zip(at.tolist(), probed.tolist(), strict=True))
+    for a, b in zip(*np.nonzero(points @ points.T >= vectors.COSINE), strict=True):
+        ends = ((a, own[b]) in searched) + ((b, own[a]) in searched)
+        assert ends == (2 if own[a] == own[b] else 1)
+
+
 def test_empty_table_and_no_valid_vector(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None), (2, [0.0]), (None, [])]) == brute([(1, None), (2, [0.0]), (None, [])])
