@@ -1,4 +1,4 @@
-"""Near-duplicate texts by SimHash and meet-in-the-middle ball hashing."""
+"""Near-duplicate texts by SimHash and meet-in-the-middle ball hashing; by Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -19,6 +19,10 @@ DISTANCE = 4
 BLOCK = 1 << 14
 # Neighbours that a fingerprint is compared with in the screen.
 NEAR = 16
+# Words of a shingle and least similarity of copies where documents are removed; smallest
+# hashes that make a key, and keys of a text: a pair at the limit shares none in 1 of 20 million.
+WORDS, JACCARD = 5, 0.8
+BAND, BANDS = 4, 32
 
 _ONE = np.uint64(1)
 _BITS = _ONE << np.arange(64, dtype=np.uint64)
@@ -26,16 +30,31 @@ _BITS = _ONE << np.arange(64, dtype=np.uint64)
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of the word shingles of a text; 0 if it has no word."""
-    words = text.lower().split() if text else []  # bytes: only A-Z, only ASCII white space
+    words = _words(text)
     if not words:
         return 0
+    hashes = _hashes(words, shingle)
+    last = len(hashes)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, last, BLOCK):
+        bits = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(_BITS[2 * ones > last].sum(dtype=np.uint64))
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []  # bytes: only A-Z, only ASCII white space
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hash of each shingle of at least one word; fewer words than a shingle has are one."""
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = max(1, len(words) - shingle + 1)
     tails = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (
             digest(joined[a:b], SEED)
             for a, b in zip(starts[:last].tolist(), tails.tolist(), strict=True)
@@ -43,11 +62,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         np.uint64,
         last,
     )
-    ones = np.zeros(64, np.int64)
-    for at in range(0, last, BLOCK):
-        bits = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(_BITS[2 * ones > last].sum(dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,12 +230,160 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_rng = np.random.default_rng(SEED)
+_TIMES, _PLUS = _rng.integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | _ONE
+
+
+def _keys(words: list[bytes]) -> np.ndarray:
+    """Keys of a text's set of shingles: each a hash of BAND smallest hashes in as many orders."""
+    if not words:
+        return np.zeros(0, np.int64)
+    hashes = np.unique(_hashes(words, WORDS))
+    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), BLOCK >> 4):
+        low = np.minimum(low, (hashes[at : at + (BLOCK >> 4), None] * _TIMES + _PLUS).min(axis=0))
+    digest = xxhash.xxh64_intdigest
+    return signed(
+        np.array([digest(b.tobytes(), k) for k, b in enumerate(low.reshape(BANDS, BAND))], np.uint64)
+    )
+
+
+def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, words, keys) of every row; ``words`` tells apart texts of other words."""
+
+    def step(batches):
+        for batch in batches:
+            own = [_words(t) for t in utf8(batch.column(1))]
+            yield rows(
+                doc_id=batch.column(0),
+                text=batch.column(1),
+                words=pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in own], pa.binary()),
+                keys=pa.array([_keys(w) for w in own], pa.list_(pa.int64())),
+            )
+
+    return map_batches(
+        docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")),
+        step,
+        "doc_id bigint, text string, words binary, keys array<bigint>",
+    )
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of JACCARD at least."""
+
+    def shingles(text):
+        return np.unique(_hashes(_words(text), WORDS))
+
+    def step(batches):
+        last = own = None  # a star's centre comes many times in a row
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (one, other) in enumerate(zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)):
+                if other != last:
+                    last, own = other, shingles(other)
+                mine = shingles(one)
+                both = len(np.intersect1d(mine, own, assume_unique=True))
+                good[i] = both >= JACCARD * (len(mine) + len(own) - both)
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    one, other = (texts.select(F.col("row").alias(f"_{k}"), F.col("text").alias(f"{k}_text")) for k in "ab")
+    full = (
+        pairs.join(one, pairs["a"] == one["_a"]).hint("rebalance")
+        .join(other, pairs["b"] == other["_b"])
+        .select("a", "b", "a_text", "b_text")
+    )
+    return map_batches(full, step, "a bigint, b bigint")
+
+
+def _neighbours(variants: DataFrame) -> DataFrame:
+    """(a, b): nodes of one key, up to NEAR rows apart, that aren't in the same component yet.
+
+    Of ``variants`` (variant, fp, component). Each key has an order of its own, so that
+    in keys of more than NEAR + 1 nodes others are neighbours each time.
+    """
+
+    def step(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            keys, nodes, groups = held
+            a, b = [], []
+            for back in range(1, min(NEAR + 1, len(keys))):
+                new = (keys[back:] == keys[:-back]) & (groups[back:] != groups[:-back])
+                a.append(np.maximum(nodes[back:], nodes[:-back])[new])
+                b.append(np.minimum(nodes[back:], nodes[:-back])[new])
+            if a:
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+                yield rows(a=pairs[:, 0].copy(), b=pairs[:, 1].copy())
+            held = [h[-NEAR:] for h in held]
+
+    dealt = variants.repartition("variant").sortWithinPartitions("variant", F.xxhash64("variant", "fp"))
+    return map_batches(dealt.select("variant", "fp", "component"), step, "a bigint, b bigint").distinct()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, words, component_id) of every row of ``docs``.
+
+    Texts are linked whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more,
+    and texts of the same words (null, empty and blank ones have none). Candidates share one of
+    32 keys made of smallest hashes; each is compared with the first node of a key, then with
+    the nodes around it in the key that it isn't connected to. Names of components, repeated
+    rows and rows without an id are as in ``near_duplicates``.
+    """
+    of_docs = stored(
+        _shingled(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shingled"
+    )
+    nodes = stored(
+        of_docs.groupBy("words").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc")),
+        "nodes",
+    )
+    own = of_docs.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    variants = stored(own.select(F.explode("keys").alias("variant"), F.col("row").alias("fp")), "keys")
+    texts = of_docs.select("row", "text")
+    stars = stored(_alike(stored(_collisions(variants), "stars"), texts), "links")
+    groups = stored(components(stars), "components")
+    marked = variants.join(groups, variants["fp"] == groups["node"], "left").select(
+        "variant", "fp", F.coalesce("component", "fp").alias("component")
+    )
+    # A key whose nodes are all in one component has nothing left to compare.
+    mixed = (
+        marked.groupBy(F.col("variant").alias("_open"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low < high")
+        .select("_open")
+        .hint("rebalance")
+    )
+    rest = marked.join(mixed, marked["variant"] == mixed["_open"], "left_semi")
+    further = stored(_alike(stored(_neighbours(rest), "neighbours"), texts), "links")
+    groups = stored(components(stars.unionByName(further)), "components")
+    named = nodes.join(groups.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
+        "words", "first_doc", F.coalesce("component", "node").alias("component")
+    )
+    roots = (
+        named.groupBy(F.col("component").alias("root"))
+        .agg(F.min("first_doc").alias("component_id"))
+        .hint("rebalance")
+    )
+    labels = stored(
+        named.join(roots, named["component"] == roots["root"]).select("words", "component_id"), "labels"
+    )
+    return of_docs.select("doc_id", "words").hint("rebalance").join(labels, "words")
+
+
+def _kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    keep = labels.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
     Returns the columns of ``docs``. Rows that repeat the kept id stay as they
     are; rows without an id stay only in groups where no row has one.
     """
-    labels = near_duplicates(docs)
-    keep = labels.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    return _kept(docs, near_duplicates(docs))
+
+
+def dissimilar_documents(docs: DataFrame) -> DataFrame:
+    """``distinct_documents`` for the groups of ``similar``."""
+    return _kept(docs, similar(docs))

@@ -6,7 +6,13 @@ import pytest
 import xxhash
 
 from metricloom.llm.graph import components
-from metricloom.llm.simhash import distinct_documents, links, near_duplicates
+from metricloom.llm.simhash import (
+    dissimilar_documents,
+    distinct_documents,
+    links,
+    near_duplicates,
+    similar,
+)
 from tests.llm.brute import union_find
 
 DOCS = "doc_id long, text string, component_id string, _key int"
@@ -106,3 +112,59 @@ def test_components_of_random_graphs(spark, seed):
     nodes = {n for p in pairs for n in p if p[0] != p[1]}
     expected = union_find(nodes, pairs)
     assert {r.node: r.component for r in components(edges).collect()} == expected
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_similar(rows):
+    """Smallest id of each component of texts of Jaccard similarity 0.8, by comparing every pair."""
+    sets = [shingles(t) for _, t in rows]
+    alike = [
+        (i, j)
+        for i, a in enumerate(sets)
+        for j, b in enumerate(sets[:i])
+        if not (a or b) or len(a & b) >= 0.8 * len(a | b)
+    ]
+    roots = union_find(range(len(rows)), alike)
+    return {rows[i][0]: rows[r][0] for i, r in roots.items()}
+
+
+def copy_at(rng, text, least):
+    """A copy with scattered one-word edits, as many as leave a similarity of ``least``."""
+    words, own, out = text.split(), shingles(text), text
+    for at in rng.sample(range(len(words)), len(words)):
+        words[at] = f"e{rng.randrange(10**9)}"
+        new = " ".join(words)
+        other = shingles(new)
+        if len(own & other) < least * len(own | other):
+            return out
+        out = new
+    return out
+
+
+def test_copies_of_similarity_from_the_limit_on_go(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in (60, 300, 1000):
+        for least in (0.8, 0.85, 0.9, 0.95):
+            for _ in range(15):
+                text = " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+                rows += [(len(rows), text), (len(rows) + 1, copy_at(rng, text, least))]
+    # Just below the limit, short texts, and texts of few words.
+    for _ in range(20):
+        text = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+        rows += [(len(rows), text), (len(rows) + 1, " ".join(text.split()[:-41]))]
+    rows += list(enumerate([None, "", " ", "a b", "A  b", "a b c", "a b c d e f", "a b c d e f g"], len(rows)))
+    # A large group around one text, where keys hold many, and a chain.
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(150))
+    rows += [(len(rows) + i, copy_at(rng, base, rng.uniform(0.8, 0.9))) for i in range(150)]
+    for _ in range(20):
+        base = copy_at(rng, base, 0.82)
+        rows.append((len(rows), base))
+    expected = brute_similar(rows)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
+    assert {r.doc_id: r.component_id for r in similar(docs).collect()} == expected
+    assert {r.doc_id for r in dissimilar_documents(docs).collect()} == set(expected.values())
