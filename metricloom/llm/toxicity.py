@@ -16,9 +16,6 @@ ORDER = 5
 DISCOUNT = 0.9
 # Labelled rows to learn from, at most; which ones is decided by a hash of the id.
 TRAINING_ROWS = 30_000
-# Counts are kept in tables of fixed size by order of the expression: this bounds
-# what is broadcast (some 15 MB), whatever the corpus.
-TABLE_BITS = {5: 20, 4: 18, 3: 16, 2: 14, 1: 12, 0: 1}
 # Words whose score a worker remembers, and words scored at a time.
 CACHE = 1 << 18
 WORDS = 1 << 15
@@ -27,23 +24,23 @@ FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 # Score from which a text is predicted to be toxic.
 TOXIC = 0.5
 
-# A character takes 12 bits of an expression's code; the marks of a word's ends are 1 and 2.
-_BITS = 12
+# A character takes 21 bits of an expression's code, as many as code points have: ``lo`` holds
+# the last three characters, ``hi`` those before. The marks of a word's ends are 1 and 2.
+_BITS, _LAST = 21, 3
 _CHAR = (1 << _BITS) - 1
 _BEFORE, _AFTER = "\x01" * (ORDER - 1), "\x02"
-# Odd numbers of no meaning under 2**31: products with 30 bits stay in 64 signed ones.
-_LOW, _HIGH, _HALF = 1640531527, 2135587861, (1 << 30) - 1
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all expressions of the words, one per character and end, and each word's first."""
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (hi, lo) of all expressions of the words, one per character and end, and each word's first."""
     joined = "".join([f"{_BEFORE}{w}{_AFTER}" for w in words])
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    chars = chars.astype(np.int64) & _CHAR
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     n = len(chars) - ORDER + 1
-    codes = np.zeros(n, np.int64)
+    hi, lo = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(ORDER):
-        codes = codes << _BITS | chars[i : i + n]
+        half = hi if i < ORDER - _LAST else lo
+        half <<= _BITS
+        half |= chars[i : i + n]
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths + ORDER - 1)
     firsts = ends - lengths - ORDER + 1
@@ -51,53 +48,40 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(n, bool)
     gaps = (firsts[1:, None] - np.arange(1, ORDER)).ravel()
     inside[gaps] = False
-    return codes[inside], np.cumsum(lengths) - lengths
+    return hi[inside], lo[inside], np.cumsum(lengths) - lengths
 
 
-def _bucket(codes: np.ndarray, order: int) -> np.ndarray:
-    mixed = (codes & _HALF) * _LOW + (codes >> 30) * _HIGH
-    return (mixed >> 30) & ((1 << TABLE_BITS[order]) - 1)
-
-
-def _mask(order: int) -> int:
-    return (1 << _BITS * order) - 1
+def _place(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value among sorted ones, and whether it is one of them."""
+    place = np.minimum(np.searchsorted(among, values), max(len(among) - 1, 0))
+    return place, among[place] == values if len(among) else np.zeros(len(values), bool)
 
 
 @dataclass
 class Model:
-    """Counts by bucket; log-likelihood ratios of words; calibration of a text's features.
+    """Log-likelihood ratio of each expression that either class has shown; calibration of features.
 
-    ``own[c]``: (count of the expression, of its context, kinds after its context)
-    in texts of class c. ``shared[k]``: the same of expressions of k characters in
-    the whole corpus, counted by how many different characters stand before them.
+    ``his`` and ``los`` are the halves that occur, sorted; ``pairs`` are those of them that make
+    an expression, as place of hi times their number plus place of lo. Held exactly: as
+    many as the labelled texts have, whatever the corpus.
     """
 
-    own: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    shared: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    kinds: int
+    his: np.ndarray
+    los: np.ndarray
+    pairs: np.ndarray
+    values: np.ndarray
     weights: np.ndarray | None = None
 
-    @staticmethod
-    def _step(counts, codes, order: int, backoff: np.ndarray) -> np.ndarray:
-        """Interpolated Kneser-Ney; where the context is unknown, the backoff itself."""
-        count, context, kinds = counts
-        before = _bucket(codes >> _BITS, order - 1)
-        total = context[before]
-        known = total > 0
-        safe = np.where(known, total, 1)
-        high = np.maximum(count[_bucket(codes, order)] - DISCOUNT, 0) / safe
-        return np.where(known, high + DISCOUNT * kinds[before] / safe * backoff, backoff)
-
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        codes, firsts = _codes(words)
-        backoff = np.full(len(codes), 1 / self.kinds)
-        for k in range(1, ORDER):
-            backoff = self._step(self.shared[k], codes & _mask(k), k, backoff)
-        ordinary, toxic = (self._step(own, codes, ORDER, backoff) for own in self.own)
+        hi, lo, firsts = _codes(words)
+        out = np.zeros(len(hi))
+        (high, one), (low, two) = _place(hi, self.his), _place(lo, self.los)
+        place, known = _place(high * len(self.los) + low, self.pairs)
         # What neither class has shown says nothing, not that the class with fewer texts is likelier.
-        known = sum(own[0][_bucket(codes, ORDER)] for own in self.own) > 0
-        return np.add.reduceat(np.where(known, np.log(toxic) - np.log(ordinary), 0.0), firsts)
+        known &= one & two
+        out[known] = self.values[place[known]]
+        return np.add.reduceat(out, firsts)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -115,7 +99,7 @@ def _words(text: str | None) -> list[str]:
 
 
 def _gathered(labelled: DataFrame) -> DataFrame:
-    """(kind, code, n): expressions by class (kinds 0 and 1) and of the corpus (2, n says nothing).
+    """(kind, hi, lo, n): expressions by class (kinds 0 and 1) and of the corpus (2, n says nothing).
 
     ``labelled`` is (text, toxic) of all documents, toxic null where not learned from.
     """
@@ -142,54 +126,92 @@ def _gathered(labelled: DataFrame) -> DataFrame:
                 names = list(counts)
                 for at in range(0, len(names), WORDS):
                     part = names[at : at + WORDS]
-                    codes, firsts = _codes(part)
+                    hi, lo, firsts = _codes(part)
                     times = np.fromiter((counts[w] for w in part), np.int64, len(part))
-                    lengths = np.diff(np.append(firsts, len(codes)))
-                    unique, place = np.unique(codes, return_inverse=True)
-                    n = np.bincount(place, np.repeat(times, lengths)).astype(np.int64)
-                    yield rows(kind=np.full(len(unique), kind, np.int32), code=unique, n=n)
-
-    raw = map_batches(labelled, step, "kind int, code bigint, n bigint")
-    return raw.groupBy("kind", "code").agg(F.sum("n").alias("n"))
-
-
-def _table(counts: DataFrame, order: int, *values: str) -> list[np.ndarray]:
-    """Sums of values by bucket of ``code``, in arrays of the fixed size."""
-    mixed = f"(code & {_HALF}L) * {_LOW}L + shiftright(code, 30) * {_HIGH}L"
-    bucket = F.expr(f"CAST(shiftright({mixed}, 30) & {(1 << TABLE_BITS[order]) - 1}L AS INT)")
-    found = counts.groupBy(bucket.alias("bucket")).agg(*[F.sum(v).alias(v) for v in values])
-    found = found.toArrow()  # at most one row per bucket
-    out = []
-    for value in values:
-        array = np.zeros(1 << TABLE_BITS[order], np.float32)
-        array[found.column("bucket").to_numpy()] = found.column(value).to_numpy()
-        out.append(array)
-    return out
-
-
-def _tables(counts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    (own,) = _table(counts, order, "n")
-    contexts = counts.select(F.expr(f"shiftright(code, {_BITS})").alias("code"), "n").groupBy("code")
-    context, kinds = _table(
-        contexts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")),
-        order - 1,
-        "n",
-        "kinds",
-    )
-    return own, context, kinds
+                    times = np.repeat(times, np.diff(np.append(firsts, len(hi))))
+                    order = np.lexsort((lo, hi))
+                    hi, lo, times = hi[order], lo[order], times[order]
+                    new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
+                    n = np.add.reduceat(times, np.flatnonzero(new))
+                    yield rows(kind=np.full(len(n), kind, np.int32), hi=hi[new], lo=lo[new], n=n)
+
+    raw = map_batches(labelled, step, "kind int, hi bigint, lo bigint, n bigint")
+    return raw.groupBy("kind", "hi", "lo").agg(F.sum("n").alias("n"))
+
+
+def _suffix(k: int, to: str = "") -> list:
+    """Code of the last k characters of an expression."""
+    high, low = ((1 << _BITS * n) - 1 for n in (max(k - _LAST, 0), min(k, _LAST)))
+    return [F.expr(f"hi & {high}L").alias(f"{to}hi"), F.expr(f"lo & {low}L").alias(f"{to}lo")]
+
+
+def _context(to: str = "") -> list:
+    """Code of an expression without its last character."""
+    low = f"shiftleft(hi & {_CHAR}L, {_BITS * (_LAST - 1)}) | shiftright(lo, {_BITS})"
+    return [F.expr(f"shiftright(hi, {_BITS})").alias(f"{to}hi"), F.expr(low).alias(f"{to}lo")]
+
+
+def _interpolated(count: str, total: str, kinds: str, backoff: str):
+    """Interpolated Kneser-Ney; where the context is unknown, the backoff itself."""
+    high = F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) / F.col(total)
+    low = F.lit(DISCOUNT) * F.col(kinds) / F.col(total) * F.col(backoff)
+    return F.when(F.col(total) > 0, high + low).otherwise(F.col(backoff))
 
 
 def _model(grams: DataFrame) -> Model:
-    own = [_tables(grams.filter(F.col("kind") == kind).select("code", "n"), ORDER) for kind in (0, 1)]
-    shared, level = {}, grams.filter("kind = 2").select("code")
+    """Exact counts of the whole corpus, joined to the expressions that the classes have shown.
+
+    Each of those has its suffixes in the corpus, so the joins lose none.
+    """
+
+    def of_class(kind: int):
+        return F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(f"n{kind}")
+
+    own = stored(grams.filter("kind < 2").groupBy("hi", "lo").agg(of_class(0), of_class(1)), "shown")
+    levels, level = {}, grams.filter("kind = 2")
     for k in range(ORDER - 1, 0, -1):
         # How many different characters stand before an expression of k characters.
-        level = level.groupBy(F.expr(f"code & {_mask(k)}L").alias("code")).agg(
-            F.count(F.lit(1)).alias("n")
+        level = level.groupBy(*_suffix(k)).agg(F.count(F.lit(1)).alias("n"))
+        levels[k] = level = stored(level, f"shared{k}")
+    # Likelihood of the last k characters of what is shown, from short to long.
+    kinds = levels[1].count() + 1
+    backoff = None
+    for k in range(1, ORDER):
+        contexts = levels[k].groupBy(*_context("c_")).agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
+        )
+        asked = own.select(*_suffix(k)).distinct()
+        found = levels[k].join(asked, ["hi", "lo"], "left_semi")
+        found = found.select("hi", "lo", "n", *_context("c_"), *_suffix(k - 1, "s_"))
+        found = found.join(contexts, ["c_hi", "c_lo"])
+        if backoff is None:
+            found = found.withColumn("p", F.lit(1 / kinds))
+        else:
+            found = found.join(backoff, ["s_hi", "s_lo"])
+        backoff = stored(
+            found.select(
+                F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), _interpolated("n", "total", "kinds", "p").alias("p")
+            ),
+            f"backoff{k}",
         )
-        shared[k] = _tables(level, k)
-        level = level.select("code")
-    return Model(own, shared, int((shared[1][0] > 0).sum()) + 1)
+    totals = own.groupBy(*_context("c_")).agg(
+        *[F.sum(f"n{c}").alias(f"total{c}") for c in (0, 1)],
+        *[F.sum((F.col(f"n{c}") > 0).cast("bigint")).alias(f"kinds{c}") for c in (0, 1)],
+    )
+    ordinary, toxic = (F.log(_interpolated(f"n{c}", f"total{c}", f"kinds{c}", "p")) for c in (0, 1))
+    found = (
+        own.select("*", *_context("c_"), *_suffix(ORDER - 1, "s_"))
+        .join(totals, ["c_hi", "c_lo"])
+        .join(backoff, ["s_hi", "s_lo"])
+        .select("hi", "lo", (toxic - ordinary).alias("ratio"))
+        .toArrow()  # as many rows as the labelled texts have expressions
+    )
+    hi, lo, ratio = (found.column(k).to_numpy() for k in ("hi", "lo", "ratio"))
+    his, high = np.unique(hi, return_inverse=True)
+    los, low = np.unique(lo, return_inverse=True)
+    pairs = high * len(los) + low
+    order = np.argsort(pairs)
+    return Model(his, los, pairs[order], ratio[order])
 
 
 class _Features:

@@ -99,6 +99,30 @@ def test_ratios_equal_a_plain_version(spark):
     assert np.allclose(model.ratios(words), plain, atol=1e-3)
 
 
+def test_ratios_of_many_expressions_and_scripts(spark):
+    # More expressions than 2^18, in scripts whose code points agree in their low 12 bits.
+    docs, labels = corpus(120)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(0x4E00 + i) for i in range(0, 4000, 7))
+    for i in range(300):
+        docs.append((1000 + i, " ".join("".join(rng.choices(letters, k=8)) for _ in range(150))))
+    twins = "".join(chr(ord(c) + 0x5000) for c in "grzok")
+    docs += [(2000 + i, f"{twins} \U0001f600\U0001f4a9 tala") for i in range(40)]
+    labels += [(2000 + i, 1, 0) for i in range(40)] + [(1000 + i, 1, i % 2) for i in range(40)]
+    import zlib
+
+    toxic = {i: x for i, _, x in labels}
+    classes = [
+        [x for i, x in docs if toxic.get(i) == c and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+        for c in (0, 1)
+    ]
+    words = ["grzok", twins, "\U0001f600\U0001f4a9", "tala", docs[130][1].split()[0], "gexxit", "unseen"]
+    words += [w for _, x in docs[120:160] for w in x.split()[:20]]
+    plain = plain_ratios([x for _, x in docs], classes, words)
+    assert plain[1] < 0 < plain[0]
+    assert np.allclose(t.trained(*frames(spark, docs, labels)).ratios(words), plain, atol=1e-6)
+
+
 def test_held_out_rows(spark):
     docs, labels = corpus(400)
     found = {r.doc_id: r for r in t.scores(*frames(spark, docs, labels)).collect()}
