@@ -1,6 +1,7 @@
 """The pipeline: each stage on what the one before it kept, columns, and edge cases."""
 
 import random
+import zlib
 
 import pytest
 
@@ -70,6 +71,11 @@ def test_run_equals_the_stages(spark, corpus):
         assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
 
 
+def test_rows_hold_the_token_ids(spark, corpus):
+    pieces = corpus_pipeline.run(spark, corpus[0]).collect()
+    assert pieces and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in pieces)
+
+
 def test_texts_without_repeats_keep_other_columns(spark):
     rng = random.Random(2)
     shared = test_repeats.prose(rng, 60)
