@@ -39,3 +39,11 @@ def test_query(spark, connection, key):
 def test_flagship(spark):
     rows = entry.entry(spark)
     assert rows.count() > 0 and {"MetricName", "ServiceName", "Value"} <= set(rows.columns)
+
+
+def test_a_list_of_too_many_series_is_refused(spark, monkeypatch):
+    from workload import queries
+
+    monkeypatch.setattr(queries, "MOST_IDS", 0)
+    with pytest.raises(ValueError, match="more than 0 series"):
+        queries._series_ids(spark, SF_DIR)

@@ -336,9 +336,16 @@ def _one_k(spark, sf_dir):
     )
 
 
+# Series IDs that a list may state.
+MOST_IDS = 64
+
+
 def _series_ids(spark, sf_dir):
     """Their IDs: the short list that a user would state; at most one per user group, 21 in all."""
-    return sorted(r.SeriesID for r in _one_k(spark, sf_dir).select("SeriesID").distinct().limit(64).collect())
+    found = _one_k(spark, sf_dir).select("SeriesID").distinct().limit(MOST_IDS + 1).collect()
+    if len(found) > MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} series: no short list; join them with points_of")
+    return sorted(r.SeriesID for r in found)
 
 
 @query
