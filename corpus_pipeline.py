@@ -15,8 +15,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their 5-word shingles stays."""
-    return simhash.dissimilar_documents(docs)
+    """One document of each group of linked SimHash fingerprints stays: 4-word shingles, 4 bits."""
+    return simhash.distinct_documents(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
