@@ -40,13 +40,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def path_of(spark: SparkSession, path: str):
+    """A path and its Hadoop file system, whatever storage it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def dropped(frame: DataFrame) -> None:
     """Remove the files of a ``stored`` frame that nothing reads any more."""
-    spark = frame.sparkSession
     for file in frame.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        files.delete(folder, True)
+        place, files = path_of(frame.sparkSession, file)
+        files.delete(place.getParent(), True)
 
 
 @lru_cache(maxsize=2)

@@ -1,6 +1,20 @@
 """The queries of this subpackage and their SQL answers, by key."""
 
-from metricloom.llm import bpe, chats, packing, pii, quality, repeats, sharding, simhash, toxicity, vectors
+from metricloom.llm import (
+    bpe,
+    chats,
+    counts,
+    manifest,
+    packing,
+    pii,
+    quality,
+    repeats,
+    runs,
+    sharding,
+    simhash,
+    toxicity,
+    vectors,
+)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,5 +27,12 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_suffix_array": repeats.op9_suffix_array,
     "op10_bpe": bpe.op10_bpe,
+    "op11_digest_cache": counts.op11_digest_cache,
+    "op12_repair": runs.op12_repair,
+    "op13_levels": manifest.op13_levels,
+}
+ORACLE: dict[str, str] = {
+    "op3_cascade": quality.OP3_SQL,
+    "op4_quotes": chats.OP4_SQL,
+    "op13_levels": manifest.OP13_SQL,
 }
-ORACLE: dict[str, str] = {"op3_cascade": quality.OP3_SQL, "op4_quotes": chats.OP4_SQL}

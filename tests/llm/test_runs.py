@@ -1,0 +1,178 @@
+"""op12: runs against a plain search of every period, and the query against its definition."""
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from metricloom.llm import runs
+from metricloom.llm.runs import op12_repair, periodic_runs, runs_of
+
+DOCS = "doc_id long, text string, runs string, start int"
+
+
+def brute(words):
+    """Every run, by trying each period; of one stretch the smallest period counts."""
+    n, found = len(words), {}
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i < n - q:
+            s = i
+            while i < n - q and words[i] == words[i + q]:
+                i += 1
+            if i > s and i + q - s >= max(24, 3 * q):
+                found.setdefault((s, i + q), q)
+            i += 1
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def as_words(numbers):
+    return [str(n).encode() for n in numbers]
+
+
+def random_words(rng):
+    kinds, out = rng.choice([1, 2, 3, 5, 50, 1000]), []
+    size = rng.choice([0, 10, 24, 60, 300])
+    while len(out) < size:
+        kind = rng.random()
+        if kind < 0.4:
+            out += [rng.randrange(kinds) for _ in range(rng.randrange(1, 20))]
+        elif kind < 0.8:
+            period = [rng.randrange(kinds) for _ in range(rng.randrange(1, 15))]
+            out += period * rng.randrange(1, 9) + period[: rng.randrange(len(period) + 1)]
+        elif out:
+            at = rng.randrange(len(out))
+            out += out[at : at + rng.randrange(1, 80)]
+    return as_words(out)
+
+
+def fibonacci(n):
+    a, b = [0], [0, 1]
+    while len(b) < n:
+        a, b = b, b + a
+    return b[:n]
+
+
+SPECIAL = [
+    [],
+    [0] * 23,
+    [0] * 24,
+    [0] * 500,
+    [*range(8)] * 3,
+    ([*range(8)] * 3)[:-1],
+    [*range(9)] * 2 + [*range(6)],
+    [0, 1] * 50 + [0] * 50,
+    ([0] * 30 + [1]) * 4,
+    (([0, 1] * 15 + [2]) * 3 + [3]) * 4,
+    fibonacci(700),
+    [i.bit_count() & 1 for i in range(1024)],
+    [*range(400)] * 3 + [*range(100)],
+    [*range(9), 100, *range(9), 101, *range(9), 102],
+]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_equal_those_of_a_plain_search(seed):
+    rng = random.Random(seed)
+    for _ in range(40):
+        docs = [random_words(rng) for _ in range(rng.randrange(1, 12))]
+        assert runs_of(docs) == [brute(d) for d in docs]
+
+
+def test_special_words():
+    docs = [as_words(s) for s in SPECIAL]
+    assert runs_of(docs) == [brute(d) for d in docs]
+    for d in docs:  # alone, and beside copies that share their nonterminals
+        assert runs_of([d]) == [brute(d)]
+        assert runs_of([d, d, d[1:]]) == [brute(d), brute(d), brute(d[1:])]
+
+
+def test_small_blocks_find_the_same(monkeypatch):
+    docs = [as_words(s) for s in SPECIAL]
+    monkeypatch.setattr(runs, "BLOCK", 7)
+    assert runs_of(docs) == [brute(d) for d in docs]
+
+
+def test_a_nonterminal_is_the_same_words_at_each_place():
+    rng = random.Random(2)
+    ids = np.array([rng.randrange(3) for _ in range(400)] + [3])
+    stretch = np.where(np.arange(401) < 400, 0, -1)
+    grammar = runs.Grammar(ids, stretch)
+    uses, places = np.concatenate(grammar.uses), np.concatenate(grammar.places)
+    words = {}
+    for use, place in zip(uses, places, strict=True):
+        own = tuple(ids[place : place + grammar.length[use]])
+        assert words.setdefault(use, own) == own and 3 not in own
+    assert grammar.length.max() == 400  # one symbol is all of the stretch
+    assert len(words) < 300  # and many are used again
+
+
+def test_a_long_text_of_one_period():
+    n = 300_000
+    for period in (1, 7, 1000):
+        words = as_words(i % period for i in range(n))
+        assert runs_of([words]) == [[(0, n, period)]]
+
+
+def plain(doc_id, text):
+    """The contract's row of a document."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = brute(words)
+    top = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    dropped = {i for s, n, q in found for i in range(s + q, s + n)}
+    kept = b" ".join(w for i, w in enumerate(words) if i not in dropped)
+    told = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    return (
+        doc_id,
+        len(found),
+        *(top or (None,) * 3),
+        1000 * top[1] // top[2] if top else None,
+        hashlib.sha256(told.encode()).hexdigest(),
+        hashlib.sha256(kept).hexdigest(),
+    )
+
+
+def rows_of_documents():
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(150))]
+        if i % 7 == 0:
+            words += [f"v{k}" for k in range(rng.randrange(1, 12))] * rng.randrange(2, 30)
+        rows.append((i, rng.choice([" ", "\n", "\t \x0b", "  "]).join(words)))
+    rows += [(400, None), (401, ""), (402, " \n "), (403, "é " * 40), (None, "a b " * 30), (404, "x" * 9000)]
+    return rows + [(405, "same words " * 20)] * 3
+
+
+def test_query_equals_its_definition(spark, tmp_path):
+    rows = rows_of_documents()
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = op12_repair(spark, str(tmp_path))
+    assert found.columns == [
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256",
+    ]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    expected = sorted((plain(*r) for r in rows), key=key)
+    assert sum(r[1] > 0 for r in expected) > 40
+    assert sorted(map(tuple, found.collect()), key=key) == expected
+
+
+def test_operator_gives_runs_and_collapsed_text(spark):
+    docs = spark.createDataFrame([(1, " x  " + "a b\n" * 20 + "c", "x", 1), (2, None, "x", 1)], DOCS)
+    one, two = periodic_runs(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in one.runs] == [(1, 40, 2)] and one.n_words == 42
+    assert one.collapsed == "x a b c"
+    assert (two.n_words, two.runs, two.collapsed) == (0, [], "")
+    assert periodic_runs(docs.limit(0)).count() == 0
