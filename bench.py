@@ -81,7 +81,8 @@ def main() -> None:
         "flatten_sum": lambda: run(ml.slim(ml.map_sum(flat("sum")), "sum")),
         "compact_series": lambda: run(ml.compact_series(sums)),
         "new_series": lambda: run(
-            ml.new_series(sums, ml.scan_series(spark, base, ["SeriesID"], before_batch=1))
+            # Against the catalogue of the first batch.
+            ml.new_series(sums, catalogue.filter(F.col("FirstSeen") == INGEST_TIMES[0]))
         ),
         "enrich_gauge": lambda: run(ml.enrich(points("gauge"), catalogue)),
         "enrich_sum": lambda: run(ml.enrich(points("sum"), catalogue)),

@@ -58,6 +58,7 @@ from metricloom.sources.requests import (
 )
 from metricloom.sources.tables import (
     create_tables,
+    merge_attribute_index,
     merge_points,
     optimize_series,
     remove_superseded,

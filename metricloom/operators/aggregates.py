@@ -71,10 +71,10 @@ def series_hit_miss(series: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def batch_sizes(ledger: DataFrame) -> DataFrame:
-    """Rows written per batch and table; a replay wrote the same rows again."""
+    """Rows written per batch of a writer and table; of several attempts the one that succeeded."""
     return (
         ledger.filter(F.col("error").isNull())
-        .groupBy("batch_id", "table")
+        .groupBy("writer", "batch_id", "table")
         .agg(F.max("rows").alias("rows"))
     )
 
@@ -82,11 +82,11 @@ def batch_sizes(ledger: DataFrame) -> DataFrame:
 def write_stats(ledger: DataFrame) -> DataFrame:
     """Attempted writes, failures, rows and duration per table.
 
-    Every attempt counts with its duration; the rows of a batch that was
-    written again count once.
+    Every attempt counts with its duration, which the tables of one job share; the
+    rows of a batch that was written again count once.
     """
     failed = F.col("error").isNotNull()
-    per_batch = ledger.groupBy("table", "batch_id").agg(
+    per_batch = ledger.groupBy("table", "writer", "batch_id").agg(
         F.count(F.lit(1)).alias("writes"),
         F.count_if(failed).alias("failures"),
         F.max(F.when(~failed, F.col("rows")).otherwise(0)).alias("rows"),

@@ -14,6 +14,9 @@ ATTRIBUTE_SCOPES = {
     "point": "Attributes",
 }
 
+# Scope label of the rows of a stored index part that name its series.
+INDEXED = "series"
+
 
 def distinct_series(series: DataFrame) -> DataFrame:
     """One row per SeriesID, any of its rows. Combines before the shuffle.
@@ -41,13 +44,13 @@ def new_series(series: DataFrame, catalogue: DataFrame) -> DataFrame:
 def compact_series(series: DataFrame, keep_first_seen: bool = False) -> DataFrame:
     """The newest row per SeriesID; E3b also carries the earliest FirstSeen.
 
-    Newest is by LastSeen, then by ``batch_id`` where the input has one, then
+    Newest is by LastSeen, then by ``write`` where the input has one, then
     by a hash of the columns that may differ between versions, so the winner
     does not depend on the order of rows. It is an aggregation, not a window:
     partial results are combined before the shuffle, so a SeriesID that owns a
     third of all rows costs the reducer one row per map task.
     """
-    version = ["LastSeen"] + (["batch_id"] if "batch_id" in series.columns else [])
+    version = ["LastSeen"] + (["write"] if "write" in series.columns else [])
     tie = F.xxhash64(
         "MetricDescription", "MetricUnit", "ServiceName", "ScopeSchemaUrl",
         "ScopeDroppedAttrCount", "FirstSeen", F.sort_array(F.map_entries("ScopeAttributes")),

@@ -1,4 +1,4 @@
-"""Requests to the stored tables, series before points."""
+"""Requests to the stored tables, all tables of a batch at once."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.operators.catalogue import new_series
@@ -15,15 +15,16 @@ from metricloom.operators.flatten import flatten_metrics, nameless_metrics
 from metricloom.operators.mapping import map_points, map_series, point_heads, slim
 from metricloom.operators.validate import nameless_rejects, validate
 from metricloom.schema import POINT_TABLES
+from metricloom.sources import files
+from metricloom.sources.manifest import add_batch, commit, is_done, load, new_write_id
 from metricloom.sources.requests import read_requests, unreadable_rejects
 from metricloom.sources.tables import (
     append_ledger,
     create_tables,
-    discard,
+    put_points,
+    put_rejects,
+    put_series,
     scan_series,
-    write_points,
-    write_rejects,
-    write_series,
 )
 
 # Table, rows, duration in ms, error text.
@@ -31,22 +32,21 @@ Entry = tuple[str, int, int, str | None]
 # Gives the flattened metrics with (at least) the payloads of the named tables.
 FlatSource = Callable[[tuple[str, ...]], DataFrame]
 
+# Writer of batches of files, unless the caller names another.
+FILES = "files"
 
-def _attempt(
-    spark: SparkSession, base: str, batch_id: int, table: str, write: Callable[[Observation], None]
-) -> Entry:
-    """Run one write and describe it; what turns out empty leaves no folder."""
-    observation = Observation()
+
+def _attempt(tables: Iterable[str], write: Callable[[], dict[str, int]]) -> list[Entry]:
+    """Run one write and describe what it made; a failure is one of each of its tables."""
     started = time.monotonic()
-    error, rows = None, 0
+
+    def spent() -> int:
+        return int((time.monotonic() - started) * 1000)
+
     try:
-        write(observation)
-        rows = observation.get["rows"]
-        if not rows:
-            discard(spark, base, table, batch_id)
+        return [(table, rows, spent(), None) for table, rows in write().items()]
     except Exception as failure:  # noqa: BLE001 - recorded here, raised by write_batch
-        error = f"{type(failure).__name__}: {failure}"
-    return table, rows, int((time.monotonic() - started) * 1000), error
+        return [(table, 0, spent(), f"{type(failure).__name__}: {failure}") for table in tables]
 
 
 def write_batch(
@@ -57,46 +57,53 @@ def write_batch(
     ingest_time: datetime,
     tables: Iterable[str] = tuple(POINT_TABLES),
     requests: DataFrame | None = None,
+    writer: str = FILES,
+    owner: str | None = None,
 ) -> list[Entry]:
-    """Store one batch of flattened metrics; a replay replaces its own output.
-
-    Series go first, so no stored point is without its catalogue row. Which
-    series are new is asked of the catalogue as it stood before this batch.
-    The point tables and the rejects, of ``requests`` that could not be read
-    too, then go at the same time: Spark runs their jobs side by side. Every write counts its rows as
-    it runs; one without rows leaves no folder and no ledger entry. A
-    failed one ends the batch with an error, so that it is run again.
-    """
-    tables = tuple(tables)
-    flat = source(tables)
-    entries: list[Entry] = []
+    """Store one batch of flattened metrics, whole or not at all, and once.
 
-    def attempt(step: tuple[str, Callable[[Observation], None]]) -> Entry:
-        return _attempt(spark, base, batch_id, *step)
+    The points of all types are one job, the series and the rejects, of ``requests`` that could not be
+    read too, are another each; they run side by side. One commit then makes all of them
+    visible, so no stored point is without its catalogue row. A batch is known by its ``writer`` and
+    id: one that is stored already is left as it is, whoever asks. ``owner`` is the
+    application that holds the writer's name; if another one took it over, the batch is refused.
 
+    Every write counts its rows as it runs; what has no rows leaves no folder and no ledger
+    entry. If one fails, its error is recorded and the batch ends with it, to be run again;
+    what the others wrote is removed.
+    """
+    if is_done(load(spark, base), writer, batch_id):
+        return []
+    tables, write_id = tuple(tables), new_write_id()
+    flat = source(tables)
+    steps: list[tuple[tuple[str, ...], Callable[[], dict[str, int]]]] = []
+    rejects = nameless_rejects(nameless_metrics(source(())))
     if tables:
-        known = scan_series(spark, base, ["SeriesID"], before_batch=batch_id)
-        fresh = new_series(map_series(flat, ingest_time), known)
-        entries.append(attempt(("series", lambda o: write_series(fresh, base, batch_id, o))))
-    if not entries or entries[0][3] is None:
-        steps: list[tuple[str, Callable[[Observation], None]]] = []
-        for table in tables:
-            rows = slim(map_points(source((table,)), table), table)
-            steps.append((table, lambda o, r=rows, t=table: write_points(r, t, base, batch_id, o)))
-        rejects = nameless_rejects(nameless_metrics(source(())))
-        if tables:
-            rejects = validate(point_heads(flat))[1].unionByName(rejects)
-        if requests is not None:
-            rejects = rejects.unionByName(unreadable_rejects(requests))
-        steps.append(("rejects", lambda o: write_rejects(rejects, base, batch_id, o)))
-        with ThreadPoolExecutor(len(steps)) as pool:
-            entries += pool.map(attempt, steps)
-    told = [e for e in entries if e[1] or e[3] is not None]
-    if told:
-        append_ledger(spark, told, base, batch_id)
-    failed = next((e for e in entries if e[3] is not None), None)
-    if failed is not None:
-        raise RuntimeError(f"batch {batch_id}: write of {failed[0]} failed: {failed[3]}")
+        points = {t: slim(map_points(source((t,)), t), t) for t in tables}
+        steps.append((tables, lambda: put_points(points, base, write_id)))
+        fresh = new_series(map_series(flat, ingest_time), scan_series(spark, base, ["SeriesID"]))
+        steps.append((("series",), lambda: put_series(fresh, base, write_id)))
+        rejects = validate(point_heads(flat))[1].unionByName(rejects)
+    if requests is not None:
+        rejects = rejects.unionByName(unreadable_rejects(requests))
+    steps.append((("rejects",), lambda: put_rejects(rejects, base, write_id, writer, batch_id)))
+    with ThreadPoolExecutor(len(steps)) as pool:
+        entries = [e for own in pool.map(lambda step: _attempt(*step), steps) for e in own]
+    found = {table: rows for table, rows, _, error in entries if error is None}
+    try:
+        failed = next((e for e in entries if e[3] is not None), None)
+        if failed is not None:
+            raise RuntimeError(f"batch {batch_id}: write of {failed[0]} failed: {failed[3]}")
+        commit(spark, base, lambda s: add_batch(s, write_id, found, writer, batch_id, owner))
+    except Exception as failure:
+        # What was written is in no commit, and goes.
+        entries = [(t, 0, ms, error or f"not stored: {failure}") for t, _, ms, error in entries]
+        for table in ("points", "series", "rejects"):
+            files.delete(spark, f"{base}/{table}/write={write_id}")
+        raise
+    finally:
+        if entries:
+            append_ledger(spark, entries, base, writer, batch_id)
     return entries
 
 
@@ -115,10 +122,11 @@ def ingest_files(
     batch_id: int,
     ingest_time: datetime,
     format: str = "parquet",
+    writer: str = FILES,
 ) -> list[Entry]:
     """Store a large batch of request files.
 
-    Nothing is cached: each point table reads the files with a schema narrowed
+    Nothing is cached: each type's branch reads the files with a schema narrowed
     to its own payload, series and rejects read them once for all types. JSON
     has to be landed first (``land_requests``), since every pass would parse all of it.
     """
@@ -130,4 +138,4 @@ def ingest_files(
         return flatten_metrics(read_requests(spark, path, format, tables))
 
     requests = read_requests(spark, path, format, ())
-    return write_batch(spark, source, base, batch_id, ingest_time, requests=requests)
+    return write_batch(spark, source, base, batch_id, ingest_time, requests=requests, writer=writer)

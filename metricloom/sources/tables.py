@@ -1,29 +1,32 @@
 """The stored tables.
 
-Layout under one base path, all Parquet::
-
-    series/batch_id=N/                     catalogue rows of one write
-    series_snapshot/upto=N/                compacted catalogue of batches <= N
-    <point table>/batch_id=N/TimeDate=D/   points of one write, by UTC day
-    <point table>_merged/upto=N/TimeDate=D/   larger files of several earlier writes
-    rejects/batch_id=N/   ledger/batch_id=N/
-    attribute_index/upto=N/scope=S/        index of the catalogue of batches <= N
-
-A write owns the directory of its batch id and replaces it as a whole, so a
-replayed batch leaves one copy of its rows. Readers list only the folders that
-are live: committed ones that no later snapshot or merge has taken over.
+Layout under one base path, all Parquet but for the small files of the driver::
+
+    series/write=W/                        catalogue rows of one write
+    points/write=W/table=T/TimeDate=D/     points of one write, by type and UTC day
+    rejects/write=W/
+    attribute_index/write=W/scope=S/       index of some writes of the catalogue
+    ledger/*.json                          what was attempted
+    manifest/N.json                        which of the folders are live
+
+Every write makes folders under a number of its own; they are live once a
+commit of the manifest names them, and until a later commit says what took them over. Readers ask
+the manifest and nothing else, so neither batch numbers nor the order of writers matter.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
-from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.operators.catalogue import attribute_index, compact_series
+from metricloom.operators.catalogue import INDEXED, attribute_index, compact_series
 from metricloom.schema import ATTRIBUTE_INDEX, LEDGER, POINTS, REJECTS, SERIES
+from metricloom.sources import files, manifest
+from metricloom.sources.manifest import commit, live, load, new_write_id
 
 # False-positive rate of the scalar bloom filters.
 BLOOM_FPP = "0.01"
@@ -31,6 +34,8 @@ SERIES_BLOOM_COLUMNS = ("ServiceName", "MetricName")
 # Leading bits of the SeriesID that spread one day over several writers. The
 # ID is a uniform hash, so equal bits are equal, disjoint ranges of it.
 SERIES_RANGE_BITS = 4
+# Writer of batches that a program stores table by table.
+DIRECT = "direct"
 
 _PARQUET = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 
@@ -48,303 +53,315 @@ def _bloom(*columns: str) -> dict[str, str]:
 # ---------------------------------------------------------------- writers
 
 
-def _counted(rows: DataFrame, observation: Observation | None) -> DataFrame:
-    """Count the rows of the last stage, where a rerun of a lost task counts once."""
-    if observation is None:
-        return rows
-    return rows.observe(observation, F.count(F.lit(1)).alias("rows"))
-
-
 def _rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
     """Shuffle by ``columns`` and SeriesID range, in partitions of even size."""
     ranged = rows.withColumn("_range", F.shiftright("SeriesID", 64 - SERIES_RANGE_BITS))
     return ranged.hint("rebalance", *columns, "_range").drop("_range")
 
 
-def discard(spark: SparkSession, base: str, table: str, batch_id: int) -> None:
-    """H9: drop the folder of a batch that turned out to hold no rows."""
-    folder, files = _folder(spark, f"{base}/{table}/batch_id={batch_id}")
-    files.delete(folder, True)
+def _put(rows: DataFrame, path: str, counts: dict, by: Iterable[str] = (), **options: str) -> dict[str, int]:
+    """Write a folder and give ``counts`` of its rows, without those that are zero.
 
-
-def write_series(
-    series: DataFrame, base: str, batch_id: int, observation: Observation | None = None
-) -> None:
-    """H1: catalogue rows of one batch, sorted by SeriesID within files."""
-    laid_out = _rebalanced(series).sortWithinPartitions("SeriesID")
-    (
-        _counted(laid_out, observation)
-        .write.mode("overwrite")
-        .options(**_PARQUET, **_bloom(*SERIES_BLOOM_COLUMNS))
-        .parquet(f"{base}/series/batch_id={batch_id}")
+    Rows are counted in the last stage, where a rerun of a lost task counts once.
+    What turns out empty leaves no folder (H9).
+    """
+    seen = Observation()
+    counted = rows.observe(seen, *[column.alias(name) for name, column in counts.items()])
+    counted.write.options(**_PARQUET, **options).partitionBy(*by).parquet(path)
+    found = {name: n for name, n in seen.get.items() if n}
+    if not found:
+        files.delete(rows.sparkSession, path)
+    return found
+
+
+def put_series(series: DataFrame, base: str, write_id: int) -> dict[str, int]:
+    """H1: catalogue rows, sorted by SeriesID within files. Returns {"series": rows}."""
+    return _put(
+        _rebalanced(series).sortWithinPartitions("SeriesID"),
+        f"{base}/series/write={write_id}",
+        {"series": F.count(F.lit(1))},
+        **_bloom(*SERIES_BLOOM_COLUMNS),
     )
 
 
-def clustered(points: DataFrame) -> DataFrame:
-    """H7: points shuffled by (day, SeriesID range) and sorted for storage.
+def put_points(points: dict[str, DataFrame], base: str, write_id: int) -> dict[str, int]:
+    """H2-H7: slim points of several types in one job. Returns the rows of each table.
 
-    The shuffle is a rebalance: adaptive execution joins small groups into one
-    task and splits large ones, so neither a busy day nor a single hot series
-    ends up in one task.
+    The types become one union with a column for each of theirs; a type's files
+    hold nothing in the others' columns, and readers do not read them.
+    Rows are shuffled by (type, day, SeriesID range) and sorted by (SeriesID, time). The
+    shuffle is a rebalance: adaptive execution joins small groups into one task
+    and splits large ones, so neither a busy day nor a single hot series ends up in one task.
     """
-    return _rebalanced(points, "TimeDate").sortWithinPartitions(
-        "TimeDate", "SeriesID", "TimeUnixNano"
+    labelled = [rows.withColumn("table", F.lit(table)) for table, rows in points.items()]
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
+    sorted_rows = _rebalanced(united, "table", "TimeDate").sortWithinPartitions(
+        "table", "TimeDate", "SeriesID", "TimeUnixNano"
     )
+    counts = {table: F.count_if(F.col("table") == table) for table in points}
+    return _put(sorted_rows, f"{base}/points/write={write_id}", counts, ("table", "TimeDate"))
 
 
-def write_points(
-    points: DataFrame, table: str, base: str, batch_id: int, observation: Observation | None = None
-) -> None:
-    """H2-H7: slim points of one batch, by day, sorted by (SeriesID, time)."""
-    (
-        _counted(clustered(points), observation)
-        .write.mode("overwrite")
-        .options(**_PARQUET)
-        .partitionBy("TimeDate")
-        .parquet(f"{base}/{table}/batch_id={batch_id}")
+def put_rejects(rejects: DataFrame, base: str, write_id: int, writer: str, batch_id: int) -> dict[str, int]:
+    """C4: rejects of one batch. Returns {"rejects": rows}."""
+    marked = rejects.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")})
+    return _put(
+        marked.hint("rebalance"), f"{base}/rejects/write={write_id}", {"rejects": F.count(F.lit(1))}
     )
 
 
-def write_rejects(
-    rejects: DataFrame, base: str, batch_id: int, observation: Observation | None = None
-) -> None:
-    """C4: rejects of one batch."""
-    (
-        _counted(rejects.hint("rebalance"), observation)
-        .write.mode("overwrite")
-        .options(**_PARQUET)
-        .parquet(f"{base}/rejects/batch_id={batch_id}")
-    )
+def _published(spark: SparkSession, base: str, table: str, write_id: int, found: dict, batch_id: int) -> None:
+    commit(spark, base, lambda s: manifest.put_table(s, write_id, table, found.get(table, 0), DIRECT, batch_id))
+
+
+def write_series(series: DataFrame, base: str, batch_id: int) -> None:
+    """H1: the catalogue rows of a batch on their own, in place of what the batch had."""
+    write_id = new_write_id()
+    found = put_series(series, base, write_id)
+    _published(series.sparkSession, base, "series", write_id, found, batch_id)
+
+
+def write_points(points: DataFrame, table: str, base: str, batch_id: int) -> None:
+    """H2-H7: the points of a type of a batch on their own, in place of what the batch had."""
+    write_id = new_write_id()
+    found = put_points({table: points}, base, write_id)
+    _published(points.sparkSession, base, table, write_id, found, batch_id)
+
+
+def write_rejects(rejects: DataFrame, base: str, batch_id: int) -> None:
+    """C4: the rejects of a batch on their own, in place of what the batch had."""
+    write_id = new_write_id()
+    found = put_rejects(rejects, base, write_id, DIRECT, batch_id)
+    _published(rejects.sparkSession, base, "rejects", write_id, found, batch_id)
 
 
 def append_ledger(
-    spark: SparkSession, entries: list[tuple], base: str, batch_id: int
+    spark: SparkSession, entries: list[tuple], base: str, writer: str, batch_id: int
 ) -> None:
     """One row per attempted write. Attempts add up; nothing is replaced."""
-    rows = spark.createDataFrame(entries, LEDGER).coalesce(1)
-    rows.write.mode("append").parquet(f"{base}/ledger/batch_id={batch_id}")
+    names = ("table", "rows", "duration_ms", "error")
+    rows = [dict(zip(names, e, strict=True), writer=writer, batch_id=batch_id) for e in entries]
+    files.write_text(
+        spark, f"{base}/ledger/{new_write_id()}.json", "".join(json.dumps(r) + "\n" for r in rows)
+    )
 
 
 def create_tables(spark: SparkSession, base: str) -> None:
     """H8: make the tables, series first; tables that exist keep their rows."""
-    for table in ("series", "series_snapshot", *POINTS, "rejects", "ledger", "attribute_index"):
-        folder, files = _folder(spark, f"{base}/{table}")
-        files.mkdirs(folder)
+    for table in ("series", "points", "rejects", "ledger", "attribute_index", "manifest"):
+        files.make_folder(spark, f"{base}/{table}")
 
 
 # ---------------------------------------------------------------- readers
 
 
-def _folder(spark: SparkSession, path: str):
-    """A path and its Hadoop file system, whatever storage it is on."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def committed(spark: SparkSession, path: str, name: str = "upto") -> list[int]:
-    """Numbers N of the folders ``path/<name>=N`` whose write was committed."""
-    folder, files = _folder(spark, path)
-    if not files.exists(folder):
-        return []
-    numbers = []
-    for status in files.listStatus(folder):
-        inner = status.getPath()
-        done = spark._jvm.org.apache.hadoop.fs.Path(inner, "_SUCCESS")
-        if inner.getName().startswith(f"{name}=") and files.exists(done):
-            numbers.append(int(inner.getName().removeprefix(f"{name}=")))
-    return sorted(numbers)
+def _read(spark: SparkSession, root: str, ids: list[int], schema: str, inner: str = "") -> DataFrame:
+    """The folders of some writes, with their number as column ``write``; no others are listed."""
+    schema = f"{schema}, write BIGINT"
+    if not ids:
+        return spark.createDataFrame([], schema)
+    paths = [f"{root}/write={n}{inner}" for n in ids]
+    return spark.read.schema(schema).option("basePath", root).parquet(*paths)
 
 
-def batches_of(spark: SparkSession, base: str, table: str, after: int = -1) -> list[int]:
-    """Committed batch ids of a table that are larger than ``after``."""
-    return [n for n in committed(spark, f"{base}/{table}", "batch_id") if n > after]
+def _ids(state: dict, table: str) -> list[int]:
+    return [w["id"] for w in live(state, table)]
 
 
-def _read(spark: SparkSession, root: str, name: str, numbers: list[int], schema: str) -> DataFrame:
-    """The folders ``root/<name>=N`` of some numbers, N a column; no others are listed."""
-    schema = f"{schema}, {name} BIGINT"
-    if not numbers:
-        return spark.createDataFrame([], schema)
-    paths = [f"{root}/{name}={n}" for n in numbers]
-    return spark.read.schema(schema).option("basePath", root).parquet(*paths)
+def _points(spark: SparkSession, base: str, table: str, ids: list[int]) -> DataFrame:
+    schema = f"{POINTS[table]}, TimeDate DATE"
+    return _read(spark, f"{base}/points", ids, schema, f"/table={table}").drop("write", "table")
 
 
 def scan_points(spark: SparkSession, base: str, table: str) -> DataFrame:
-    """Points of one type, from merged files and from the batches after them.
-
-    Folder numbers are not columns of the result.
-    """
-    schema = f"{POINTS[table]}, TimeDate DATE"
-    merged = committed(spark, f"{base}/{table}_merged")
-    rest = batches_of(spark, base, table, merged[-1] if merged else -1)
-    batches = _read(spark, f"{base}/{table}", "batch_id", rest, schema).drop("batch_id")
-    if not merged:
-        return batches
-    large = _read(spark, f"{base}/{table}_merged", "upto", merged, schema).drop("upto")
-    return large.unionByName(batches) if rest else large
+    """Points of one type, of all writes that are live."""
+    return _points(spark, base, table, _ids(load(spark, base), table))
 
 
 def scan_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
-    """Rows of the rejects or ledger table, with their batch id."""
-    ddl = {"rejects": REJECTS, "ledger": LEDGER}[table]
-    return spark.read.schema(f"{ddl}, batch_id BIGINT").parquet(f"{base}/{table}")
+    """Rows of the rejects or ledger table, with their writer and batch id."""
+    owner = "writer STRING, batch_id BIGINT"
+    if table == "ledger":
+        return spark.read.schema(f"{LEDGER}, {owner}").json(f"{base}/ledger")
+    ids = _ids(load(spark, base), table)
+    return _read(spark, f"{base}/{table}", ids, f"{REJECTS}, {owner}").drop("write")
 
 
 def scan_series(
-    spark: SparkSession,
-    base: str,
-    cols: Iterable[str] | None = None,
-    before_batch: int | None = None,
+    spark: SparkSession, base: str, cols: Iterable[str] | None = None
 ) -> DataFrame:
-    """A3: catalogue rows as written, with ``batch_id``: newest snapshot and later batches.
+    """A3: catalogue rows as written, with ``write``: of the merged catalogue and of later writes.
 
     A series may have several versions; read it through ``compact_series``.
-    ``before_batch`` hides the batches from that id on, so that a replayed
-    batch sees the catalogue it saw the first time.
     """
-
-    def seen(number: int) -> bool:
-        return before_batch is None or number < before_batch
-
-    snapshots = [n for n in committed(spark, f"{base}/series_snapshot") if seen(n)]
-    upto = snapshots[-1] if snapshots else -1
-    later = [n for n in batches_of(spark, base, "series", upto) if seen(n)]
-    rows = _read(spark, f"{base}/series", "batch_id", later, SERIES)
-    if snapshots:
-        snapshot = _read(spark, f"{base}/series_snapshot", "upto", [upto], SERIES)
-        snapshot = snapshot.withColumnRenamed("upto", "batch_id")
-        rows = snapshot.unionByName(rows) if later else snapshot
+    rows = _read(spark, f"{base}/series", _ids(load(spark, base), "series"), SERIES)
     return rows.select(*cols) if cols is not None else rows
 
 
+def _index_rows(spark: SparkSession, base: str, ids: list[int]) -> DataFrame:
+    return _read(spark, f"{base}/attribute_index", ids, f"{ATTRIBUTE_INDEX}, scope STRING")
+
+
+def _not_indexed(state: dict) -> list[int]:
+    """Writes of the catalogue that no live part of the index covers."""
+    covered = {n for w in live(state, "attribute_index") for n in w["covers"]}
+    return [n for n in _ids(state, "series") if n not in covered]
+
+
+def _current(rows: DataFrame, later: DataFrame) -> DataFrame:
+    """Index rows whose series does not come again in a later part; ``later`` is (SeriesID, write)."""
+    newer = later.select(F.col("SeriesID").alias("_id"), F.col("write").alias("_write"))
+    kept = rows.join(newer, (F.col("SeriesID") == F.col("_id")) & (F.col("write") < F.col("_write")), "left_anti")
+    return kept.select("scope", "key", "value", "SeriesID")
+
+
 def scan_attribute_index(spark: SparkSession, base: str) -> DataFrame:
     """The attribute index, never behind the catalogue: (scope, key, value, SeriesID).
 
-    The newest stored index is read; series written after it come from the
-    catalogue itself, whose later batches are small, and replace their older rows.
+    The index is a base and deltas of later writes. Series that no part covers yet come from the
+    catalogue itself. A series that a later part or write holds again is told by that one alone; the
+    series of a delta are rows of the scope ``series`` in it. Predicates on scope, key and value
+    reach the files of every part.
     """
-    indexes = committed(spark, f"{base}/attribute_index")
-    upto = indexes[-1] if indexes else -1
-    later = batches_of(spark, base, "series", upto)
-    stored = _read(
-        spark, f"{base}/attribute_index", "upto", indexes[-1:], f"{ATTRIBUTE_INDEX}, scope STRING"
-    ).select("scope", "key", "value", "SeriesID")
-    if not later:
-        return stored
-    tail = compact_series(_read(spark, f"{base}/series", "batch_id", later, SERIES))
-    older = stored.join(tail.select("SeriesID"), "SeriesID", "left_anti")
-    return older.select("scope", "key", "value", "SeriesID").unionByName(attribute_index(tail))
+    state = load(spark, base)
+    parts, tail = _ids(state, "attribute_index"), _not_indexed(state)
+    rows = _index_rows(spark, base, parts).filter(F.col("scope") != INDEXED)
+    if not tail and len(parts) <= 1:
+        return rows.select("scope", "key", "value", "SeriesID")
+    later = _index_rows(spark, base, parts[1:]).filter(F.col("scope") == INDEXED).select("SeriesID", "write")
+    if not tail:
+        return _current(rows, later)
+    fresh = compact_series(_read(spark, f"{base}/series", tail, SERIES))
+    newest = fresh.select("SeriesID", F.lit(2**63 - 1).alias("write"))
+    return _current(rows, later.unionByName(newest)).unionByName(attribute_index(fresh))
 
 
 # ---------------------------------------------------------------- maintenance
 
 
-def optimize_series(
-    spark: SparkSession, base: str, upto: int, keep_first_seen: bool = False
-) -> None:
-    """Rewrite the catalogue of the finished batches <= ``upto`` to one row per series.
+def optimize_series(spark: SparkSession, base: str, keep_first_seen: bool = False) -> None:
+    """Rewrite the catalogue as it is to one row per series.
 
-    The result is a new snapshot, named after the newest batch in it. Readers
-    move to it once its files are committed; batches written meanwhile have
-    larger ids and stay visible. Without a batch newer than the last snapshot
-    nothing is done, so a snapshot never replaces what it is made of.
+    The result takes over from the writes that it was made of and from no others, so what is stored
+    meanwhile stays. With one write there is nothing to do. A store with an attribute index has
+    the new series indexed first: the index of the merged writes then covers the result.
     """
-    snapshots = committed(spark, f"{base}/series_snapshot")
-    new = [n for n in batches_of(spark, base, "series", max([-1, *snapshots])) if n <= upto]
-    if not new:
+    if live(load(spark, base), "attribute_index"):
+        write_attribute_index(spark, base)
+    state = load(spark, base)
+    covered = {n for w in live(state, "attribute_index") for n in w["covers"]}
+    ids = [n for n in _ids(state, "series") if not covered or n in covered]
+    if len(ids) < 2:
         return
-    rows = scan_series(spark, base, before_batch=new[-1] + 1)
-    (
-        compact_series(rows, keep_first_seen)
-        .sortWithinPartitions("SeriesID")
-        .write.mode("overwrite")
-        .options(**_PARQUET, **_bloom(*SERIES_BLOOM_COLUMNS))
-        .parquet(f"{base}/series_snapshot/upto={new[-1]}")
-    )
+    write_id = new_write_id()
+    rows = compact_series(_read(spark, f"{base}/series", ids, SERIES), keep_first_seen)
+    found = put_series(rows, base, write_id)
 
+    def take_over(state: dict) -> None:
+        manifest.replace(state, "series", ids, write_id, found["series"])
+        for part in live(state, "attribute_index"):
+            if set(part["covers"]) & set(ids):
+                part["covers"] = [n for n in part["covers"] if n not in ids] + [write_id]
 
-def merge_points(spark: SparkSession, base: str, table: str, upto: int) -> None:
-    """H7: rewrite the points of finished batches <= ``upto`` into few large files.
+    commit(spark, base, take_over)
 
-    Streaming leaves small files, one set per micro-batch. Only batches after
-    the previous merge are rewritten, into a new folder named after the newest
-    of them, which readers take up once it is committed. Without such a batch
-    nothing is done: a merge never touches a committed folder.
+
+def merge_points(spark: SparkSession, base: str, table: str) -> None:
+    """H7: rewrite the points of a type that came since the last merge into few large files.
+
+    Streaming leaves small files, one set per micro-batch. Merged ones are not rewritten.
+    The result takes over from the writes it was made of and from no others. With one
+    write there is nothing to do.
     """
-    merged = committed(spark, f"{base}/{table}_merged")
-    new = [n for n in batches_of(spark, base, table, max([-1, *merged])) if n <= upto]
-    if not new:
+    ids = [w["id"] for w in live(load(spark, base), table) if not w.get("merged")]
+    if len(ids) < 2:
         return
-    rows = _read(spark, f"{base}/{table}", "batch_id", new, f"{POINTS[table]}, TimeDate DATE")
-    (
-        clustered(rows.drop("batch_id"))
-        .write.mode("overwrite")
-        .options(**_PARQUET)
-        .partitionBy("TimeDate")
-        .parquet(f"{base}/{table}_merged/upto={new[-1]}")
+    write_id = new_write_id()
+    found = put_points({table: _points(spark, base, table, ids)}, base, write_id)
+    commit(spark, base, lambda s: manifest.replace(s, table, ids, write_id, found[table]))
+
+
+def _put_index(rows: DataFrame, base: str, write_id: int) -> dict[str, int]:
+    """Index rows by scope, sorted by key and value.
+
+    Range partitioning ends in SeriesID, so a value shared by every series is split over tasks too.
+    """
+    order = ("scope", "key", "value", "SeriesID")
+    return _put(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order),
+        f"{base}/attribute_index/write={write_id}",
+        {"attribute_index": F.count(F.lit(1))},
+        ("scope",),
     )
 
 
 def write_attribute_index(spark: SparkSession, base: str) -> None:
-    """Store the attribute index of the catalogue as it is, by scope, sorted by key and value.
+    """Index the writes of the catalogue that came since the last time, and only those.
 
-    The index is a new folder named after the newest batch in it; an index of
-    that batch that is there already is left alone. Range partitioning ends in SeriesID, so
-    a value shared by every series is split over tasks too.
+    They become a new part, beside the ones that are there. Without such a write nothing is done.
     """
-    known = batches_of(spark, base, "series") + committed(spark, f"{base}/series_snapshot")
-    upto = max(known, default=-1)
-    if upto in [-1, *committed(spark, f"{base}/attribute_index")]:
+    ids = _not_indexed(load(spark, base))
+    if not ids:
         return
-    rows = scan_series(spark, base, before_batch=upto + 1)
-    (
-        attribute_index(compact_series(rows))
-        .repartitionByRange("scope", "key", "value", "SeriesID")
-        .sortWithinPartitions("scope", "key", "value", "SeriesID")
-        .write.mode("overwrite")
-        .options(**_PARQUET)
-        .partitionBy("scope")
-        .parquet(f"{base}/attribute_index/upto={upto}")
-    )
+    write_id = new_write_id()
+    series = compact_series(_read(spark, f"{base}/series", ids, SERIES))
+    none = F.lit("")
+    own = series.select(F.lit(INDEXED).alias("scope"), none.alias("key"), none.alias("value"), "SeriesID")
+    found = _put_index(attribute_index(series).unionByName(own), base, write_id)
+
+    def add(state: dict) -> None:
+        later = [w["id"] for w in live(state, "attribute_index") if w["id"] > write_id]
+        if later or not set(ids) <= set(_not_indexed(state)):
+            raise manifest.Replaced("some of the series have been indexed or merged meanwhile")
+        if found:
+            state["writes"].append({"id": write_id, "tables": found, "holds": {}, "covers": ids})
+
+    commit(spark, base, add)
+
+
+def merge_attribute_index(spark: SparkSession, base: str) -> None:
+    """Rewrite the parts of the index to one. With one part there is nothing to do."""
+    parts = live(load(spark, base), "attribute_index")
+    if len(parts) < 2:
+        return
+    ids, write_id = [p["id"] for p in parts], new_write_id()
+    rows = _index_rows(spark, base, ids)
+    own = rows.filter(F.col("scope") == INDEXED)
+    later = own.filter(F.col("write") != ids[0]).select("SeriesID", "write")
+    merged = _current(rows.filter(F.col("scope") != INDEXED), later)
+    names = own.select("scope", "key", "value", "SeriesID").distinct()
+    found = _put_index(merged.unionByName(names), base, write_id)
+
+    def take_over(state: dict) -> None:
+        parts = live(state, "attribute_index")
+        if [p["id"] for p in parts] != ids:  # a part's number says which rows are newer
+            raise manifest.Replaced("the index has got another part meanwhile")
+        covers = [n for p in parts for n in p["covers"]]
+        manifest.replace(state, "attribute_index", ids, write_id, found["attribute_index"], covers=covers)
+
+    commit(spark, base, take_over)
 
 
 def remove_superseded(spark: SparkSession, base: str) -> list[str]:
-    """Remove folders that readers no longer list, and name them.
+    """Remove the folders that the manifest says a later write has taken over, and name them.
 
-    These are the batches that a merge or snapshot has taken over, and snapshots and indexes
-    before the newest. Run it when no query that began before the merge is
-    still running, and no merged batch can be replayed.
-    """
-    removed = []
-
-    def drop(path: str) -> None:
-        folder, files = _folder(spark, path)
-        if files.exists(folder):
-            files.delete(folder, True)
-            removed.append(path)
-
-    taken_over = {t: committed(spark, f"{base}/{t}_merged") for t in POINTS}
-    taken_over["series"] = committed(spark, f"{base}/series_snapshot")
-    for table, numbers in taken_over.items():
-        for n in batches_of(spark, base, table):
-            if numbers and n <= numbers[-1]:
-                drop(f"{base}/{table}/batch_id={n}")
-    for table in ("series_snapshot", "attribute_index"):
-        for n in committed(spark, f"{base}/{table}")[:-1]:
-            drop(f"{base}/{table}/upto={n}")
-    return removed
-
-
-def batch_stamp(spark: SparkSession, base: str, batch_id: int, now: datetime) -> datetime:
-    """The ingest time of a batch id: ``now`` at its first attempt, the same ever after.
-
-    Kept as the name of an empty folder, which is made before the batch is written.
+    No other folder is touched, whatever its number. Run it when no query that began
+    before the merge is still running.
     """
-    folder, files = _folder(spark, f"{base}/stamps/batch_id={batch_id}")
-    if files.exists(folder):
-        for status in files.listStatus(folder):
-            micros = int(status.getPath().getName().removeprefix("at="))
-            return datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=micros)
-    micros = (now - datetime.fromtimestamp(0, timezone.utc)) // timedelta(microseconds=1)
-    files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder, f"at={micros}"))
-    return now
+    retired = load(spark, base)["retired"]
+    paths = [_retired_path(base, table, write_id) for table, write_id in retired]
+    for path in paths:
+        files.delete(spark, path)
+
+    def forget(state: dict) -> None:
+        state["retired"] = [r for r in state["retired"] if r not in retired]
+
+    if retired:
+        commit(spark, base, forget)
+    return paths
+
+
+def _retired_path(base: str, table: str, write_id: int) -> str:
+    if table in POINTS:
+        return f"{base}/points/write={write_id}/table={table}"
+    return f"{base}/{table}/write={write_id}"

@@ -2,55 +2,99 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from metricloom.operators.flatten import flatten_metrics
 from metricloom.plans.ingest import present_tables, write_batch
-from metricloom.sources.tables import batch_stamp, create_tables
+from metricloom.sources import files
+from metricloom.sources.manifest import commit, hold, is_done, let_go, load
+from metricloom.sources.tables import create_tables
+
+# Writer of micro-batches that belong to no stream of this module.
+MICRO_BATCHES = "micro-batches"
 
 
 def ingest_micro_batch(
-    requests: DataFrame, base: str, batch_id: int, ingest_time: datetime | None = None
+    requests: DataFrame,
+    base: str,
+    batch_id: int,
+    ingest_time: datetime | None = None,
+    writer: str = MICRO_BATCHES,
+    owner: str | None = None,
 ) -> None:
     """Store one micro-batch: parse and flatten once, then write the tables it holds.
 
     The micro-batch is bounded by the caps of the source. Its flattened metrics
     are cached for the writes; a lost executor only costs recomputing its part.
-    Its ingest time is the one of its first attempt, so that a replay stores equal
-    rows. An empty micro-batch stores and records nothing.
+    A replay of one that is stored changes nothing. An empty micro-batch stores and records nothing.
     """
     spark = requests.sparkSession
-    if requests.isEmpty():
+    if is_done(load(spark, base), writer, batch_id) or requests.isEmpty():
         return
-    moment = batch_stamp(spark, base, batch_id, ingest_time or datetime.now(timezone.utc))
+    moment = ingest_time or datetime.now(timezone.utc)
     flat = flatten_metrics(requests).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tables = present_tables(flat)
-        write_batch(spark, lambda _: flat, base, batch_id, moment, tables, requests)
+        write_batch(spark, lambda _: flat, base, batch_id, moment, tables, requests, writer, owner)
     finally:
         flat.unpersist()
 
 
-def _writer(stream: DataFrame, base: str, checkpoint: str):
-    create_tables(stream.sparkSession, base)
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: ingest_micro_batch(batch, base, batch_id)
+def stream_identity(spark: SparkSession, checkpoint: str) -> str:
+    """The name that the stream of a checkpoint writes under, kept in the checkpoint.
+
+    A stream with a new checkpoint counts its batches from zero again; its name keeps them apart.
+    """
+    path = f"{checkpoint}/metricloom-writer"
+    known = files.read_text(spark, path)
+    if known is None:
+        files.make_folder(spark, checkpoint)
+        draft = f"{path}.{uuid.uuid4().hex}"
+        files.write_text(spark, draft, f"stream-{uuid.uuid4().hex}")
+        files.publish(spark, draft, path)  # whoever is first gives the name
+        known = files.read_text(spark, path)
+    return known.strip()
+
+
+def _started(stream: DataFrame, base: str, checkpoint: str, take_over: bool, **trigger) -> StreamingQuery:
+    spark = stream.sparkSession
+    create_tables(spark, base)
+    writer, owner = stream_identity(spark, checkpoint), spark.sparkContext.applicationId
+    commit(spark, base, lambda s: hold(s, writer, owner, take_over=take_over))
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, n: ingest_micro_batch(batch, base, n, writer=writer, owner=owner))
+        .trigger(**trigger)
+        .start()
     )
 
 
 def start_ingest(
-    stream: DataFrame, base: str, checkpoint: str, interval: str = "1 second"
+    stream: DataFrame, base: str, checkpoint: str, interval: str = "1 second", take_over: bool = False
 ) -> StreamingQuery:
-    """Continuous ingest, one micro-batch per interval."""
-    return _writer(stream, base, checkpoint).trigger(processingTime=interval).start()
+    """Continuous ingest, one micro-batch per interval.
+
+    Any number of streams share a base, each with its own checkpoint. While one application
+    runs the stream of a checkpoint, another one that starts it is refused, for ten
+    minutes after the last batch; ``take_over`` takes it from one that died.
+    """
+    return _started(stream, base, checkpoint, take_over, processingTime=interval)
 
 
-def drain(stream: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
-    """Ingest everything that is there, then stop."""
-    query = _writer(stream, base, checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def drain(
+    stream: DataFrame, base: str, checkpoint: str, take_over: bool = False
+) -> StreamingQuery:
+    """Ingest everything that is there, then stop and let the stream's name go."""
+    spark = stream.sparkSession
+    query = _started(stream, base, checkpoint, take_over, availableNow=True)
+    try:
+        query.awaitTermination()
+    finally:
+        writer, owner = stream_identity(spark, checkpoint), spark.sparkContext.applicationId
+        commit(spark, base, lambda s: let_go(s, writer, owner))
     return query

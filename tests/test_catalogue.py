@@ -21,17 +21,17 @@ def mapped(requests_of):
     return map_requests(requests_of(request(gauge("m", *hot, *cold))), NOW)
 
 
-def version(id_, name, seen, batch_id, description="d", first=None):
+def version(id_, name, seen, write, description="d", first=None):
     stamp = dt.datetime(2024, 1, 1, 0, 0, seen)
     first_stamp = stamp if first is None else dt.datetime(2024, 1, 1, 0, 0, first)
     return (
         id_, "Gauge", "svc", name, description, "1", {"a": "b"}, "", "s", "1", {}, 0, "", {},
-        first_stamp, stamp, batch_id,
+        first_stamp, stamp, write,
     )
 
 
 def catalogue(spark, *rows):
-    return spark.createDataFrame(list(rows), f"{SERIES}, batch_id BIGINT")
+    return spark.createDataFrame(list(rows), f"{SERIES}, write BIGINT")
 
 
 def test_latest_row_wins_then_latest_batch(spark):

@@ -1,0 +1,138 @@
+"""The manifest: commits, ranges, what a reader asks the file system for."""
+
+import random
+import time
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+
+import metricloom as ml
+from metricloom.sources import files, manifest
+from metricloom.sources.manifest import (
+    Fenced,
+    Replaced,
+    add_batch,
+    commit,
+    hold,
+    in_ranges,
+    is_done,
+    joined,
+    let_go,
+    live,
+    load,
+    new_write_id,
+    put_table,
+    replace,
+)
+
+
+@pytest.fixture
+def base(spark, tmp_path):
+    ml.create_tables(spark, str(tmp_path))
+    return str(tmp_path)
+
+
+def test_ranges_hold_the_numbers_that_were_put_in():
+    rng = random.Random(1)
+    for _ in range(200):
+        numbers, ranges = set(), []
+        for _ in range(rng.randrange(30)):
+            n = rng.randrange(40)
+            numbers.add(n)
+            ranges = joined([*ranges, [n, n]])
+        assert [n for n in range(-1, 41) if in_ranges(ranges, n)] == sorted(numbers)
+        assert all(a[1] + 1 < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_commits_at_the_same_time_lose_nothing(spark, base):
+    def store(k):
+        commit(spark, base, lambda s: add_batch(s, new_write_id(), {"gauge": 1}, f"w{k % 4}", k))
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(store, range(40)))
+    state = load(spark, base)
+    assert state["version"] == 40 and len(live(state, "gauge")) == 40
+    assert all(is_done(state, f"w{k % 4}", k) for k in range(40))
+    assert len(manifest._newest(spark, base)) <= manifest.KEPT_VERSIONS + 1
+    assert [n for n in files.names(spark, f"{base}/manifest") if "draft" in n] == []
+
+
+def test_another_process_that_commits_first_is_kept(spark, base, monkeypatch):
+    publish, others = files.publish, [1, 2]
+
+    def late(session, draft, target):  # another driver's version gets there first
+        if others:
+            state = load(session, base)
+            put_table(state, others.pop(), "sum", 1, "other", len(others))
+            state["version"] += 1
+            files.write_text(session, target, manifest.json.dumps(state))
+        return publish(session, draft, target)
+
+    monkeypatch.setattr(files, "publish", late)
+    commit(spark, base, lambda s: put_table(s, 9, "gauge", 5, "me", 0))
+    state = load(spark, base)
+    assert state["version"] == 3 and [w["id"] for w in state["writes"]] == [2, 1, 9]
+
+
+def test_a_batch_is_stored_once(spark, base):
+    commit(spark, base, lambda s: add_batch(s, 1, {"gauge": 3, "sum": 0}, "w", 0))
+    with pytest.raises(Replaced, match="stored already"):
+        commit(spark, base, lambda s: add_batch(s, 2, {"gauge": 3}, "w", 0))
+    commit(spark, base, lambda s: add_batch(s, 3, {}, "w", 1))  # a batch without rows counts too
+    state = load(spark, base)
+    assert [w["tables"] for w in state["writes"]] == [{"gauge": 3}] and is_done(state, "w", 1)
+    assert not is_done(state, "v", 0)
+
+
+def test_a_merge_holds_what_it_was_made_of(spark, base):
+    for k, writer in enumerate("aabab"):
+        commit(spark, base, lambda s, k=k, w=writer: add_batch(s, k, {"gauge": 1, "sum": 1}, w, k))
+    commit(spark, base, lambda s: replace(s, "gauge", [0, 1, 2], 10, 3))
+    state = load(spark, base)
+    assert [w["id"] for w in live(state, "gauge")] == [3, 4, 10]
+    assert [w["id"] for w in live(state, "sum")] == [0, 1, 2, 3, 4]
+    assert live(state, "gauge")[-1]["holds"] == {"a": [[0, 1]], "b": [[2, 2]]}
+    assert state["retired"] == [["gauge", 0], ["gauge", 1], ["gauge", 2]]
+    with pytest.raises(Replaced):
+        commit(spark, base, lambda s: replace(s, "gauge", [2, 3], 11, 2))
+
+
+def test_a_name_belongs_to_one_application_at_a_time(spark, base):
+    commit(spark, base, lambda s: hold(s, "w", "one", seconds=60))
+    commit(spark, base, lambda s: hold(s, "w", "one", seconds=60))
+    with pytest.raises(Fenced):
+        commit(spark, base, lambda s: hold(s, "w", "two"))
+    with pytest.raises(Fenced):
+        commit(spark, base, lambda s: add_batch(s, 1, {"gauge": 1}, "w", 0, owner="two"))
+    commit(spark, base, lambda s: let_go(s, "w", "two"))  # not its own: no effect
+    with pytest.raises(Fenced):
+        commit(spark, base, lambda s: hold(s, "w", "two"))
+    commit(spark, base, lambda s: hold(s, "w", "one", seconds=-1))
+    commit(spark, base, lambda s: hold(s, "w", "two"))  # the other one's time is up
+    commit(spark, base, lambda s: hold(s, "w", "three", take_over=True))
+    commit(spark, base, lambda s: let_go(s, "w", "three"))
+    commit(spark, base, lambda s: add_batch(s, 1, {"gauge": 1}, "w", 0, owner="two"))
+
+
+def test_a_reader_asks_twice_however_many_batches_there_are(spark, base, monkeypatch):
+    rows = spark.createDataFrame([(7,)], "SeriesID BIGINT").selectExpr(
+        *[c if c == "SeriesID" else f"cast(null as {kind}) as {c}" for c, kind in (
+            f.split(" ") for f in ml.schema.POINTS["gauge"].split(", "))],
+        "date'2024-01-01' as TimeDate",
+    )
+    ml.write_points(rows, "gauge", base, 0)
+    for k in range(2000):  # folders of batches, taken over by a merge or never committed
+        files.make_folder(spark, f"{base}/points/write={k}/table=gauge")
+
+    def fill(state):
+        for k in range(2000):
+            add_batch(state, 10 + k, {"sum": 1}, "w", k)
+
+    commit(spark, base, fill)
+    asked = []
+    place = files.place
+    monkeypatch.setattr(files, "place", lambda s, path: asked.append(path) or place(s, path))
+    started = time.monotonic()
+    points = ml.scan_points(spark, base, "gauge")
+    assert time.monotonic() - started < 1 and len(asked) == 2
+    assert points.count() == 1

@@ -12,7 +12,9 @@ from metricloom.operators.mapping import map_requests
 from metricloom.plans.ingest import ingest_files, write_batch
 from metricloom.schema import POINT_TABLES
 from metricloom.session import scratch_path
-from metricloom.sources.tables import committed
+from metricloom.sources import files, manifest
+from metricloom.sources import tables as tables_module
+from metricloom.sources.manifest import live, load
 from tests.builders import T0, gauge, number, request
 
 DAY = 86_400_000_000_000
@@ -90,66 +92,97 @@ def test_replayed_batch_replaces_its_rows(spark, base, tables):
     assert ml.scan_series(spark, base).count() == 60
 
 
+def folders(frame):
+    """Folders of writes that a frame reads."""
+    return {re.search(r"write=(\d+)", f).group(1) for f in frame.inputFiles()}
+
+
 def test_repeated_writes_of_a_series_compact_to_one_row(spark, base, requests_of):
     row = map_requests(requests_of(request(gauge("mt", number(1.0)))), NOW)["series"]
     for batch_id in range(4):
         ml.write_series(row, base, batch_id)
     assert ml.scan_series(spark, base).count() == 4
-    ml.optimize_series(spark, base, upto=3)
+    ml.optimize_series(spark, base)
     assert ml.scan_series(spark, base).count() == 1
     ml.write_series(row, base, 4)
     assert ml.scan_series(spark, base).count() == 2
-    assert ml.scan_series(spark, base, before_batch=3).count() == 3
-    assert committed(spark, f"{base}/series_snapshot") == [3]
-    ml.optimize_series(spark, base, upto=3)
-    ml.optimize_series(spark, base, upto=2)
-    assert committed(spark, f"{base}/series_snapshot") == [3]
-    assert ml.scan_series(spark, base).count() == 2
+    ml.optimize_series(spark, base)
+    version = load(spark, base)["version"]
+    ml.optimize_series(spark, base)
+    assert ml.scan_series(spark, base).count() == 1 and load(spark, base)["version"] == version
 
 
-def test_merge_again_and_lower(spark, base, tables):
-    rows = tables["gauge"]
-    for batch_id in range(3):
-        ml.write_points(rows.filter(F.col("Value") % 3 == batch_id), "gauge", base, batch_id)
-    for upto in (1, 1, 0, 1):
-        ml.merge_points(spark, base, "gauge", upto)
+def third(tables, k):
+    return tables["gauge"].filter(F.col("Value") % 3 == k)
+
+
+def test_a_batch_below_a_merge_is_read_and_stays(spark, base, tables):
+    for batch_id in (4, 9):
+        ml.write_points(third(tables, batch_id % 3), "gauge", base, batch_id)
+    assert ml.scan_points(spark, base, "gauge").count() == 40 - 20 * (4 % 3 == 9 % 3)
+    ml.merge_points(spark, base, "gauge")
+    ml.write_points(third(tables, 2), "gauge", base, 1)  # late, or of a writer that began later
+    for _ in range(2):
         assert ml.scan_points(spark, base, "gauge").select("Value").distinct().count() == 60
-    ml.merge_points(spark, base, "gauge", upto=9)
-    assert committed(spark, f"{base}/gauge_merged") == [1, 2]
-    assert ml.scan_points(spark, base, "gauge").count() == 60
+        removed = ml.remove_superseded(spark, base)
+    assert removed == [] and ml.scan_points(spark, base, "gauge").count() == 60
+    ml.merge_points(spark, base, "gauge")  # one write since the last merge: nothing to do
+    ml.write_points(third(tables, 2), "gauge", base, 2)
+    ml.merge_points(spark, base, "gauge")
+    assert [w["holds"] for w in live(load(spark, base), "gauge")] == [
+        {"direct": [[4, 4], [9, 9]]}, {"direct": [[1, 2]]},
+    ]
+    assert ml.scan_points(spark, base, "gauge").count() == 80
+
+
+def test_merged_points_are_read_once_in_one_scan(spark, base, tables):
+    for batch_id in range(3):
+        ml.write_points(third(tables, batch_id), "gauge", base, batch_id)
+    ml.merge_points(spark, base, "gauge")
+    points = ml.scan_points(spark, base, "gauge")
+    assert points.count() == 60 and points.select("Value").distinct().count() == 60
+    scans = [x for x in plan_of(ml.time_range(points, T0, T0 + 5)).splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and "TimeDate" in scans[0].split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_only_live_folders_are_listed_and_others_can_go(spark, base, tables):
-    for batch_id in range(3):
-        ml.write_points(tables["gauge"].filter(F.col("Value") % 3 == batch_id), "gauge", base, batch_id)
+    for batch_id in range(2):
+        ml.write_points(third(tables, batch_id), "gauge", base, batch_id)
         ml.write_series(ml.distinct_series(tables["series"]), base, batch_id)
-    ml.merge_points(spark, base, "gauge", upto=1)
-    ml.optimize_series(spark, base, upto=1)
+    old = folders(ml.scan_points(spark, base, "gauge")), folders(ml.scan_series(spark, base))
+    ml.merge_points(spark, base, "gauge")
+    ml.optimize_series(spark, base)
+    ml.write_points(third(tables, 2), "gauge", base, 2)
     points, series = ml.scan_points(spark, base, "gauge"), ml.scan_series(spark, base)
-    listed = points.inputFiles() + series.inputFiles()
-    assert all(re.search(r"(_merged/upto=1|gauge/batch_id=2|snapshot/upto=1|series/batch_id=2)/", f) for f in listed)
+    assert len(folders(points)) == 2 and len(folders(series)) == 1
     before = points.count(), series.count()
     removed = ml.remove_superseded(spark, base)
     assert {r.removeprefix(base) for r in removed} == {
-        f"/{t}/batch_id={n}" for t in ("gauge", "series") for n in (0, 1)
-    }
+        *(f"/points/write={n}/table=gauge" for n in old[0]), *(f"/series/write={n}" for n in old[1])
+    }
     assert (ml.scan_points(spark, base, "gauge").count(), ml.scan_series(spark, base).count()) == before
     assert ml.remove_superseded(spark, base) == []
 
 
-def test_merged_points_are_read_once(spark, base, tables):
-    for batch_id in range(3):
-        ml.write_points(tables["gauge"].filter(F.col("Value") % 3 == batch_id), "gauge", base, batch_id)
-    ml.merge_points(spark, base, "gauge", upto=1)
-    points = ml.scan_points(spark, base, "gauge")
-    assert points.count() == 60 and points.select("Value").distinct().count() == 60
-    ml.merge_points(spark, base, "gauge", upto=2)
-    assert ml.scan_points(spark, base, "gauge").select("Value").distinct().count() == 60
-    assert committed(spark, f"{base}/gauge_merged") == [1, 2]
-    scans = [x for x in plan_of(ml.time_range(points, T0, T0 + 5)).splitlines() if "FileScan" in x]
-    assert len(scans) == 2
-    for scan in scans:
-        assert "TimeDate" in scan.split("PartitionFilters: [")[1].split("]")[0]
+def test_a_merged_batch_is_not_written_again(spark, base, tables):
+    for batch_id in range(2):
+        ml.write_points(third(tables, batch_id), "gauge", base, batch_id)
+    ml.merge_points(spark, base, "gauge")
+    with pytest.raises(manifest.Replaced, match="part of merged gauge"):
+        ml.write_points(third(tables, 0), "gauge", base, 0)
+    assert ml.scan_points(spark, base, "gauge").count() == 40
+
+
+def test_a_merge_that_comes_second_changes_nothing(spark, base, tables, monkeypatch):
+    for batch_id in range(2):
+        ml.write_points(third(tables, batch_id), "gauge", base, batch_id)
+    stale = load(spark, base)
+    ml.merge_points(spark, base, "gauge")
+    monkeypatch.setattr("metricloom.sources.tables.load", lambda *_: stale)
+    with pytest.raises(manifest.Replaced, match="taken over"):
+        ml.merge_points(spark, base, "gauge")
+    monkeypatch.undo()
+    assert ml.scan_points(spark, base, "gauge").count() == 40
 
 
 def test_attribute_index_gives_the_same_series(spark, base, tables):
@@ -171,24 +204,53 @@ def test_index_is_never_behind_the_catalogue(spark, base, tables):
     series = ml.compact_series(tables["series"])
     first = ml.attribute_predicate("point", "k", "3")
 
-    def by_index(value):
-        return ml.indexed_series(ml.scan_attribute_index(spark, base), "point", "k", value).count()
+    def by_index(value, scope="point", key="k"):
+        return ml.indexed_series(ml.scan_attribute_index(spark, base), scope, key, value).count()
+
+    def parts():
+        return len(live(load(spark, base), "attribute_index"))
 
     assert by_index("3") == 0
     ml.write_series(series.filter(~first), base, 0)
     ml.write_attribute_index(spark, base)
-    assert (by_index("3"), by_index("1")) == (0, 1)
+    assert (by_index("3"), by_index("1"), parts()) == (0, 1, 1)
     ml.write_series(series.filter(first), base, 1)
     assert (by_index("3"), by_index("1")) == (1, 1)
     # A later version of a series replaces what the index says of its scope.
     moved = series.filter(first).withColumn("ScopeAttributes", F.create_map(F.lit("team"), F.lit("t9")))
     ml.write_series(moved, base, 2)
-    index = ml.scan_attribute_index(spark, base)
-    assert ml.indexed_series(index, "scope", "team", "t9").count() == 1
-    ml.write_attribute_index(spark, base)
+    assert by_index("t9", "scope", "team") == 1
+    for _ in range(2):
+        ml.write_attribute_index(spark, base)
+    assert (by_index("3"), by_index("1"), by_index("t9", "scope", "team"), parts()) == (1, 1, 1, 2)
+    ml.write_series(moved.withColumn("ScopeAttributes", F.create_map(F.lit("team"), F.lit("t8"))), base, 3)
+    for step in (ml.write_attribute_index, ml.merge_attribute_index, ml.optimize_series):
+        step(spark, base)
+        assert (by_index("t9", "scope", "team"), by_index("t8", "scope", "team")) == (0, 1)
+        assert (by_index("3"), by_index("1")) == (1, 1)
+    assert parts() == 1 and ml.scan_series(spark, base).count() == 5
+    # The catalogue rewritten to one row per series is covered as its writes were.
     ml.write_attribute_index(spark, base)
-    assert committed(spark, f"{base}/attribute_index") == [0, 2]
-    assert (by_index("3"), by_index("1")) == (1, 1)
+    assert parts() == 1
+
+
+def test_an_index_write_reads_only_what_came_since(spark, base, tables, monkeypatch):
+    series = ml.compact_series(tables["series"])
+    asked = []
+    read = tables_module._read
+    monkeypatch.setattr(
+        tables_module, "_read", lambda *a, **k: asked.append((a[1].removeprefix(base), a[2])) or read(*a, **k)
+    )
+    for batch_id in range(3):
+        own = F.expr(f"cast(Attributes['k'] as int) % 3 = {batch_id}")
+        ml.write_series(series.filter(own), base, batch_id)
+        asked.clear()
+        ml.write_attribute_index(spark, base)
+        assert asked == [("/series", [live(load(spark, base), "series")[-1]["id"]])]
+    index = ml.scan_attribute_index(spark, base)
+    assert index.count() == index.distinct().count() == ml.attribute_index(series).count()
+    scan = [x for x in plan_of(ml.indexed_series(index, "point", "k", "3")).splitlines() if "FileScan" in x]
+    assert any("EqualTo(key,k)" in x and "EqualTo(value,3)" in x for x in scan)
 
 
 def test_ingest_files_and_ledger(spark, requests_of, tmp_path):
@@ -217,9 +279,11 @@ def test_failed_write_is_recorded_and_stops_the_batch(spark, base, requests_of,
     def broken(*_):
         raise OSError("disk gone")
 
-    monkeypatch.setattr(ingest, "write_points", broken)
+    monkeypatch.setattr(ingest, "put_points", broken)
     with pytest.raises(RuntimeError, match="write of gauge failed"):
         write_batch(spark, lambda _: flat, base, 0, NOW, ["gauge"])
+    assert ml.scan_series(spark, base).count() == 0  # all of a batch is visible, or nothing
+    assert files.names(spark, f"{base}/series") == []
     stats = {r.table: (r.writes, r.failures) for r in ml.write_stats(ml.scan_rows(spark, base, "ledger")).collect()}
     assert stats == {"series": (1, 0), "gauge": (1, 1)}
     monkeypatch.undo()

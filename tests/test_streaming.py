@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import metricloom as ml
 from metricloom.schema import POINT_TABLES
-from metricloom.streaming.ingest import ingest_micro_batch
+from metricloom.sources import files
+from metricloom.sources.manifest import Fenced, commit, hold
+from metricloom.streaming.ingest import ingest_micro_batch, stream_identity
 from tests.builders import T0, gauge, number, request, total
 
 MONTH = 30 * 86_400_000_000_000
@@ -87,6 +89,55 @@ def test_empty_micro_batch_makes_no_file(spark, folder, tmp_path):
     assert [f for f in (tmp_path / "store").rglob("*") if f.is_file()] == []
 
 
+def test_streams_with_own_checkpoints_share_a_base(spark, folder, tmp_path):
+    base = str(tmp_path / "store")
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "r.json").write_text(json.dumps(request(gauge("cpu", *[number(1.0, T0 + 99 + j) for j in range(7)]))))
+    ml.drain(ml.stream_requests(spark, folder, max_files=2), base, f"{base}/one")
+    ml.drain(ml.stream_requests(spark, str(other)), base, f"{base}/two")
+    points, series = state(spark, base)
+    assert points["gauge"] == 37 and points["sum"] == 30 and series == 4
+    for checkpoint in ("one", "two"):  # started again, each goes on where it was
+        ml.drain(ml.stream_requests(spark, folder if checkpoint == "one" else str(other)), base, f"{base}/{checkpoint}")
+    assert state(spark, base) == (points, series)
+
+
+def test_streams_at_the_same_time(spark, folder, tmp_path):
+    base = str(tmp_path / "store")
+    running = [
+        ml.start_ingest(ml.stream_requests(spark, folder, max_files=3), base, f"{base}/c{k}", "1 second")
+        for k in range(2)
+    ]
+    try:
+        for query in running:
+            query.processAllAvailable()
+    finally:
+        for query in running:
+            query.stop()
+    points, _ = state(spark, base)
+    assert points["gauge"] == points["sum"] == 60
+    assert ml.compact_series(ml.scan_series(spark, base)).count() == 3
+
+
+def test_a_second_application_is_refused_until_it_takes_over(spark, folder, tmp_path):
+    base, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
+    ml.create_tables(spark, base)
+    writer = stream_identity(spark, checkpoint)
+    assert stream_identity(spark, checkpoint) == writer
+    commit(spark, base, lambda s: hold(s, writer, "application-1"))
+    with pytest.raises(Fenced, match="application-1"):
+        ml.drain(ml.stream_requests(spark, folder), base, checkpoint)
+    ml.drain(ml.stream_requests(spark, folder), base, checkpoint, take_over=True)
+    assert state(spark, base) == EXPECTED
+    # The old one wakes up: while the new one holds the name, its batch is refused and leaves nothing.
+    commit(spark, base, lambda s: hold(s, writer, "application-2"))
+    with pytest.raises(Fenced):
+        ingest_micro_batch(ml.read_requests(spark, folder), base, 7, writer=writer, owner="application-1")
+    assert state(spark, base) == EXPECTED
+    assert len(files.names(spark, f"{base}/points")) == 1
+
+
 def test_continuous_ingest_and_stop(spark, folder, tmp_path):
     base = str(tmp_path / "store")
     running = ml.start_ingest(

@@ -339,8 +339,8 @@ ORACLE: dict[str, str] = {
         SELECT part AS batch_id, tbl AS "table", count(*) AS rows FROM pts GROUP BY ALL
         UNION ALL SELECT part, 'series', count(*) FROM first GROUP BY part""",
     "g9_write_stats": f"""{ALL} SELECT tbl AS "table", CAST(2 AS BIGINT) AS writes,
-          CAST(0 AS BIGINT) AS failures, count(*) AS rows FROM pts GROUP BY tbl
-        UNION ALL SELECT 'series', 2, 0, count(DISTINCT key) FROM pts""",
+          CAST(0 AS BIGINT) AS failures, count(*) AS rows, true AS times_fit FROM pts GROUP BY tbl
+        UNION ALL SELECT 'series', 2, 0, count(DISTINCT key), true FROM pts""",
     "h1_write_series": f"WITH {EV} {_DESCRIBED}",
     "h2_write_gauge": _stored("gauge"),
     "h3_write_sum": _stored("sum"),
@@ -350,6 +350,7 @@ ORACLE: dict[str, str] = {
     "h7_physical_layout": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS folder, count(*) AS points,
         CAST(0 AS BIGINT) AS misplaced FROM events GROUP BY 1""",
     "h7_merge_points": _stored("gauge"),
+    "h7_batch_below_a_merge": _stored("gauge"),
     "h8_create_tables": _ROWS,
     "h9_empty_batch": f"""WITH {RJ} SELECT 'rejects' AS "table", count(*) AS rows FROM rj
         WHERE reason IS NOT NULL AND NOT nameless""",
@@ -379,6 +380,7 @@ ORACLE: dict[str, str] = {
         WHERE host = 'h1'""",
     "j1_j2_continuous_ingest": _REPORT,
     "j3_j4_drain_in_capped_batches": _REPORT,
+    "j1_two_streams": _REPORT,
     "j5_replayed_batch": _REPORT,
     "k1_any_value_to_string": f"""SELECT * FROM ({_ATTRS})
         UNION ALL SELECT {_NANOS}, 'list', {_LIST} FROM events
