@@ -42,7 +42,11 @@ def points_where(points: DataFrame, series: DataFrame, predicate: Column) -> Dat
 
 
 def series_over_time(
-    points: DataFrame, ids: int | Iterable[int], start: datetime | int, end: datetime | int
+    points: DataFrame, ids: int | Iterable[int] | DataFrame, start: datetime | int, end: datetime | int
 ) -> DataFrame:
-    """points of one or a few series in a time range, in storage order."""
-    return time_range(where_series(points, ids), start, end).orderBy("SeriesID", "TimeUnixNano")
+    """points of some series in a time range, in storage order.
+
+    ``ids`` is one ID, a short list, or a DataFrame of any number of them.
+    """
+    own = points_of(points, ids) if isinstance(ids, DataFrame) else where_series(points, ids)
+    return time_range(own, start, end).orderBy("SeriesID", "TimeUnixNano")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metricloom.operators.catalogue import new_series
@@ -29,6 +29,8 @@ from metricloom.sources.tables import (
 
 # Table, rows, duration in ms, error text.
 Entry = tuple[str, int, int, str | None]
+# Rows by table, of each write of a batch.
+Writes = dict[int, dict[str, int]]
 # Gives the flattened metrics with (at least) the payloads of the named tables.
 FlatSource = Callable[[tuple[str, ...]], DataFrame]
 
@@ -36,7 +38,9 @@ FlatSource = Callable[[tuple[str, ...]], DataFrame]
 FILES = "files"
 
 
-def _attempt(tables: Iterable[str], write: Callable[[], dict[str, int]]) -> list[Entry]:
+def _attempt(
+    writes: Writes, tables: Iterable[str], write_id: int, write: Callable[[int], dict[str, int]]
+) -> list[Entry]:
     """Run one write and describe what it made; a failure is one of each of its tables."""
     started = time.monotonic()
 
@@ -44,9 +48,11 @@ def _attempt(tables: Iterable[str], write: Callable[[], dict[str, int]]) -> list
         return int((time.monotonic() - started) * 1000)
 
     try:
-        return [(table, rows, spent(), None) for table, rows in write().items()]
+        found = write(write_id)
     except Exception as failure:  # noqa: BLE001 - recorded here, raised by write_batch
         return [(table, 0, spent(), f"{type(failure).__name__}: {failure}") for table in tables]
+    writes[write_id].update(found)
+    return [(table, rows, spent(), None) for table, rows in found.items()]
 
 
 def write_batch(
@@ -59,6 +65,7 @@ def write_batch(
     requests: DataFrame | None = None,
     writer: str = FILES,
     owner: str | None = None,
+    units: list[FlatSource] | None = None,
 ) -> list[Entry]:
     """Store one batch of flattened metrics, whole or not at all, and once.
 
@@ -67,6 +74,8 @@ def write_batch(
     visible, so no stored point is without its catalogue row. A batch is known by its ``writer`` and
     id: one that is stored already is left as it is, whoever asks. ``owner`` is the
     application that holds the writer's name; if another one took it over, the batch is refused.
+    ``units`` are parts of ``source`` whose points are written one after the other, each
+    to folders of its own; one commit names all of them.
 
     Every write counts its rows as it runs; what has no rows leaves no folder and no ledger
     entry. If one fails, its error is recorded and the batch ends with it, to be run again;
@@ -74,32 +83,43 @@ def write_batch(
     """
     if is_done(load(spark, base), writer, batch_id):
         return []
-    tables, write_id = tuple(tables), new_write_id()
+    tables, units = tuple(tables), units or [source]
     flat = source(tables)
-    steps: list[tuple[tuple[str, ...], Callable[[], dict[str, int]]]] = []
+    writes: Writes = {}
+    steps: list[list[tuple]] = []  # run side by side, the entries of one after the other
+
+    def step(names: tuple[str, ...], write: Callable[[int], dict[str, int]]) -> tuple:
+        write_id = new_write_id()
+        writes[write_id] = {}
+        return names, write_id, write
+
     rejects = nameless_rejects(nameless_metrics(source(())))
     if tables:
-        points = {t: slim(map_points(source((t,)), t), t) for t in tables}
-        steps.append((tables, lambda: put_points(points, base, write_id)))
+        parts = [{t: slim(map_points(unit((t,)), t), t) for t in tables} for unit in units]
+        steps.append([step(tables, lambda n, p=p: put_points(p, base, n)) for p in parts])
         fresh = new_series(map_series(flat, ingest_time), scan_series(spark, base, ["SeriesID"]))
-        steps.append((("series",), lambda: put_series(fresh, base, write_id)))
+        steps.append([step(("series",), lambda n: put_series(fresh, base, n))])
         rejects = validate(point_heads(flat))[1].unionByName(rejects)
     if requests is not None:
         rejects = rejects.unionByName(unreadable_rejects(requests))
-    steps.append((("rejects",), lambda: put_rejects(rejects, base, write_id, writer, batch_id)))
+    steps.append([step(("rejects",), lambda n: put_rejects(rejects, base, n, writer, batch_id))])
+
+    def run(chain: list[tuple]) -> list[Entry]:
+        return [entry for one in chain for entry in _attempt(writes, *one)]
+
     with ThreadPoolExecutor(len(steps)) as pool:
-        entries = [e for own in pool.map(lambda step: _attempt(*step), steps) for e in own]
-    found = {table: rows for table, rows, _, error in entries if error is None}
+        entries = [entry for own in pool.map(run, steps) for entry in own]
     try:
         failed = next((e for e in entries if e[3] is not None), None)
         if failed is not None:
             raise RuntimeError(f"batch {batch_id}: write of {failed[0]} failed: {failed[3]}")
-        commit(spark, base, lambda s: add_batch(s, write_id, found, writer, batch_id, owner))
+        commit(spark, base, lambda s: add_batch(s, writes, writer, batch_id, owner))
     except Exception as failure:
         # What was written is in no commit, and goes.
         entries = [(t, 0, ms, error or f"not stored: {failure}") for t, _, ms, error in entries]
-        for table in ("points", "series", "rejects"):
-            files.delete(spark, f"{base}/{table}/write={write_id}")
+        for write_id in writes:
+            for table in ("points", "series", "rejects"):
+                files.delete(spark, f"{base}/{table}/write={write_id}")
         raise
     finally:
         if entries:
@@ -107,6 +127,59 @@ def write_batch(
     return entries
 
 
+def units_of(flat: DataFrame, most: int) -> list[DataFrame]:
+    """Flattened metrics in parts of at most ``most`` points, in their order.
+
+    ``flat`` is cached. A metric with more than half of that is cut into pieces of its points. Pieces are counted
+    by partition, then in order within it, on their numbers alone; every part is a range of
+    those numbers, so that the wide rows are neither shuffled nor sorted. What reaches the
+    driver is one number per part.
+    """
+    half = max(1, most // 2)
+    arms = [arm for _, arm, _ in POINT_TABLES.values() if arm in flat.columns]
+    # A metric without a name is one reject, however many points it has.
+    size = F.when(F.col("MetricName") == "", 0).otherwise(
+        F.coalesce(*[F.size(F.col(f"{arm}.dataPoints")) for arm in arms], F.lit(0))
+    )
+    last = F.greatest(F.ceil(size / half) - 1, F.lit(0)).cast("int")
+    pieces = flat.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+    # Where a metric is one piece, its points stay as they are.
+    whole = last == 0
+    cut = {
+        arm: F.when(F.col(arm).isNull() | whole, F.col(arm)).otherwise(
+            F.col(arm).withField("dataPoints", F.slice(f"{arm}.dataPoints", F.col("_piece") * half + 1, half))
+        )
+        for arm in arms
+    }
+    numbered = pieces.withColumns(cut).drop("_piece").withColumn("_number", F.monotonically_increasing_id())
+    count = F.when(F.col("MetricName") == "", 0).otherwise(
+        F.coalesce(*[F.size(F.col(f"{arm}.dataPoints")) for arm in arms], F.lit(0))
+    )
+    sizes = numbered.select("_number", F.shiftright("_number", 33).alias("part"), count.alias("n"))
+    totals = sizes.groupBy("part").agg(F.sum("n").alias("total"))
+    before = totals.select(
+        F.col("part").alias("_part"),
+        (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"),
+    )
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("_number")) - F.col("n")
+    placed = sizes.withColumn("inside", inside).join(F.broadcast(before), F.col("part") == F.col("_part"))
+    unit = F.expr(f"(before + inside) DIV {half}")
+    starts = placed.groupBy(unit.alias("unit")).agg(F.min("_number").alias("first")).orderBy("unit").collect()
+    if len(starts) < 2:
+        return [flat]
+    bounds = [r["first"] for r in starts[1:]]
+    lows, highs = [None, *bounds], [*bounds, None]
+    out = []
+    for low, high in zip(lows, highs, strict=True):
+        own = numbered
+        if low is not None:
+            own = own.filter(F.col("_number") >= low)
+        if high is not None:
+            own = own.filter(F.col("_number") < high)
+        out.append(own.drop("_number"))
+    return out
+
+
 def present_tables(flat: DataFrame) -> list[str]:
     """H9: tables for which a batch holds at least one metric."""
     counts = flat.agg(

@@ -116,6 +116,9 @@ POINTS = {
 }
 REJECTS = "reason STRING, MetricName STRING, MetricType STRING"
 LEDGER = "table STRING, rows BIGINT, duration_ms BIGINT, error STRING"
+ZONES = (
+    "file STRING, min_id BIGINT, max_id BIGINT, min_nanos BIGINT, max_nanos BIGINT, rows BIGINT"
+)
 ATTRIBUTE_INDEX = "key STRING, value STRING, SeriesID BIGINT"
 
 

@@ -59,7 +59,7 @@ def _rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
     return ranged.hint("rebalance", *columns, "_range").drop("_range")
 
 
-def _put(rows: DataFrame, path: str, counts: dict, by: Iterable[str] = (), **options: str) -> dict[str, int]:
+def put_rows(rows: DataFrame, path: str, counts: dict, by: Iterable[str] = (), **options: str) -> dict[str, int]:
     """Write a folder and give ``counts`` of its rows, without those that are zero.
 
     Rows are counted in the last stage, where a rerun of a lost task counts once.
@@ -76,7 +76,7 @@ def _put(rows: DataFrame, path: str, counts: dict, by: Iterable[str] = (), **opt
 
 def put_series(series: DataFrame, base: str, write_id: int) -> dict[str, int]:
     """H1: catalogue rows, sorted by SeriesID within files. Returns {"series": rows}."""
-    return _put(
+    return put_rows(
         _rebalanced(series).sortWithinPartitions("SeriesID"),
         f"{base}/series/write={write_id}",
         {"series": F.count(F.lit(1))},
@@ -84,7 +84,9 @@ def put_series(series: DataFrame, base: str, write_id: int) -> dict[str, int]:
     )
 
 
-def put_points(points: dict[str, DataFrame], base: str, write_id: int) -> dict[str, int]:
+def put_points(
+    points: dict[str, DataFrame], base: str, write_id: int, by_range: bool = False
+) -> dict[str, int]:
     """H2-H7: slim points of several types in one job. Returns the rows of each table.
 
     The types become one union with a column for each of theirs; a type's files
@@ -92,20 +94,22 @@ def put_points(points: dict[str, DataFrame], base: str, write_id: int) -> dict[s
     Rows are shuffled by (type, day, SeriesID range) and sorted by (SeriesID, time). The
     shuffle is a rebalance: adaptive execution joins small groups into one task
     and splits large ones, so neither a busy day nor a single hot series ends up in one task.
+    ``by_range`` makes it a range shuffle, which reads ``points`` twice: tasks then hold consecutive
+    days and SeriesIDs, so that files are fewer and each holds a narrow range of series.
     """
     labelled = [rows.withColumn("table", F.lit(table)) for table, rows in points.items()]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
-    sorted_rows = _rebalanced(united, "table", "TimeDate").sortWithinPartitions(
-        "table", "TimeDate", "SeriesID", "TimeUnixNano"
-    )
+    order = ("table", "TimeDate", "SeriesID", "TimeUnixNano")
+    dealt = united.repartitionByRange(*order) if by_range else _rebalanced(united, "table", "TimeDate")
+    sorted_rows = dealt.sortWithinPartitions(*order)
     counts = {table: F.count_if(F.col("table") == table) for table in points}
-    return _put(sorted_rows, f"{base}/points/write={write_id}", counts, ("table", "TimeDate"))
+    return put_rows(sorted_rows, f"{base}/points/write={write_id}", counts, ("table", "TimeDate"))
 
 
 def put_rejects(rejects: DataFrame, base: str, write_id: int, writer: str, batch_id: int) -> dict[str, int]:
     """C4: rejects of one batch. Returns {"rejects": rows}."""
     marked = rejects.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")})
-    return _put(
+    return put_rows(
         marked.hint("rebalance"), f"{base}/rejects/write={write_id}", {"rejects": F.count(F.lit(1))}
     )
 
@@ -155,7 +159,7 @@ def create_tables(spark: SparkSession, base: str) -> None:
 # ---------------------------------------------------------------- readers
 
 
-def _read(spark: SparkSession, root: str, ids: list[int], schema: str, inner: str = "") -> DataFrame:
+def read_writes(spark: SparkSession, root: str, ids: list[int], schema: str, inner: str = "") -> DataFrame:
     """The folders of some writes, with their number as column ``write``; no others are listed."""
     schema = f"{schema}, write BIGINT"
     if not ids:
@@ -168,14 +172,14 @@ def _ids(state: dict, table: str) -> list[int]:
     return [w["id"] for w in live(state, table)]
 
 
-def _points(spark: SparkSession, base: str, table: str, ids: list[int]) -> DataFrame:
+def read_points(spark: SparkSession, base: str, table: str, ids: list[int]) -> DataFrame:
     schema = f"{POINTS[table]}, TimeDate DATE"
-    return _read(spark, f"{base}/points", ids, schema, f"/table={table}").drop("write", "table")
+    return read_writes(spark, f"{base}/points", ids, schema, f"/table={table}").drop("write", "table")
 
 
 def scan_points(spark: SparkSession, base: str, table: str) -> DataFrame:
     """Points of one type, of all writes that are live."""
-    return _points(spark, base, table, _ids(load(spark, base), table))
+    return read_points(spark, base, table, _ids(load(spark, base), table))
 
 
 def scan_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -184,7 +188,7 @@ def scan_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
     if table == "ledger":
         return spark.read.schema(f"{LEDGER}, {owner}").json(f"{base}/ledger")
     ids = _ids(load(spark, base), table)
-    return _read(spark, f"{base}/{table}", ids, f"{REJECTS}, {owner}").drop("write")
+    return read_writes(spark, f"{base}/{table}", ids, f"{REJECTS}, {owner}").drop("write")
 
 
 def scan_series(
@@ -194,12 +198,12 @@ def scan_series(
 
     A series may have several versions; read it through ``compact_series``.
     """
-    rows = _read(spark, f"{base}/series", _ids(load(spark, base), "series"), SERIES)
+    rows = read_writes(spark, f"{base}/series", _ids(load(spark, base), "series"), SERIES)
     return rows.select(*cols) if cols is not None else rows
 
 
 def _index_rows(spark: SparkSession, base: str, ids: list[int]) -> DataFrame:
-    return _read(spark, f"{base}/attribute_index", ids, f"{ATTRIBUTE_INDEX}, scope STRING")
+    return read_writes(spark, f"{base}/attribute_index", ids, f"{ATTRIBUTE_INDEX}, scope STRING")
 
 
 def _not_indexed(state: dict) -> list[int]:
@@ -231,7 +235,7 @@ def scan_attribute_index(spark: SparkSession, base: str) -> DataFrame:
     later = _index_rows(spark, base, parts[1:]).filter(F.col("scope") == INDEXED).select("SeriesID", "write")
     if not tail:
         return _current(rows, later)
-    fresh = compact_series(_read(spark, f"{base}/series", tail, SERIES))
+    fresh = compact_series(read_writes(spark, f"{base}/series", tail, SERIES))
     newest = fresh.select("SeriesID", F.lit(2**63 - 1).alias("write"))
     return _current(rows, later.unionByName(newest)).unionByName(attribute_index(fresh))
 
@@ -254,7 +258,7 @@ def optimize_series(spark: SparkSession, base: str, keep_first_seen: bool = Fals
     if len(ids) < 2:
         return
     write_id = new_write_id()
-    rows = compact_series(_read(spark, f"{base}/series", ids, SERIES), keep_first_seen)
+    rows = compact_series(read_writes(spark, f"{base}/series", ids, SERIES), keep_first_seen)
     found = put_series(rows, base, write_id)
 
     def take_over(state: dict) -> None:
@@ -277,7 +281,7 @@ def merge_points(spark: SparkSession, base: str, table: str) -> None:
     if len(ids) < 2:
         return
     write_id = new_write_id()
-    found = put_points({table: _points(spark, base, table, ids)}, base, write_id)
+    found = put_points({table: read_points(spark, base, table, ids)}, base, write_id, by_range=True)
     commit(spark, base, lambda s: manifest.replace(s, table, ids, write_id, found[table]))
 
 
@@ -287,7 +291,7 @@ def _put_index(rows: DataFrame, base: str, write_id: int) -> dict[str, int]:
     Range partitioning ends in SeriesID, so a value shared by every series is split over tasks too.
     """
     order = ("scope", "key", "value", "SeriesID")
-    return _put(
+    return put_rows(
         rows.repartitionByRange(*order).sortWithinPartitions(*order),
         f"{base}/attribute_index/write={write_id}",
         {"attribute_index": F.count(F.lit(1))},
@@ -304,7 +308,7 @@ def write_attribute_index(spark: SparkSession, base: str) -> None:
     if not ids:
         return
     write_id = new_write_id()
-    series = compact_series(_read(spark, f"{base}/series", ids, SERIES))
+    series = compact_series(read_writes(spark, f"{base}/series", ids, SERIES))
     none = F.lit("")
     own = series.select(F.lit(INDEXED).alias("scope"), none.alias("key"), none.alias("value"), "SeriesID")
     found = _put_index(attribute_index(series).unionByName(own), base, write_id)

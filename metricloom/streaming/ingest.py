@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from metricloom.operators.flatten import flatten_metrics
-from metricloom.plans.ingest import present_tables, write_batch
+from metricloom.plans.ingest import present_tables, units_of, write_batch
 from metricloom.sources import files
 from metricloom.sources.manifest import commit, hold, is_done, let_go, load
 from metricloom.sources.tables import create_tables
@@ -26,11 +26,13 @@ def ingest_micro_batch(
     ingest_time: datetime | None = None,
     writer: str = MICRO_BATCHES,
     owner: str | None = None,
+    max_points: int | None = None,
 ) -> None:
     """Store one micro-batch: parse and flatten once, then write the tables it holds.
 
     The micro-batch is bounded by the caps of the source. Its flattened metrics
     are cached for the writes; a lost executor only costs recomputing its part.
+    ``max_points`` bounds the points of each write (J3); one commit names all writes of the batch.
     A replay of one that is stored changes nothing. An empty micro-batch stores and records nothing.
     """
     spark = requests.sparkSession
@@ -40,7 +42,11 @@ def ingest_micro_batch(
     flat = flatten_metrics(requests).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tables = present_tables(flat)
-        write_batch(spark, lambda _: flat, base, batch_id, moment, tables, requests, writer, owner)
+        parts = units_of(flat, max_points) if max_points and tables else [flat]
+        units = [lambda _, part=part: part for part in parts]
+        write_batch(
+            spark, lambda _: flat, base, batch_id, moment, tables, requests, writer, owner, units
+        )
     finally:
         flat.unpersist()
 
@@ -61,37 +67,53 @@ def stream_identity(spark: SparkSession, checkpoint: str) -> str:
     return known.strip()
 
 
-def _started(stream: DataFrame, base: str, checkpoint: str, take_over: bool, **trigger) -> StreamingQuery:
+def _started(
+    stream: DataFrame, base: str, checkpoint: str, take_over: bool, max_points: int | None, **trigger
+) -> StreamingQuery:
     spark = stream.sparkSession
     create_tables(spark, base)
     writer, owner = stream_identity(spark, checkpoint), spark.sparkContext.applicationId
     commit(spark, base, lambda s: hold(s, writer, owner, take_over=take_over))
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, n: ingest_micro_batch(batch, base, n, writer=writer, owner=owner))
+        .foreachBatch(
+            lambda batch, n: ingest_micro_batch(
+                batch, base, n, writer=writer, owner=owner, max_points=max_points
+            )
+        )
         .trigger(**trigger)
         .start()
     )
 
 
 def start_ingest(
-    stream: DataFrame, base: str, checkpoint: str, interval: str = "1 second", take_over: bool = False
+    stream: DataFrame,
+    base: str,
+    checkpoint: str,
+    interval: str = "1 second",
+    take_over: bool = False,
+    max_points: int | None = None,
 ) -> StreamingQuery:
     """Continuous ingest, one micro-batch per interval.
 
     Any number of streams share a base, each with its own checkpoint. While one application
     runs the stream of a checkpoint, another one that starts it is refused, for ten
-    minutes after the last batch; ``take_over`` takes it from one that died.
+    minutes after the last batch; ``take_over`` takes it from one that died. Writes hold
+    ``max_points`` points at the most, if given.
     """
-    return _started(stream, base, checkpoint, take_over, processingTime=interval)
+    return _started(stream, base, checkpoint, take_over, max_points, processingTime=interval)
 
 
 def drain(
-    stream: DataFrame, base: str, checkpoint: str, take_over: bool = False
+    stream: DataFrame,
+    base: str,
+    checkpoint: str,
+    take_over: bool = False,
+    max_points: int | None = None,
 ) -> StreamingQuery:
     """Ingest everything that is there, then stop and let the stream's name go."""
     spark = stream.sparkSession
-    query = _started(stream, base, checkpoint, take_over, availableNow=True)
+    query = _started(stream, base, checkpoint, take_over, max_points, availableNow=True)
     try:
         query.awaitTermination()
     finally:

@@ -46,7 +46,7 @@ def test_ranges_hold_the_numbers_that_were_put_in():
 
 def test_commits_at_the_same_time_lose_nothing(spark, base):
     def store(k):
-        commit(spark, base, lambda s: add_batch(s, new_write_id(), {"gauge": 1}, f"w{k % 4}", k))
+        commit(spark, base, lambda s: add_batch(s, {new_write_id(): {"gauge": 1}}, f"w{k % 4}", k))
 
     with ThreadPoolExecutor(8) as pool:
         list(pool.map(store, range(40)))
@@ -75,10 +75,10 @@ def test_another_process_that_commits_first_is_kept(spark, base, monkeypatch):
 
 
 def test_a_batch_is_stored_once(spark, base):
-    commit(spark, base, lambda s: add_batch(s, 1, {"gauge": 3, "sum": 0}, "w", 0))
+    commit(spark, base, lambda s: add_batch(s, {1: {"gauge": 3, "sum": 0}}, "w", 0))
     with pytest.raises(Replaced, match="stored already"):
-        commit(spark, base, lambda s: add_batch(s, 2, {"gauge": 3}, "w", 0))
-    commit(spark, base, lambda s: add_batch(s, 3, {}, "w", 1))  # a batch without rows counts too
+        commit(spark, base, lambda s: add_batch(s, {2: {"gauge": 3}}, "w", 0))
+    commit(spark, base, lambda s: add_batch(s, {3: {}}, "w", 1))  # a batch without rows counts too
     state = load(spark, base)
     assert [w["tables"] for w in state["writes"]] == [{"gauge": 3}] and is_done(state, "w", 1)
     assert not is_done(state, "v", 0)
@@ -86,7 +86,7 @@ def test_a_batch_is_stored_once(spark, base):
 
 def test_a_merge_holds_what_it_was_made_of(spark, base):
     for k, writer in enumerate("aabab"):
-        commit(spark, base, lambda s, k=k, w=writer: add_batch(s, k, {"gauge": 1, "sum": 1}, w, k))
+        commit(spark, base, lambda s, k=k, w=writer: add_batch(s, {k: {"gauge": 1, "sum": 1}}, w, k))
     commit(spark, base, lambda s: replace(s, "gauge", [0, 1, 2], 10, 3))
     state = load(spark, base)
     assert [w["id"] for w in live(state, "gauge")] == [3, 4, 10]
@@ -103,7 +103,7 @@ def test_a_name_belongs_to_one_application_at_a_time(spark, base):
     with pytest.raises(Fenced):
         commit(spark, base, lambda s: hold(s, "w", "two"))
     with pytest.raises(Fenced):
-        commit(spark, base, lambda s: add_batch(s, 1, {"gauge": 1}, "w", 0, owner="two"))
+        commit(spark, base, lambda s: add_batch(s, {1: {"gauge": 1}}, "w", 0, owner="two"))
     commit(spark, base, lambda s: let_go(s, "w", "two"))  # not its own: no effect
     with pytest.raises(Fenced):
         commit(spark, base, lambda s: hold(s, "w", "two"))
@@ -111,7 +111,7 @@ def test_a_name_belongs_to_one_application_at_a_time(spark, base):
     commit(spark, base, lambda s: hold(s, "w", "two"))  # the other one's time is up
     commit(spark, base, lambda s: hold(s, "w", "three", take_over=True))
     commit(spark, base, lambda s: let_go(s, "w", "three"))
-    commit(spark, base, lambda s: add_batch(s, 1, {"gauge": 1}, "w", 0, owner="two"))
+    commit(spark, base, lambda s: add_batch(s, {1: {"gauge": 1}}, "w", 0, owner="two"))
 
 
 def test_a_reader_asks_twice_however_many_batches_there_are(spark, base, monkeypatch):
@@ -126,7 +126,7 @@ def test_a_reader_asks_twice_however_many_batches_there_are(spark, base, monkeyp
 
     def fill(state):
         for k in range(2000):
-            add_batch(state, 10 + k, {"sum": 1}, "w", k)
+            add_batch(state, {10 + k: {"sum": 1}}, "w", k)
 
     commit(spark, base, fill)
     asked = []

@@ -237,9 +237,9 @@ def test_index_is_never_behind_the_catalogue(spark, base, tables):
 def test_an_index_write_reads_only_what_came_since(spark, base, tables, monkeypatch):
     series = ml.compact_series(tables["series"])
     asked = []
-    read = tables_module._read
+    read = tables_module.read_writes
     monkeypatch.setattr(
-        tables_module, "_read", lambda *a, **k: asked.append((a[1].removeprefix(base), a[2])) or read(*a, **k)
+        tables_module, "read_writes", lambda *a, **k: asked.append((a[1].removeprefix(base), a[2])) or read(*a, **k)
     )
     for batch_id in range(3):
         own = F.expr(f"cast(Attributes['k'] as int) % 3 = {batch_id}")

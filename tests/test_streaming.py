@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import metricloom as ml
+from metricloom.operators.flatten import nameless_metrics
+from metricloom.plans.ingest import units_of
 from metricloom.schema import POINT_TABLES
 from metricloom.sources import files
-from metricloom.sources.manifest import Fenced, commit, hold
+from metricloom.sources.manifest import Fenced, commit, hold, load
 from metricloom.streaming.ingest import ingest_micro_batch, stream_identity
 from tests.builders import T0, gauge, number, request, total
 
@@ -89,6 +91,33 @@ def test_empty_micro_batch_makes_no_file(spark, folder, tmp_path):
     assert [f for f in (tmp_path / "store").rglob("*") if f.is_file()] == []
 
 
+@pytest.mark.parametrize("most", [5, 16, 1000])
+def test_units_hold_all_points_in_order_and_no_more_than_the_bound(spark, requests_of, most):
+    sizes = [0, 1, 23, 0, 7, 8, 9, 1, 1, 40]
+    metrics = [gauge(f"m{k}", *[number(1.0, T0 + k * 1000 + j) for j in range(n)]) for k, n in enumerate(sizes)]
+    metrics += [gauge("", *[number(1.0, T0 + j) for j in range(50)]), {"name": "bare"}, total("s", number(1, T0))]
+    flat = ml.flatten_metrics(requests_of(request(*metrics[:5]), request(*metrics[5:]))).repartition(3).persist()
+    units = units_of(flat, most)
+    stored, nameless = [], 0
+    for unit in units:
+        rows = [r for t in ("gauge", "sum") for r in ml.map_points(unit, t).select("MetricName", "TimeUnixNano").collect()]
+        assert len(rows) <= most
+        stored += rows
+        nameless += nameless_metrics(unit).count()
+    whole = [r for t in ("gauge", "sum") for r in ml.map_points(flat, t).select("MetricName", "TimeUnixNano").collect()]
+    assert sorted(stored) == sorted(whole) and len(whole) == 91 and nameless == 1
+    assert len(units) >= 91 / most
+
+
+def test_writes_of_a_batch_are_bounded_and_committed_together(spark, folder, tmp_path):
+    base = str(tmp_path / "store")
+    ml.drain(ml.stream_requests(spark, folder), base, f"{base}/checkpoint", max_points=8)
+    assert state(spark, base) == EXPECTED
+    writes = [w for w in load(spark, base)["writes"] if set(w["tables"]) & set(POINT_TABLES)]
+    assert all(sum(w["tables"].values()) <= 8 for w in writes) and len(writes) >= 8
+    assert load(spark, base)["version"] == 3  # taken, one batch, let go
+
+
 def test_streams_with_own_checkpoints_share_a_base(spark, folder, tmp_path):
     base = str(tmp_path / "store")
     other = tmp_path / "other"

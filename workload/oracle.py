@@ -381,6 +381,7 @@ ORACLE: dict[str, str] = {
     "j1_j2_continuous_ingest": _REPORT,
     "j3_j4_drain_in_capped_batches": _REPORT,
     "j1_two_streams": _REPORT,
+    "j3_row_bounded": f"{ALL} SELECT count(*) AS points, CAST(0 AS BIGINT) AS above FROM pts",
     "j5_replayed_batch": _REPORT,
     "k1_any_value_to_string": f"""SELECT * FROM ({_ATTRS})
         UNION ALL SELECT {_NANOS}, 'list', {_LIST} FROM events

@@ -348,11 +348,18 @@ def _series_ids(spark, sf_dir):
     return sorted(r.SeriesID for r in found)
 
 
+def _zoned(spark, sf_dir):
+    """The store, its gauges noted in the zone map."""
+    base = stored(spark, sf_dir)
+    ml.write_zone_map(spark, base, "gauge")
+    return base
+
+
 @query
 def c6_where_series(spark, sf_dir):
-    points = ml.scan_points(spark, stored(spark, sf_dir), "gauge")
     ids = _series_ids(spark, sf_dir)
-    return ml.where_series(points, ids).select("TimeUnixNano", "Value")
+    points = ml.scan_points_of(spark, _zoned(spark, sf_dir), "gauge", ids)
+    return points.select("TimeUnixNano", "Value")
 
 
 @query
@@ -515,8 +522,8 @@ def f3_points_where(spark, sf_dir):
 
 @query
 def f4_series_over_time(spark, sf_dir):
-    points = ml.scan_points(spark, stored(spark, sf_dir), "gauge")
-    ids = _series_ids(spark, sf_dir)
+    ids = _one_k(spark, sf_dir)
+    points = ml.scan_points_of(spark, _zoned(spark, sf_dir), "gauge", ids, RANGE_START, RANGE_END)
     return ml.series_over_time(points, ids, RANGE_START, RANGE_END).select("TimeUnixNano", "Value")
 
 
@@ -770,6 +777,24 @@ def j3_j4_drain_in_capped_batches(spark, sf_dir):
     return _report(spark, base)
 
 
+# Points of a write, at the most.
+FLUSH = 10_000
+
+
+@query
+def j3_row_bounded(spark, sf_dir):
+    """A backlog drained in one trigger: all points, and how many writes hold more than FLUSH."""
+    base = scratch_path(spark, "j3")
+    ml.drain(_stream(spark, sf_dir), base, f"{base}/checkpoint", max_points=FLUSH)
+    number = F.regexp_extract(F.col("_metadata.file_path"), "write=([0-9]+)", 1).alias("write")
+    stored_points = reduce(
+        DataFrame.unionAll, [ml.scan_points(spark, base, t).select(number) for t in POINT_TABLES]
+    )
+    return stored_points.groupBy("write").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("points"), F.count_if(F.col("n") > FLUSH).alias("above")
+    )
+
+
 @query
 def j1_two_streams(spark, sf_dir):
     """Two streams, each with a checkpoint and batch ids of its own, into one base; one starts again."""
