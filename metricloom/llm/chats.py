@@ -10,7 +10,9 @@ from metricloom.llm.common import dropped, stored, table
 # Marks of quotation before a line, one for each level, and white space.
 MARKS = r"^([\x20\t]*>)+[\x20\t]?"
 SPACE = r"[\x20\x09-\x0D]+"
-# A quoted line alone links its message only if it has as many words as this.
+# Consecutive lines of a message that can be quoted out of it: up to so many are looked up at once.
+WINDOW = 4
+# Where a passage is not found, a line of it links its message if it has as many words as this.
 LINE_WORDS = 4
 
 
@@ -31,6 +33,16 @@ def _long_enough(line: Column) -> Column:
     return F.size(F.split(line, " ")) >= LINE_WORDS
 
 
+def _windows(lines: Column, sizes: range) -> Column:
+    """Every run of so many consecutive lines, each as one text."""
+
+    def of(n: int) -> Column:
+        firsts = F.slice(lines, 1, F.greatest(F.size(lines) - n + 1, F.lit(0)))
+        return F.transform(firsts, lambda _, i: F.array_join(F.slice(lines, i + 1, n), " "))
+
+    return F.concat(*map(of, sizes))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, passages, body): messages cut where the level of quotation changes.
 
@@ -86,7 +98,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 def _originals(messages: DataFrame) -> DataFrame:
     """(conv, hash, first): the first message of a conversation that says a passage itself.
 
-    Its whole text, each stretch between quotes, and each line of LINE_WORDS words
+    Its whole text, each stretch between quotes, and each run of up to WINDOW lines
     can be quoted.
     """
     own = F.filter("passages", lambda p: p["level"] == 0)
@@ -94,7 +106,7 @@ def _originals(messages: DataFrame) -> DataFrame:
     said = F.concat(
         F.array(F.array_join(every, " ")),
         F.transform(own, lambda p: F.array_join(p["lines"], " ")),
-        F.filter(every, _long_enough),
+        _windows(every, range(1, WINDOW + 1)),
     )
     units = messages.select(
         "conv_id", "turn", F.explode(F.array_distinct(_hashed(F.filter(said, lambda t: t != ""))))
@@ -108,7 +120,11 @@ def _originals(messages: DataFrame) -> DataFrame:
 
 
 def _quoted(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, passage, level, part, hash): each quoted passage as a whole (part 0) and by line."""
+    """(conv_id, turn, passage, level, part, need, hash): what of a quoted passage is looked up.
+
+    Part 0 is the passage as a whole, part 1 the runs of WINDOW lines that a longer one is made of, of
+    which a message has to hold all ``need``, and the parts after that are its long lines.
+    """
     quotes = messages.select(
         "conv_id",
         "turn",
@@ -116,17 +132,24 @@ def _quoted(messages: DataFrame) -> DataFrame:
             F.filter("passages", lambda p: (p["level"] > 0) & (F.size(p["lines"]) > 0))
         ).alias("passage", "quote"),
     )
-    parts = F.concat(
-        F.array(F.array_join("quote.lines", " ")),
-        F.transform("quote.lines", lambda line: F.when(_long_enough(line), line)),
-    )
-    return (
-        quotes.select(
-            "conv_id", "turn", "passage", F.col("quote.level").alias("level"),
-            F.posexplode(parts).alias("part", "text"),
+    lines = F.col("quote.lines")
+    runs = F.array_distinct(_windows(lines, range(WINDOW, WINDOW + 1)))
+
+    def part(number: Column, need: Column, text: Column) -> Column:
+        return F.struct(
+            number.cast("int").alias("part"), need.cast("bigint").alias("need"), F.xxhash64(text).alias("hash")
         )
-        .filter("text IS NOT NULL")
-        .select("conv_id", "turn", "passage", "level", "part", F.xxhash64("text").alias("hash"))
+
+    one = F.lit(1)
+    long_lines = F.transform(lines, lambda line, i: F.when(_long_enough(line), part(i + 2, one, line)))
+    parts = F.concat(
+        F.array(part(F.lit(0), one, F.array_join(lines, " "))),
+        F.transform(F.when(F.size(lines) > WINDOW, runs).otherwise(F.array().cast("array<string>")),
+            lambda run: part(one, F.size(runs), run)),
+        F.filter(long_lines, lambda p: p.isNotNull()),
+    )
+    return quotes.select(
+        "conv_id", "turn", "passage", F.col("quote.level").alias("level"), F.inline(parts)
     )
 
 
@@ -139,7 +162,12 @@ def _replies(messages: DataFrame) -> DataFrame:
         & (quoted["hash"] == originals["_hash"])
         & (originals["first"] < quoted["turn"]),
     )
-    passages = found.groupBy("conv_id", "turn", "passage").agg(
+    held = (
+        found.groupBy("conv_id", "turn", "passage", "level", "part", "first", "need")
+        .agg(F.count_distinct("hash").alias("n"))  # rows may repeat
+        .filter("n = need")
+    )
+    passages = held.groupBy("conv_id", "turn", "passage").agg(
         F.min("level").alias("level"), F.min(F.struct("part", "first")).alias("best")
     )
     # The latest original of the outermost level that has one.
@@ -180,7 +208,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
 
     A line is quoted as many levels deep as ``>`` marks stand before it. A passage is a run of
     lines of one level; its normalised text (lower case, single spaces) is looked up by hash among what earlier
-    messages of the conversation say themselves, as a whole, then line by line. ``reply_to`` is the turn that
+    messages of the conversation say themselves: as a whole (their whole text, a stretch, or up to four consecutive lines of them,
+    however short), a longer excerpt by its runs of four lines, then by lines of four words or more. An excerpt
+    that is wrapped at another width than its message links by none of these. ``reply_to`` is the turn that
     the outermost quotes answer (the latest, of several) and null without a link; ``thread`` is the turn that the chain of replies began
     with, the own one without a link. Sorted by (conv_id, thread, turn), every
     message follows the one that it answers: the order is a sort key, so that a
@@ -245,22 +275,40 @@ WITH RECURSIVE lines AS (
 ), passages AS (
   SELECT conv_id, turn, passage, level, string_agg(line, ' ' ORDER BY i) AS text
   FROM numbered WHERE line <> '' GROUP BY ALL
+), own AS (
+  SELECT conv_id, turn, line, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS k
+  FROM numbered WHERE level = 0 AND line <> ''
 ), said AS (
   SELECT conv_id, turn, text FROM passages WHERE level = 0
-  UNION ALL SELECT conv_id, turn, string_agg(line, ' ' ORDER BY i) FROM numbered
-    WHERE level = 0 AND line <> '' GROUP BY ALL
-  UNION ALL SELECT conv_id, turn, line FROM numbered
-    WHERE level = 0 AND len(string_split(line, ' ')) >= 4
+  UNION ALL SELECT conv_id, turn, string_agg(line, ' ' ORDER BY k) FROM own GROUP BY ALL
+  UNION ALL SELECT conv_id, turn, text FROM (
+    SELECT a.conv_id, a.turn, a.k, n, string_agg(b.line, ' ' ORDER BY b.k) AS text
+    FROM own a CROSS JOIN range(1, 5) AS sizes(n) JOIN own b
+      ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.k BETWEEN a.k AND a.k + n - 1
+    GROUP BY ALL HAVING count(*) = n)
 ), originals AS (
   SELECT conv_id, text, min(turn) AS first FROM said GROUP BY ALL
+), theirs AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn, passage ORDER BY i) AS k,
+    count(*) OVER (PARTITION BY conv_id, turn, passage) AS size
+  FROM numbered WHERE level > 0 AND line <> ''
+), excerpts AS (
+  SELECT DISTINCT conv_id, turn, passage, level, text FROM (
+    SELECT a.conv_id, a.turn, a.passage, a.level, a.k, string_agg(b.line, ' ' ORDER BY b.k) AS text
+    FROM theirs a JOIN theirs b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.passage = b.passage
+      AND b.k BETWEEN a.k AND a.k + 3 WHERE a.size > 4 GROUP BY ALL HAVING count(*) = 4)
 ), quoted AS (
-  SELECT conv_id, turn, passage, level, 0 AS part, text FROM passages WHERE level > 0
-  UNION ALL SELECT conv_id, turn, passage, level, i, line FROM numbered
-    WHERE level > 0 AND len(string_split(line, ' ')) >= 4
-), linked AS (
-  SELECT q.conv_id, q.turn, q.passage, level, arg_min(o.first, q.part) AS first
+  SELECT conv_id, turn, passage, level, 0 AS part, 1 AS need, text FROM passages WHERE level > 0
+  UNION ALL SELECT conv_id, turn, passage, level, 1, count(*) OVER (PARTITION BY conv_id, turn, passage), text
+    FROM excerpts
+  UNION ALL SELECT conv_id, turn, passage, level, k + 1, 1, line FROM theirs
+    WHERE len(string_split(line, ' ')) >= 4
+), held AS (
+  SELECT q.conv_id, q.turn, q.passage, level, q.part, o.first
   FROM quoted q JOIN originals o ON q.conv_id = o.conv_id AND q.text = o.text AND o.first < q.turn
-  GROUP BY ALL
+  GROUP BY ALL HAVING count(DISTINCT q.text) = any_value(need)
+), linked AS (
+  SELECT conv_id, turn, passage, level, arg_min(first, (part, first)) AS first FROM held GROUP BY ALL
 ), replies AS (
   SELECT conv_id, turn, count(*) AS n_linked, max(first) FILTER (WHERE level = least) AS reply_to
   FROM (SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS least FROM linked) GROUP BY ALL

@@ -35,6 +35,12 @@ def planted():
     rows += [(53, 0, "u", "x" * 50_000), (53, 1, "u", "> " + "x" * 50_000), (53, 2, "u", "> > > deep")]
     # A chain in which each message answers the one before it.
     rows += [(54, t, "user", f"{f'> this is message {t - 1}' + chr(10) if t else ''}this is message {t}") for t in range(40)]
+    # Excerpts: short lines, runs of lines out of the middle, longer ones, and lines that others said before.
+    long = [f"line {k}" for k in range(12)]
+    rows += [(55, 0, "u", "ok"), (55, 1, "u", "Hello all\nTomorrow at 9\nok\nbye"), (55, 2, "u", "> Tomorrow at 9\nfine")]
+    rows += [(55, 3, "u", "> Tomorrow at 9\n> ok\nyes"), (55, 4, "u", "\n".join(long)), (55, 5, "u", "> at 9\nno")]
+    rows += [(55, 6, "u", "\n".join("> " + x for x in long[2:9])), (55, 7, "u", "> ok\nagain")]
+    rows += [(55, 8, "u", "\n".join("> " + x for x in [*long[2:6], "other", *long[6:9]]))]
     return rows
 
 
@@ -58,6 +64,7 @@ def test_links_equal_sql(spark):
     assert by_key[54, 7].body == "this is message 7" and by_key[54, 7].n_quoted_lines == 1
     assert by_key[52, 1].reply_to == 0 and by_key[52, 1].body == "ok"
     assert by_key[53, 2].max_level == 3 and by_key[53, 2].reply_to is None
+    assert [by_key[55, t].reply_to for t in range(9)] == [None, None, 1, 1, None, None, 4, 0, None]
     assert sum(r.n_linked > 0 for r in by_key.values()) > 80
 
 
