@@ -41,7 +41,9 @@ def _is_card(text: str) -> bool:
 
 
 def _is_ip(text: str) -> bool:
-    return all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in text.split("."))
+    # Leading zeros go first: Python makes no number of thousands of digits.
+    parts = [p.lstrip("0") or "0" for p in text.split(".")]
+    return all(len(p) < 4 and int(p) <= 255 for p in parts)
 
 
 def _emails(text: str) -> Iterable[tuple[int, int]]:

@@ -51,6 +51,20 @@ def test_fixed_patterns_equal_plain_searches():
         assert [(a, k, b) for a, k, b, _ in pii.base_spans(text)] == plain(text), text
 
 
+def test_thousands_of_digits_end_nothing(spark):
+    many = ["0" * 5000, "1" * 5000]
+    texts = [t.format(d) for d in many for t in (
+        "1.2.3.{}", "{}.2.3.4 x", "host {}.1.1.1 down", "call +{} now", "card {} 4111 1111 1111 1111", "a@{}.{}",
+        "server 1.2.3.{}: in 3 ms", "{}",
+    ) if t.count("{}") == 1] + ["a@" + "1" * 5000 + ".b", "ip 1.2.3." + "0" * 5000 + "7"]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], DOCS)
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans if s.base]
+             for r in pii.find_personal_data(docs).collect()}
+    assert len(found) == len(texts)
+    assert found[0] == [("ip", texts[0])] and found[len(texts) - 1] == [("ip", texts[-1][3:])]
+    assert [k for k, _ in found[texts.index("1.2.3." + "1" * 5000)]] == []
+
+
 def test_query_rows(spark):
     rng = random.Random(6)
     texts = [noise(rng, 30) for _ in range(50)] + [None, "", "no data", "x" * 9000, "1" * 3000]
