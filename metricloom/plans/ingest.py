@@ -93,16 +93,22 @@ def write_batch(
         writes[write_id] = {}
         return names, write_id, write
 
-    rejects = nameless_rejects(nameless_metrics(source(())))
+    def points_of_unit(unit: FlatSource) -> dict[str, DataFrame]:
+        return {t: slim(map_points(unit((t,)) if len(tables) > 1 else unit(tables), t), t) for t in tables}
+
+    def fresh_series() -> DataFrame:
+        return new_series(map_series(flat, ingest_time), scan_series(spark, base, ["SeriesID"]))
+
+    def rejects() -> DataFrame:
+        rows = nameless_rejects(nameless_metrics(source(()) if len(tables) != 1 else flat))
+        if tables:
+            rows = validate(point_heads(flat))[1].unionByName(rows)
+        return rows if requests is None else rows.unionByName(unreadable_rejects(requests))
+
     if tables:
-        parts = [{t: slim(map_points(unit((t,)), t), t) for t in tables} for unit in units]
-        steps.append([step(tables, lambda n, p=p: put_points(p, base, n)) for p in parts])
-        fresh = new_series(map_series(flat, ingest_time), scan_series(spark, base, ["SeriesID"]))
-        steps.append([step(("series",), lambda n: put_series(fresh, base, n))])
-        rejects = validate(point_heads(flat))[1].unionByName(rejects)
-    if requests is not None:
-        rejects = rejects.unionByName(unreadable_rejects(requests))
-    steps.append([step(("rejects",), lambda n: put_rejects(rejects, base, n, writer, batch_id))])
+        steps.append([step(tables, lambda n, u=u: put_points(points_of_unit(u), base, n)) for u in units])
+        steps.append([step(("series",), lambda n: put_series(fresh_series(), base, n))])
+    steps.append([step(("rejects",), lambda n: put_rejects(rejects(), base, n, writer, batch_id))])
 
     def run(chain: list[tuple]) -> list[Entry]:
         return [entry for one in chain for entry in _attempt(writes, *one)]
@@ -180,9 +186,9 @@ def units_of(flat: DataFrame, most: int) -> list[DataFrame]:
     return out
 
 
-def present_tables(flat: DataFrame) -> list[str]:
+def present_tables(metrics: DataFrame) -> list[str]:
     """H9: tables for which a batch holds at least one metric."""
-    counts = flat.agg(
+    counts = metrics.agg(
         *[F.count_if(F.col(arm).isNotNull()).alias(t) for t, (_, arm, _) in POINT_TABLES.items()]
     ).first()
     return [table for table in POINT_TABLES if counts[table]]
@@ -199,7 +205,8 @@ def ingest_files(
 ) -> list[Entry]:
     """Store a large batch of request files.
 
-    Nothing is cached: each type's branch reads the files with a schema narrowed
+    Nothing is cached: types that are not there are found in a narrow pass; of the others, each
+    branch reads the files with a schema narrowed
     to its own payload, series and rejects read them once for all types. JSON
     has to be landed first (``land_requests``), since every pass would parse all of it.
     """
@@ -210,5 +217,10 @@ def ingest_files(
     def source(tables: tuple[str, ...]) -> DataFrame:
         return flatten_metrics(read_requests(spark, path, format, tables))
 
+    if is_done(load(spark, base), writer, batch_id):
+        return []
+    bare = read_requests(spark, path, format, presence=True)
+    scopes = bare.selectExpr("explode(resourceMetrics) as r").selectExpr("explode(r.scopeMetrics) as s")
+    tables = present_tables(scopes.selectExpr("explode(s.metrics) as m").select("m.*"))
     requests = read_requests(spark, path, format, ())
-    return write_batch(spark, source, base, batch_id, ingest_time, requests=requests, writer=writer)
+    return write_batch(spark, source, base, batch_id, ingest_time, tables, requests, writer)

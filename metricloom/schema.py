@@ -66,14 +66,20 @@ POINT_TABLES = {
 }
 
 
-def request_schema(tables: Iterable[str] = tuple(POINT_TABLES)) -> str:
+# Of a payload, what tells that it is there.
+_PRESENCE = "struct<dataPoints:array<struct<timeUnixNano:string>>>"
+
+
+def request_schema(tables: Iterable[str] = tuple(POINT_TABLES), presence: bool = False) -> str:
     """Request tree holding only the payloads of ``tables``.
 
     Reading with a narrower schema is how a per-type scan of nested Parquet
-    skips the bytes of the other four payloads. ``unreadable`` holds the text of
+    skips the bytes of the other four payloads; with ``presence`` payloads hold only what
+    tells that they are there. ``unreadable`` holds the text of
     a JSON request that cannot be parsed, and is NULL otherwise.
     """
-    arms = "".join(f",{POINT_TABLES[t][1]}:{POINT_TABLES[t][2]}" for t in tables)
+    kinds = {t: _PRESENCE if presence else POINT_TABLES[t][2] for t in tables}
+    arms = "".join(f",{POINT_TABLES[t][1]}:{kind}" for t, kind in kinds.items())
     metric = f"struct<name:string,description:string,unit:string{arms}>"
     scope = (
         f"struct<name:string,version:string,attributes:{KEY_VALUES},"

@@ -20,13 +20,15 @@ def read_requests(
     path: str | list[str],
     format: str = "json",
     tables: Iterable[str] = tuple(POINT_TABLES),
+    presence: bool = False,
 ) -> DataFrame:
     """A1: one row per export request, OTLP/JSON lines or the same tree in Parquet.
 
     ``tables`` narrows the read schema to the payloads that are needed; with
-    Parquet the others are not read from storage.
+    Parquet the others are not read from storage. With ``presence`` payloads come without
+    their contents, to see which are there.
     """
-    reader = spark.read.schema(request_schema(tables)).format(format)
+    reader = spark.read.schema(request_schema(tables, presence)).format(format)
     return reader.options(**_KEEP_UNREADABLE).load(path)
 
 

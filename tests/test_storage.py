@@ -285,7 +285,7 @@ def test_failed_write_is_recorded_and_stops_the_batch(spark, base, requests_of,
     assert ml.scan_series(spark, base).count() == 0  # all of a batch is visible, or nothing
     assert files.names(spark, f"{base}/series") == []
     stats = {r.table: (r.writes, r.failures) for r in ml.write_stats(ml.scan_rows(spark, base, "ledger")).collect()}
-    assert stats == {"series": (1, 0), "gauge": (1, 1)}
+    assert stats == {"series": (1, 1), "gauge": (1, 1)}
     monkeypatch.undo()
     write_batch(spark, lambda _: flat, base, 0, NOW, ["gauge"])
     assert ml.scan_series(spark, base).count() == ml.scan_points(spark, base, "gauge").count() == 1
