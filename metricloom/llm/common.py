@@ -35,19 +35,18 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
-    # Shuffle files of the write go once the driver collects what refers to them.
-    spark._jvm.System.gc()
+    # The shuffle files of the write go with its end, not whenever the driver collects garbage.
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
 @contextmanager
-def settings(spark: SparkSession, **values: str):
-    """Session settings for the jobs run inside, put back afterwards; ``__`` in a name stands for a dot."""
-    names = {name.replace("__", "."): value for name, value in values.items()}
-    before = {name: spark.conf.get(name, None) for name in names}
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the jobs run inside, put back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
-        for name, value in names.items():
+        for name, value in values.items():
             spark.conf.set(name, value)
         yield
     finally:

@@ -130,7 +130,7 @@ def shuffled(
     )
     order = F.when(F.size("all") > 1, _permutation(seed)).otherwise(F.array(F.lit(0)))
     # Gathered by sorting: hashing would hold many buckets at a time in a task.
-    with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
+    with settings(spark, {"spark.sql.execution.useObjectHashAggregateExec": "false"}):
         shuffled_buckets = stored(
             gathered.withColumn("draws", draws)
             .withColumn("order", order)
