@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +17,9 @@ ORDER = 5
 DISCOUNT = 0.9
 # Labelled rows to learn from, at most; which ones is decided by a hash of the id.
 TRAINING_ROWS = 30_000
-# Words whose score a worker remembers, and words scored at a time.
+# Words whose score a worker remembers, and characters of words whose expressions are made at a time.
 CACHE = 1 << 18
-WORDS = 1 << 15
+CHARS = 1 << 18
 # Labelled rows of this remainder are held out, of that one fit the calibration.
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 # Score from which a text is predicted to be toxic.
@@ -31,9 +32,29 @@ _CHAR = (1 << _BITS) - 1
 _BEFORE, _AFTER = "\x01" * (ORDER - 1), "\x02"
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (hi, lo) of all expressions of the words, one per character and end, and each word's first."""
-    joined = "".join([f"{_BEFORE}{w}{_AFTER}" for w in words])
+def _pieces(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Words with the marks of their ends, so many at a time as CHARS allows: (places, pieces).
+
+    A word without end is cut into pieces, each of which repeats the characters that its first
+    expression reaches back to.
+    """
+    places, pieces, size = [], [], 0
+    for i, word in enumerate(words):
+        marked = f"{_BEFORE}{word}{_AFTER}"
+        for at in range(0, len(marked) - ORDER + 1, CHARS):
+            places.append(i)
+            pieces.append(marked[at : at + CHARS + ORDER - 1])
+            size += len(pieces[-1])
+            if size >= CHARS:
+                yield places, pieces
+                places, pieces, size = [], [], 0
+    if pieces:
+        yield places, pieces
+
+
+def _codes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (hi, lo) of all expressions of the pieces, one per character and end, and each piece's first."""
+    joined = "".join(pieces)
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     n = len(chars) - ORDER + 1
     hi, lo = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -41,7 +62,7 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         half = hi if i < ORDER - _LAST else lo
         half <<= _BITS
         half |= chars[i : i + n]
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) - ORDER + 1
     ends = np.cumsum(lengths + ORDER - 1)
     firsts = ends - lengths - ORDER + 1
     # Expressions that end in a character or an end mark of a word.
@@ -74,14 +95,17 @@ class Model:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        hi, lo, firsts = _codes(words)
-        out = np.zeros(len(hi))
-        (high, one), (low, two) = _place(hi, self.his), _place(lo, self.los)
-        place, known = _place(high * len(self.los) + low, self.pairs)
-        # What neither class has shown says nothing, not that the class with fewer texts is likelier.
-        known &= one & two
-        out[known] = self.values[place[known]]
-        return np.add.reduceat(out, firsts)
+        total = np.zeros(len(words))
+        for places, pieces in _pieces(words):
+            hi, lo, firsts = _codes(pieces)
+            out = np.zeros(len(hi))
+            (high, one), (low, two) = _place(hi, self.his), _place(lo, self.los)
+            place, known = _place(high * len(self.los) + low, self.pairs)
+            # What neither class has shown says nothing, not that the class with fewer texts is likelier.
+            known &= one & two
+            out[known] = self.values[place[known]]
+            np.add.at(total, places, np.add.reduceat(out, firsts))
+        return total
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -124,10 +148,9 @@ def _gathered(labelled: DataFrame) -> DataFrame:
             seen |= fresh
             for kind, counts in enumerate([*words, dict.fromkeys(fresh, 1)]):
                 names = list(counts)
-                for at in range(0, len(names), WORDS):
-                    part = names[at : at + WORDS]
+                for places, part in _pieces(names):
                     hi, lo, firsts = _codes(part)
-                    times = np.fromiter((counts[w] for w in part), np.int64, len(part))
+                    times = np.fromiter((counts[names[i]] for i in places), np.int64, len(part))
                     times = np.repeat(times, np.diff(np.append(firsts, len(hi))))
                     order = np.lexsort((lo, hi))
                     hi, lo, times = hi[order], lo[order], times[order]
@@ -230,9 +253,7 @@ class _Features:
         if len(seen) > CACHE:
             seen.clear()
         new = list(set().union(*words).difference(seen))
-        for at in range(0, len(new), WORDS):
-            part = new[at : at + WORDS]
-            seen.update(zip(part, self.model.ratios(part).tolist(), strict=True))
+        seen.update(zip(new, self.model.ratios(new).tolist(), strict=True))
         features = np.zeros((len(texts), 2))
         for i, own in enumerate(words):
             if own:
@@ -307,8 +328,8 @@ def scores(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROW
 
     Two Kneser-Ney models, of toxic and of ordinary texts, give the characters
     of each word a likelihood from the four before them; both back off to one
-    model of the whole corpus, so that an expression neither has seen counts
-    alike. The ratio of the likelihoods, over the number of words and for the
+    model of the whole corpus. An expression that neither class has shown is left out, since its
+    context says only which class has more texts. The ratio of the likelihoods, over the number of words and for the
     strongest expression, is calibrated by logistic regression (see ``trained``).
 
     Null and empty texts have no words and ratio 0. Where the labels do not show both

@@ -123,6 +123,21 @@ def test_ratios_of_many_expressions_and_scripts(spark):
     assert np.allclose(t.trained(*frames(spark, docs, labels)).ratios(words), plain, atol=1e-6)
 
 
+def test_a_word_in_pieces_has_the_same_ratio(spark, monkeypatch):
+    docs, labels = corpus(120)
+    docs += [(5000 + i, "grzok" * 40 + "tala" * 30) for i in range(5)]
+    words = ["grzok", "grzok" * 40 + "tala" * 30, "", "tala" * 100, "x", "gexxit"]
+    model = t.trained(*frames(spark, docs, labels))
+    whole = model.ratios(words)
+    monkeypatch.setattr(t, "CHARS", 7)
+    assert np.allclose(model.ratios(words), whole)
+    pieces = [p for places, own in t._pieces(words) for p in zip(places, own, strict=True)]
+    assert max(len(p) for _, p in pieces) <= 7 + t.ORDER - 1
+    grams = [(i, p[k : k + t.ORDER]) for i, p in pieces for k in range(len(p) - t.ORDER + 1)]
+    marked = [t._BEFORE + w + t._AFTER for w in words]
+    assert grams == [(i, m[k : k + t.ORDER]) for i, m in enumerate(marked) for k in range(len(m) - t.ORDER + 1)]
+
+
 def test_held_out_rows(spark):
     docs, labels = corpus(400)
     found = {r.doc_id: r for r in t.scores(*frames(spark, docs, labels)).collect()}
