@@ -85,8 +85,9 @@ def test_empty_table(spark):
 
 def test_ids_are_those_of_the_tokenizers_library_at_every_code_point(library):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000][:: 7]
-    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} '{chr(c)} x" for c in points]
-    encoded = library.encode_batch_fast(texts, add_special_tokens=False)
-    for text, ids in zip(texts, encoded, strict=True):
-        assert token_ids(text, path).tolist() == [*ids.ids, 0]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1 << 16):
+        texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} '{chr(c)} x" for c in points[at : at + (1 << 16)]]
+        encoded = library.encode_batch_fast(texts, add_special_tokens=False)
+        for text, ids in zip(texts, encoded, strict=True):
+            assert token_ids(text, path).tolist() == [*ids.ids, 0]
