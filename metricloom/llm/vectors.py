@@ -22,13 +22,18 @@ LIST_ROWS, MOST_LISTS, BLOCK_ROWS, ASKED = 256, 4096, 512, 4
 # Subspaces of a residual, and codes of each.
 SUBSPACES, CODES = 16, 16
 _ROUNDS, _SEED = 8, 7
+# Points whose distances to all centres are held at a time.
+_AT_ONCE = 1 << 10
 # Slack for rounding where a bound decides that a pair is looked at; pairs
 # themselves are decided by their cosine in double precision.
 _SLACK = 1e-3
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
+    square = (centres**2).sum(1)
+    parts = [points[at : at + _AT_ONCE] for at in range(0, len(points), _AT_ONCE)]
+    nearest = [(square - 2 * part @ centres.T).argmin(1) for part in parts]
+    return np.concatenate([np.zeros(0, np.int64), *nearest])
 
 
 def _k_means(points: np.ndarray, k: int) -> np.ndarray:
@@ -73,6 +78,14 @@ class Index:
         is lost, however the vectors are spread. Either end of a pair is near the other's list, so
         only the one in the later list searches, and both are credited.
         """
+        found = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(points), _AT_ONCE):
+            own, probed = self._probes(points[at : at + _AT_ONCE], radius)
+            found.append(np.stack([own + at, probed]))
+        at, probed = np.concatenate(found, axis=1)
+        return at, probed
+
+    def _probes(self, points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         square = (
             (points**2).sum(1)[:, None]
             - 2 * points @ self.centres.T
