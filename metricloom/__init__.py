@@ -71,5 +71,5 @@ from metricloom.sources.tables import (
     write_series,
 )
 from metricloom.sources.zones import scan_points_of, write_zone_map
-from metricloom.streaming.dedup import new_series_stream
+from metricloom.streaming.dedup import new_series_stream, store_new_series
 from metricloom.streaming.ingest import drain, ingest_micro_batch, start_ingest

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from metricloom.operators.catalogue import INDEXED, attribute_index, compact_series
 from metricloom.schema import ATTRIBUTE_INDEX, LEDGER, POINTS, REJECTS, SERIES
 from metricloom.sources import files, manifest
-from metricloom.sources.manifest import commit, live, load, new_write_id
+from metricloom.sources.manifest import began, commit, live, load, new_write_id
 
 # False-positive rate of the scalar bloom filters.
 BLOOM_FPP = "0.01"
 SERIES_BLOOM_COLUMNS = ("ServiceName", "MetricName")
-# Leading bits of the SeriesID that spread one day over several writers. The
+# Leading bits of the SeriesID that spread the catalogue over several writers. The
 # ID is a uniform hash, so equal bits are equal, disjoint ranges of it.
 SERIES_RANGE_BITS = 4
 # Writer of batches that a program stores table by table.
@@ -53,12 +54,6 @@ def _bloom(*columns: str) -> dict[str, str]:
 # ---------------------------------------------------------------- writers
 
 
-def _rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
-    """Shuffle by ``columns`` and SeriesID range, in partitions of even size."""
-    ranged = rows.withColumn("_range", F.shiftright("SeriesID", 64 - SERIES_RANGE_BITS))
-    return ranged.hint("rebalance", *columns, "_range").drop("_range")
-
-
 def put_rows(rows: DataFrame, path: str, counts: dict, by: Iterable[str] = (), **options: str) -> dict[str, int]:
     """Write a folder and give ``counts`` of its rows, without those that are zero.
 
@@ -76,8 +71,9 @@ def put_rows(rows: DataFrame, path: str, counts: dict, by: Iterable[str] = (), *
 
 def put_series(series: DataFrame, base: str, write_id: int) -> dict[str, int]:
     """H1: catalogue rows, sorted by SeriesID within files. Returns {"series": rows}."""
+    ranged = series.withColumn("_range", F.shiftright("SeriesID", 64 - SERIES_RANGE_BITS))
     return put_rows(
-        _rebalanced(series).sortWithinPartitions("SeriesID"),
+        ranged.hint("rebalance", "_range").drop("_range").sortWithinPartitions("SeriesID"),
         f"{base}/series/write={write_id}",
         {"series": F.count(F.lit(1))},
         **_bloom(*SERIES_BLOOM_COLUMNS),
@@ -91,19 +87,24 @@ def put_points(
 
     The types become one union with a column for each of theirs; a type's files
     hold nothing in the others' columns, and readers do not read them.
-    Rows are shuffled by (type, day, SeriesID range) and sorted by (SeriesID, time). The
+    Rows are shuffled by (type, day) and sorted by (SeriesID, time). The
     shuffle is a rebalance: adaptive execution joins small groups into one task
-    and splits large ones, so neither a busy day nor a single hot series ends up in one task.
+    and splits large ones, so neither a busy day nor a single hot series ends up in one task,
+    and a day that is not busy is one file, however many days and tasks there are.
     ``by_range`` makes it a range shuffle, which reads ``points`` twice: tasks then hold consecutive
-    days and SeriesIDs, so that files are fewer and each holds a narrow range of series.
+    days and SeriesIDs, so that the files of a busy day each hold a narrow range of series.
     """
     labelled = [rows.withColumn("table", F.lit(table)) for table, rows in points.items()]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
     order = ("table", "TimeDate", "SeriesID", "TimeUnixNano")
-    dealt = united.repartitionByRange(*order) if by_range else _rebalanced(united, "table", "TimeDate")
+    dealt = united.repartitionByRange(*order) if by_range else united.hint("rebalance", "table", "TimeDate")
     sorted_rows = dealt.sortWithinPartitions(*order)
     counts = {table: F.count_if(F.col("table") == table) for table in points}
-    return put_rows(sorted_rows, f"{base}/points/write={write_id}", counts, ("table", "TimeDate"))
+    # Files that stay are worth a filter that tells which of their row groups hold a series.
+    bloom = _bloom("SeriesID") if by_range else {}
+    return put_rows(
+        sorted_rows, f"{base}/points/write={write_id}", counts, ("table", "TimeDate"), **bloom
+    )
 
 
 def put_rejects(rejects: DataFrame, base: str, write_id: int, writer: str, batch_id: int) -> dict[str, int]:
@@ -202,6 +203,12 @@ def scan_series(
     return rows.select(*cols) if cols is not None else rows
 
 
+def recent_series(spark: SparkSession, base: str, since: datetime) -> DataFrame:
+    """SeriesIDs of the catalogue's writes that began after a moment."""
+    ids = [n for n in _ids(load(spark, base), "series") if began(n) > since]
+    return read_writes(spark, f"{base}/series", ids, SERIES).select("SeriesID")
+
+
 def _index_rows(spark: SparkSession, base: str, ids: list[int]) -> DataFrame:
     return read_writes(spark, f"{base}/attribute_index", ids, f"{ATTRIBUTE_INDEX}, scope STRING")
 

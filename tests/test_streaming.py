@@ -1,5 +1,6 @@
 """Streaming ingest equals batch ingest, also after a replay."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -11,6 +12,8 @@ from metricloom.plans.ingest import units_of
 from metricloom.schema import POINT_TABLES
 from metricloom.sources import files
 from metricloom.sources.manifest import Fenced, commit, hold, load
+from metricloom.sources.tables import recent_series
+from metricloom.streaming.dedup import store_new_batch
 from metricloom.streaming.ingest import ingest_micro_batch, stream_identity
 from tests.builders import T0, gauge, number, request, total
 
@@ -179,6 +182,37 @@ def test_continuous_ingest_and_stop(spark, folder, tmp_path):
     assert state(spark, base) == EXPECTED
 
 
+def test_new_series_are_stored_once_within_the_horizon(spark, folder, tmp_path):
+    base = str(tmp_path / "store")
+    hour = dt.timedelta(hours=1)
+
+    def stream():
+        points = ml.map_points(ml.flatten_metrics(ml.stream_requests(spark, folder, max_files=2)), "gauge")
+        return ml.series_rows(points, F.current_timestamp())
+
+    for checkpoint in ("one", "one", "two"):  # again, and another stream with the same series
+        ml.store_new_series(stream(), base, f"{base}/{checkpoint}", hour)
+        assert ml.scan_series(spark, base).count() == 2
+    rows = ml.scan_series(spark, base).drop("write")
+    later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=2)
+    store_new_batch(rows, base, 0, hour, "w")  # known
+    store_new_batch(rows, base, 1, hour, "w", now=later)  # known, but longer ago than the horizon
+    store_new_batch(rows, base, 1, hour, "w", now=later)  # stored already
+    assert ml.scan_series(spark, base).count() == 4 and ml.compact_series(ml.scan_series(spark, base)).count() == 2
+
+
+def test_new_series_of_a_batch_combine_before_the_shuffle(spark, folder, tmp_path):
+    base = str(tmp_path / "store")
+    ml.create_tables(spark, base)
+    points = ml.map_points(ml.flatten_metrics(ml.read_requests(spark, folder)), "gauge")
+    series = ml.series_rows(points, F.current_timestamp())
+    recent = recent_series(spark, base, dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc))
+    plan = ml.new_series(series, recent)._jdf.queryExecution().toString()
+    shuffled = plan.split("== Physical Plan ==")[1].splitlines()
+    at = [i for i, line in enumerate(shuffled) if "Exchange hashpartitioning(SeriesID" in line]
+    assert at and any("HashAggregate(keys=[SeriesID" in shuffled[i + 1] and "functions=[]" in shuffled[i + 1] for i in at)
+
+
 def test_series_stream_emits_each_id_once_and_keeps_old_points(spark, folder, tmp_path):
     out = str(tmp_path / "series")
     stream = ml.stream_requests(spark, folder, max_files=2)

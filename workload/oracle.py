@@ -303,6 +303,7 @@ ORACLE: dict[str, str] = {
     "e2_new_series": f"""WITH {EV} {_SERIES} FROM ev WHERE NOT ({_CUT}) AND NOT EXISTS (
         SELECT 1 FROM ev AS old WHERE old.key = ev.key AND old.{_CUT})""",
     "e2s_new_series_stream": f"WITH {EV} {_SERIES} FROM ev",
+    "e2s_store_new_series": f"WITH {EV} {_SERIES} FROM ev",
     "e3_compact_series": f"WITH {EV} " + _LATEST.format(first="epoch(date_trunc('second', ts))"),
     "e3b_compact_series_first_seen": f"WITH {EV} "
     + _LATEST.format(first="epoch(date_trunc('second', first_ts))"),

@@ -8,7 +8,7 @@ key stands for them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -459,6 +459,16 @@ def e2s_new_series_stream(spark, sf_dir):
     return spark.read.schema(schema).parquet(f"{out}/rows")
 
 
+@query
+def e2s_store_new_series(spark, sf_dir):
+    """New series of the stream, found on their IDs; with an hour's horizon each is stored once."""
+    base = scratch_path(spark, "e2s-store")
+    stream = ml.stream_requests(spark, f"{landed(spark, sf_dir)}/*", "parquet", max_files=4)
+    series = ml.series_rows(ml.map_gauge(ml.flatten_metrics(stream)), F.current_timestamp())
+    ml.store_new_series(series, base, f"{base}/checkpoint", timedelta(hours=1))
+    return ml.scan_series(spark, base).select(_key_md5(), "MetricName", "ServiceName")
+
+
 def _versions(spark, sf_dir):
     """Catalogue rows with one version per event: the description and the write differ."""
     requests = shapes.gauge_requests(_events(spark, sf_dir), "concat('v', event_id)")
