@@ -16,9 +16,13 @@ from metricloom.llm.graph import components
 COSINE = 0.9
 # Vectors on which the index is fitted, at most; which ones a hash decides.
 TRAINING_ROWS = 20_000
-# Vectors per inverted list on average, lists at most, rows of a block of one, and
-# how many times as many rows a block of what probes it has.
-LIST_ROWS, MOST_LISTS, BLOCK_ROWS, ASKED = 256, 4096, 512, 4
+# Vectors per inverted list on average, and lists at most.
+LIST_ROWS, MOST_LISTS = 256, 4096
+# Lists that are searched together, so that a vector that probes several of them is sent once; and
+# vectors of a block of theirs, and of a block of what probes them.
+GROUP, BLOCK_ROWS = 16, 2048
+# Pairs whose cosine is taken at a time.
+PAIRS = 1 << 16
 # Subspaces of a residual, and codes of each.
 SUBSPACES, CODES = 16, 16
 _ROUNDS, _SEED = 8, 7
@@ -70,22 +74,27 @@ class Index:
         error = np.sqrt(((residual - made) ** 2).sum(1))
         return own, np.stack(codes, 1).astype(np.uint8), error
 
-    def probes(self, points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(point, list) for every list that is to be searched for the point.
+    def probes(self, points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, group, lists) for every group with lists to be searched for the point; lists are bits.
 
         A vector of that list lies beyond the plane halfway between the list's centre and
         the point's own. A plane further off than the radius hides no pair, any other may: no pair
         is lost, however the vectors are spread. Either end of a pair is near the other's list, so
         only the one in the later list searches, and both are credited.
         """
-        found = [np.zeros((2, 0), np.int64)]
+        found = [np.zeros((3, 0), np.int64)]
         for at in range(0, len(points), _AT_ONCE):
-            own, probed = self._probes(points[at : at + _AT_ONCE], radius)
-            found.append(np.stack([own + at, probed]))
-        at, probed = np.concatenate(found, axis=1)
-        return at, probed
-
-    def _probes(self, points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+            near = self._near(points[at : at + _AT_ONCE], radius)
+            spare = -near.shape[1] % GROUP
+            grouped = np.pad(near, ((0, 0), (0, spare))).reshape(len(near), -1, GROUP)
+            bits = grouped @ (1 << np.arange(GROUP))
+            own, group = np.nonzero(bits)
+            found.append(np.stack([own + at, group, bits[own, group]]))
+        at, group, bits = np.concatenate(found, axis=1)
+        return at, group, bits
+
+    def _near(self, points: np.ndarray, radius: float) -> np.ndarray:
+        """Whether a list is to be searched, by point and list."""
         square = (
             (points**2).sum(1)[:, None]
             - 2 * points @ self.centres.T
@@ -104,17 +113,20 @@ class Index:
         near = gap <= 2 * between * (radius + _SLACK)
         near &= np.arange(len(self.centres)) < own[:, None]
         near[np.arange(len(points)), own] = True
-        return np.nonzero(near)
+        return near
+
+    def squares(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric squared distances of coded vectors of one list to queries, by table look-up.
 
-    def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of queries to coded vectors of one list, by table look-up."""
-        total = np.zeros((len(queries), len(codes)))
-        for part, own, k in zip(
-            self.parts(queries - self.centres[centre]), self.codes, codes.T, strict=True
-        ):
-            lookup = (part**2).sum(1)[:, None] - 2 * part @ own.T + (own**2).sum(1)
-            total += lookup[:, k]
-        return np.sqrt(np.maximum(total, 0))
+        Rows are the coded vectors, so that a look-up takes whole rows of a table.
+        """
+        total = np.zeros((len(codes), len(queries)), np.float32)
+        residual = (queries - self.centres[centre]).astype(np.float32)
+        for part, own, k in zip(self.parts(residual), self.codes, codes.T, strict=True):
+            own = own.astype(np.float32)
+            lookup = (own**2).sum(1)[:, None] - 2 * own @ part.T + (part**2).sum(1)
+            total += np.take(lookup, k, axis=0)
+        return total
 
 
 def _fit(sample: np.ndarray, lists: int) -> Index:
@@ -150,8 +162,9 @@ def _coded(nodes: DataFrame, index, width: int, kind: str) -> DataFrame:
                 continue
             points = _unit(_matrix(batch.column(1), width))
             lists, codes, error = index.value.encode(points)
-            at, probed = index.value.probes(points, np.sqrt(2 - 2 * COSINE))
+            at, group, bits = index.value.probes(points, np.sqrt(2 - 2 * COSINE))
             cuts = np.searchsorted(at, np.arange(len(points) + 1)).astype(np.int32)
+            probed = rows(group=group.astype(np.int32), lists=bits.astype(np.int32)).to_struct_array()
             yield rows(
                 node=batch.column(0),
                 vector=batch.column(1),
@@ -159,14 +172,14 @@ def _coded(nodes: DataFrame, index, width: int, kind: str) -> DataFrame:
                 list=lists.astype(np.int32),
                 codes=pa.array([c.tobytes() for c in codes], pa.binary()),
                 error=error,
-                probes=pa.ListArray.from_arrays(cuts, probed.astype(np.int32)),
+                probes=pa.ListArray.from_arrays(cuts, probed),
             )
 
     return map_batches(
         nodes.select("node", "vector", "weight"),
         step,
         f"node bigint, vector {kind}, weight bigint, list int, codes binary,"
-        " error double, probes array<int>",
+        " error double, probes array<struct<group:int,lists:int>>",
     )
 
 
@@ -184,25 +197,30 @@ def _forest(x: np.ndarray, y: np.ndarray, queries: int, members: int) -> np.ndar
         label = new
 
 
-def _links_of(block, index: Index, width: int):
-    """(node, other, links) of one block of queries against one block of a list."""
-    centre, members, queries = block
-    node, weight = (members.field(k).to_numpy() for k in ("node", "weight"))
+def _links_of(members: pa.Array, queries: pa.Array, index: Index, width: int):
+    """(node, other, links) of one block of queries against one block of a group of lists."""
+    node, weight, home = (members.field(k).to_numpy() for k in ("node", "weight", "list"))
     codes = np.frombuffer(b"".join(members.field("codes").to_pylist()), np.uint8)
     codes = codes.reshape(len(node), -1)
     kept, asked = members.field("vector"), queries.field("vector")
     points, own = _unit(_matrix(kept, width)), _unit(_matrix(asked, width))
     size, wide = kept.value_lengths().to_numpy(), asked.value_lengths().to_numpy()
-    name, asks = (queries.field(k).to_numpy() for k in ("node", "weight"))
+    name, asks, lists, of = (queries.field(k).to_numpy() for k in ("node", "weight", "lists", "home"))
+    reach = (np.sqrt(2 - 2 * COSINE) + _SLACK + members.field("error").to_numpy()) ** 2
+    found = [np.zeros((2, 0), np.int64)]
+    for centre in np.unique(home):
+        there = np.flatnonzero(home == centre)
+        here = np.flatnonzero(lists >> (centre % GROUP) & 1)
+        y, x = np.nonzero(index.squares(own[here], centre, codes[there]) <= reach[there, None])
+        for at in range(0, len(x), PAIRS):
+            one, two = here[x[at : at + PAIRS]], there[y[at : at + PAIRS]]
+            good = (np.einsum("ij,ij->i", own[one], points[two]) >= COSINE) & (name[one] != node[two])
+            good &= wide[one] == size[two]
+            found.append(np.stack([one[good], two[good]]))
+    x, y = np.concatenate(found, axis=1)
     # Within its own list each end searches for itself.
-    both = queries.field("home").to_numpy() != centre
-    reach = np.sqrt(2 - 2 * COSINE) + _SLACK + members.field("error").to_numpy()
-    x, y = np.nonzero(index.distances(own, centre, codes) <= reach)
-    good = (np.einsum("ij,ij->i", own[x], points[y]) >= COSINE) & (name[x] != node[y])
-    good &= wide[x] == size[y]
-    x, y = x[good], y[good]
+    back = of[x] != home[y]
     label = _forest(x, y, len(name), len(node))
-    back = both[x]
     total = np.bincount(x, weight[y], len(name))
     credit = np.bincount(y[back], asks[x[back]], len(node))
     names = np.concatenate([name, node])
@@ -223,9 +241,8 @@ def _linked(blocks: DataFrame, index, width: int) -> DataFrame:
     def step(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                members, queries = batch.column(1)[i].values, batch.column(2)[i].values
-                block = batch.column(0)[i].as_py(), members, queries
-                node, other, links = _links_of(block, index.value, width)
+                members, queries = batch.column(0)[i].values, batch.column(1)[i].values
+                node, other, links = _links_of(members, queries, index.value, width)
                 if len(node):
                     yield rows(node=node, other=other, links=links)
 
@@ -233,19 +250,20 @@ def _linked(blocks: DataFrame, index, width: int) -> DataFrame:
 
 
 def _blocks(coded: DataFrame) -> DataFrame:
-    """(list, members, queries): blocks of each list against blocks of what probes it.
+    """(members, queries): blocks of each group of lists against blocks of what probes one of them.
 
     Members and queries are dealt to as many blocks as their numbers ask for, and meet once. A list of
     any size is searched by many tasks of bounded size.
     """
-    asked = coded.select(F.explode("probes").alias("list"), "node", "weight", F.col("list").alias("home"), "vector")
+    own = coded.withColumn("group", F.expr(f"list DIV {GROUP}").cast("int"))
+    asked = coded.select(F.inline("probes"), "node", "weight", F.col("list").alias("home"), "vector")
     sizes = (
-        coded.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-        .join(asked.groupBy("list").agg(F.count(F.lit(1)).alias("q")), "list")
+        own.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+        .join(asked.groupBy("group").agg(F.count(F.lit(1)).alias("q")), "group")
         .select(
-            "list",
+            "group",
             F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("own"),
-            F.ceil(F.col("q") / (ASKED * BLOCK_ROWS)).cast("int").alias("other"),
+            F.ceil(F.col("q") / BLOCK_ROWS).cast("int").alias("other"),
         )
     )
     sizes = F.broadcast(stored(sizes, "lists"))  # at most MOST_LISTS rows
@@ -256,26 +274,26 @@ def _blocks(coded: DataFrame) -> DataFrame:
     def every(number: str):
         return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
 
-    members = coded.join(sizes, "list").select(
-        "list",
+    members = own.join(sizes, "group").select(
+        "group",
         dealt("own").alias("m"),
         every("other").alias("q"),
-        F.struct("node", "weight", "codes", "error", "vector").alias("member"),
+        F.struct("node", "weight", "list", "codes", "error", "vector").alias("member"),
         F.lit(None).alias("query"),
     )
-    queries = asked.join(sizes, "list").select(
-        "list",
+    queries = asked.join(sizes, "group").select(
+        "group",
         every("own").alias("m"),
         dealt("other").alias("q"),
         F.lit(None).alias("member"),
-        F.struct("node", "weight", "home", "vector").alias("query"),
+        F.struct("node", "weight", "home", "lists", "vector").alias("query"),
     )
     return (
         members.unionByName(queries)
-        .groupBy("list", "m", "q")
+        .groupBy("group", "m", "q")
         .agg(F.collect_list("member").alias("members"), F.collect_list("query").alias("queries"))
         .filter((F.size("members") > 0) & (F.size("queries") > 0))
-        .select("list", "members", "queries")
+        .select("members", "queries")
     )
 
 

@@ -61,7 +61,7 @@ def test_links_and_components(spark):
 
 
 def test_lists_and_blocks_of_any_size(spark, monkeypatch):
-    for name, value in (("LIST_ROWS", 20), ("BLOCK_ROWS", 8)):
+    for name, value in (("LIST_ROWS", 4), ("BLOCK_ROWS", 8)):
         monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(2)
     near = [(np.ones(8) + rng.normal(size=8) * 0.1).astype(np.float32).tolist() for _ in range(60)]
@@ -141,9 +141,15 @@ def test_each_pair_is_searched_for_once(spark):
     rng = np.random.default_rng(8)
     points = vectors._unit(planted(rng, 500, 64, 16).astype(float))
     index = vectors._fit(points, 20)
-    at, probed = index.probes(points, np.sqrt(2 - 2 * vectors.COSINE))
+    at, group, bits = index.probes(points, np.sqrt(2 - 2 * vectors.COSINE))
     own = vectors._nearest(points, index.centres)
-    searched = set(zip(at.tolist(), probed.tolist(), strict=True))
+    searched = {
+        (i, g * vectors.GROUP + k)
+        for i, g, b in zip(at.tolist(), group.tolist(), bits.tolist(), strict=True)
+        for k in range(vectors.GROUP)
+        if b >> k & 1
+    }
+    assert max(g for _, g in searched) == 19
     for a, b in zip(*np.nonzero(points @ points.T >= vectors.COSINE), strict=True):
         ends = ((a, own[b]) in searched) + ((b, own[a]) in searched)
         assert ends == (2 if own[a] == own[b] else 1)
