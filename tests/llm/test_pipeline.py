@@ -3,12 +3,16 @@
 import random
 import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from metricloom.llm import pii
 from metricloom.llm.packing import END
 from metricloom.llm.repeats import documents_without_repeats
-from tests.llm import test_repeats, test_toxicity
+from tests.llm import test_packing, test_pii, test_repeats, test_simhash, test_toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,6 +63,42 @@ def test_stages_take_effect(spark, corpus):
     assert set(seen["packing"]) == set(seen["personal_data"])
 
 
+def test_each_stage_equals_a_plain_version_on_its_input(spark, corpus):
+    sf_dir, rows, labels = corpus
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text, after = [rows], {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), name)
+        after[name] = docs
+        if name != "packing":
+            text.append(sorted((r.doc_id, r.text) for r in docs.collect()))
+    start, clean, single, cut, safe = text
+    scores = test_toxicity.plain_scores(start, labels)
+    assert clean == sorted(row for row, score in zip(start, scores, strict=True) if score < 0.5)
+    roots = test_simhash.brute(clean)  # (doc_id, fingerprint, component)
+    assert [i for i, _ in single] == sorted({r[2] for r in roots})
+    assert set(single) <= set(clean)
+    kept = {i: left.decode(errors="ignore") for i, *_, left in test_repeats.brute(single)}
+    assert cut == [(i, None if t is None else kept[i]) for i, t in single]
+    crf = pii.model()
+    for (i, old), (j, new) in zip(cut, safe, strict=True):
+        assert i == j
+        spans = pii.find_all([old], crf)[0]
+        assert [s[:3] for s in spans if s[3]] == test_pii.plain(old or "")
+        left, at = [], 0
+        for start_, kind, end, _ in spans:
+            if start_ >= at:
+                left += [old[at:start_], f"<{pii.KINDS[kind].upper()}>"]
+            at = max(at, end)
+        assert new == (old if not spans else "".join(left) + old[at:])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: b"" for i, _ in safe}
+    for r in sorted(after["packing"].collect(), key=lambda r: (r.doc_id, r.start)):
+        ids[r.doc_id] += bytes(r.ids)
+    for i, t in safe:
+        assert np.frombuffer(ids[i], "<u4").tolist() == test_packing.ids_of(library, t)
+
+
 def test_run_equals_the_stages(spark, corpus):
     sf_dir, *_ = corpus
     pieces = corpus_pipeline.run(spark, sf_dir).collect()

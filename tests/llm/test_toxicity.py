@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -85,8 +86,6 @@ def plain_ratios(docs, classes, words):
 def test_ratios_equal_a_plain_version(spark):
     docs, labels = corpus(120)
     model = t.trained(*frames(spark, docs, labels))
-    import zlib
-
     def fold(i):
         return zlib.crc32(str(i).encode()) % 5
 
@@ -109,8 +108,6 @@ def test_ratios_of_many_expressions_and_scripts(spark):
     twins = "".join(chr(ord(c) + 0x5000) for c in "grzok")
     docs += [(2000 + i, f"{twins} \U0001f600\U0001f4a9 tala") for i in range(40)]
     labels += [(2000 + i, 1, 0) for i in range(40)] + [(1000 + i, 1, i % 2) for i in range(40)]
-    import zlib
-
     toxic = {i: x for i, _, x in labels}
     classes = [
         [x for i, x in docs if toxic.get(i) == c and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
@@ -123,6 +120,47 @@ def test_ratios_of_many_expressions_and_scripts(spark):
     assert np.allclose(t.trained(*frames(spark, docs, labels)).ratios(words), plain, atol=1e-6)
 
 
+def plain_scores(docs, labels):
+    """Score of each text: ratios by dictionaries, their mean and highest, a logistic curve fitted step by step."""
+    toxic = {}
+    for i, _, x in labels:
+        if i is not None and x is not None and zlib.crc32(str(i).encode()) % 5:
+            toxic[i] = max(x, toxic.get(i, 0))
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in toxic}
+    classes = [[x for i, x in docs if toxic.get(i) == c and fold[i] < 4] for c in (0, 1)]
+    texts = [x or "" for _, x in docs]
+    words = sorted({w for x in texts for w in x.lower().split()})
+    ratio = dict(zip(words, plain_ratios(texts, [[x or "" for x in own] for own in classes], words), strict=True))
+
+    def features(text):
+        own = [ratio[w] for w in text.lower().split()]
+        return (1.0, 4 * sum(own) / len(own), max(own) / 8) if own else (1.0, 0.0, 0.0)
+
+    x = np.array([features(t or "") for i, t in docs if fold.get(i) == 4])
+    y = np.array([toxic[i] for i, _ in docs if fold.get(i) == 4], float)
+    w = np.zeros(3)
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / 4 + 1)
+    momentum = np.zeros(3)
+    for _ in range(200_000):
+        ahead = w + 0.999 * momentum
+        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y) + np.array([1e-6, 1e-2, 1e-2]) * ahead
+        momentum = 0.999 * momentum - step * slope
+        w = w + momentum
+        if np.abs(slope).max() < 1e-9:
+            break
+    return [1 / (1 + math.exp(-max(-30, min(30, float(np.dot(features(t), w)))))) for t in texts]
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs, labels = corpus(120)
+    docs += [(900, None), (901, "Grzok TALA\n"), (902, "")]
+    found = {r.doc_id: r for r in t.scores(*frames(spark, docs, labels)).collect()}
+    expected = plain_scores(docs, labels)
+    assert np.allclose([found[i].score for i, _ in docs], expected, atol=1e-3)
+    assert [found[i].predicted for i, _ in docs] == [int(s >= 0.5) for s in expected]
+    assert 20 < sum(found[i].predicted for i, _ in docs) < 40
+
+
 def test_a_word_in_pieces_has_the_same_ratio(spark, monkeypatch):
     docs, labels = corpus(120)
     docs += [(5000 + i, "grzok" * 40 + "tala" * 30) for i in range(5)]
@@ -149,8 +187,6 @@ def test_held_out_rows(spark):
 
 def test_labels_of_held_out_rows_are_not_used(spark):
     docs, labels = corpus(200)
-    import zlib
-
     flipped = [
         (i, q, 1 - x if zlib.crc32(str(i).encode()) % 5 == 0 else x) for i, q, x in labels
     ]
