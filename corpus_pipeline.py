@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.llm import packing, pii, repeats, simhash
 from metricloom.llm import toxicity as toxic
-from metricloom.llm.common import stored, table
+from metricloom.llm.common import dropped, stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; each result is written as Parquet and read again.
+
+    The result of a stage goes once the next one is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
