@@ -788,7 +788,7 @@ def j3_j4_drain_in_capped_batches(spark, sf_dir):
 
 
 # Points of a write, at the most.
-FLUSH = 10_000
+FLUSH = 40_000
 
 
 @query
