@@ -20,7 +20,7 @@ MOST_REPEATED = 50  # percent of the words
 # Rows on which cost and selectivity of the rules are estimated; they only decide the order.
 SAMPLE_ROWS = 1000
 # A rule is timed on as many copies of the sample as take so many times what a job takes anyway.
-WELL_ABOVE, MOST_COPIES = 3, 1 << 10
+WELL_ABOVE, MOST_COPIES = 3, 1 << 6
 
 
 @dataclass(frozen=True)
