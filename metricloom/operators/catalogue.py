@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from metricloom.schema import SERIES, column_names
 
@@ -27,6 +28,17 @@ def distinct_series(series: DataFrame) -> DataFrame:
     return series.dropDuplicates(["SeriesID"])
 
 
+def distinct_rows(series: DataFrame) -> DataFrame:
+    """Every different row once, for rows that repeat much, such as one per point.
+
+    All columns are grouping keys, so it is a hash aggregation that combines before the shuffle and
+    sorts nothing: a task holds each different row once. Maps are compared, and come back, in the order of their keys.
+    """
+    maps = [f.name for f in series.schema if isinstance(f.dataType, MapType)]
+    entries = series.withColumns({c: F.sort_array(F.map_entries(c)) for c in maps}).distinct()
+    return entries.withColumns({c: F.map_from_entries(c) for c in maps})
+
+
 def new_series(series: DataFrame, catalogue: DataFrame) -> DataFrame:
     """One row per SeriesID that the stored catalogue does not hold.
 

@@ -10,20 +10,20 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metricloom.operators.catalogue import new_series
 from metricloom.operators.flatten import flatten_metrics, nameless_metrics
 from metricloom.operators.mapping import map_points, map_series, point_heads, slim
 from metricloom.operators.validate import nameless_rejects, validate
 from metricloom.schema import POINT_TABLES
 from metricloom.sources import files
 from metricloom.sources.manifest import add_batch, commit, is_done, load, new_write_id
-from metricloom.sources.requests import read_requests, unreadable_rejects
+from metricloom.sources.requests import read_requests, requests_with, unreadable_rejects
 from metricloom.sources.tables import (
     append_ledger,
     create_tables,
+    put_bounded_points,
+    put_new_series,
     put_points,
     put_rejects,
-    put_series,
     scan_series,
 )
 
@@ -39,20 +39,22 @@ FILES = "files"
 
 
 def _attempt(
-    writes: Writes, tables: Iterable[str], write_id: int, write: Callable[[int], dict[str, int]]
+    writes: Writes, tables: Iterable[str], write_id: int, write: Callable[[int], Writes]
 ) -> list[Entry]:
-    """Run one write and describe what it made; a failure is one of each of its tables."""
+    """Run one job and describe the writes it made; a failure is one of each of its tables."""
     started = time.monotonic()
 
     def spent() -> int:
         return int((time.monotonic() - started) * 1000)
 
     try:
-        found = write(write_id)
+        made = write(write_id)
     except Exception as failure:  # noqa: BLE001 - recorded here, raised by write_batch
         return [(table, 0, spent(), f"{type(failure).__name__}: {failure}") for table in tables]
-    writes[write_id].update(found)
-    return [(table, rows, spent(), None) for table, rows in found.items()]
+    writes.update(made)
+    # Writes of one job took a share of its time each.
+    share = spent() // max(1, len(made))
+    return [(table, rows, share, None) for found in made.values() for table, rows in found.items()]
 
 
 def write_batch(
@@ -65,7 +67,7 @@ def write_batch(
     requests: DataFrame | None = None,
     writer: str = FILES,
     owner: str | None = None,
-    units: list[FlatSource] | None = None,
+    max_points: int | None = None,
 ) -> list[Entry]:
     """Store one batch of flattened metrics, whole or not at all, and once.
 
@@ -74,8 +76,8 @@ def write_batch(
     visible, so no stored point is without its catalogue row. A batch is known by its ``writer`` and
     id: one that is stored already is left as it is, whoever asks. ``owner`` is the
     application that holds the writer's name; if another one took it over, the batch is refused.
-    ``units`` are parts of ``source`` whose points are written one after the other, each
-    to folders of its own; one commit names all of them.
+    ``max_points`` bounds the points of a write: the job then makes as many writes as it takes, each with
+    folders of its own; one commit names all of them.
 
     Every write counts its rows as it runs; what has no rows leaves no folder and no ledger
     entry. If one fails, its error is recorded and the batch ends with it, to be run again;
@@ -83,21 +85,25 @@ def write_batch(
     """
     if is_done(load(spark, base), writer, batch_id):
         return []
-    tables, units = tuple(tables), units or [source]
+    tables = tuple(tables)
     flat = source(tables)
     writes: Writes = {}
-    steps: list[list[tuple]] = []  # run side by side, the entries of one after the other
+    steps: list[tuple] = []  # run side by side
 
-    def step(names: tuple[str, ...], write: Callable[[int], dict[str, int]]) -> tuple:
+    def step(names: tuple[str, ...], write: Callable[[int], Writes]) -> tuple:
         write_id = new_write_id()
         writes[write_id] = {}
         return names, write_id, write
 
-    def points_of_unit(unit: FlatSource) -> dict[str, DataFrame]:
-        return {t: slim(map_points(unit((t,)) if len(tables) > 1 else unit(tables), t), t) for t in tables}
+    def points(write_id: int) -> Writes:
+        own = {t: slim(map_points(source((t,)) if len(tables) > 1 else flat, t), t) for t in tables}
+        if max_points:
+            return put_bounded_points(own, base, write_id, max_points)
+        return {write_id: put_points(own, base, write_id)}
 
-    def fresh_series() -> DataFrame:
-        return new_series(map_series(flat, ingest_time), scan_series(spark, base, ["SeriesID"]))
+    def series(write_id: int) -> Writes:
+        known = scan_series(spark, base, ["SeriesID"])
+        return {write_id: put_new_series(map_series(flat, ingest_time), known, base, write_id)}
 
     def rejects() -> DataFrame:
         rows = nameless_rejects(nameless_metrics(source(()) if len(tables) != 1 else flat))
@@ -106,15 +112,11 @@ def write_batch(
         return rows if requests is None else rows.unionByName(unreadable_rejects(requests))
 
     if tables:
-        steps.append([step(tables, lambda n, u=u: put_points(points_of_unit(u), base, n)) for u in units])
-        steps.append([step(("series",), lambda n: put_series(fresh_series(), base, n))])
-    steps.append([step(("rejects",), lambda n: put_rejects(rejects(), base, n, writer, batch_id))])
-
-    def run(chain: list[tuple]) -> list[Entry]:
-        return [entry for one in chain for entry in _attempt(writes, *one)]
-
+        steps.append(step(tables, points))
+        steps.append(step(("series",), series))
+    steps.append(step(("rejects",), lambda n: {n: put_rejects(rejects(), base, n, writer, batch_id)}))
     with ThreadPoolExecutor(len(steps)) as pool:
-        entries = [entry for own in pool.map(run, steps) for entry in own]
+        entries = [entry for own in pool.map(lambda one: _attempt(writes, *one), steps) for entry in own]
     try:
         failed = next((e for e in entries if e[3] is not None), None)
         if failed is not None:
@@ -215,7 +217,8 @@ def ingest_files(
     create_tables(spark, base)
 
     def source(tables: tuple[str, ...]) -> DataFrame:
-        return flatten_metrics(read_requests(spark, path, format, tables))
+        requests = read_requests(spark, path, format, tables)
+        return flatten_metrics(requests_with(requests, tables) if len(tables) == 1 else requests)
 
     if is_done(load(spark, base), writer, batch_id):
         return []

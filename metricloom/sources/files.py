@@ -73,5 +73,15 @@ def publish(spark: SparkSession, source: str, target: str) -> bool:
     return True
 
 
+def move(spark: SparkSession, targets: dict[str, str]) -> None:
+    """Rename files or folders of one file system, each to a path that is not there."""
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    for k, (source, target) in enumerate(targets.items()):
+        if not k:
+            _, files = place(spark, source)
+        if not files.rename(new_path(source), new_path(target)):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+
 def _is(error: Py4JJavaError, name: str) -> bool:
     return error.java_exception.getClass().getSimpleName() == name

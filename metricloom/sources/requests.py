@@ -32,6 +32,14 @@ def read_requests(
     return reader.options(**_KEEP_UNREADABLE).load(path)
 
 
+def requests_with(requests: DataFrame, tables: Iterable[str]) -> DataFrame:
+    """Requests in which a metric has a payload of one of ``tables``; the others have no points for them."""
+    held = " or ".join(f"m.{POINT_TABLES[t][1]} is not null" for t in tables)
+    return requests.filter(
+        f"exists(resourceMetrics, r -> exists(r.scopeMetrics, s -> exists(s.metrics, m -> {held})))"
+    )
+
+
 def unreadable_rejects(requests: DataFrame) -> DataFrame:
     """C4: one reject per request that could not be parsed."""
     unread = F.col("unreadable").isNotNull() & F.col("resourceMetrics").isNull()
@@ -67,6 +75,10 @@ def stream_kafka_requests(spark: SparkSession, **options: str) -> DataFrame:
     return messages.select(parsed.alias("request")).select("request.*")
 
 
-def land_requests(requests: DataFrame, path: str) -> None:
-    """Write requests as Parquet, so later passes read only the payloads they need."""
-    requests.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def land_requests(requests: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write requests as Parquet, so later passes read only the payloads they need.
+
+    Requests may lack payload columns that none of them has; with the mode ``append`` those of several kinds
+    share a folder.
+    """
+    requests.write.mode(mode).option("compression", "zstd").parquet(path)

@@ -21,10 +21,17 @@ from collections.abc import Iterable
 from datetime import datetime
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.operators.catalogue import INDEXED, attribute_index, compact_series
+from metricloom.operators.catalogue import (
+    INDEXED,
+    attribute_index,
+    compact_series,
+    distinct_rows,
+    new_series,
+)
 from metricloom.schema import ATTRIBUTE_INDEX, LEDGER, POINTS, REJECTS, SERIES
 from metricloom.sources import files, manifest
 from metricloom.sources.manifest import began, commit, live, load, new_write_id
@@ -80,6 +87,19 @@ def put_series(series: DataFrame, base: str, write_id: int) -> dict[str, int]:
     )
 
 
+def put_new_series(series: DataFrame, known: DataFrame, base: str, write_id: int) -> dict[str, int]:
+    """Store the rows of a batch whose series are not in ``known``. Returns {"series": rows}.
+
+    Points of a series repeat its row; each different row is kept once, and only those are
+    cached, compared and sorted. The batch itself is read once.
+    """
+    rows = distinct_rows(series).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return put_series(new_series(rows, known), base, write_id)
+    finally:
+        rows.unpersist()
+
+
 def put_points(
     points: dict[str, DataFrame], base: str, write_id: int, by_range: bool = False
 ) -> dict[str, int]:
@@ -107,6 +127,44 @@ def put_points(
     )
 
 
+def put_bounded_points(
+    points: dict[str, DataFrame], base: str, write_id: int, most: int
+) -> dict[int, dict[str, int]]:
+    """As ``put_points``, in writes of at most ``most`` points each. Returns the rows of each table by write.
+
+    All of them are one job, however many there are. The sorted rows of a task are cut after every ``most``
+    of them, so a write holds few days and is few files. The job makes one folder with a folder of
+    each write in it, which then gets its place and a number of its own; the driver sees one row for
+    each write and table.
+    """
+    labelled = [rows.withColumn("table", F.lit(table)) for table, rows in points.items()]
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
+    order = ("table", "TimeDate", "SeriesID", "TimeUnixNano")
+    dealt = united.hint("rebalance", "table", "TimeDate").sortWithinPartitions(*order)
+    # The number of a row: its task, then 33 bits of its place in there.
+    numbered = dealt.withColumn("_number", F.monotonically_increasing_id())
+    unit = F.expr(f"shiftright(_number, 33) * {2**33 // most + 1} + (_number & {2**33 - 1}) div {most}")
+    units = numbered.withColumn("unit", unit).drop("_number").sortWithinPartitions("unit", *order)
+    spark, folder = united.sparkSession, f"{base}/points/write={write_id}"
+    units.write.options(**_PARQUET).partitionBy("unit", "table", "TimeDate").parquet(folder)
+    schema = "SeriesID BIGINT, unit BIGINT, table STRING, TimeDate DATE"
+    found = spark.read.schema(schema).parquet(folder).groupBy("unit", "table").count().collect()
+    ids: dict[int, int] = {}
+    writes: dict[int, dict[str, int]] = {}
+    for row in sorted(found):
+        if row["unit"] not in ids:
+            ids[row["unit"]] = max(new_write_id(), max(writes, default=0) + 1)
+        writes.setdefault(ids[row["unit"]], {})[row["table"]] = row["count"]
+    try:
+        files.move(spark, {f"{folder}/unit={u}": f"{base}/points/write={n}" for u, n in ids.items()})
+    except Exception:
+        for n in writes:
+            files.delete(spark, f"{base}/points/write={n}")
+        raise
+    files.delete(spark, folder)
+    return writes
+
+
 def put_rejects(rejects: DataFrame, base: str, write_id: int, writer: str, batch_id: int) -> dict[str, int]:
     """C4: rejects of one batch. Returns {"rejects": rows}."""
     marked = rejects.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")})

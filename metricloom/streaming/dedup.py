@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from metricloom.operators.catalogue import new_series
 from metricloom.sources.manifest import add_batch, commit, hold, is_done, let_go, load, new_write_id
-from metricloom.sources.tables import create_tables, put_series, recent_series
+from metricloom.sources.tables import create_tables, put_new_series, recent_series
 from metricloom.streaming.ingest import stream_identity
 
 
@@ -43,21 +41,17 @@ def store_new_batch(
 ) -> None:
     """E2s: store the rows of a batch whose series were not stored within the last ``horizon``.
 
-    What is new is asked of the SeriesIDs alone, which combine before they are shuffled; a series that
-    owns most rows of the batch costs one row per task. The wide rows of the new ones are then found
-    by a join with those few IDs. What was stored within the horizon is the state: of its
+    Equal rows of the batch combine before they are shuffled; a series that owns most of them costs one
+    row per task. What is new is then asked of the SeriesIDs alone, and the wide rows of the new ones
+    are found by a join with those few IDs. What was stored within the horizon is the state: of its
     files the IDs are read and nothing else. A batch that is stored already is left as it is.
     """
     spark = series.sparkSession
     if is_done(load(spark, base), writer, batch_id):
         return
     since = (now or datetime.now(timezone.utc)) - horizon
-    rows = series.persist(StorageLevel.MEMORY_AND_DISK)
     write_id = new_write_id()
-    try:
-        found = put_series(new_series(rows, recent_series(spark, base, since)), base, write_id)
-    finally:
-        rows.unpersist()
+    found = put_new_series(series, recent_series(spark, base, since), base, write_id)
     commit(spark, base, lambda s: add_batch(s, {write_id: found}, writer, batch_id, owner))
 
 

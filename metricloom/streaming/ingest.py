@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from metricloom.operators.flatten import flatten_metrics
-from metricloom.plans.ingest import present_tables, units_of, write_batch
+from metricloom.plans.ingest import present_tables, write_batch
 from metricloom.sources import files
 from metricloom.sources.manifest import commit, hold, is_done, let_go, load
 from metricloom.sources.tables import create_tables
@@ -42,10 +42,8 @@ def ingest_micro_batch(
     flat = flatten_metrics(requests).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tables = present_tables(flat)
-        parts = units_of(flat, max_points) if max_points and tables else [flat]
-        units = [lambda _, part=part: part for part in parts]
         write_batch(
-            spark, lambda _: flat, base, batch_id, moment, tables, requests, writer, owner, units
+            spark, lambda _: flat, base, batch_id, moment, tables, requests, writer, owner, max_points
         )
     finally:
         flat.unpersist()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import metricloom as ml
+from metricloom.operators.catalogue import distinct_rows
 from metricloom.operators.mapping import map_requests
 from metricloom.schema import SERIES
 from tests.builders import T0, gauge, number, request
@@ -196,3 +197,12 @@ def test_attribute_index_rows(mapped):
     index = ml.attribute_index(ml.compact_series(mapped["series"]))
     per_scope = {r.scope: r["count"] for r in index.groupBy("scope").count().collect()}
     assert per_scope == {"resource": 82, "point": 41}
+
+
+def test_rows_that_repeat_are_grouped_without_a_sort(mapped):
+    rows = mapped["series"]  # one of each point
+    once = distinct_rows(rows)
+    plan = once._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert once.columns == rows.columns and once.count() == 41
+    assert sorted(map(repr, once.collect())) == sorted(set(map(repr, rows.collect())))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 import metricloom as ml
 from metricloom.operators.flatten import nameless_metrics
+from metricloom.plans import ingest
 from metricloom.plans.ingest import units_of
 from metricloom.schema import POINT_TABLES
 from metricloom.sources import files
 from metricloom.sources.manifest import Fenced, commit, hold, load
-from metricloom.sources.tables import recent_series
+from metricloom.sources.tables import put_bounded_points, recent_series
 from metricloom.streaming.dedup import store_new_batch
 from metricloom.streaming.ingest import ingest_micro_batch, stream_identity
 from tests.builders import T0, gauge, number, request, total
@@ -226,3 +227,33 @@ def test_series_stream_emits_each_id_once_and_keeps_old_points(spark, folder, tm
         .awaitTermination()
     )
     assert spark.read.parquet(f"{out}/rows").count() == 2
+
+
+def test_bounded_writes_are_one_job_and_few_files(spark, folder, tmp_path, monkeypatch):
+    base = str(tmp_path / "store")
+    jobs = []
+    monkeypatch.setattr(ingest, "put_bounded_points", lambda *a: jobs.append(a) or put_bounded_points(*a))
+    ml.create_tables(spark, base)
+    ingest_micro_batch(ml.read_requests(spark, folder), base, 0, max_points=4)
+    assert state(spark, base) == EXPECTED and len(jobs) == 1
+    writes = [w for w in load(spark, base)["writes"] if set(w["tables"]) & set(POINT_TABLES)]
+    assert all(sum(w["tables"].values()) <= 4 for w in writes) and 15 <= len(writes) <= 19
+    # Points are cut in the order of type and day: a write has one of each, or two where one ends.
+    found = list((tmp_path / "store/points").rglob("*.parquet"))
+    assert len(found) <= len(writes) + 4
+    assert sorted(files.names(spark, f"{base}/points")) == sorted(f"write={w['id']}" for w in writes)
+
+
+def test_a_failed_move_leaves_no_bounded_write(spark, folder, tmp_path, monkeypatch):
+    base = str(tmp_path / "store")
+    ml.create_tables(spark, base)
+    moved = files.move
+
+    def broken(spark, targets):
+        moved(spark, dict(list(targets.items())[:2]))
+        raise OSError("full")
+
+    monkeypatch.setattr(files, "move", broken)
+    with pytest.raises(RuntimeError, match="full"):
+        ingest_micro_batch(ml.read_requests(spark, folder), base, 0, max_points=4)
+    assert files.names(spark, f"{base}/points") == []
