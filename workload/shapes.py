@@ -87,11 +87,15 @@ def distribution_point(attrs: str, time: str, **fields: str) -> str:
     return f"named_struct({common}{rest})"
 
 
-def metric(name: str, unit: str = "'1'", description: str = "'shaped from a table'", **payload: str) -> str:
-    """SQL of a metric; ``payload`` maps a payload field to its SQL, others are NULL."""
+def metric(
+    name: str, unit: str = "'1'", description: str = "'shaped from a table'", sparse: bool = False,
+    **payload: str,
+) -> str:
+    """SQL of a metric; ``payload`` maps a payload field to its SQL, others are NULL or, if ``sparse``, left out."""
     arms = "".join(
         f", '{arm}', cast({payload.get(arm, 'null')} as {ddl})"
         for _, arm, ddl in POINT_TABLES.values()
+        if arm in payload or not sparse
     )
     return f"named_struct('name', {name}, 'description', {description}, 'unit', {unit}{arms})"
 
@@ -133,7 +137,9 @@ _EVENT_RESOURCE = attributes(
 _EVENT_K = attribute("k", "get_json_object(props, '$.k')", "intValue")
 
 
-def gauge_requests(events: DataFrame, description: str = "'shaped from a table'") -> DataFrame:
+def gauge_requests(
+    events: DataFrame, description: str = "'shaped from a table'", sparse: bool = False
+) -> DataFrame:
     """One gauge point per event."""
     time = nanos("ts")
     point = number_point(
@@ -143,7 +149,7 @@ def gauge_requests(events: DataFrame, description: str = "'shaped from a table'"
         request(
             _EVENT_RESOURCE,
             "events",
-            metric("concat('events.', event_type)", description=description, gauge=gauge(point)),
+            metric("concat('events.', event_type)", description=description, sparse=sparse, gauge=gauge(point)),
             scope_attributes=attributes(attribute("team", "concat('t', user_id % 7 % 2)")),
         )
     )
@@ -201,7 +207,7 @@ def attribute_requests(events: DataFrame) -> DataFrame:
     )
 
 
-def sum_requests(lineitem: DataFrame) -> DataFrame:
+def sum_requests(lineitem: DataFrame, sparse: bool = False) -> DataFrame:
     """One sum point per line item: deltas, cumulative for returns, and some that may fall."""
     point = number_point(
         attributes(
@@ -217,6 +223,7 @@ def sum_requests(lineitem: DataFrame) -> DataFrame:
             metric(
                 "'lineitem.quantity'",
                 "'{item}'",
+                sparse=sparse,
                 sum=total(
                     point,
                     temporality="if(l_returnflag = 'R', 2, 1)",
@@ -230,7 +237,7 @@ def sum_requests(lineitem: DataFrame) -> DataFrame:
 _CENTS = "cast(round(o_totalprice * 100) as bigint)"
 
 
-def histogram_requests(orders: DataFrame) -> DataFrame:
+def histogram_requests(orders: DataFrame, sparse: bool = False) -> DataFrame:
     """Order prices per priority and day, in five buckets."""
     bounds = [1e5, 2e5, 3e5, 4e5]
     edges = [None, *bounds, None]
@@ -260,12 +267,12 @@ def histogram_requests(orders: DataFrame) -> DataFrame:
         request(
             attributes(attribute("service.name", "'orders'")),
             "orders",
-            metric("'orders.price'", "'usd'", histogram=distribution(point)),
+            metric("'orders.price'", "'usd'", sparse=sparse, histogram=distribution(point)),
         )
     )
 
 
-def exponential_requests(lineitem: DataFrame) -> DataFrame:
+def exponential_requests(lineitem: DataFrame, sparse: bool = False) -> DataFrame:
     """Quantities less 20 per return flag and day, at scale -1: bucket i holds (4^i, 4^(i+1)].
 
     Both sides begin at bucket -1, which holds 1.
@@ -304,13 +311,14 @@ def exponential_requests(lineitem: DataFrame) -> DataFrame:
             "lineitem",
             metric(
                 "'lineitem.quantity.exp'",
+                sparse=sparse,
                 exponentialHistogram=distribution(point, temporality=2),
             ),
         )
     )
 
 
-def summary_requests(orders: DataFrame) -> DataFrame:
+def summary_requests(orders: DataFrame, sparse: bool = False) -> DataFrame:
     """Quantiles 0.5 and 0.99 of the price per priority and month."""
     groups = orders.selectExpr(
         "o_orderpriority", "date_trunc('MONTH', o_orderdate) as month", "o_totalprice"
@@ -334,7 +342,7 @@ def summary_requests(orders: DataFrame) -> DataFrame:
         request(
             attributes(attribute("service.name", "'orders'")),
             "orders",
-            metric("'orders.price.summary'", "'usd'", summary=gauge(point)),
+            metric("'orders.price.summary'", "'usd'", sparse=sparse, summary=gauge(point)),
         )
     )
 
