@@ -405,8 +405,12 @@ def d2_series_id(spark, sf_dir):
         points.select("MetricName", "SeriesID", "SeriesKey")
         for points in (_gauges(spark, sf_dir), _sums(spark, sf_dir))
     ]
-    per_id = reduce(DataFrame.unionAll, sides).groupBy("MetricName", "SeriesID").agg(
-        F.count(F.lit(1)).alias("points"),
+    # Keys are grouped first, in a hash table: the least and greatest text of many rows would sort them all.
+    per_key = reduce(DataFrame.unionAll, sides).groupBy("MetricName", "SeriesID", "SeriesKey").agg(
+        F.count(F.lit(1)).alias("points")
+    )
+    per_id = per_key.groupBy("MetricName", "SeriesID").agg(
+        F.sum("points").alias("points"),
         F.min("SeriesKey").alias("low"),
         F.max("SeriesKey").alias("high"),
     )
