@@ -21,21 +21,24 @@ _TEXT = (
 )
 _NAMED = "filter({a}, e -> coalesce(e.key, '') <> '')"
 _ENTRY = "struct<key:string,pos:int,value:string>"
-_ENTRIES = (
-    "coalesce("
-    + let(
-        "s",
-        f"sort_array(transform({_NAMED}, (e, i) -> "
-        f"struct(e.key as key, i as pos, {_TEXT.format(v='e.value')} as value)))",
-        "filter(s, (e, i) -> coalesce(get(s, i + 1).key <> e.key, true))",
-    )
-    + f", cast(array() as array<{_ENTRY}>))"
-)
+# The named entries of a list with their place and text, as they come; NULL for an absent list.
+_PAIRS = f"transform({_NAMED}, (e, i) -> struct(e.key as key, i as pos, {_TEXT.format(v='e.value')} as value))"
+_LAST = "filter(s, (e, i) -> coalesce(get(s, i + 1).key <> e.key, true))"
+
+
+def attribute_pairs_sql(attributes: str) -> str:
+    """SQL of the first step of ``attribute_entries``: unlike tagged values, its result can be grouped."""
+    return _PAIRS.format(a=attributes)
+
+
+def pairs_to_entries_sql(pairs: str) -> str:
+    """SQL of the second step of ``attribute_entries``: sorted by key, last duplicate kept."""
+    return f"coalesce({let('s', f'sort_array({pairs})', _LAST)}, cast(array() as array<{_ENTRY}>))"
 
 
 def attribute_entries_sql(attributes: str) -> str:
     """SQL of ``attribute_entries``."""
-    return _ENTRIES.format(a=attributes)
+    return pairs_to_entries_sql(attribute_pairs_sql(attributes))
 
 
 def service_name_sql(attributes: str) -> str:

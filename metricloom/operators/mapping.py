@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.attributes import attribute_entries_sql, entries_to_map_sql
+from metricloom.functions.attributes import (
+    attribute_entries_sql,
+    attribute_pairs_sql,
+    entries_to_map_sql,
+    pairs_to_entries_sql,
+    service_name_sql,
+)
 from metricloom.functions.common import counts64_sql, wrapped_int64_sql
 from metricloom.functions.identity import canonical_key_sql, entries_section_sql, series_id_sql
 from metricloom.functions.numbers import number_value_sql
@@ -213,6 +220,87 @@ def map_series(flat: DataFrame, ingest_time: datetime | Column) -> DataFrame:
     return series_rows(with_series_id(accepted(point_heads(flat))), ingest_time)
 
 
+def _head_columns(table: str, metric: str) -> list[str]:
+    """SQL of the type and of the ``reason`` of a point ``p`` of a metric."""
+    metric_type, checked = POINT_TABLES[table][0], VALUE_COLUMNS[table][_checked(table)].replace("_point.", "p.")
+    reason = point_reason_sql(wrapped_int64_sql("p.timeUnixNano"), checked)
+    return [f"{metric} as MetricName", f"'{metric_type}' as MetricType", f"{reason} as reason"]
+
+
+def _labels(requests: DataFrame, table: str) -> DataFrame:
+    """Labels of the accepted points of a type, with attributes as text in the order they came."""
+    resource = {
+        "ServiceName": service_name_sql("rm.resource.attributes"),
+        "_resource": attribute_pairs_sql("rm.resource.attributes"),
+        "ResourceSchemaUrl": "coalesce(rm.schemaUrl, '')",
+    }
+    scope = {
+        "ScopeName": "coalesce(sm.scope.name, '')",
+        "ScopeVersion": "coalesce(sm.scope.version, '')",
+        "_scope": attribute_pairs_sql("sm.scope.attributes"),
+        "ScopeDroppedAttrCount": "coalesce(sm.scope.droppedAttributesCount, 0L)",
+        "ScopeSchemaUrl": "coalesce(sm.schemaUrl, '')",
+    }
+    own = [*resource, *scope]
+    scopes = requests.selectExpr("explode(resourceMetrics) as rm").selectExpr(
+        *[f"{sql} as {name}" for name, sql in resource.items()], "explode(rm.scopeMetrics) as sm"
+    )
+    metrics = scopes.selectExpr(
+        *resource, *[f"{sql} as {name}" for name, sql in scope.items()], "explode(sm.metrics) as m"
+    ).filter("m.name <> ''")
+    points = metrics.selectExpr(
+        *own,
+        "m.name as MetricName",
+        "coalesce(m.description, '') as MetricDescription",
+        "coalesce(m.unit, '') as MetricUnit",
+        f"explode(m.{POINT_TABLES[table][1]}.dataPoints) as p",
+    )
+    checked = points.selectExpr(
+        *own, "MetricDescription", "MetricUnit", *_head_columns(table, "MetricName"), "p.attributes as _attributes"
+    )
+    return accepted(checked).selectExpr(
+        *own, *METRIC_COLUMNS, "MetricType", f"{attribute_pairs_sql('_attributes')} as _point"
+    )
+
+
+def series_of_requests(requests: dict[str, DataFrame], ingest_time: datetime | Column) -> DataFrame:
+    """The different rows of ``map_series``, straight from requests with the points of each type.
+
+    Points of a series repeat its labels. They are grouped as they come, as text, in a hash aggregation that
+    combines before the shuffle; attributes are sorted and made maps, and keys built and hashed, for what
+    is left. Rows whose lists differ in order or in what is dropped from them may still be equal.
+    """
+    labels = reduce(DataFrame.unionAll, [_labels(rows, table) for table, rows in requests.items()]).distinct()
+    lists = {"_resource": "ResourceAttributes", "_scope": "ScopeAttributes", "_point": "Attributes"}
+    entries = labels.selectExpr(
+        *[c for c in labels.columns if c not in lists], *[f"{pairs_to_entries_sql(c)} as {c}" for c in lists]
+    )
+    key = canonical_key_sql(
+        "MetricName", "MetricType", "ResourceSchemaUrl", "ScopeName", "ScopeVersion",
+        entries_section_sql("_resource"), entries_section_sql("_point"),
+    )
+    keyed = entries.selectExpr(
+        "*", *[f"{entries_to_map_sql(c)} as {name}" for c, name in lists.items()], f"{key} as SeriesKey"
+    )
+    return series_rows(with_series_id(keyed), ingest_time)
+
+
+def rejects_of_requests(requests: dict[str, DataFrame], names: DataFrame) -> DataFrame:
+    """C4: the rows of ``map_rejects``, straight from requests with the points of each type, and ``names`` with all metrics."""
+
+    def metrics(rows: DataFrame) -> DataFrame:
+        scopes = rows.selectExpr("explode(resourceMetrics) as rm").selectExpr("explode(rm.scopeMetrics) as sm")
+        return scopes.selectExpr("explode(sm.metrics) as m").selectExpr("coalesce(m.name, '') as MetricName", "m")
+
+    sides = [nameless_rejects(nameless_metrics(metrics(names)))]
+    for table, rows in requests.items():
+        points = named_metrics(metrics(rows)).selectExpr(
+            "MetricName", f"explode(m.{POINT_TABLES[table][1]}.dataPoints) as p"
+        )
+        sides.append(validate(points.selectExpr(*_head_columns(table, "MetricName")))[1])
+    return reduce(DataFrame.unionByName, sides)
+
+
 def map_rejects(flat: DataFrame) -> DataFrame:
     """C4 for all types: rejected points, and one reject per nameless metric."""
     rejects = validate(point_heads(flat))[1]

@@ -6,17 +6,26 @@ import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metricloom.operators.flatten import flatten_metrics, nameless_metrics
-from metricloom.operators.mapping import map_points, map_series, point_heads, slim
+from metricloom.operators.mapping import (
+    map_points,
+    map_series,
+    point_heads,
+    rejects_of_requests,
+    series_of_requests,
+    slim,
+)
 from metricloom.operators.validate import nameless_rejects, validate
 from metricloom.schema import POINT_TABLES
+from metricloom.session import input_splits
 from metricloom.sources import files
 from metricloom.sources.manifest import add_batch, commit, is_done, load, new_write_id
-from metricloom.sources.requests import read_requests, requests_with, unreadable_rejects
+from metricloom.sources.requests import read_heads, read_requests, requests_with, unreadable_rejects
 from metricloom.sources.tables import (
     append_ledger,
     create_tables,
@@ -33,6 +42,8 @@ Entry = tuple[str, int, int, str | None]
 Writes = dict[int, dict[str, int]]
 # Gives the flattened metrics with (at least) the payloads of the named tables.
 FlatSource = Callable[[tuple[str, ...]], DataFrame]
+# Gives the requests with what series (or, if false, rejects alone) need of the payloads of the named tables.
+HeadSource = Callable[[tuple[str, ...], bool], DataFrame]
 
 # Writer of batches of files, unless the caller names another.
 FILES = "files"
@@ -68,6 +79,7 @@ def write_batch(
     writer: str = FILES,
     owner: str | None = None,
     max_points: int | None = None,
+    heads: HeadSource | None = None,
 ) -> list[Entry]:
     """Store one batch of flattened metrics, whole or not at all, and once.
 
@@ -77,7 +89,8 @@ def write_batch(
     id: one that is stored already is left as it is, whoever asks. ``owner`` is the
     application that holds the writer's name; if another one took it over, the batch is refused.
     ``max_points`` bounds the points of a write: the job then makes as many writes as it takes, each with
-    folders of its own; one commit names all of them.
+    folders of its own; one commit names all of them. With ``heads`` the series and rejects come from the requests
+    that it gives, with less work, and not from ``source``.
 
     Every write counts its rows as it runs; what has no rows leaves no folder and no ledger
     entry. If one fails, its error is recorded and the batch ends with it, to be run again;
@@ -86,7 +99,7 @@ def write_batch(
     if is_done(load(spark, base), writer, batch_id):
         return []
     tables = tuple(tables)
-    flat = source(tables)
+    flat = source(tables) if heads is None else None
     writes: Writes = {}
     steps: list[tuple] = []  # run side by side
 
@@ -96,19 +109,26 @@ def write_batch(
         return names, write_id, write
 
     def points(write_id: int) -> Writes:
-        own = {t: slim(map_points(source((t,)) if len(tables) > 1 else flat, t), t) for t in tables}
+        own = {t: slim(map_points(flat if flat and len(tables) == 1 else source((t,)), t), t) for t in tables}
         if max_points:
             return put_bounded_points(own, base, write_id, max_points)
         return {write_id: put_points(own, base, write_id)}
 
     def series(write_id: int) -> Writes:
         known = scan_series(spark, base, ["SeriesID"])
-        return {write_id: put_new_series(map_series(flat, ingest_time), known, base, write_id)}
+        if heads is None:
+            rows = map_series(flat, ingest_time)
+        else:
+            rows = series_of_requests({t: heads((t,), True) for t in tables}, ingest_time)
+        return {write_id: put_new_series(rows, known, base, write_id)}
 
     def rejects() -> DataFrame:
-        rows = nameless_rejects(nameless_metrics(source(()) if len(tables) != 1 else flat))
-        if tables:
-            rows = validate(point_heads(flat))[1].unionByName(rows)
+        if heads is None:
+            rows = nameless_rejects(nameless_metrics(source(()) if len(tables) != 1 else flat))
+            if tables:
+                rows = validate(point_heads(flat))[1].unionByName(rows)
+        else:
+            rows = rejects_of_requests({t: heads((t,), False) for t in tables}, heads((), False))
         return rows if requests is None else rows.unionByName(unreadable_rejects(requests))
 
     if tables:
@@ -196,6 +216,19 @@ def present_tables(metrics: DataFrame) -> list[str]:
     return [table for table in POINT_TABLES if counts[table]]
 
 
+def table_files(metrics: DataFrame) -> dict[str, list[str]]:
+    """H9: files that hold at least one metric of a table, for the tables that have one. ``metrics`` has their ``file``."""
+    held = metrics.groupBy("file").agg(
+        *[F.max(F.col(arm).isNotNull()).alias(t) for t, (_, arm, _) in POINT_TABLES.items()]
+    )
+    found: dict[str, list[str]] = {}
+    for row in held.collect():
+        for table in POINT_TABLES:
+            if row[table]:
+                found.setdefault(table, []).append(unquote(row["file"]))
+    return {table: sorted(found[table]) for table in POINT_TABLES if table in found}
+
+
 def ingest_files(
     spark: SparkSession,
     path: str | list[str],
@@ -207,23 +240,36 @@ def ingest_files(
 ) -> list[Entry]:
     """Store a large batch of request files.
 
-    Nothing is cached: types that are not there are found in a narrow pass; of the others, each
-    branch reads the files with a schema narrowed
-    to its own payload, series and rejects read them once for all types. JSON
+    Nothing is cached: a narrow pass finds which files hold which types; the branch of a
+    type reads its own files with a schema narrowed
+    to its own payload, and series and rejects to what they need of it. JSON
     has to be landed first (``land_requests``), since every pass would parse all of it.
     """
     if format == "json":
         raise ValueError("land JSON requests as Parquet first, with land_requests")
     create_tables(spark, base)
-
-    def source(tables: tuple[str, ...]) -> DataFrame:
-        requests = read_requests(spark, path, format, tables)
-        return flatten_metrics(requests_with(requests, tables) if len(tables) == 1 else requests)
-
     if is_done(load(spark, base), writer, batch_id):
         return []
-    bare = read_requests(spark, path, format, presence=True)
-    scopes = bare.selectExpr("explode(resourceMetrics) as r").selectExpr("explode(r.scopeMetrics) as s")
-    tables = present_tables(scopes.selectExpr("explode(s.metrics) as m").select("m.*"))
-    requests = read_requests(spark, path, format, ())
-    return write_batch(spark, source, base, batch_id, ingest_time, tables, requests, writer)
+    with input_splits(spark):
+        bare = read_requests(spark, path, format, presence=True)
+        scopes = bare.select(
+            F.col("_metadata.file_path").alias("file"), F.explode("resourceMetrics").alias("r")
+        ).selectExpr("file", "explode(r.scopeMetrics) as s")
+        held = table_files(scopes.selectExpr("file", "explode(s.metrics) as m").select("file", "m.*"))
+
+        def paths(tables: tuple[str, ...]) -> str | list[str]:
+            own = sorted({f for t in tables for f in held[t]})
+            # A name that reads as a pattern can't be asked for.
+            return own if own and not any(c in f for f in own for c in "{}[]*?\\") else path
+
+        def source(tables: tuple[str, ...]) -> DataFrame:
+            requests = read_requests(spark, paths(tables), format, tables)
+            return flatten_metrics(requests_with(requests, tables) if len(tables) == 1 else requests)
+
+        def heads(tables: tuple[str, ...], attributes: bool) -> DataFrame:
+            return read_heads(spark, paths(tables), tables, attributes, format)
+
+        requests = read_requests(spark, path, format, ())
+        return write_batch(
+            spark, source, base, batch_id, ingest_time, tuple(held), requests, writer, heads=heads
+        )

@@ -68,6 +68,15 @@ POINT_TABLES = {
 
 # Of a payload, what tells that it is there.
 _PRESENCE = "struct<dataPoints:array<struct<timeUnixNano:string>>>"
+# Of a point, what tells whether it is accepted.
+_CHECKED = {t: "asDouble:double,asInt:string" if t in ("gauge", "sum") else "sum:double" for t in POINT_TABLES}
+
+
+def head_schema(tables: Iterable[str], attributes: bool = True) -> str:
+    """Request tree with what series (or, without ``attributes``, rejects) need of the payloads of ``tables``."""
+    labels = f"attributes:{KEY_VALUES}," if attributes else ""
+    kinds = {t: f"struct<dataPoints:array<struct<{labels}timeUnixNano:string,{_CHECKED[t]}>>>" for t in tables}
+    return _request_schema(kinds, attributes)
 
 
 def request_schema(tables: Iterable[str] = tuple(POINT_TABLES), presence: bool = False) -> str:
@@ -78,8 +87,15 @@ def request_schema(tables: Iterable[str] = tuple(POINT_TABLES), presence: bool =
     tells that they are there. ``unreadable`` holds the text of
     a JSON request that cannot be parsed, and is NULL otherwise.
     """
-    kinds = {t: _PRESENCE if presence else POINT_TABLES[t][2] for t in tables}
+    return _request_schema({t: _PRESENCE if presence else POINT_TABLES[t][2] for t in tables})
+
+
+def _request_schema(kinds: dict[str, str], attributes: bool = True) -> str:
+    """Request tree with the payloads of ``kinds``; without ``attributes`` metrics have their names alone."""
     arms = "".join(f",{POINT_TABLES[t][1]}:{kind}" for t, kind in kinds.items())
+    if not attributes:
+        metric = f"struct<name:string{arms}>"
+        return f"resourceMetrics array<struct<scopeMetrics:array<struct<metrics:array<{metric}>>>>>, unreadable string"
     metric = f"struct<name:string,description:string,unit:string{arms}>"
     scope = (
         f"struct<name:string,version:string,attributes:{KEY_VALUES},"

@@ -7,12 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.schema import POINT_TABLES, UNREADABLE_REQUEST, request_schema
+from metricloom.schema import POINT_TABLES, UNREADABLE_REQUEST, head_schema, request_schema
 
 # Keeps the text of a request that is no valid JSON instead of dropping it.
 _KEEP_UNREADABLE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable"}
 # Files of one micro-batch, unless the caller says otherwise.
 MAX_FILES = 64
+# Row groups of landed requests, before compression.
+ROW_GROUP_BYTES = 8 * 2**20
 
 
 def read_requests(
@@ -32,6 +34,13 @@ def read_requests(
     return reader.options(**_KEEP_UNREADABLE).load(path)
 
 
+def read_heads(
+    spark: SparkSession, path: str | list[str], tables: Iterable[str], attributes: bool = True, format: str = "parquet"
+) -> DataFrame:
+    """A1: export requests with what their series and rejects (without ``attributes``, rejects alone) need."""
+    return spark.read.schema(head_schema(tables, attributes)).format(format).options(**_KEEP_UNREADABLE).load(path)
+
+
 def requests_with(requests: DataFrame, tables: Iterable[str]) -> DataFrame:
     """Requests in which a metric has a payload of one of ``tables``; the others have no points for them."""
     held = " or ".join(f"m.{POINT_TABLES[t][1]} is not null" for t in tables)
@@ -79,6 +88,8 @@ def land_requests(requests: DataFrame, path: str, mode: str = "overwrite") -> No
     """Write requests as Parquet, so later passes read only the payloads they need.
 
     Requests may lack payload columns that none of them has; with the mode ``append`` those of several kinds
-    share a folder.
+    share a folder. Row groups are small, since the work on a request is many times that of reading it: a pass
+    can be divided within files too.
     """
-    requests.write.mode(mode).option("compression", "zstd").parquet(path)
+    options = {"compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES}
+    requests.write.mode(mode).options(**options).parquet(path)

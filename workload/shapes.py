@@ -31,16 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
-def any_value(kind: str | None, sql: str = "null") -> str:
-    """SQL of a tagged value with one kind set, or none."""
+def any_value(kind: str | None, sql: str = "null", sparse: bool = False) -> str:
+    """SQL of a tagged value with one kind set, or none; if ``sparse``, without the kinds that are not set."""
     fields = [
-        f"'{k}', cast({sql if k == kind else 'null'} as {t})" for k, t in _KINDS.items()
+        f"'{k}', cast({sql if k == kind else 'null'} as {t})"
+        for k, t in _KINDS.items()
+        if k == kind or not sparse
     ]
     return f"named_struct({', '.join(fields)})"
 
 
-def attribute(key: str, sql: str, kind: str | None = "stringValue") -> str:
-    return f"named_struct('key', '{key}', 'value', {any_value(kind, sql)})"
+def attribute(key: str, sql: str, kind: str | None = "stringValue", sparse: bool = False) -> str:
+    return f"named_struct('key', '{key}', 'value', {any_value(kind, sql, sparse)})"
 
 
 def attributes(*items: str) -> str:
@@ -93,7 +95,7 @@ def metric(
 ) -> str:
     """SQL of a metric; ``payload`` maps a payload field to its SQL, others are NULL or, if ``sparse``, left out."""
     arms = "".join(
-        f", '{arm}', cast({payload.get(arm, 'null')} as {ddl})"
+        f", '{arm}', {payload[arm]}" if sparse else f", '{arm}', cast({payload.get(arm, 'null')} as {ddl})"
         for _, arm, ddl in POINT_TABLES.values()
         if arm in payload or not sparse
     )
@@ -118,23 +120,28 @@ def distribution(*points: str, temporality: int = 1) -> str:
     )
 
 
-def request(resource: str, scope: str, *metrics: str, scope_attributes: str = "array()") -> str:
+def request(resource: str, scope: str, *metrics: str, scope_attributes: str | None = None) -> str:
+    scope_attributes = scope_attributes or f"cast(array() as {KEY_VALUES})"
     return (
         "array(named_struct("
         f"'resource', named_struct('attributes', {resource}), 'schemaUrl', '{RESOURCE_URL}', "
         "'scopeMetrics', array(named_struct("
         f"'scope', named_struct('name', '{scope}', 'version', '1.0', "
-        f"'attributes', cast({scope_attributes} as {KEY_VALUES}), 'droppedAttributesCount', 0L), "
+        f"'attributes', {scope_attributes}, 'droppedAttributesCount', 0L), "
         f"'schemaUrl', '{SCOPE_URL}', 'metrics', array({', '.join(metrics)})))))"
         " as resourceMetrics"
     )
 
 
-_EVENT_RESOURCE = attributes(
-    attribute("service.name", "concat('svc-', user_id % 7)"),
-    attribute("host.name", "concat('h', user_id % 3)"),
-)
-_EVENT_K = attribute("k", "get_json_object(props, '$.k')", "intValue")
+def _event_resource(sparse: bool = False) -> str:
+    return attributes(
+        attribute("service.name", "concat('svc-', user_id % 7)", sparse=sparse),
+        attribute("host.name", "concat('h', user_id % 3)", sparse=sparse),
+    )
+
+
+def _event_k(sparse: bool = False) -> str:
+    return attribute("k", "get_json_object(props, '$.k')", "intValue", sparse)
 
 
 def gauge_requests(
@@ -143,14 +150,14 @@ def gauge_requests(
     """One gauge point per event."""
     time = nanos("ts")
     point = number_point(
-        attributes(_EVENT_K), time, "value", start=f"{time} - 1000000000L", flags="event_id % 2"
+        attributes(_event_k(sparse)), time, "value", start=f"{time} - 1000000000L", flags="event_id % 2"
     )
     return events.selectExpr(
         request(
-            _EVENT_RESOURCE,
+            _event_resource(sparse),
             "events",
             metric("concat('events.', event_type)", description=description, sparse=sparse, gauge=gauge(point)),
-            scope_attributes=attributes(attribute("team", "concat('t', user_id % 7 % 2)")),
+            scope_attributes=attributes(attribute("team", "concat('t', user_id % 7 % 2)", sparse=sparse)),
         )
     )
 
@@ -160,9 +167,9 @@ def reject_requests(events: DataFrame) -> DataFrame:
     time = f"if(event_id % 97 = 0, '0', {nanos('ts')})"
     value = "if(event_id % 89 = 0, double('NaN'), value)"
     name = "if(event_id % 83 = 0, '', concat('events.', event_type))"
-    point = number_point(attributes(_EVENT_K), time, value)
+    point = number_point(attributes(_event_k()), time, value)
     return events.selectExpr(
-        request(_EVENT_RESOURCE, "events", metric(name, gauge=gauge(point, point)))
+        request(_event_resource(), "events", metric(name, gauge=gauge(point, point)))
     )
 
 
@@ -211,14 +218,15 @@ def sum_requests(lineitem: DataFrame, sparse: bool = False) -> DataFrame:
     """One sum point per line item: deltas, cumulative for returns, and some that may fall."""
     point = number_point(
         attributes(
-            attribute("linestatus", "l_linestatus"), attribute("returnflag", "l_returnflag")
+            attribute("linestatus", "l_linestatus", sparse=sparse),
+            attribute("returnflag", "l_returnflag", sparse=sparse),
         ),
         folded("l_shipdate"),
         integer="cast(l_quantity as bigint)",
     )
     return lineitem.selectExpr(
         request(
-            attributes(attribute("service.name", "concat('supp-', l_suppkey % 5)")),
+            attributes(attribute("service.name", "concat('supp-', l_suppkey % 5)", sparse=sparse)),
             "lineitem",
             metric(
                 "'lineitem.quantity'",
@@ -254,7 +262,7 @@ def histogram_requests(orders: DataFrame, sparse: bool = False) -> DataFrame:
         F.expr(f"array({', '.join(buckets)}) as buckets"),
     )
     point = distribution_point(
-        attributes(attribute("priority", "o_orderpriority")),
+        attributes(attribute("priority", "o_orderpriority", sparse=sparse)),
         folded("o_orderdate"),
         count="cast(n as string)",
         sum="cents / 100D",
@@ -265,7 +273,7 @@ def histogram_requests(orders: DataFrame, sparse: bool = False) -> DataFrame:
     )
     return groups.selectExpr(
         request(
-            attributes(attribute("service.name", "'orders'")),
+            attributes(attribute("service.name", "'orders'", sparse=sparse)),
             "orders",
             metric("'orders.price'", "'usd'", sparse=sparse, histogram=distribution(point)),
         )
@@ -294,7 +302,7 @@ def exponential_requests(lineitem: DataFrame, sparse: bool = False) -> DataFrame
         F.expr(f"{side('-')} as below"),
     )
     point = distribution_point(
-        attributes(attribute("returnflag", "l_returnflag")),
+        attributes(attribute("returnflag", "l_returnflag", sparse=sparse)),
         folded("l_shipdate"),
         count="cast(n as string)",
         sum="cast(total as double)",
@@ -307,7 +315,7 @@ def exponential_requests(lineitem: DataFrame, sparse: bool = False) -> DataFrame
     )
     return groups.selectExpr(
         request(
-            attributes(attribute("service.name", "'lineitem'")),
+            attributes(attribute("service.name", "'lineitem'", sparse=sparse)),
             "lineitem",
             metric(
                 "'lineitem.quantity.exp'",
@@ -329,7 +337,7 @@ def summary_requests(orders: DataFrame, sparse: bool = False) -> DataFrame:
         F.expr("percentile_disc(0.99) within group (order by o_totalprice) as top"),
     )
     point = distribution_point(
-        attributes(attribute("priority", "o_orderpriority")),
+        attributes(attribute("priority", "o_orderpriority", sparse=sparse)),
         folded("month"),
         count="cast(n as string)",
         sum="cents / 100D",
@@ -340,7 +348,7 @@ def summary_requests(orders: DataFrame, sparse: bool = False) -> DataFrame:
     )
     return groups.selectExpr(
         request(
-            attributes(attribute("service.name", "'orders'")),
+            attributes(attribute("service.name", "'orders'", sparse=sparse)),
             "orders",
             metric("'orders.price.summary'", "'usd'", sparse=sparse, summary=gauge(point)),
         )

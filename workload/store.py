@@ -19,7 +19,7 @@ def store_requests(
 ) -> list[DataFrame]:
     """Requests of the five types; ``part`` takes one of two halves that split no group.
 
-    ``sparse`` ones have their own payload column and not those that would be NULL throughout.
+    ``sparse`` ones have their own payload column and kinds of values, and not those that would be NULL throughout.
     """
 
     def half(name: str, number: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _landed(application: str, sf_dir: str) -> str:
     spark = SparkSession.active()
     path = scratch_path(spark, "requests")
     for part in (0, 1):
-        # Files of a type have its payload column alone: readers give NULL for the others.
+        # Files of a type have its payload column and kinds of values alone: readers give NULL for the others.
         for requests in store_requests(spark, sf_dir, part, sparse=True):
             land_requests(requests, f"{path}/part{part}", mode="append")
     return path
