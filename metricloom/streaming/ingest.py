@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from metricloom.operators.flatten import flatten_metrics
 from metricloom.plans.ingest import present_tables, write_batch
+from metricloom.session import input_splits
 from metricloom.sources import files
 from metricloom.sources.manifest import commit, hold, is_done, let_go, load
 from metricloom.sources.tables import create_tables
@@ -72,16 +73,18 @@ def _started(
     create_tables(spark, base)
     writer, owner = stream_identity(spark, checkpoint), spark.sparkContext.applicationId
     commit(spark, base, lambda s: hold(s, writer, owner, take_over=take_over))
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(
-            lambda batch, n: ingest_micro_batch(
-                batch, base, n, writer=writer, owner=owner, max_points=max_points
+    # A stream takes its settings when it starts.
+    with input_splits(spark):
+        return (
+            stream.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(
+                lambda batch, n: ingest_micro_batch(
+                    batch, base, n, writer=writer, owner=owner, max_points=max_points
+                )
             )
+            .trigger(**trigger)
+            .start()
         )
-        .trigger(**trigger)
-        .start()
-    )
 
 
 def start_ingest(
