@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import map_batches, rows, stored, table
+from metricloom.llm.common import added, dropped, map_batches, rows, stored, table
 from metricloom.llm.graph import components
+from metricloom.session import scratch_path
 
 # Fixed value: the cosine from which two vectors are linked.
 COSINE = 0.9
@@ -19,8 +20,12 @@ TRAINING_ROWS = 20_000
 # Vectors per inverted list on average, and lists at most.
 LIST_ROWS, MOST_LISTS = 256, 4096
 # Lists that are searched together, so that a vector that probes several of them is sent once; and
-# vectors of a block of theirs, and of a block of what probes them.
+# vectors of theirs, and of what probes them, that are compared at a time.
 GROUP, BLOCK_ROWS = 16, 2048
+# Components of the vectors of a block, which is sent as a whole: up to BLOCKS times BLOCK_ROWS vectors.
+BLOCK_VALUES, BLOCKS = 1 << 20, 4
+# Components of the vectors sent in a round; at least those of the whole table.
+ROUND_VALUES = 1 << 25
 # Pairs whose cosine is taken at a time.
 PAIRS = 1 << 16
 # Subspaces of a residual, and codes of each.
@@ -242,51 +247,86 @@ def _linked(blocks: DataFrame, index, width: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 members, queries = batch.column(0)[i].values, batch.column(1)[i].values
-                node, other, links = _links_of(members, queries, index.value, width)
-                if len(node):
-                    yield rows(node=node, other=other, links=links)
+                for at in range(0, len(members), BLOCK_ROWS):
+                    for of in range(0, len(queries), BLOCK_ROWS):
+                        node, other, links = _links_of(
+                            members.slice(at, BLOCK_ROWS), queries.slice(of, BLOCK_ROWS), index.value, width
+                        )
+                        if len(node):
+                            yield rows(node=node, other=other, links=links)
 
     return map_batches(blocks, step, "node bigint, other bigint, links bigint")
 
 
-def _blocks(coded: DataFrame) -> DataFrame:
+def _sizes(coded: DataFrame, block: int) -> list:
+    """(group, own, other): blocks of the vectors of each group of lists, and of what probes one of them."""
+    own = coded.groupBy(F.expr(f"list DIV {GROUP}").cast("int").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    asked = coded.select(F.inline("probes")).groupBy("group").agg(F.count(F.lit(1)).alias("q"))
+    counted = own.join(asked, "group").select(
+        "group",
+        F.ceil(F.col("n") / block).cast("bigint").alias("own"),
+        F.ceil(F.col("q") / block).cast("bigint").alias("other"),
+    )
+    return sorted(counted.collect())  # at most MOST_LISTS rows
+
+
+def _rounds(sizes: list, pairs: int):
+    """(groups, low, high): pairs of blocks in runs of ``pairs``. Groups are (group, own, other, first), and
+    ``first`` is the number of the first of the own x other pairs of a group."""
+    numbered, total = [], 0
+    for group, own, other in sizes:
+        numbered.append((group, own, other, total))
+        total += own * other
+    for low in range(0, total, pairs):
+        high = min(low + pairs, total)
+        yield [g for g in numbered if g[3] < high and g[3] + g[1] * g[2] > low], low, high
+
+
+def _blocks(coded: DataFrame, groups: list, low: int, high: int) -> DataFrame:
     """(members, queries): blocks of each group of lists against blocks of what probes one of them.
 
     Members and queries are dealt to as many blocks as their numbers ask for, and meet once. A list of
-    any size is searched by many tasks of bounded size.
+    any size is searched by many tasks of bounded size. Of all pairs of blocks these are those numbered from
+    ``low`` to below ``high``.
     """
-    own = coded.withColumn("group", F.expr(f"list DIV {GROUP}").cast("int"))
-    asked = coded.select(F.inline("probes"), "node", "weight", F.col("list").alias("home"), "vector")
-    sizes = (
-        own.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-        .join(asked.groupBy("group").agg(F.count(F.lit(1)).alias("q")), "group")
-        .select(
-            "group",
-            F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("own"),
-            F.ceil(F.col("q") / BLOCK_ROWS).cast("int").alias("other"),
-        )
+    spark, least, most = coded.sparkSession, groups[0][0], groups[-1][0]
+    sizes = spark.createDataFrame(groups, "group int, own bigint, other bigint, first bigint")
+    sizes = F.broadcast(sizes)  # at most MOST_LISTS rows
+    own = coded.filter(F.col("list").between(least * GROUP, most * GROUP + GROUP - 1)).withColumn(
+        "group", F.expr(f"list DIV {GROUP}").cast("int")
     )
-    sizes = F.broadcast(stored(sizes, "lists"))  # at most MOST_LISTS rows
+    probes = F.filter("probes", lambda p: p["group"].between(least, most))
+    asked = coded.select(F.inline(probes), "node", "weight", F.col("list").alias("home"), "vector")
 
     def dealt(number: str):
-        return F.pmod(F.xxhash64("node"), F.col(number)).cast("int")
+        return F.pmod(F.xxhash64("node"), F.col(number))
 
-    def every(number: str):
-        return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
-
-    members = own.join(sizes, "group").select(
-        "group",
-        dealt("own").alias("m"),
-        every("other").alias("q"),
-        F.struct("node", "weight", "list", "codes", "error", "vector").alias("member"),
-        F.lit(None).alias("query"),
+    members = (
+        own.join(sizes, "group")
+        .withColumn("m", dealt("own"))
+        .withColumn("from", F.col("first") + F.col("m") * F.col("other"))
+        .filter(f"from < {high} and from + other > {low}")
+        .select(
+            "group",
+            "m",
+            F.expr(f"explode(sequence(greatest({low} - from, 0), least({high} - from, other) - 1))").alias("q"),
+            F.struct("node", "weight", "list", "codes", "error", "vector").alias("member"),
+            F.lit(None).alias("query"),
+        )
     )
-    queries = asked.join(sizes, "group").select(
-        "group",
-        every("own").alias("m"),
-        dealt("other").alias("q"),
-        F.lit(None).alias("member"),
-        F.struct("node", "weight", "home", "lists", "vector").alias("query"),
+    queries = (
+        asked.join(sizes, "group")
+        .withColumn("q", dealt("other"))
+        .withColumn("from", F.expr(f"greatest(({low} - first - q + other - 1) div other, 0)"))
+        .withColumn("to", F.expr(f"least(({high} - 1 - first - q) div other, own - 1)"))
+        .filter(f"first + q < {high} and from <= to")
+        .select(
+            "group",
+            F.explode(F.sequence("from", "to")).alias("m"),
+            "q",
+            F.lit(None).alias("member"),
+            F.struct("node", "weight", "home", "lists", "vector").alias("query"),
+        )
     )
     return (
         members.unionByName(queries)
@@ -297,6 +337,22 @@ def _blocks(coded: DataFrame) -> DataFrame:
     )
 
 
+def _searched(coded: DataFrame, index, width: int, n: int) -> DataFrame:
+    """``_linked`` of all pairs of blocks.
+
+    How often vectors are sent grows with the square of the table where they spread over many lists. They are
+    sent in rounds of about as many as the table has, and what one sent goes before the next: disk
+    stays in proportion to the table, however many rounds it takes.
+    """
+    block = max(BLOCK_ROWS, min(BLOCKS * BLOCK_ROWS, BLOCK_VALUES // width))
+    pairs = max(1, max(n, ROUND_VALUES // width) // (2 * block))
+    path = scratch_path(coded.sparkSession, "links")
+    for groups, low, high in _rounds(_sizes(coded, block), pairs):
+        # Joined to few files: there may be many rounds.
+        added(_linked(_blocks(coded, groups, low, high), index, width).hint("rebalance"), path)
+    return coded.sparkSession.read.schema("node bigint, other bigint, links bigint").parquet(path)
+
+
 def _sample(nodes: DataFrame, limit: int, width: int) -> np.ndarray:
     chosen = nodes.orderBy(F.xxhash64("vector"), "node").limit(limit).select("vector").toArrow()
     return _unit(_matrix(chosen.column("vector").combine_chunks(), width))
@@ -344,18 +400,24 @@ def near_duplicates(
     alone = base.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not size.n:
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
+    of_nodes = nodes.select("node", F.col("vector").alias("_vector"))
+    of_rows = base.join(of_nodes, F.when(valid, F.col("vector")) == F.col("_vector"), "left").select("vec_id", "node")
+    of_rows = stored(of_rows, "rows")
     limit = min(training_rows, max(CODES, training_rows * 256 // size.width))
     lists = min(MOST_LISTS, -(-size.n // LIST_ROWS))
     index = spark.sparkContext.broadcast(_fit(_sample(nodes, limit, size.width), lists))
-    coded = stored(_coded(nodes, index, size.width, kind), "coded")
-    found = stored(_linked(_blocks(coded), index, size.width), "links")
+    coded = stored(_coded(nodes, index, size.width, kind).sortWithinPartitions("list"), "coded")
+    # From here on vectors are read from where they are coded, and rows go by their node.
+    known = stored(nodes.drop("vector"), "known")
+    dropped(nodes)
+    found = _searched(coded, index, size.width, size.n)
+    dropped(coded)
     links = found.groupBy(F.col("node").alias("_node")).agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     groups = stored(groups, "components").select(F.col("node").alias("_member"), "component")
     named = (
-        nodes.drop("vector")
-        .join(links, nodes["node"] == links["_node"], "left")
-        .join(groups, nodes["node"] == groups["_member"], "left")
+        known.join(links, known["node"] == links["_node"], "left")
+        .join(groups, known["node"] == groups["_member"], "left")
         .select(
             "node",
             "first_id",
@@ -369,21 +431,15 @@ def near_duplicates(
         .hint("rebalance")
     )
     labels = named.join(roots, named["component"] == roots["root"]).select(
-        F.col("node").alias("_labelled"), "n_links", "component_id"
+        F.col("node").alias("_labelled"), F.col("n_links").alias("links"), F.col("component_id").alias("component")
     )
     labels = stored(labels, "labels")
-    of_vectors = (
-        nodes.select("node", F.col("vector").alias("_vector"))
-        .join(labels, F.col("node") == F.col("_labelled"))
-        .select("_vector", F.col("n_links").alias("links"), F.col("component_id").alias("component"))
-        .hint("rebalance")
-    )
     return (
-        base.join(of_vectors, F.when(valid, F.col("vector")) == F.col("_vector"), "left")
+        of_rows.join(labels, F.col("node") == F.col("_labelled"), "left")
         .select(
             "vec_id",
             F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
-            F.when(F.col("_vector").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"),
+            F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     )

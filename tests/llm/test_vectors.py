@@ -158,3 +158,32 @@ def test_each_pair_is_searched_for_once(spark):
 def test_empty_table_and_no_valid_vector(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None), (2, [0.0]), (None, [])]) == brute([(1, None), (2, [0.0]), (None, [])])
+
+
+def test_vectors_are_sent_in_rounds_of_bounded_size(spark, monkeypatch):
+    for name, value in (("LIST_ROWS", 4), ("BLOCK_ROWS", 8), ("ROUND_VALUES", 1), ("BLOCKS", 1)):
+        monkeypatch.setattr(vectors, name, value)
+    sent, blocks = [], vectors._blocks
+
+    def counted(*args):
+        out = blocks(*args).localCheckpoint()
+        sent.append(sum(len(r.members) + len(r.queries) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(vectors, "_blocks", counted)
+    rng = np.random.default_rng(9)
+    near = [(np.ones(8) + rng.normal(size=8) * 0.1).astype(np.float32).tolist() for _ in range(60)]
+    rows = list(enumerate(near + clusters(rng, 30, 8, 0.2)))
+    assert found(spark, rows, training_rows=100) == brute(rows)
+    # What one round sends is in proportion to the table, though all of them send it many times over.
+    assert sum(sent) > 4 * len(rows) and max(sent) <= 2 * len(rows)
+
+
+def test_rounds_hold_each_pair_of_blocks_once():
+    sizes = [(0, 2, 3), (1, 1, 1), (2, 4, 5)]
+    held = []
+    for groups, low, high in vectors._rounds(sizes, 4):
+        assert high - low <= 4
+        numbers = [first + k for _, own, other, first in groups for k in range(own * other)]
+        held += [n for n in numbers if low <= n < high]
+    assert held == list(range(27))
