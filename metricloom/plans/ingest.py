@@ -237,8 +237,10 @@ def ingest_files(
     ingest_time: datetime,
     format: str = "parquet",
     writer: str = FILES,
+    owner: str | None = None,
+    max_points: int | None = None,
 ) -> list[Entry]:
-    """Store a large batch of request files.
+    """Store a large batch of request files; ``owner`` and ``max_points`` are as in ``write_batch``.
 
     Nothing is cached: a narrow pass finds which files hold which types; the branch of a
     type reads its own files with a schema narrowed
@@ -271,5 +273,5 @@ def ingest_files(
 
         requests = read_requests(spark, path, format, ())
         return write_batch(
-            spark, source, base, batch_id, ingest_time, tuple(held), requests, writer, heads=heads
+            spark, source, base, batch_id, ingest_time, tuple(held), requests, writer, owner, max_points, heads
         )

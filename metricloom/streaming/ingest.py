@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from metricloom.operators.flatten import flatten_metrics
-from metricloom.plans.ingest import present_tables, write_batch
+from metricloom.plans.ingest import ingest_files, present_tables, write_batch
+from metricloom.schema import request_schema
 from metricloom.session import input_splits
 from metricloom.sources import files
 from metricloom.sources.manifest import commit, hold, is_done, let_go, load
@@ -18,6 +23,8 @@ from metricloom.sources.tables import create_tables
 
 # Writer of micro-batches that belong to no stream of this module.
 MICRO_BATCHES = "micro-batches"
+# Options of a file stream that say which files a micro-batch has, and nothing of how they are read.
+_CAPS = {"path", "mode", "columnnameofcorruptrecord", "maxfilespertrigger", "maxbytespertrigger"}
 
 
 def ingest_micro_batch(
@@ -50,6 +57,38 @@ def ingest_micro_batch(
         flat.unpersist()
 
 
+def names_files(stream: DataFrame) -> bool:
+    """Whether a stream is Parquet files of requests, just as they are: its micro-batches are known by their files."""
+    plan = stream._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "StreamingRelation" or plan.dataSource().className() != "parquet":
+        return False
+    options = plan.dataSource().options().keySet().mkString("\n").lower().split("\n")
+    return set(options) <= _CAPS and stream.schema.simpleString() == StructType.fromDDL(request_schema()).simpleString()
+
+
+def ingest_named_files(
+    names: DataFrame,
+    base: str,
+    batch_id: int,
+    writer: str = MICRO_BATCHES,
+    owner: str | None = None,
+    max_points: int | None = None,
+) -> None:
+    """Store one micro-batch of Parquet files, given as a column of their paths with one row a request.
+
+    As ``ingest_micro_batch``, but nothing of it is held in memory or on disk meanwhile: each pass reads what it
+    needs of the files, as that of a batch of files does.
+    """
+    spark = names.sparkSession
+    if is_done(load(spark, base), writer, batch_id):
+        return
+    # Paths are read as patterns.
+    paths = sorted(re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(path)) for (path,) in names.distinct().collect())
+    if paths:
+        moment = datetime.now(timezone.utc)
+        ingest_files(spark, paths, base, batch_id, moment, writer=writer, owner=owner, max_points=max_points)
+
+
 def stream_identity(spark: SparkSession, checkpoint: str) -> str:
     """The name that the stream of a checkpoint writes under, kept in the checkpoint.
 
@@ -73,14 +112,15 @@ def _started(
     create_tables(spark, base)
     writer, owner = stream_identity(spark, checkpoint), spark.sparkContext.applicationId
     commit(spark, base, lambda s: hold(s, writer, owner, take_over=take_over))
+    step: Callable[..., None] = ingest_micro_batch
+    if names_files(stream):
+        step, stream = ingest_named_files, stream.select("_metadata.file_path")
     # A stream takes its settings when it starts.
     with input_splits(spark):
         return (
             stream.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(
-                lambda batch, n: ingest_micro_batch(
-                    batch, base, n, writer=writer, owner=owner, max_points=max_points
-                )
+                lambda batch, n: step(batch, base, n, writer=writer, owner=owner, max_points=max_points)
             )
             .trigger(**trigger)
             .start()

@@ -15,7 +15,8 @@ from metricloom.sources import files
 from metricloom.sources.manifest import Fenced, commit, hold, load
 from metricloom.sources.tables import put_bounded_points, recent_series
 from metricloom.streaming.dedup import store_new_batch
-from metricloom.streaming.ingest import ingest_micro_batch, stream_identity
+from metricloom.streaming import ingest as streams
+from metricloom.streaming.ingest import ingest_micro_batch, ingest_named_files, names_files, stream_identity
 from tests.builders import T0, gauge, number, request, total
 
 MONTH = 30 * 86_400_000_000_000
@@ -257,3 +258,83 @@ def test_a_failed_move_leaves_no_bounded_write(spark, folder, tmp_path, monkeypa
     with pytest.raises(RuntimeError, match="full"):
         ingest_micro_batch(ml.read_requests(spark, folder), base, 0, max_points=4)
     assert files.names(spark, f"{base}/points") == []
+
+
+@pytest.fixture
+def landed(spark, folder, tmp_path):
+    """The same requests as Parquet, with names that read as patterns and one file that has no rows."""
+    made, path = tmp_path / "made", tmp_path / "landed"
+    path.mkdir()
+    for i, name in enumerate(["0", "[1]", "{2}", "3*?", "4 %20", "5"]):
+        ml.land_requests(ml.read_requests(spark, f"{folder}/{i}.json").coalesce(1), f"{made}/{i}")
+        (file,) = (made / str(i)).glob("*.parquet")
+        file.rename(path / f"{name}.parquet")
+    ml.land_requests(ml.read_requests(spark, folder).limit(0).coalesce(1), f"{made}/none")
+    (file,) = (made / "none").glob("*.parquet")
+    file.rename(path / "none.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize(("max_files", "batches"), [(64, 1), (2, 3)])
+def test_micro_batches_of_parquet_files_are_not_held(spark, folder, landed, tmp_path, monkeypatch, max_files, batches):
+    def held(*args, **kwargs):
+        raise AssertionError("a micro-batch of Parquet files was cached")
+
+    base, other = str(tmp_path / "store"), str(tmp_path / "other")
+    ml.drain(ml.stream_requests(spark, folder), other, f"{other}/checkpoint")
+    monkeypatch.setattr(streams, "ingest_micro_batch", held)
+    for _ in range(2):  # the second time there is nothing left
+        ml.drain(ml.stream_requests(spark, landed, "parquet", max_files), base, f"{base}/checkpoint", max_points=8)
+    assert state(spark, base)[0] == EXPECTED[0]
+    writes = [w for w in load(spark, base)["writes"] if set(w["tables"]) & set(POINT_TABLES)]
+    assert all(sum(w["tables"].values()) <= 8 for w in writes)
+    assert batches <= ml.scan_rows(spark, base, "ledger").select("batch_id").distinct().count() <= batches + 1
+    for table in ("gauge", "sum"):
+        one, two = (ml.scan_points(spark, b, table) for b in (base, other))
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, two.select(*one.columns).collect()))
+    names = [c for c in ml.scan_series(spark, base).columns if c not in ("FirstSeen", "LastSeen", "write")]
+    one, two = (ml.compact_series(ml.scan_series(spark, b)).select(*names).collect() for b in (base, other))
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and len(one) == 3
+
+
+def test_rejects_of_parquet_files(spark, tmp_path):
+    path, base = tmp_path / "requests", str(tmp_path / "store")
+    path.mkdir()
+    lines = [json.dumps(request(gauge("", number(1.0, T0)), gauge("cpu", number(1.0, 0), number(2.0, T0)))), "{broken"]
+    (path / "r.json").write_text("\n".join(lines))
+    ml.land_requests(ml.read_requests(spark, str(path)), str(tmp_path / "landed"))
+    for name, folder, format in (("json", path, "json"), ("parquet", tmp_path / "landed", "parquet")):
+        ml.drain(ml.stream_requests(spark, str(folder), format), f"{base}-{name}", f"{base}-{name}/checkpoint")
+    one, two = (
+        sorted(map(repr, ml.scan_rows(spark, f"{base}-{n}", "rejects").drop("writer").collect())) for n in ("json", "parquet")
+    )
+    assert one == two and len(one) == 3
+    assert state(spark, f"{base}-json") == state(spark, f"{base}-parquet")
+
+
+def test_only_whole_parquet_streams_are_read_by_their_files(spark, folder, landed):
+    stream = ml.stream_requests(spark, landed, "parquet")
+    assert names_files(stream) and names_files(ml.stream_requests(spark, landed, "parquet", max_bytes=100))
+    assert not names_files(ml.stream_requests(spark, folder))
+    assert not names_files(stream.filter("unreadable is null")) and not names_files(stream.limit(3))
+    reader = spark.readStream.schema(stream.schema)
+    assert not names_files(reader.option("ignoreCorruptFiles", "true").parquet(landed))
+    assert not names_files(spark.readStream.schema(stream.select("unreadable").schema).parquet(landed))
+
+
+def test_a_filtered_parquet_stream_stores_what_it_holds(spark, landed, tmp_path):
+    base = str(tmp_path / "store")
+    stream = ml.stream_requests(spark, landed, "parquet").filter("unreadable is not null")
+    ml.drain(stream, base, f"{base}/checkpoint")
+    assert state(spark, base) == (dict.fromkeys(POINT_TABLES, 0), 0)
+
+
+def test_a_replayed_batch_of_files_changes_nothing(spark, landed, tmp_path):
+    base = str(tmp_path / "store")
+    ml.create_tables(spark, base)
+    names = ml.read_requests(spark, landed, "parquet").select("_metadata.file_path")
+    for _ in range(2):
+        ingest_named_files(names, base, 0, "one")
+        assert state(spark, base) == EXPECTED
+    ingest_named_files(names.limit(0), base, 1, "one")
+    assert state(spark, base) == EXPECTED and load(spark, base)["version"] == 1
