@@ -68,8 +68,8 @@ def stream_requests(
 ) -> DataFrame:
     """A2: requests as a stream of files. J3: the caps bound one micro-batch.
 
-    A micro-batch is held in memory and disk of the executors while it is stored, so there
-    is always a cap: ``max_bytes`` if given, else ``max_files``.
+    A micro-batch is held in memory and disk of the executors while it is stored, unless it is Parquet files
+    as they are, so there is always a cap: ``max_bytes`` if given, else ``max_files``.
     """
     reader = spark.readStream.schema(request_schema()).format(format).options(**_KEEP_UNREADABLE)
     if max_bytes is not None:
